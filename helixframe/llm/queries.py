@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from helixframe.llm import language, licenses, media, mixing, packing, secrets
+from helixframe.llm import jaccard, language, licenses, lines, media, mixing, packing, secrets, substrings, vectors
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
     "op2_secret_ledger": secrets.op2_secret_ledger,
+    "op3_cross_polytope": vectors.op3_cross_polytope,
     "op4_language_mixture": language.op4_language_mixture,
     "op5_pack_dp": packing.op5_pack_dp,
+    "op6_token_groups": jaccard.op6_token_groups,
+    "op7_suffix_buckets": substrings.op7_suffix_buckets,
+    "op8_line_alignment": lines.op8_line_alignment,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_license_dice": licenses.op10_license_dice,
 }
