@@ -17,6 +17,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.shingles import slices
 from helixframe.llm.storage import documents
 
 LENGTH = 2048
@@ -32,8 +34,10 @@ TRUNCATION = 16
 END_ID = 1
 #: A stretch is closed after the first document with which it holds so many tokens; a bound on memory, at the price of one window's padding.
 STRETCH = 1 << 20
+#: Bytes of text tokenized at once.
+PART = 8 << 20
 #: Words whose ids a worker remembers; beyond it, it starts anew.
-KNOWN_WORDS = 200_000
+KNOWN_WORDS = 1_000_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -45,43 +49,72 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class WordTokenizer:
     """Ids of texts for a tokenizer that never joins over white space: each distinct word is encoded once in a while.
 
-    Exact for tokenizers that split at white space before anything else and drop it; words are runs of anything but ASCII white space.
+    Exact for tokenizers that drop white space and split at it first; words are runs of anything but ASCII white space.
+    Unknown words are encoded many at a time, as one text; where a word's ids end is told from the ids that end a piece
+    (those with the word-end mark) and the number of pieces in the word. Words in which case or composition of letters may
+    change the pieces, or which may hold a special token, are encoded by themselves, as are all where this doesn't add up.
     """
 
+    #: The pieces into which word_bpe_49k.json splits a lower-cased text: fixed values of that file.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    MARK = "</w>"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.MARK) or i >= self.tokenizer.get_vocab_size(with_added_tokens=False)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        for w in words:
+        sure = lambda w: "<" not in w and (w.isascii() or w.strip(punctuation).lower().isalpha())
+        plain = [w for w in words if sure(w)]
+        others = [w for w in words if not sure(w)] if len(plain) < len(words) else []
+        pieces = np.asarray(pc.count_substring_regex(pc.utf8_lower(pa.array(plain, pa.string())), self.PIECES), np.int64)
+        found, sizes = [], []
+        joined = [(a, min(a + 500, len(plain))) for a in range(0, len(plain), 500)]
+        for (a, b), ids in zip(joined, self._encode([" ".join(plain[a:b]) for a, b in joined]), strict=True):
+            last = np.flatnonzero(self.ends[ids])
+            upto = np.cumsum(pieces[a:b])
+            if len(last) == upto[-1]:
+                sizes.append(np.diff(np.concatenate(([0], last + 1))[upto], prepend=0))
+                found.append(ids)
+            else:
+                found += (each := self._encode(plain[a:b]))
+                sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        found += (each := self._encode(others))
+        sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
+        for w in (*plain, *others):
             self.place[w] = len(self.place)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate([self.ids, *found])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts, one after the other: ids; the first id of each text (one more at the end); ends of sentences as numbers of ids; the text of each such end."""
-        lists = pc.split_pattern_regex(texts, r"[ \t\n\r\f\v]+")
+        lists = pc.ascii_split_whitespace(texts)
         offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
         words = lists.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names, indices = words.dictionary.to_pylist(), np.asarray(words.indices)
         if len(self.place) + len(names) > KNOWN_WORDS:
             self._clear()
-        self._learn([w for w in names if w not in self.place])
+        if fresh := [w for w in names if w not in self.place]:
+            self._learn(fresh)
         place = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-        code = place[np.asarray(words.indices)] if len(names) else np.zeros(0, np.int64)
-        sizes = (self.start[1:] - self.start[:-1])[code]
+        code = place[indices]
+        sizes = np.diff(self.start)[code]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.ids[np.repeat(self.start[code] - ends[:-1], sizes) + np.arange(ends[-1])]
-        stops = np.fromiter((w.endswith((".", "!", "?", ".\"", ".'")) for w in names), bool, len(names))
-        last = np.flatnonzero(stops[np.asarray(words.indices)]) if len(names) else np.zeros(0, np.int64)
+        stops = np.asarray(pc.match_substring_regex(words.dictionary, r"[.!?][\"']?$"), bool)
+        last = np.flatnonzero(stops[indices])
         return ids, ends[offsets], ends[last + 1], np.searchsorted(offsets, last, "right") - 1
 
 
@@ -205,12 +238,13 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for a in range(0, len(batch), 400):
-                part = batch.slice(a, 400)
-                ids, first, stops, of = words.encode(pc.fill_null(part.column(1), ""))
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in slices(texts, PART):
+                part = batch.slice(a, b - a)
+                ids, first, stops, of = words.encode(texts.slice(a, b - a))
                 last = np.searchsorted(of, np.arange(len(part) + 1))
                 for k, doc in enumerate(part.column(0).to_pylist()):
-                    waiting.add(doc, np.append(ids[first[k] : first[k + 1]], np.uint32(end_id)), stops[last[k] : last[k + 1]] - first[k])
+                    waiting.add(doc, np.append(ids[first[k] : first[k + 1]].astype(np.uint32), np.uint32(end_id)), stops[last[k] : last[k + 1]] - first[k])
                     if waiting.total >= stretch:
                         yield rows(waiting.pieces())
         yield rows(waiting.pieces())

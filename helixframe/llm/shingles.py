@@ -46,13 +46,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def slices(texts: pa.Array) -> list[tuple[int, int]]:
-    """Ranges of rows with about PART bytes of text each, one row at least."""
+def slices(texts: pa.Array, part: int = PART) -> list[tuple[int, int]]:
+    """Ranges of rows with about part bytes of text each, one row at least."""
     offsets = np.asarray(pc.cumulative_sum(pc.binary_length(texts))) if len(texts) else np.zeros(0, np.int64)
     out, a = [], 0
     while a < len(texts):
         before = offsets[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(offsets, before + PART, "right")))
+        b = max(a + 1, int(np.searchsorted(offsets, before + part, "right")))
         out.append((a, b))
         a = b
     return out
