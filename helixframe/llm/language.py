@@ -156,6 +156,28 @@ def identify(docs: DataFrame, model: Mixture, *, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
+def keep_identified(docs: DataFrame, model: Mixture, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs in which one language holds least or more of the text, with all their columns.
+
+    Texts without letters go, and so do those that no language dominates. A model that learned nothing rejects only texts
+    without letters.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(at).to_pylist(), []
+            for a in range(0, len(texts), 500):
+                part = texts[a : a + 500]
+                if model.langs:
+                    keep += [bool(s) and s[0][1] >= least for s in model.infer(part)]
+                else:
+                    keep += [any(c.isalpha() for c in t or "") for t in part]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 

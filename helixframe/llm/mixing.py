@@ -80,29 +80,38 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", F.col("prefix").alias("cut"))
 
 
+#: Up to so many sources, the plan of a mix is sent to all executors instead of moving the rows to it.
+FEW_SOURCES = 50_000
+
+
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """How many words each row gives to a mix of all sources.
+    """docs with what each row gives to a mix of all sources.
 
-    Returns (id, size, source_size, target, taken), one row per input row: size is the row's number of words, target its
-    source's (see source_targets), taken is size times the number of whole passes over the source, and once more for rows
-    below the source's hash threshold. Null texts have no words; null sources are a source; repeated ids are taken or
-    left together; other columns are not looked at. The same rows give the same mix in any order and partitioning.
+    Adds mix_size (the row's number of words), source_size, target (its source's, see source_targets) and times: how often
+    the mix takes the row, that is the number of whole passes over the source, and once more for rows below the source's
+    hash threshold. Null texts have no words; null sources are a source; repeated ids are taken or left together; columns
+    of the added names are replaced. The same rows give the same mix in any order and partitioning.
     """
-    sized = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash_bits(F.col(id_col)).alias("h")), "mix-sizes"
-    )
+    added = ("mix_size", "source_size", "target", "times")
+    rows = docs.drop(*added)
+    size, h = word_count(F.col(text_col)), hash_bits(F.col(id_col))
+    sized = materialize(rows.select(F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), "mix-sizes")
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = materialize(targets.withColumn("passes", passes.cast("long")), "mix-targets")
     open_ones = targets.where(F.col("target") > F.col("passes") * F.col("source_size"))
     cuts = hash_thresholds(sized, open_ones.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("budget")))
-    plan = targets.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("of"), "source_size", "target", "passes", "cut")
-    once_more = F.when(F.col("h") < F.col("cut"), 1).otherwise(0)
-    return sized.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + once_more)).alias("taken"), F.col("source").alias("source"))
+    plan = targets.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_of"), "source_size", "target", F.col("passes").alias("_passes"), F.col("cut").alias("_cut"))
+    plan = materialize(plan, "mix-plan")
+    if plan.count() <= FEW_SOURCES:
+        plan = F.broadcast(plan)
+    times = (F.col("_passes") + F.when(h < F.col("_cut"), 1).otherwise(0)).cast("int")
+    return rows.join(plan, F.col(source_col).eqNullSafe(F.col("_of"))).withColumns({"mix_size": size, "times": times}).drop("_of", "_passes", "_cut")
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    mixed = mix_sources(documents(spark, sf_dir))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("times")).alias("taken"))
 
 
 ORACLE = r"""
