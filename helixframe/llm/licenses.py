@@ -7,6 +7,9 @@ each template is listed once for each such size, and texts meet templates in a h
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 THRESHOLD = 0.85
+#: Up to so many templates they are sent to all executors, and texts are tried for parts of them first.
+FEW = 200
 
 
 def normalised(text: Column) -> Column:
@@ -45,18 +50,30 @@ def templates(spark: SparkSession, texts: dict[str, str] | None = None) -> DataF
     return spark.createDataFrame(list((texts or TEMPLATES).items()), "licence string, text string")
 
 
+def probes(grams: list[str], threshold: float) -> list[str]:
+    """Bigrams of a template of which every text within the threshold has one: as many as such a text may miss, and one more; long ones."""
+    n = len(grams)
+    least = math.ceil(threshold * (n + math.ceil(n * threshold / (2 - threshold))) / 2 - 1e-9)
+    return sorted(grams, key=lambda g: (-len(g), g))[: n - least + 1]
+
+
 def match_templates(units: DataFrame, licences: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """All (unit, licence) with a Dice coefficient of threshold or more.
 
     units: any key columns and text; licences: (licence, text). Returns the key columns with licence and score. Null and
-    empty texts match nothing. Sizes of texts are bounded by those of the templates before any bigram is made: a text
-    of w words has at most w - 1 bigrams, and at least one for w > 0.
+    empty texts match nothing. With few templates, texts that have none of the probes of any are dropped before their
+    bigrams are made; no match is lost by that.
     """
     keys = [c for c in units.columns if c != "text"]
     t = licences.select("licence", bigrams(normalised(F.col("text"))).alias("t_grams")).where(F.size("t_grams") > 0)
     n = F.size("t_grams")
     by_size = t.select("licence", "t_grams", F.explode(F.sequence(F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int"))).alias("n_grams"))
     u = units.select(*keys, normalised(F.col("text")).alias("norm")).where(F.col("norm") != "")
+    known = t.limit(FEW + 1).collect()
+    if len(known) <= FEW:
+        tried = sorted({p for row in known for p in probes(row["t_grams"], threshold)})
+        u = u.where(reduce(Column.__or__, (F.contains("norm", F.lit(p)) for p in tried), F.lit(False)))
+        by_size = F.broadcast(by_size)
     u = u.select(*keys, bigrams(F.col("norm")).alias("grams")).withColumn("n_grams", F.size("grams"))
     score = 2 * F.size(F.array_intersect("grams", "t_grams")) / (F.size("grams") + F.size("t_grams"))
     return u.join(by_size, "n_grams").withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "licence", "score")
