@@ -8,7 +8,6 @@ each template is listed once for each such size, and texts meet templates in a h
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,12 +67,15 @@ def match_templates(units: DataFrame, licences: DataFrame, *, threshold: float =
     t = licences.select("licence", bigrams(normalised(F.col("text"))).alias("t_grams")).where(F.size("t_grams") > 0)
     n = F.size("t_grams")
     by_size = t.select("licence", "t_grams", F.explode(F.sequence(F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int"))).alias("n_grams"))
-    u = units.select(*keys, normalised(F.col("text")).alias("norm")).where(F.col("norm") != "")
+    u = units.select(*keys, normalised(F.col("text")).alias("norm"))
     known = t.limit(FEW + 1).collect()
     if len(known) <= FEW:
         tried = sorted({p for row in known for p in probes(row["t_grams"], threshold)})
-        u = u.where(reduce(Column.__or__, (F.contains("norm", F.lit(p)) for p in tried), F.lit(False)))
+        # One pattern, so that a text is normalised once. Normalised words have no characters that a pattern reads otherwise.
+        u = u.where(F.col("norm").rlike("|".join(tried)) if tried else F.lit(False))
         by_size = F.broadcast(by_size)
+    else:
+        u = u.where(F.col("norm") != "")
     u = u.select(*keys, bigrams(F.col("norm")).alias("grams")).withColumn("n_grams", F.size("grams"))
     score = 2 * F.size(F.array_intersect("grams", "t_grams")) / (F.size("grams") + F.size("t_grams"))
     return u.join(by_size, "n_grams").withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "licence", "score")
