@@ -8,6 +8,7 @@ stand. A chunk is named by its SHA-256. Three tables come of it: manifests (payl
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from helixframe.llm.storage import documents
 
 ROW = 64
 #: Chunk sizes: least, 2 ** AVERAGE_BITS beyond that on average, most.
-LEAST, AVERAGE_BITS, MOST = 1024, 12, 65536
+LEAST, AVERAGE_BITS, MOST = 4096, 13, 131072
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -82,7 +83,7 @@ def manifests(payloads: DataFrame) -> DataFrame:
 
 
 def chunk_store(payloads: DataFrame) -> DataFrame:
-    """Each distinct chunk of the payloads' media once: (digest, data), data deflated. Copies within a task meet before the shuffle."""
+    """Each distinct chunk of the payloads' media once: (digest, data), data compressed. Copies within a task meet before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +91,7 @@ def chunk_store(payloads: DataFrame) -> DataFrame:
             for payload in (x.as_py() for x in batch.column(0)):
                 for c in _chunks(payload)[1]:
                     if (d := hashlib.sha256(c).digest()) not in fresh:
-                        fresh[d] = zlib.compress(c, 6)
+                        fresh[d] = bz2.compress(c, 1)
             yield pa.record_batch([pa.array(fresh.keys(), pa.binary()), pa.array(fresh.values(), pa.binary())], ["digest", "data"])
 
     return payloads.select("payload").mapInArrow(run, "digest binary, data binary").dropDuplicates(["digest"])
@@ -105,7 +106,7 @@ def rebuild(wanted: DataFrame, store: DataFrame) -> DataFrame:
         for batch in batches:
             keys, media = batch.column("payload_key"), []
             for sha, parts in zip(batch.column("sha").to_pylist(), batch.column("parts"), strict=True):
-                media.append(b"".join(zlib.decompress(p["data"]) for p in parts.as_py()))
+                media.append(b"".join(bz2.decompress(p["data"]) for p in parts.as_py()))
                 if hashlib.sha256(media[-1]).digest() != sha:
                     raise ValueError("rebuilt media differ from their manifest")
             yield pa.record_batch([keys, pa.array(media, pa.binary())], ["payload_key", "media"])
@@ -127,13 +128,13 @@ def media_features(media: DataFrame) -> DataFrame:
                 spread = float(np.sqrt(max(0.0, p @ (level - mean) ** 2)))
                 p = p[p > 0]
                 feature = f"rows={len(data) // ROW};mean={mean:.6f};std={spread:.6f};entropy={float(-(p * np.log2(p)).sum()) + 0.0:.6f}"
-                out.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-ROW:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                out.append((len(data), hashlib.sha256(data).digest(), zlib.crc32(data[-ROW:]), len(m), hashlib.sha256(m).digest(), feature))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.record_batch([batch.column("payload_key"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["payload_key", *names])
 
-    return media.select("payload_key", "media").mapInArrow(run, "payload_key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("payload_key", "media").mapInArrow(run, "payload_key binary, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string")
 
 
 def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +146,8 @@ def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), payload.alias("payload"))
     features = media_features(rebuild(manifests(rows), chunk_store(rows)))
-    return rows.select("id", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_key")).join(features, "payload_key").drop("payload_key")
+    described = rows.select("id", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_key")).join(features, "payload_key")
+    return described.drop("payload_key").withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
