@@ -1,18 +1,18 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-Documents with one and the same shingle set are one class. Classes are compared in two rounds:
+Documents with one and the same shingle set are one class. Classes are compared in two steps:
 
 1. Similar classes are partitioned into groups. A class's shingles are dealt by hash into as many parts as two linked
    sets can differ in, and a few more; two linked sets have one equal part at least (they differ in fewer shingles than
    there are parts), so the hash of a part brings together all that can link, and little else: a passage or line that
-   many documents share makes no two parts equal. Each class is compared with one other of those that it meets most
-   often; links found make the groups.
-2. The token-group matrix holds each group's union of shingles (large groups in several rows). A class that meets a
-   member of another group is a query: its overlap with the group's union bounds its overlap with every member, and only
-   groups within the bound are opened and compared member by member.
-
-Both rounds compare whole sets, so links are exact. What grows with the square of anything is only the second round's
-pairs of classes and groups that have an equal part and are not joined by round one.
+   many documents share makes no two parts equal. Classes that share a part, directly or through others, are a group, so
+   that links never leave a group. A large group has several rows of at most ROW classes on average.
+2. The token-group matrix holds each row's union of shingles and which class has which. Every class of a group is a query
+   to its own row and to those before it: its overlap with the row's union bounds its overlap with every member, and only
+   rows within the bound are opened and compared with all members at once, as products with the matrix.
+
+Whole sets are compared, so links are exact. A task holds one row and a block of queries; what leaves it is a forest of
+the links found, not the links.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,11 +30,12 @@ from pyspark.sql import functions as F
 from helixframe.llm.components import components
 from helixframe.llm.shingles import mix, shingle_sets
 from helixframe.llm.storage import documents, materialize
+from helixframe.llm.vectors import whole_groups
 
 #: Parts beyond those that the pigeonhole principle asks for: so many parts may be empty in a set before empty parts are listed too.
 SPARE = 2
-#: Classes in one row of the token-group matrix.
-ROW = 64
+#: Classes in one row of the token-group matrix, and queries put to it at once, on average.
+ROW, BLOCK = 64, 256
 
 
 @lru_cache(8)
@@ -116,14 +118,64 @@ def token_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "class long, tokens array<long>")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those with den * intersection >= num * union. The sizes decide before the sets are fetched."""
-    sizes = sets.select("class", F.size("tokens").alias("n"))
-    side = lambda c, table: table.select(*(F.col(x).alias(c if x == "class" else f"{x}_{c}") for x in table.columns))
-    near = pairs.join(side("a", sizes), "a").join(side("b", sizes), "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-    both = near.select("a", "b").join(side("a", sets), "a").join(side("b", sets), "b")
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.where(den * common >= num * (F.size("tokens_a") + F.size("tokens_b") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def open_rows(queries: list[np.ndarray], members: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """(query, member) with den * intersection >= num * union: the row of the token-group matrix with these members.
+
+    A query whose overlap with the union of all members is below what any of them asks for does not open the row.
+    """
+    union, at = np.unique(np.concatenate(members), return_inverse=True)
+    sizes = np.array([len(m) for m in members])
+    matrix = np.zeros((len(union), len(members)), np.float32)
+    matrix[at, np.repeat(np.arange(len(members)), sizes)] = 1
+    found = []
+    for q, tokens in enumerate(queries):
+        fits = (sizes * den >= len(tokens) * num) & (sizes * num <= len(tokens) * den)
+        if not fits.any():
+            continue
+        place = np.searchsorted(union, tokens)
+        place = place[union[np.minimum(place, len(union) - 1)] == tokens]
+        if len(place) * den < num * max(len(tokens), sizes[fits].min()):
+            continue
+        common = matrix[place].sum(0).astype(np.int64)
+        found += [(q, int(m)) for m in np.flatnonzero(fits & (den * common >= num * (len(tokens) + sizes - common)))]
+    return found
+
+
+def forest(links: list[tuple[int, int]]) -> dict[int, int]:
+    """For each linked number the least one that it is connected with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in root}
+
+
+def row_links(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) links of a forest from placed (class, tokens, group, row, block, role): role 1 for a query, 2 for a member, 3 for both."""
+    keys = ["group", "row", "block"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in whole_groups(frames, keys, 500):
+            out = []
+            starts = np.flatnonzero((f[keys].diff() != 0).any(axis=1).to_numpy())
+            names, role, tokens = f["class"].to_numpy(), f["role"].to_numpy(), [t.view(np.uint64) for t in f["tokens"]]
+            for a, b in zip(starts, [*starts[1:], len(f)], strict=True):
+                asks, held = a + np.flatnonzero(role[a:b] & 1), a + np.flatnonzero(role[a:b] & 2)
+                if len(asks) and len(held):
+                    found = open_rows([tokens[i] for i in asks], [tokens[i] for i in held], num, den)
+                    tree = forest([(int(names[asks[q]]), int(names[held[m]])) for q, m in found if asks[q] != held[m]])
+                    out += [(u, v) for u, v in tree.items() if u != v]
+            if out:
+                yield pd.DataFrame(out, columns=["u", "v"])
+
+    dealt = placed.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select("class", "tokens", *keys, "role").mapInPandas(run, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -138,35 +190,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     by_row = materialize(classes(rows, words), "classes")
     firsts = materialize(by_row.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first")), "class-ids")
     together = Window.partitionBy("part")
-    met = parts(rows, words, num, den).select("part", "class", F.min("class").over(together).alias("pivot"), F.max("class").over(together).alias("top"))
-    met = materialize(met.where("pivot < top").select("part", "class", "pivot"), "met")
-    wanted = met.select("class").distinct().join(firsts, "class").where(F.col("first").isNotNull()).select(F.col("first").alias("of"))
-    unnamed = met.select("class").distinct().join(firsts.where(F.col("first").isNull()), "class").limit(1)
-    reps = rows.join(wanted, F.col("id") == F.col("of"), "left_semi")
-    if not unnamed.isEmpty():  # classes of which no row has an id
+    met = parts(rows, words, num, den).select("class", F.min("class").over(together).alias("pivot"))
+    groups = components(met.where("pivot < class").select(F.col("class").alias("u"), F.col("pivot").alias("v"))).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
+    n_rows, n_blocks = F.ceil(F.col("n") / ROW).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
+    spot = lambda seed, n: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
+    groups = materialize(groups.join(sizes, "group").select("class", "group", spot(1, n_rows).alias("row"), spot(2, n_blocks).alias("block"), n_blocks.alias("n_blocks")), "groups")
+
+    named = groups.join(firsts, "class").select("class", F.col("first").alias("of"))
+    reps = rows.join(named.where("of IS NOT NULL"), F.col("id") == F.col("of"), "left_semi")
+    if not named.where("of IS NULL").isEmpty():  # classes of which no row has an id
         reps = reps.unionByName(rows.where(F.col("id").isNull()))
-    sets = materialize(token_sets(reps, words).join(met.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"]), "sets")
-
-    often = met.where("pivot < class").groupBy("class", "pivot").count().groupBy("class").agg(F.max_by("pivot", F.struct("count", "pivot")).alias("b"))
-    links = materialize(_linked(often.select(F.col("class").alias("a"), "b"), sets, num, den), "links-1")
-    groups = materialize(components(links), "groups")
-
-    grouped = met.select("part", "class").distinct().join(groups, F.col("class") == F.col("node"), "left").select("part", "class", F.coalesce("component", "class").alias("group"))
-    grouped = grouped.select("*", F.min("group").over(together).alias("lo"), F.max("group").over(together).alias("hi")).where("lo < hi").drop("lo", "hi")
-    crowd = grouped.select("group", "class").distinct().groupBy("group").agg(F.ceil(F.count("*") / ROW).alias("n_rows"))
-    grouped = materialize(grouped.join(crowd, "group").select("part", "class", "group", F.pmod(F.xxhash64("class"), F.col("n_rows")).alias("row")), "grouped")
-    members = grouped.select("group", "row", "class").distinct().join(sets, "class")
-    unions = members.select("group", "row", F.explode("tokens").alias("t")).groupBy("group", "row").agg(F.collect_set("t").alias("union"))
-    matrix = unions.join(members.groupBy("group", "row").agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most")), ["group", "row"])
-    asked = grouped.select("part", F.col("class").alias("q"), F.col("group").alias("own")).join(grouped.select("part", "group", "row").distinct(), "part").where("own > group").select("q", "group", "row").distinct()
-    bound = asked.join(sets.select(F.col("class").alias("q"), F.col("tokens").alias("q_tokens")), "q").join(matrix, ["group", "row"])
-    size = F.size("q_tokens")
-    bound = bound.where((F.col("most") * den >= size * num) & (F.col("least") * num <= size * den))
-    opened = bound.where(F.size(F.array_intersect("q_tokens", "union")) * den >= num * F.greatest(size, F.col("least"))).select("q", "group", "row")
-    inside = opened.join(members.select("group", "row", F.col("class").alias("b")), ["group", "row"]).select(F.col("q").alias("a"), "b")
-    more = _linked(inside, sets, num, den)
-
-    joined = components(links.unionByName(more))
+    sets = token_sets(reps, words).join(groups, "class").dropDuplicates(["class"])
+    here = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.col("row").alias("row"), b.alias("block"), F.when(b == F.col("block"), 3).otherwise(2).alias("role")))
+    before = F.when(F.col("row") > 0, F.transform(F.sequence(F.lit(0), F.col("row") - 1), lambda r: F.struct(r.alias("row"), F.col("block").alias("block"), F.lit(1).alias("role"))))
+    spots = F.explode(F.concat(here, F.coalesce(before, F.slice(here, 1, 0)))).alias("at")
+    placed = sets.select("class", "tokens", "group", spots).select("class", "tokens", "group", "at.row", "at.block", "at.role")
+    links = materialize(row_links(placed, num, den), "links")
+
+    joined = components(links)
     named = firsts.join(joined, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("smallest"))
     final = named.join(least, "component").select(F.col("class").alias("of"), "smallest")
