@@ -10,6 +10,7 @@ first, by a bitmap of fixed size; when it fills up more suffixes than needed are
 
 from __future__ import annotations
 
+import bz2
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -25,9 +26,9 @@ from helixframe.llm.shingles import as_bytes, mix, slices
 from helixframe.llm.storage import documents, materialize
 from helixframe.llm.vectors import whole_groups
 
-LENGTH, KEY = 50, 16
-#: The bitmap of shared hashes: 2 ** BITS bits, in SLICES parts. 32 MB whatever the corpus.
-BITS, SLICES = 28, 64
+LENGTH, KEY = 50, 24
+#: The bitmap of shared hashes: 2 ** BITS bits, in SLICES parts. 64 MB whatever the corpus.
+BITS, SLICES = 29, 64
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,14 +63,13 @@ def covers(data: np.ndarray, offsets: np.ndarray, length: int, key: int) -> tupl
     if starts <= 0:
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
     wide = length - key + 1
-    # The least of each window of hashes, the leftmost of equal ones: by doubling, as places.
-    best, n = np.arange(len(h)), 1
+    # The least of each window of hashes by doubling; the lower half of a number is its place, so of equal ones the first.
+    least, n = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
     while n < wide:
         step = min(n, wide - n)
-        a, b = best[: len(best) - step], best[step:]
-        best = np.where(h[b] < h[a], b, a)
+        least = np.minimum(least[: len(least) - step], least[step:])
         n += step
-    best = best[:starts]
+    best = (least[:starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     row = np.searchsorted(offsets, np.arange(starts), "right") - 1
     fits = np.arange(starts) + length <= offsets[row + 1]
     change = np.ones(starts, bool)
@@ -89,20 +89,23 @@ def _parts(batch: pa.RecordBatch, length: int, key: int) -> Iterator[tuple]:
 
 
 def shared_hashes(rows: DataFrame, length: int, key: int) -> DataFrame:
-    """(hash) of cover positions that two ids have. A task lists each of its (hash, id) of a batch once, with the smallest and largest id."""
+    """(hash) of cover positions that two ids have. Of a part of a batch the smallest and the largest id of each hash are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, _, _, _, (h, row, _, _) in _parts(batch, length, key):
                 order = np.lexsort((ids[row], h))
                 h, of = h[order], ids[row][order]
-                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1])))
-                last = np.append(first[1:], len(h)) - 1
-                for a in range(0, len(first), 100_000):
-                    f, e = first[a : a + 100_000], last[a : a + 100_000]
-                    yield pa.record_batch([pa.array(h[f].view(np.int64)), pa.array(of[f]), pa.array(of[e])], ["hash", "lo", "hi"])
+                new = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+                last = np.append(new[1:], np.ones(min(1, len(h)), bool))
+                ends = np.flatnonzero(new | (last & ~new))
+                for a in range(0, len(ends), 100_000):
+                    e = ends[a : a + 100_000]
+                    yield pa.record_batch([pa.array(h[e].view(np.int64)), pa.array(of[e])], ["hash", "of"])
 
-    return rows.select("id", "h", "text").mapInArrow(run, "hash long, lo long, hi long").groupBy("hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("hash")
+    # Nearly all hashes are listed once, so they are dealt out before they are summed.
+    listed = rows.select("id", "h", "text").mapInArrow(run, "hash long, of long").repartition("hash")
+    return listed.groupBy("hash").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("hash")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -207,13 +210,13 @@ def sorted_buckets(dealt: DataFrame, length: int) -> DataFrame:
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
-    """texts: (id, packed, spans): deflated bytes without their spans, (id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
+    """texts: (id, packed, spans): compressed bytes without their spans, (id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for packed, spans in zip(batch.column("packed"), batch.column("spans"), strict=True):
-                text = zlib.decompress(packed.as_py())
+                text = bz2.decompress(packed.as_py())
                 merged: list[list[int]] = []
                 for s in sorted((x["start"], x["end"]) for x in spans.as_py() or ()):
                     if merged and s[0] <= merged[-1][1]:
@@ -248,7 +251,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             for a in range(0, len(batch), 1000):
                 part = batch.slice(a, 1000)
-                yield pa.record_batch([part.column("id"), part.column("h"), pa.array([zlib.compress(x.as_py().encode(), 4) for x in part.column("text")], pa.binary())], ["id", "h", "packed"])
+                yield pa.record_batch([part.column("id"), part.column("h"), pa.array([bz2.compress(x.as_py().encode(), 1) for x in part.column("text")], pa.binary())], ["id", "h", "packed"])
 
     packed = rows.select("id", "h", "text").mapInArrow(pack, "id long, h long, packed binary")
     return cut_out(packed.join(spans, ["id", "h"], "left"))
