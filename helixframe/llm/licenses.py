@@ -84,7 +84,7 @@ def match_templates(units: DataFrame, licences: DataFrame, *, threshold: float =
 def license_scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Licence notices in the lines of each text, and texts that are a licence as a whole.
 
-    Returns (id, n_lines, licences, best): the lines that match some template, the licences found (sorted, comma-joined)
+    Returns (id, n_lines, licences, best): the lines that match some template (and one more if the whole text does), the licences found (sorted, comma-joined)
     and the highest score (null without a match). One row per distinct id; null texts, empty texts and empty template
     tables give no match. Ties between templates are all reported.
     """
