@@ -14,6 +14,11 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 SHORT, MEDIUM = 4096, 131072
 
 
+def valid_sequences(sequences: DataFrame) -> DataFrame:
+    """Rows with a sequence and positions; join their scores back to the samples by a left join, so that no sample is lost."""
+    return sequences.where((F.length("seq") > 0) & (F.size("positions") > 0))
+
+
 def length_stats(sequences: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Longest, floored mean length and number of non-empty sequences, with the class of the longest."""
     n = F.length("seq")

@@ -103,6 +103,11 @@ def run_summary(effects: DataFrame, sites: DataFrame, scores: DataFrame, pairs:
     return out.withColumn("status", status).fillna(0, ["n_significant", "n_clusters"]).select(*KEYS, "status", "n_significant", "n_clusters", "top_score")
 
 
+def sites_without_cluster(clustered: DataFrame) -> DataFrame:
+    """Significant sites that are noise."""
+    return clustered.where("cluster = -1")
+
+
 def haplotype_traces(traces: DataFrame, clustered: DataFrame) -> DataFrame:
     """Both haplotypes side by side at each position of either: (gene, groupA, groupB, position, log2FC, highlighted and cluster of each)."""
     t = traces.join(clustered.select(*KEYS, "position", "cluster"), [*KEYS, "position"], "left").fillna(-1, ["cluster"])

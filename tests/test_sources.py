@@ -57,3 +57,23 @@ def test_labelled_haplotypes_and_tables(spark, tmp_path):
     for name, body in (("x.csv", "a,b\n1,2\n"), ("x.tsv", "a\tb\n1\t2\n"), ("x.json", '[{"a": 1, "b": 2}]'), ("x.jsonl", '{"a": 1, "b": 2}\n')):
         (tmp_path / name).write_text(body)
         assert [(r["a"], r["b"]) for r in readers.load_table(spark, str(tmp_path / name)).collect()] == [(1, 2)]
+
+
+def test_region_files(spark, tmp_path):
+    from helixframe.operators.regions import region_records
+
+    lines = spark.createDataFrame(list(enumerate(VCF.strip().split("\n"))), "line_no long, value string")
+    regions = spark.createDataFrame([("chr1:10-11:+", "chr1", 10, 11, "+", "A"), ("chr1:0-50:-", "chr1", 0, 50, "-", "B"), ("chr2:1-2:-", "chr2", 1, 2, "-", "C")], "region string, chrom string, start long, end long, strand string, gene string")
+    writers.write_region_vcfs(region_records(lines, regions), str(tmp_path / "v"))
+    sizes = {f.split("region_name=")[1].split("/")[0]: open(f).read() for f in glob.glob(f"{tmp_path}/v/*/part*")}
+    assert {k: v.count("\n") for k, v in sizes.items()} == {"chr1_10_11_forward_A": 2, "chr1_0_50_reverse_B": 3, "chr2_1_2_reverse_C": 1}
+    assert all(v.startswith("#CHROM") for v in sizes.values())
+
+
+def test_result_tables(spark, tmp_path):
+    diff = spark.createDataFrame([("g", "hap1", 1, 2, 5, 0.001)], "gene string, hap string, groupA int, groupB int, position long, padj double")
+    deletion = diff.selectExpr("*", "1.0D AS OR_deleted")
+    writers.write_base_results(diff, diff, deletion, str(tmp_path / "b"))
+    assert spark.read.csv(f"{tmp_path}/b/deletion", header=True).count() == 1
+    writers.write_cluster_results(*[diff] * 6, str(tmp_path / "c"))
+    assert "analysis_timestamp" in spark.read.csv(f"{tmp_path}/c/truth_metrics", header=True).columns
