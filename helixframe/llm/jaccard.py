@@ -38,7 +38,7 @@ SPARE = 2
 ROW, BLOCK = 64, 256
 
 
-@lru_cache(8)
+@lru_cache(64)
 def bands(num: int, den: int, upto: int) -> tuple[list[int], list[int]]:
     """Starts of the size bands, such that sets that link are in one band or neighbouring ones; and the parts for pairs of a band and the next (0: only equal sets link)."""
     starts, parts = [1], []
