@@ -4,8 +4,15 @@ The suffixes of all texts are sorted bucket by bucket, as far as the length asks
 one long text, positions such that any two equal strings have one at the same offset, is needed across documents that
 are not aligned, so the cover here is chosen by content: of the KEY-byte strings within a window of the given length, the
 one with the least hash. Any two equal windows have the same cover position, so all equal windows meet in the bucket of
-its hash, and a bucket is small enough to sort in a task. Buckets of hashes that only one document has are dropped
-first, by a bitmap of fixed size; when it fills up more suffixes than needed are sorted, and results stay the same.
+its hash, and a bucket is small enough to sort in a task.
+
+1. Buckets of hashes that only one document has are dropped by a bitmap of fixed size.
+2. Cover positions are dealt to their buckets with a hash of their context (all windows that have this position). Where a
+   smaller id has the same context, all its windows are covered. That settles nearly everything within long repeats.
+3. Where a bucket holds several contexts, at the ends of repeats, contexts are fetched as text, each with its smallest
+   id only, and their windows sorted. Which ones to fetch is told by a second bitmap of fixed size.
+
+When the bitmaps fill up more positions than needed are sorted, and results stay the same.
 """
 
 from __future__ import annotations
@@ -22,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import as_bytes, mix, slices
+from helixframe.llm.shingles import as_bytes, mix, powers, slices
 from helixframe.llm.storage import documents, materialize
 from helixframe.llm.vectors import whole_groups
 
 LENGTH, KEY = 50, 24
-#: The bitmap of shared hashes: 2 ** BITS bits, in SLICES parts. 64 MB whatever the corpus.
+#: A bitmap of hashes: 2 ** BITS bits, in SLICES parts. 64 MB whatever the corpus.
 BITS, SLICES = 29, 64
 _R = np.uint64(0x9E3779B97F4A7C15)
 
@@ -88,123 +95,223 @@ def _parts(batch: pa.RecordBatch, length: int, key: int) -> Iterator[tuple]:
         yield part.column("id").to_numpy(zero_copy_only=False), part.column("h"), data, offsets, covers(data, offsets, length, key)
 
 
-def shared_hashes(rows: DataFrame, length: int, key: int) -> DataFrame:
-    """(hash) of cover positions that two ids have. Of a part of a batch the smallest and the largest id of each hash are listed."""
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, _, _, _, (h, row, _, _) in _parts(batch, length, key):
-                order = np.lexsort((ids[row], h))
-                h, of = h[order], ids[row][order]
-                new = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
-                last = np.append(new[1:], np.ones(min(1, len(h)), bool))
-                ends = np.flatnonzero(new | (last & ~new))
-                for a in range(0, len(ends), 100_000):
-                    e = ends[a : a + 100_000]
-                    yield pa.record_batch([pa.array(h[e].view(np.int64)), pa.array(of[e])], ["hash", "of"])
-
-    # Nearly all hashes are listed once, so they are dealt out before they are summed.
-    listed = rows.select("id", "h", "text").mapInArrow(run, "hash long, of long").repartition("hash")
-    return listed.groupBy("hash").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("hash")
-
-
-def bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bit for the upper BITS of each hash. Built in SLICES parts on the executors; the driver gets 2 ** BITS bits."""
-    place = F.shiftrightunsigned("hash", 64 - BITS)
+
+def _bits(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+
+
+def place_rows(places: np.ndarray, twice: bool) -> Iterator[tuple[int, bool, bytes]]:
+    """Sorted distinct places as one row for each slice of the bitmap: (slice, twice, gaps between them, compressed)."""
+    width = (1 << BITS) // SLICES
+    at = np.searchsorted(places, np.arange(SLICES + 1) * width)
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        yield k, twice, zlib.compress(np.diff(places[at[k] : at[k + 1]] - k * width, prepend=0).astype(np.uint32).tobytes(), 1)
+
+
+def merge_bitmap(listed: DataFrame, once_is_enough: bool) -> np.ndarray:
+    """The bitmap of places in two rows, or in one that says twice (or in any row at all), from place_rows() in a table (slice, twice, places).
+
+    A slice is put together by a task, a row at a time; the driver gets the 2 ** BITS bits.
+    """
     width = (1 << BITS) // SLICES
 
     def fill(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(width, bool)
+        once, twice = np.zeros(width, bool), np.zeros(width, bool)
         for f in frames:
-            bits[f["place"].to_numpy() % width] = True
-        yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
+            for both, gaps in zip(f["twice"], f["places"], strict=True):
+                at = np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint32), dtype=np.int64)
+                if both or once_is_enough:
+                    twice[at] = True
+                else:
+                    twice[at[once[at]]] = True
+                    once[at] = True
+        yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(twice).tobytes(), 1)]})
 
-    placed = hashes.select((place / width).cast("int").alias("slice"), place.alias("place"))
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    for s, bits in placed.groupBy("slice").applyInPandas(fill, "slice int, bits binary").toLocalIterator():
-        out[s * width // 8 : (s + 1) * width // 8] = np.frombuffer(zlib.decompress(bits), np.uint8)
+    for k, bits in listed.groupBy("slice").applyInPandas(fill, "slice int, bits binary").collect():
+        out[k * width // 8 : (k + 1) * width // 8] = np.frombuffer(zlib.decompress(bits), np.uint8)
     return out
 
 
-def _covered(first: np.ndarray, hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of hits in the rows of a matrix: (row, start, end) in bytes, for windows that start at first + column."""
-    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, a = np.nonzero(edge == 1)
-    _, b = np.nonzero(edge == -1)
-    return row, first[row] + a, first[row] + b - 1 + length
+_PLACES = "slice int, twice boolean, places binary"
+
+
+def _place_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+    return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())], ["slice", "twice", "places"])
+
+
+def shared_places(rows: DataFrame, length: int, key: int) -> DataFrame:
+    """place_rows() of the cover positions of each batch; twice says that two ids of the batch have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(_place(h), ids[row]) for ids, _, _, _, (h, row, _, _) in _parts(batch, length, key)]
+            place, of = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            order = np.argsort(place, kind="stable")
+            place, of = place[order], of[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(place)), bool), place[1:] != place[:-1])))
+            if len(first):
+                several = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
+                yield _place_batch([*place_rows(place[first[~several]], False), *place_rows(place[first[several]], True)])
+
+    return rows.select("id", "h", "text").mapInArrow(run, _PLACES)
+
+
+def _contexts(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the bytes from first to last + length."""
+    up, down = powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_values()[data] * up[: len(data)], dtype=np.uint64)))
+    return mix((sums[last + length] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def _asked(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return mix(context ^ mix(ids.astype(np.uint64)))
 
 
 def bucket_rows(rows: DataFrame, shared, length: int, key: int) -> DataFrame:
-    """Suffix positions of the buckets that shared (a broadcast bitmap) lets through: (hash, id, h, first, context).
+    """Cover positions of the buckets that shared (a broadcast bitmap) lets through: (hash, context, id, h, first, windows, known).
 
-    context: the bytes of all windows of the position. Of equal contexts of a batch only those of the smallest id go to
-    the bucket; of the others all windows are known to be covered, and they pass as (null, id, h, start, null) with end.
+    Of equal contexts of a part of a batch only those of the smallest id go to the bucket; all windows of the others are
+    known to be covered, and they pass as spans under the hash of their text, joined with their neighbours.
     """
-    schema = "hash long, id long, h long, first int, context binary, end int, deal long"
+    names = ["hash", "context", "id", "h", "first", "windows", "known"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts, data, offsets, (h, row, first, last) in _parts(batch, length, key):
-                place = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                open_ = (shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+                open_ = _bits(shared.value, _place(h))
                 h, row, first, last = h[open_], row[open_], first[open_], last[open_]
                 if not len(h):
                     continue
-                raw = data.tobytes()
-                context = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                of, begin = ids[row], first - offsets[row]
-                code = pd.factorize(np.array(context, object))[0]
+                context, of, begin = _contexts(data, first, last, length), ids[row], first - offsets[row]
+                code = pd.factorize(context)[0]
                 smallest = np.full(code.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(smallest, code, of)
-                known = smallest[code] < of
-                end = begin + (last - first) + length
-                text_hash = texts.to_numpy()[row]
+                known, end, text_hash = smallest[code] < of, begin + (last - first), texts.to_numpy()[row]
                 # Known neighbours are joined into one span.
                 k = np.flatnonzero(known)
-                joins = np.concatenate((np.zeros(min(1, len(k)), bool), (row[k[1:]] == row[k[:-1]]) & (begin[k[1:]] <= end[k[:-1]])))
+                joins = np.concatenate((np.zeros(min(1, len(k)), bool), (row[k[1:]] == row[k[:-1]]) & (begin[k[1:]] <= end[k[:-1]] + length)))
                 k0 = k[~joins]
                 k1 = k[np.append(np.flatnonzero(~joins)[1:], len(k)) - 1] if len(k) else k
                 u = np.flatnonzero(~known)
-                for s in range(0, len(u), 20_000):
-                    x = u[s : s + 20_000]
-                    yield pa.record_batch(
-                        [pa.array(h[x].view(np.int64)), pa.array(of[x]), pa.array(text_hash[x]), pa.array(begin[x].astype(np.int32)), pa.array([context[i] for i in x], pa.binary()), pa.nulls(len(x), pa.int32()), pa.array(h[x].view(np.int64))],
-                        ["hash", "id", "h", "first", "context", "end", "deal"],
-                    )
+                bucket = h[u].view(np.int64)
+                yield pa.record_batch([pa.array(bucket), pa.array(context[u].view(np.int64)), pa.array(of[u]), pa.array(text_hash[u]), pa.array(begin[u].astype(np.int32)), pa.array((end - begin)[u].astype(np.int32)), pa.array(np.zeros(len(u), bool))], names)
                 if len(k0):
-                    yield pa.record_batch(
-                        [pa.nulls(len(k0), pa.int64()), pa.array(of[k0]), pa.array(text_hash[k0]), pa.array(begin[k0].astype(np.int32)), pa.nulls(len(k0), pa.binary()), pa.array(end[k1].astype(np.int32)), pa.array(text_hash[k0])],
-                        ["hash", "id", "h", "first", "context", "end", "deal"],
-                    )
+                    yield pa.record_batch([pa.array(text_hash[k0]), pa.array(text_hash[k0]), pa.array(of[k0]), pa.array(text_hash[k0]), pa.array(begin[k0].astype(np.int32)), pa.array((end[k1] - begin[k0]).astype(np.int32)), pa.array(np.ones(len(k0), bool))], names)
+
+    return rows.select("id", "h", "text").mapInArrow(run, "hash long, context long, id long, h long, first int, windows int, known boolean")
 
-    return rows.select("id", "h", "text").mapInArrow(run, schema)
+
+def same_contexts(dealt: DataFrame, length: int) -> DataFrame:
+    """(id, h, start, end, asked) from whole buckets, sorted by hash, context and id: spans of positions whose context a smaller id has, and, with a null span, what to ask for: contexts with their smallest id in buckets of several contexts."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in whole_groups(frames, ["hash"], 50_000):
+            ready = f["known"].to_numpy(bool)
+            ids, h, start, more = (f[c].to_numpy() for c in ("id", "h", "first", "windows"))
+            bucket, context = (f[c].to_numpy(np.int64) for c in ("hash", "context"))
+            new_bucket = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+            new = new_bucket | np.concatenate(([True], context[1:] != context[:-1]))
+            smallest = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            covered = ready | (smallest < ids)
+            several = (np.add.reduceat(new, np.flatnonzero(new_bucket)) > 1)[np.cumsum(new_bucket) - 1]
+            ask = ~covered & several
+            show = covered | ask
+            key = _asked(context.view(np.uint64), ids).view(np.int64)
+            yield pd.DataFrame({"id": ids[show], "h": h[show], "start": start[show], "end": np.where(covered, start + more + length, -1)[show].astype(np.int32), "asked": np.where(ask, key, 0)[show]})
+
+    return dealt.mapInPandas(run, "id long, h long, start int, end int, asked long")
+
+
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(id, h, spans, places) of (id, h, rows of start, end, asked): overlapping spans joined, and the places asked for as place_rows() are made from."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, asked = [], []
+            for x in batch.column("x"):
+                start, end, key = (x.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "asked"))
+                span = end >= 0
+                asked.append(np.unique(_place(key[~span].view(np.uint64))))
+                out.append([{"start": a, "end": b} for a, b in union(start[span], end[span])])
+            yield pa.record_batch([batch.column("id"), batch.column("h"), pa.array(out, kind), pa.array(asked, pa.list_(pa.int64()))], ["id", "h", "spans", "places"])
+
+    grouped = spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end", "asked")).alias("x"))
+    return grouped.mapInArrow(run, "id long, h long, spans array<struct<start:int,end:int>>, places array<long>")
+
+
+def union(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Spans that overlap or touch joined, in order."""
+    if not len(start):
+        return []
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    first = np.concatenate(([True], start[1:] > reach[:-1]))
+    return list(zip(start[first].tolist(), reach[np.append(np.flatnonzero(first)[1:], len(start)) - 1].tolist(), strict=True))
+
+
+def asked_places(merged: DataFrame) -> DataFrame:
+    """place_rows() of what merged_spans() asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _place_batch(list(place_rows(np.unique(batch.column(0).flatten().to_numpy()), True)))
+
+    return merged.select("places").mapInArrow(run, _PLACES)
+
+
+def context_rows(rows: DataFrame, shared, asked, length: int, key: int) -> DataFrame:
+    """(hash, id, h, first, context bytes) of the contexts that asked (a broadcast bitmap) lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts, data, offsets, (h, row, first, last) in _parts(batch, length, key):
+                open_ = _bits(shared.value, _place(h))
+                h, row, first, last = h[open_], row[open_], first[open_], last[open_]
+                if len(h):
+                    wanted = _bits(asked.value, _place(_asked(_contexts(data, first, last, length), ids[row])))
+                    h, row, first, last = h[wanted], row[wanted], first[wanted], last[wanted]
+                raw = data.tobytes() if len(h) else b""
+                context = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(texts.to_numpy()[row]), pa.array((first - offsets[row]).astype(np.int32)), pa.array(context, pa.binary())], ["hash", "id", "h", "first", "context"])
+
+    return rows.select("id", "h", "text").mapInArrow(run, "hash long, id long, h long, first int, context binary")
+
+
+def _covered(first: np.ndarray, hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of hits in the rows of a matrix: (row, start, end) in bytes, for windows that start at first + column."""
+    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, a = np.nonzero(edge == 1)
+    _, b = np.nonzero(edge == -1)
+    return row, first[row] + a, first[row] + b - 1 + length
 
 
 def sorted_buckets(dealt: DataFrame, length: int) -> DataFrame:
-    """(id, h, start, end): spans covered by windows that a smaller id has. dealt: bucket_rows(), whole buckets to a partition, sorted by hash and id."""
+    """(id, h, start, end): spans covered by windows that a smaller id has. dealt: context_rows(), whole buckets to a partition, sorted by hash and id."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in whole_groups(frames, ["hash"], 20_000):
-            ready = f["hash"].isna().to_numpy()
-            yield pd.DataFrame({"id": f["id"][ready], "h": f["h"][ready], "start": f["first"][ready], "end": f["end"][ready].astype(np.int32)})
-            f = f[~ready]
-            if len(f):
-                sizes = np.fromiter(map(len, f["context"]), np.int64, len(f))
-                data = np.frombuffer(b"".join(f["context"]), np.uint8)
-                at = np.concatenate(([0], np.cumsum(sizes)))
-                windows = sizes - length + 1
-                of = np.repeat(np.arange(len(f)), windows)
-                column = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-                h = rolling(data, length)[at[of] + column]
-                ids = f["id"].to_numpy(np.int64)
-                order = np.lexsort((ids[of], h))
-                new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-                smallest = np.empty(len(of), np.int64)
-                smallest[order] = ids[of][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-                hit = np.zeros((len(f), int(windows.max())), bool)
-                hit[of, column] = smallest < ids[of]
-                row, start, end = _covered(f["first"].to_numpy(np.int64), hit, length)
-                yield pd.DataFrame({"id": ids[row], "h": f["h"].to_numpy()[row], "start": start.astype(np.int32), "end": end.astype(np.int32)})
+            sizes = np.fromiter(map(len, f["context"]), np.int64, len(f))
+            data = np.frombuffer(b"".join(f["context"]), np.uint8)
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            windows = sizes - length + 1
+            of = np.repeat(np.arange(len(f)), windows)
+            column = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+            h = rolling(data, length)[at[of] + column]
+            ids = f["id"].to_numpy(np.int64)
+            order = np.lexsort((ids[of], h))
+            new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+            smallest = np.empty(len(of), np.int64)
+            smallest[order] = ids[of][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+            hit = np.zeros((len(f), int(windows.max())), bool)
+            hit[of, column] = smallest < ids[of]
+            row, start, end = _covered(f["first"].to_numpy(np.int64), hit, length)
+            yield pd.DataFrame({"id": ids[row], "h": f["h"].to_numpy()[row], "start": start.astype(np.int32), "end": end.astype(np.int32)})
 
     return dealt.mapInPandas(run, "id long, h long, start int, end int")
 
@@ -217,12 +324,8 @@ def cut_out(texts: DataFrame) -> DataFrame:
             out = []
             for packed, spans in zip(batch.column("packed"), batch.column("spans"), strict=True):
                 text = bz2.decompress(packed.as_py())
-                merged: list[list[int]] = []
-                for s in sorted((x["start"], x["end"]) for x in spans.as_py() or ()):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
-                    else:
-                        merged.append(list(s))
+                found = spans.as_py() or ()
+                merged = union(np.array([x["start"] for x in found], np.int64), np.array([x["end"] for x in found], np.int64))
                 ends = [0, *(x for s in merged for x in s), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
                 out.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
@@ -242,10 +345,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     named = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(shared_hashes(named, length, key)))
-    buckets = bucket_rows(named, shared, length, key).repartition("deal").sortWithinPartitions("hash", "id")
-    spans = sorted_buckets(buckets.drop("deal"), length).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = materialize(spans, "spans")
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(merge_bitmap(shared_places(named, length, key), False))
+    dealt = bucket_rows(named, shared, length, key).repartition("hash").sortWithinPartitions("hash", "context", "id")
+    settled = materialize(merged_spans(same_contexts(dealt, length)), "settled-spans")
+    asked = context.broadcast(merge_bitmap(asked_places(settled), True))
+    fetched = context_rows(named, shared, asked, length, key).repartition("hash").sortWithinPartitions("hash", "id")
+    ends = sorted_buckets(fetched, length).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+    both = settled.select("id", "h", "spans").join(ends, ["id", "h"], "full_outer")
+    spans = both.select("id", "h", F.concat(F.coalesce("spans", nothing), F.coalesce("more", nothing)).alias("spans"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
