@@ -2,7 +2,7 @@
 
 A payload is stored as the samples of a binary grey-scale image (PGM, 64 samples a row, 8 bits each). The image is cut
 where a rolling gear hash of its last 32 bytes has its top bits zero, so equal passages give equal chunks wherever they
-stand. A chunk is named by its SHA-256. Three tables come of it: manifests (payload -> ordered digests), the chunk store
+stand. A chunk is named by the first 16 bytes of its SHA-256. Three tables come of it: manifests (payload -> ordered digests), the chunk store
 (digest -> compressed bytes, each once) and, read back, the media rebuilt from both and checked against the manifest.
 """
 
@@ -22,7 +22,7 @@ from helixframe.llm.storage import documents
 
 ROW = 64
 #: Chunk sizes: least, 2 ** AVERAGE_BITS beyond that on average, most.
-LEAST, AVERAGE_BITS, MOST = 4096, 13, 131072
+LEAST, AVERAGE_BITS, MOST = 8192, 14, 262144
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -61,6 +61,10 @@ def cut_points(data: np.ndarray, least: int = LEAST, bits: int = AVERAGE_BITS, m
     return ends if ends and ends[-1] == n else [*ends, n]
 
 
+def digest(chunk: bytes) -> bytes:
+    return hashlib.sha256(chunk).digest()[:16]
+
+
 def _chunks(payload: bytes) -> tuple[bytes, list[bytes]]:
     media = to_media(payload)
     ends = cut_points(np.frombuffer(media, np.uint8))
@@ -68,14 +72,14 @@ def _chunks(payload: bytes) -> tuple[bytes, list[bytes]]:
 
 
 def manifests(payloads: DataFrame) -> DataFrame:
-    """payloads: (payload binary). One row per distinct payload: (payload_key, media_sha256, media_bytes, digests), keys and digests binary SHA-256, in order."""
+    """payloads: (payload binary). One row per distinct payload: (payload_key, media_sha256, media_bytes, digests), keys are SHA-256 in binary, digests those of the chunks in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for payload in (x.as_py() for x in batch.column(0)):
                 media, chunks = _chunks(payload)
-                out.append((hashlib.sha256(payload).digest(), hashlib.sha256(media).digest(), len(media), [hashlib.sha256(c).digest() for c in chunks]))
+                out.append((hashlib.sha256(payload).digest(), hashlib.sha256(media).digest(), len(media), [digest(c) for c in chunks]))
             key, sha, size, digests = zip(*out, strict=True) if out else ((),) * 4
             yield pa.record_batch([pa.array(key, pa.binary()), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["payload_key", "media_sha256", "media_bytes", "digests"])
 
@@ -90,7 +94,7 @@ def chunk_store(payloads: DataFrame) -> DataFrame:
             fresh: dict[bytes, bytes] = {}
             for payload in (x.as_py() for x in batch.column(0)):
                 for c in _chunks(payload)[1]:
-                    if (d := hashlib.sha256(c).digest()) not in fresh:
+                    if (d := digest(c)) not in fresh:
                         fresh[d] = bz2.compress(c, 1)
             yield pa.record_batch([pa.array(fresh.keys(), pa.binary()), pa.array(fresh.values(), pa.binary())], ["digest", "data"])
 
