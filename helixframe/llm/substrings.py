@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bz2
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -99,8 +100,20 @@ def _place(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _bits(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+_unpacked: dict[str, np.ndarray] = {}
+
+
+def _bits(bitmap: tuple[str, dict[int, bytes]], place: np.ndarray) -> np.ndarray:
+    """Whether the places are set in a bitmap of merge_bitmap(); a worker unpacks each bitmap once and keeps two."""
+    name, slices_of = bitmap
+    if name not in _unpacked:
+        while len(_unpacked) > 1:
+            _unpacked.pop(next(iter(_unpacked)))
+        bits, width = np.zeros(1 << (BITS - 3), np.uint8), (1 << (BITS - 3)) // SLICES
+        for k, packed in slices_of.items():
+            bits[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(packed), np.uint8)
+        _unpacked[name] = bits
+    return (_unpacked[name][place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
 
 
 def place_rows(places: np.ndarray, twice: bool) -> Iterator[tuple[int, bool, bytes]]:
@@ -111,10 +124,10 @@ def place_rows(places: np.ndarray, twice: bool) -> Iterator[tuple[int, bool, byt
         yield k, twice, zlib.compress(np.diff(places[at[k] : at[k + 1]] - k * width, prepend=0).astype(np.uint32).tobytes(), 1)
 
 
-def merge_bitmap(listed: DataFrame, once_is_enough: bool) -> np.ndarray:
+def merge_bitmap(listed: DataFrame, once_is_enough: bool) -> tuple[str, dict[int, bytes]]:
     """The bitmap of places in two rows, or in one that says twice (or in any row at all), from place_rows() in a table (slice, twice, places).
 
-    A slice is put together by a task, a row at a time; the driver gets the 2 ** BITS bits.
+    A slice is put together by a task, a row at a time; the driver gets the slices compressed, 2 ** BITS bits at most.
     """
     width = (1 << BITS) // SLICES
 
@@ -130,10 +143,8 @@ def merge_bitmap(listed: DataFrame, once_is_enough: bool) -> np.ndarray:
                     once[at] = True
         yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(twice).tobytes(), 1)]})
 
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for k, bits in listed.groupBy("slice").applyInPandas(fill, "slice int, bits binary").collect():
-        out[k * width // 8 : (k + 1) * width // 8] = np.frombuffer(zlib.decompress(bits), np.uint8)
-    return out
+    found = listed.groupBy("slice").applyInPandas(fill, "slice int, bits binary").collect()
+    return uuid.uuid4().hex, {r["slice"]: bytes(r["bits"]) for r in found}
 
 
 _PLACES = "slice int, twice boolean, places binary"
