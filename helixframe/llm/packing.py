@@ -37,7 +37,7 @@ STRETCH = 1 << 20
 #: Bytes of text tokenized at once.
 PART = 8 << 20
 #: Words whose ids a worker remembers; beyond it, it starts anew.
-KNOWN_WORDS = 1_000_000
+KNOWN_WORDS = 400_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -68,6 +68,11 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.MARK) or i >= self.tokenizer.get_vocab_size(with_added_tokens=False)]] = True
         self._clear()
 
+    def forget(self) -> None:
+        """Give memory back, as a worker may go on to other work."""
+        self._clear()
+        pa.default_memory_pool().release_unused()
+
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
         self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
@@ -248,6 +253,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     if waiting.total >= stretch:
                         yield rows(waiting.pieces())
         yield rows(waiting.pieces())
+        words.forget()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
