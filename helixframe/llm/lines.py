@@ -1,9 +1,13 @@
 """Line dedup by pairwise alignment.
 
 Documents that share a line are found through line hashes: a document is paired with the first document that holds one
-of its lines, so a line that very many documents share costs one pair for each of them, and no line is left out. Of the
-pairs, each is aligned by patience diff (lines that occur once on either side, the rare ones, are matched in order and
-the matches extended), and aligned common blocks are deleted from the later document.
+of its lines, so a line that very many documents share costs one pair for each of them. Of the pairs, each is aligned by
+patience diff (lines that occur once on either side, the rare ones, are matched in order and the matches extended), and
+aligned common blocks are deleted from the later document.
+
+What these alignments leave (blocks of which another earlier document is the holder, repeats that a diff cannot anchor) is
+found through runs: consecutive lines that just reach the length of a block. Any block is a union of its runs, so the
+smallest document of each run settles exactly which lines stand in a block that some earlier document has.
 """
 
 from __future__ import annotations
@@ -12,10 +16,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.shingles import mix, powers
 from helixframe.llm.storage import documents, materialize
 
 #: A common block is deleted if it holds so many characters, line ends and outer spaces not counted.
@@ -88,8 +95,41 @@ def overlaps(table: DataFrame) -> DataFrame:
     return at.join(first.select(F.col("line").alias("of"), "earlier"), F.col("line") == F.col("of")).where("earlier < key").select(F.col("key").alias("later"), "earlier").distinct()
 
 
+def least_runs(lines: np.ndarray, chars: np.ndarray, offsets: np.ndarray, least: int = LEAST_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the shortest runs of least characters from each line on, and up to each line, in texts laid end to end; start and end count over all texts, end excluded."""
+    n, sums = len(lines), np.concatenate(([0], np.cumsum(chars, dtype=np.int64)))
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    start = np.arange(n)
+    until = np.searchsorted(sums, sums[:n] + max(least, 1), "left")
+    since = np.searchsorted(sums, sums[1:] - max(least, 1), "right") - 1
+    on, up = until <= offsets[row + 1], since >= offsets[row]
+    up &= until[since] != start + 1  # that run is listed from its start
+    start, end = np.concatenate((start[on], since[up])), np.concatenate((until[on], start[up] + 1))
+    raised, lowered = powers(n + 1)
+    joined = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(lines.view(np.uint64)) * raised[:n], dtype=np.uint64)))
+    return mix((joined[end] - joined[start]) * lowered[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
+
+
+def held_runs(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(id, h, start, end): runs of lines of each row of line_table(), end excluded, that an earlier row has."""
+    kind = table.schema["key"].dataType["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("lines")
+            offsets = np.concatenate(([0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
+            found, start, end = least_runs(listed.flatten().to_numpy(), batch.column("chars").flatten().to_numpy(), offsets, least)
+            row = np.searchsorted(offsets, start, "right") - 1
+            begin = offsets[row]
+            yield pa.record_batch([pa.array(found), batch.column("id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array((start - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["run", "id", "h", "start", "end"])
+
+    runs = table.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "lines", "chars").mapInArrow(run, f"run long, id {kind}, h long, start int, end int").withColumn("key", F.struct("id", "h"))
+    first = runs.groupBy("run").agg(F.min("key").alias("earlier"), F.max("key").alias("last")).where("earlier < last").select(F.col("run").alias("of"), "earlier")
+    return runs.join(first, F.col("run") == F.col("of")).where("earlier < key").select("id", "h", "start", "end")
+
+
 def aligned_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(key, deleted array<int>): lines of each row that are in blocks aligned with an earlier row, from 0, in order."""
+    """(id, h, gone array<int>): for each pair of overlaps(), the lines of the later row that are in aligned blocks."""
     pairs = overlaps(table).join(table.select(F.col("key").alias("later"), F.col("lines").alias("mine"), "chars"), "later").join(table.select(F.col("key").alias("earlier"), F.col("lines").alias("theirs")), "earlier")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -99,19 +139,42 @@ def aligned_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
     kind = table.schema["key"].dataType["id"].dataType.simpleString()
     gone = pairs.select(F.col("later.id").alias("id"), F.col("later.h").alias("h"), "mine", "theirs", "chars").mapInPandas(run, f"id {kind}, h long, gone array<int>")
-    # A document meets at most one earlier one for each of its lines, so a list is bounded by the text.
-    return gone.where(F.size("gone") > 0).groupBy("id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted"))
+    return gone.where(F.size("gone") > 0)
+
+
+def deleted_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(id, h, deleted array<int>): lines of each row that are in blocks an earlier row has, from 0, in order."""
+    kind = table.schema["key"].dataType["id"].dataType.simpleString()
+    nothing = F.lit(None).cast("int")
+    both = aligned_lines(table, least).select("id", "h", "gone", nothing.alias("start"), nothing.alias("end")).unionByName(held_runs(table, least).select("id", "h", F.lit(None).cast("array<int>").alias("gone"), "start", "end"))
+    # A document meets at most one earlier one for each of its lines and has at most two runs for each, so lists are bounded by the text.
+    lists = both.groupBy("id", "h").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("runs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for gone, runs in zip(batch.column("gone"), batch.column("runs"), strict=True):
+                aligned = gone.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                start, end = (runs.values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "end"))
+                n = max(aligned.max(initial=-1) + 1, end.max(initial=0))
+                depth = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+                hit = np.cumsum(depth) > 0
+                hit[aligned] = True
+                out.append(np.flatnonzero(hit).astype(np.int32))
+            yield pa.record_batch([batch.column("id"), batch.column("h"), pa.array(out, pa.list_(pa.int32()))], ["id", "h", "deleted"])
+
+    return lists.select("id", "h", "gone", "runs").mapInArrow(run, f"id {kind}, h long, deleted array<int>")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
     """docs with text_col without the blocks of lines that an earlier document has, and the columns n_lines and n_deleted.
 
     Earlier means a smaller id, and for equal ids a smaller hash of the text; rows equal in both are one document and all
-    keep the same lines. A line is deleted only where the document that holds it first keeps it. Lines are compared
+    keep the same lines. A block is judged on the input, and its first holder keeps it there. Lines are compared
     without outer spaces; blank lines go only inside of a block. Rows with a null id or text are returned as they are;
     columns named n_lines and n_deleted are replaced.
     """
-    gone = materialize(aligned_lines(materialize(line_table(docs, id_col, text_col), "lines"), least), "gone-lines").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("deleted").alias("_gone"))
+    gone = materialize(deleted_lines(materialize(line_table(docs, id_col, text_col), "lines"), least), "gone-lines").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("deleted").alias("_gone"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.drop("n_lines", "n_deleted").join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")

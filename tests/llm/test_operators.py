@@ -294,6 +294,28 @@ def test_op8(docs, none, texts):
     assert set(docs.columns) < set(kept.columns) and lines.dedup_lines(none).count() == 0
 
 
+def test_op8_blocks_of_any_earlier_document(spark):
+    r = random.Random(8)
+    word = [f"{c * 5} line" for c in "abcdefgh"] + ["", "z" * 45, "y" * 25, "x" * 30]
+    made = ["a first line that is long enough to be a block\nother", "shared lines\na licence line of few characters", "x" * 50 + "\nshared lines", "x" * 50 + "\nshared lines\na licence line of few characters", "x" * 50 + "\nx\n" + "x" * 50]
+    rows = [(i, t) for i, t in enumerate(made)] + [(10 + i, "\n".join(r.choice(word) for _ in range(r.randint(1, 12)))) for i in range(150)]
+    split = [t.split("\n") for _, t in rows]
+    want = {}
+    for k, mine in enumerate(split):
+        gone = set()
+        for theirs in split[:k]:
+            for s in range(len(mine)):
+                for q in range(len(theirs)):
+                    n = 0
+                    while s + n < len(mine) and q + n < len(theirs) and mine[s + n] == theirs[q + n]:
+                        n += 1
+                    if sum(map(len, mine[s : s + n])) >= 40:
+                        gone |= set(range(s, s + n))
+        want[rows[k][0]] = (len(gone), "\n".join(x for i, x in enumerate(mine) if i not in gone))
+    got = {x["doc_id"]: (x["n_deleted"], x["text"]) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and want[3] == (3, "") and want[4] == (2, "x")
+
+
 def test_op9(docs, none, duck):
     mixed = mixing.mix_sources(docs)
     assert mixed.count() == docs.count() and set(docs.columns) <= set(mixed.columns)
