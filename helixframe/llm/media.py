@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from helixframe.llm.storage import documents
 
 ROW = 64
-#: Chunk sizes: least, 2 ** AVERAGE_BITS beyond that on average, most.
-LEAST, AVERAGE_BITS, MOST = 8192, 14, 262144
+#: Chunk sizes in bytes: least, 2 ** AVERAGE_BITS beyond that on average, most. Most texts have some thousand bytes, so chunks are smaller than that.
+LEAST, AVERAGE_BITS, MOST = 256, 10, 65536
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -103,8 +103,10 @@ def chunk_store(payloads: DataFrame) -> DataFrame:
 
 def rebuild(wanted: DataFrame, store: DataFrame) -> DataFrame:
     """Media of manifests from the store: (payload_key, media). A missing chunk or a wrong digest raises."""
-    parts = wanted.select("payload_key", "media_sha256", F.posexplode("digests").alias("seq", "digest")).join(store, "digest", "left")
-    lists = parts.groupBy("payload_key").agg(F.first("media_sha256").alias("sha"), F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+    parts = wanted.select("payload_key", "media_sha256", F.posexplode("digests").alias("seq", "digest"))
+    # The digest of the whole goes with its first chunk only.
+    parts = parts.withColumn("media_sha256", F.when(F.col("seq") == 0, F.col("media_sha256"))).join(store, "digest", "left")
+    lists = parts.groupBy("payload_key").agg(F.max("media_sha256").alias("sha"), F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 """Every operator against a plain Python version, on a small table with nulls, empty, long, odd and repeated texts, and on an empty one."""
 
+import bz2
 import hashlib
 import math
 import random
@@ -78,6 +79,21 @@ def test_op1_chunks_are_shared_and_rebuild(spark):
         media.rebuild(listed, store.limit(1)).count()
 
 
+def test_op1_texts_share_passages(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage = prose(800)
+    texts = [bytearray((prose(60 + 7 * i) + " " + passage + " " + prose(50)).encode()) for i in range(4)]
+    assert max(map(len, texts)) < 8192
+    df = spark.createDataFrame([(t,) for t in texts], "payload binary")
+    store, listed = media.chunk_store(df), media.manifests(df).collect()
+    digests = [set(map(bytes, x["digests"])) for x in listed]
+    assert len(set.intersection(*digests)) >= 1
+    sizes = {bytes(x["digest"]): len(bz2.decompress(bytes(x["data"]))) for x in store.collect()}
+    assert sum(sizes.values()) < sum(x["media_bytes"] for x in listed)
+
+
 def naive_secrets(t):
     found = []
     a = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
