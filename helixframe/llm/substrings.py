@@ -4,13 +4,14 @@ The suffixes of all texts are sorted bucket by bucket, as far as the length asks
 one long text, positions such that any two equal strings have one at the same offset, is needed across documents that
 are not aligned, so the cover here is chosen by content: of the KEY-byte strings within a window of the given length, the
 one with the least hash. Any two equal windows have the same cover position, so all equal windows meet in the bucket of
-its hash, and a bucket is small enough to sort in a task.
+its hash.
 
 1. Buckets of hashes that only one document has are dropped by a bitmap of fixed size.
 2. Cover positions are dealt to their buckets with a hash of their context (all windows that have this position). Where a
    smaller id has the same context, all its windows are covered. That settles nearly everything within long repeats.
 3. Where a bucket holds several contexts, at the ends of repeats, contexts are fetched as text, each with its smallest
-   id only, and their windows sorted. Which ones to fetch is told by a second bitmap of fixed size.
+   id only, and their windows sorted. Which ones to fetch is told by a second bitmap of fixed size. Of a bucket with very
+   many contexts (the ends of a passage that very many documents have) windows are dealt by their own hash.
 
 When the bitmaps fill up more positions than needed are sorted, and results stay the same.
 """
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.shingles import as_bytes, mix, powers, slices
 from helixframe.llm.storage import documents, materialize
-from helixframe.llm.vectors import whole_groups
 
 LENGTH, KEY = 50, 24
 #: A bitmap of hashes: 2 ** BITS bits, in SLICES parts. 64 MB whatever the corpus.
 BITS, SLICES = 29, 64
+#: A bucket of more contexts is not settled in one task.
+CROWDED = 20_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -218,22 +220,49 @@ def bucket_rows(rows: DataFrame, shared, length: int, key: int) -> DataFrame:
 
 
 def same_contexts(dealt: DataFrame, length: int) -> DataFrame:
-    """(id, h, start, end, asked) from whole buckets, sorted by hash, context and id: spans of positions whose context a smaller id has, and, with a null span, what to ask for: contexts with their smallest id in buckets of several contexts."""
+    """(id, h, start, end, asked) from buckets sorted by hash, context and id: spans of positions whose context a smaller id has, and, with a null span, what to ask for: contexts with their smallest id in buckets of several contexts.
+
+    Rows are read as they come, and no bucket is held: of the bucket and the context that a batch ends in, only the
+    smallest id, and one row to ask for if the context is the bucket's first, are carried into the next batch.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in whole_groups(frames, ["hash"], 50_000):
+        held = None  # (bucket, context, smallest id, whether the bucket has several contexts, the row to ask for if it gets several)
+        for f in frames:
+            if not len(f):
+                continue
             ready = f["known"].to_numpy(bool)
             ids, h, start, more = (f[c].to_numpy() for c in ("id", "h", "first", "windows"))
             bucket, context = (f[c].to_numpy(np.int64) for c in ("hash", "context"))
+            same_bucket = held is not None and bucket[0] == held[0]
+            same_context = same_bucket and context[0] == held[1]
             new_bucket = np.concatenate(([True], bucket[1:] != bucket[:-1]))
             new = new_bucket | np.concatenate(([True], context[1:] != context[:-1]))
-            smallest = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
+            least = ids[np.flatnonzero(new)]
+            if same_context:
+                least[0] = held[2]
+            smallest = least[np.cumsum(new) - 1]
+            contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_bucket))
+            if same_bucket:
+                contexts[0] += held[3] + (not same_context)
+            of = np.cumsum(new_bucket) - 1
+            several = contexts[of] > 1
             covered = ready | (smallest < ids)
-            several = (np.add.reduceat(new, np.flatnonzero(new_bucket)) > 1)[np.cumsum(new_bucket) - 1]
             ask = ~covered & several
-            show = covered | ask
             key = _asked(context.view(np.uint64), ids).view(np.int64)
-            yield pd.DataFrame({"id": ids[show], "h": h[show], "start": start[show], "end": np.where(covered, start + more + length, -1)[show].astype(np.int32), "asked": np.where(ask, key, 0)[show]})
+            show = covered | ask
+            out = {"id": ids[show], "h": h[show], "start": start[show], "end": np.where(covered, start + more + length, -1)[show].astype(np.int32), "asked": np.where(ask, key, 0)[show]}
+            waits = held[4] if same_bucket else None
+            if waits and contexts[0] > 1:
+                yield pd.DataFrame({c: [v] for c, v in zip(out, waits, strict=True)}).astype({"start": np.int32, "end": np.int32})
+                waits = None
+            if contexts[-1] > 1:
+                waits = None
+            elif not (same_bucket and of[-1] == 0 and waits):
+                last = np.flatnonzero(~covered & (of == of[-1]))
+                waits = (ids[last[0]], h[last[0]], start[last[0]], -1, key[last[0]]) if len(last) else None
+            held = (bucket[-1], context[-1], smallest[-1], contexts[-1] > 1, waits)
+            yield pd.DataFrame(out)
 
     return dealt.mapInPandas(run, "id long, h long, start int, end int, asked long")
 
@@ -302,29 +331,72 @@ def _covered(first: np.ndarray, hit: np.ndarray, length: int) -> tuple[np.ndarra
     return row, first[row] + a, first[row] + b - 1 + length
 
 
-def sorted_buckets(dealt: DataFrame, length: int) -> DataFrame:
-    """(id, h, start, end): spans covered by windows that a smaller id has. dealt: context_rows(), whole buckets to a partition, sorted by hash and id."""
+def sorted_buckets(dealt: DataFrame, length: int, crowded: int = CROWDED) -> DataFrame:
+    """(id, h, start, end, window): spans covered by windows that a smaller id has, with a null window; and, of crowded buckets, hashes of windows still to be compared with their places. dealt: context_rows(), whole buckets to a partition, sorted by hash and id.
+
+    A bucket of up to crowded rows is settled here. Of a larger one, rows are read as they come and each lot of crowded
+    rows gives its windows, those of the smallest id in the lot only; held_windows() compares them across lots.
+    """
+
+    def settle(f: pd.DataFrame, all_known: bool) -> Iterator[pd.DataFrame]:
+        sizes = np.fromiter(map(len, f["context"]), np.int64, len(f))
+        data = np.frombuffer(b"".join(f["context"]), np.uint8)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        windows = sizes - length + 1
+        of = np.repeat(np.arange(len(f)), windows)
+        column = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        h = rolling(data, length)[at[of] + column]
+        ids, texts, first = f["id"].to_numpy(np.int64), f["h"].to_numpy(np.int64), f["first"].to_numpy(np.int64)
+        order = np.lexsort((ids[of], h))
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        smallest = np.empty(len(of), np.int64)
+        smallest[order] = ids[of][order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        hit = np.zeros((len(f), int(windows.max())), bool)
+        hit[of, column] = smallest < ids[of]
+        row, start, end = _covered(first, hit, length)
+        yield pd.DataFrame({"id": ids[row], "h": texts[row], "start": start.astype(np.int32), "end": end.astype(np.int32), "window": pd.array([None] * len(row), "Int64")})
+        if not all_known:
+            left = np.flatnonzero(smallest == ids[of])
+            start = first[of[left]] + column[left]
+            yield pd.DataFrame({"id": ids[of[left]], "h": texts[of[left]], "start": start.astype(np.int32), "end": (start + length).astype(np.int32), "window": pd.array(h[left].view(np.int64), "Int64")})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in whole_groups(frames, ["hash"], 20_000):
-            sizes = np.fromiter(map(len, f["context"]), np.int64, len(f))
-            data = np.frombuffer(b"".join(f["context"]), np.uint8)
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            windows = sizes - length + 1
-            of = np.repeat(np.arange(len(f)), windows)
-            column = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-            h = rolling(data, length)[at[of] + column]
-            ids = f["id"].to_numpy(np.int64)
-            order = np.lexsort((ids[of], h))
-            new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-            smallest = np.empty(len(of), np.int64)
-            smallest[order] = ids[of][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            hit = np.zeros((len(f), int(windows.max())), bool)
-            hit[of, column] = smallest < ids[of]
-            row, start, end = _covered(f["first"].to_numpy(np.int64), hit, length)
-            yield pd.DataFrame({"id": ids[row], "h": f["h"].to_numpy()[row], "start": start.astype(np.int32), "end": end.astype(np.int32)})
-
-    return dealt.mapInPandas(run, "id long, h long, start int, end int")
+        held, size, going = [], 0, None  # going: the crowded bucket that is being read
+        for f in (f.iloc[k : k + crowded] for f in frames for k in range(0, len(f), crowded)):
+            held.append(f)
+            size += len(f)
+            if size < crowded:
+                continue
+            f = pd.concat(held, ignore_index=True)
+            bucket = f["hash"].to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(f)]
+            a, tail = 0, cuts[-2]
+            if going is not None and bucket[0] == going:
+                a = cuts[1]
+                yield from settle(f.iloc[:a], False)
+            if a < tail:
+                yield from settle(f.iloc[a:tail], True)
+            rest = f.iloc[max(a, tail) :]
+            if len(rest) >= crowded:
+                yield from settle(rest, False)
+                going, rest = bucket[-1], rest.iloc[:0]
+            elif a < len(f):
+                going = None
+            held, size = [rest], len(rest)
+        f = pd.concat(held, ignore_index=True) if size else None
+        if f is not None:
+            mine = f["hash"].to_numpy() == going if going is not None else np.zeros(len(f), bool)
+            for part, known in ((f[mine], False), (f[~mine], True)):
+                if len(part):
+                    yield from settle(part, known)
+
+    return dealt.mapInPandas(run, "id long, h long, start int, end int, window long")
+
+
+def held_windows(windows: DataFrame) -> DataFrame:
+    """(id, h, start, end) of the rows of (id, h, start, end, window) whose window a smaller id has. Smallest ids are partly found before the shuffle, so a window of very many rows is no load for one task."""
+    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("window").alias("of"), "least")
+    return windows.join(least, F.col("window") == F.col("of")).where("least < id").select("id", "h", "start", "end")
 
 
 def cut_out(texts: DataFrame) -> DataFrame:
@@ -347,7 +419,7 @@ def cut_out(texts: DataFrame) -> DataFrame:
     return texts.select("id", "packed", "spans").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, key: int = KEY) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, key: int = KEY, crowded: int = CROWDED) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller id.
 
     One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per input row. Texts are UTF-8 bytes, a null text is
@@ -362,7 +434,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     settled = materialize(merged_spans(same_contexts(dealt, length)), "settled-spans")
     asked = context.broadcast(merge_bitmap(asked_places(settled), True))
     fetched = context_rows(named, shared, asked, length, key).repartition("hash").sortWithinPartitions("hash", "id")
-    ends = sorted_buckets(fetched, length).groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("more"))
+    sorted_ = materialize(sorted_buckets(fetched, length, crowded), "sorted-buckets")
+    found = sorted_.where("window IS NULL").select("id", "h", "start", "end").unionByName(held_windows(sorted_.where("window IS NOT NULL")))
+    ends = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("more"))
     nothing = F.array().cast("array<struct<start:int,end:int>>")
     both = settled.select("id", "h", "spans").join(ends, ["id", "h"], "full_outer")
     spans = both.select("id", "h", F.concat(F.coalesce("spans", nothing), F.coalesce("more", nothing)).alias("spans"))

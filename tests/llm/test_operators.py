@@ -271,6 +271,27 @@ def test_op7(docs, none, texts):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_op7_no_bucket_is_held(spark):
+    r = random.Random(7)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, ends = some(90), [some(40) for _ in range(25)]
+    rows = [(i, r.choice(ends) + some(r.randint(0, 9)) + passage + r.choice(ends) + some(r.randint(0, 30))) for i in range(300)]
+    first, want = {}, {}
+    for i, t in rows:
+        gone = set()
+        for k in range(len(t) - 49):
+            if first.setdefault(t[k : k + 50], i) < i:
+                gone |= set(range(k, k + 50))
+        want[i] = hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        for crowded in (5, 64, 20_000):
+            assert {x["id"]: x["kept_sha256"] for x in substrings.remove_repeats(df, crowded=crowded).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_op8_alignment():
     assert lines.patience([1, 2, 3, 9, 4], [0, 1, 2, 8, 3, 4]) == [(0, 1), (1, 2), (2, 4), (4, 5)]
     r = random.Random(0)
