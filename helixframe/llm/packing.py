@@ -13,6 +13,8 @@ A sentence longer than a window also gets boundaries after every `length` tokens
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import slices
+from helixframe.llm.shingles import slices, word_spans
 from helixframe.llm.storage import documents
 
 LENGTH = 2048
@@ -34,10 +36,11 @@ TRUNCATION = 16
 END_ID = 1
 #: A stretch is closed after the first document with which it holds so many tokens; a bound on memory, at the price of one window's padding.
 STRETCH = 1 << 20
-#: Bytes of text tokenized at once.
-PART = 8 << 20
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-KNOWN_WORDS = 400_000
+#: Bytes of text tokenized at once (a longer text is still tokenized whole).
+PART = (2 << 20) - 1
+#: Words whose ids a worker remembers from task to task, in arrays of some 60 MB; beyond it, those not asked for since are forgotten.
+KNOWN_WORDS = 1 << 21
+STOPS, QUOTES = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"'", np.uint8)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -46,81 +49,153 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class WordTable:
+    """Ids of words by a 64-bit hash of their bytes, in arrays of a fixed size: an open-addressing table, and all ids end to end."""
+
+    def __init__(self, most: int, kind: type):
+        self.most, self.mask, self.kind = most, np.uint64((1 << (2 * most - 1).bit_length()) - 1), kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        self.key, self.warm, self.ids, self.start = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, self.kind), np.zeros(1, np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for those that are not held."""
+        out, left, at = np.full(len(key), -1, np.int64), np.arange(len(key)), key & self.mask
+        while len(left):
+            there = self.slot[at]
+            same = (there >= 0) & (self.key[there] == key[left]) if len(self.key) else np.zeros(len(left), bool)
+            out[left[same]] = there[same]
+            on = (there >= 0) & ~same
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+        return out
+
+    def add(self, key: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Take in words that are not held, each once. Beyond the most, only those asked for since the last time stay."""
+        if len(self.key) + len(key) > self.most:
+            keep = np.flatnonzero(self.warm)
+            keep = keep[: max(0, min(self.most // 2, self.most - len(key)))]
+            kept = (self.key[keep], *self.ids_of(keep))
+            self.clear()
+            if len(keep):
+                self._put(*kept)
+        self._put(key, ids, sizes)
+
+    def _put(self, key: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        number, left, at = np.arange(len(self.key), len(self.key) + len(key), dtype=np.int32), np.arange(len(key)), key & self.mask
+        self.key, self.warm = np.concatenate((self.key, key)), np.concatenate((self.warm, np.zeros(len(key), bool)))
+        self.ids, self.start = np.concatenate((self.ids, ids)), np.concatenate((self.start, self.start[-1] + np.cumsum(sizes)))
+        while len(left):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = number[left[free]]  # of several, one stays
+            on = self.slot[at] != number[left]
+            left, at = left[on], (at[on] + np.uint64(1)) & self.mask
+
+    def ids_of(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers, end to end, and how many each has."""
+        sizes = self.start[number + 1] - self.start[number]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[number] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
 class WordTokenizer:
-    """Ids of texts for a tokenizer that never joins over white space: each distinct word is encoded once in a while.
+    """Ids of texts: for tokenizers made as word_bpe_49k.json is, each distinct word is encoded once in a while; for others, every text as it is.
 
-    Exact for tokenizers that drop white space and split at it first; words are runs of anything but ASCII white space.
-    Unknown words are encoded many at a time, as one text; where a word's ids end is told from the ids that end a piece
-    (those with the word-end mark) and the number of pieces in the word. Words in which case or composition of letters may
-    change the pieces, or which may hold a special token, are encoded by themselves, as are all where this doesn't add up.
+    Such a tokenizer lower-cases, splits at white space and drops it, and cuts words into the pieces of PIECES, the last id
+    of each having MARK; this is read from its file. Words are runs of anything but ASCII white space. Unknown words are encoded
+    many at a time, as one text; where a word's ids end is told from the ids that end a piece and the number of pieces in the
+    word. Words in which case or composition of letters may change the pieces, or which may hold a special token, are
+    encoded by themselves, as are all where this doesn't add up. Words are told apart by a 64-bit hash.
     """
 
     #: The pieces into which word_bpe_49k.json splits a lower-cased text: fixed values of that file.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     MARK = "</w>"
+    STOP = r"[.!?][\"']?$"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        most = max(vocabulary.values(), default=0)
+        self.by_word = self._splits_words()
+        self.table = WordTable(KNOWN_WORDS if self.by_word else 1, np.uint16 if most < 1 << 16 else np.uint32)
+        self.ends = np.zeros(most + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.MARK) or i >= self.tokenizer.get_vocab_size(with_added_tokens=False)]] = True
-        self._clear()
-
-    def forget(self) -> None:
-        """Give memory back, as a worker may go on to other work."""
-        self._clear()
-        pa.default_memory_pool().release_unused()
 
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.start = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+    def _splits_words(self) -> bool:
+        made = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        return steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": self.SPLIT} and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True and made["model"].get("end_of_word_suffix") == self.MARK
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint16) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        sure = lambda w: "<" not in w and (w.isascii() or w.strip(punctuation).lower().isalpha())
-        plain = [w for w in words if sure(w)]
-        others = [w for w in words if not sure(w)] if len(plain) < len(words) else []
-        pieces = np.asarray(pc.count_substring_regex(pc.utf8_lower(pa.array(plain, pa.string())), self.PIECES), np.int64)
+        return [np.array(x.ids, self.table.kind) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, key: np.ndarray, words: pa.Array) -> None:
+        special = np.asarray(pc.match_substring(words, "<"), bool)
+        ascii_ = np.asarray(pc.string_is_ascii(words), bool)
+        other = np.flatnonzero(~ascii_ & ~special)
+        ascii_[other] = [w.strip(punctuation).lower().isalpha() for w in words.take(pa.array(other)).to_pylist()]
+        plain, others = np.flatnonzero(ascii_ & ~special), np.flatnonzero(special | ~ascii_)
+        named = words.take(pa.array(plain))
+        pieces = np.asarray(pc.count_substring_regex(pc.utf8_lower(named), self.PIECES), np.int64)
+        names = named.to_pylist()
         found, sizes = [], []
-        joined = [(a, min(a + 500, len(plain))) for a in range(0, len(plain), 500)]
-        for (a, b), ids in zip(joined, self._encode([" ".join(plain[a:b]) for a, b in joined]), strict=True):
+        joined = [(a, min(a + 500, len(names))) for a in range(0, len(names), 500)]
+        for (a, b), ids in zip(joined, self._encode([" ".join(names[a:b]) for a, b in joined]), strict=True):
             last = np.flatnonzero(self.ends[ids])
             upto = np.cumsum(pieces[a:b])
             if len(last) == upto[-1]:
                 sizes.append(np.diff(np.concatenate(([0], last + 1))[upto], prepend=0))
                 found.append(ids)
             else:
-                found += (each := self._encode(plain[a:b]))
+                found += (each := self._encode(names[a:b]))
                 sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        found += (each := self._encode(others))
+        found += (each := self._encode(words.take(pa.array(others)).to_pylist()))
         sizes.append(np.fromiter(map(len, each), np.int64, len(each)))
-        for w in (*plain, *others):
-            self.place[w] = len(self.place)
-        self.ids = np.concatenate([self.ids, *found])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.table.add(key[np.concatenate((plain, others))], np.concatenate([*found, np.zeros(0, self.table.kind)]), np.concatenate(sizes))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of all texts, one after the other: ids; the first id of each text (one more at the end); ends of sentences as numbers of ids; the text of each such end."""
-        lists = pc.ascii_split_whitespace(texts)
-        offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
-        words = lists.flatten().dictionary_encode()
-        names, indices = words.dictionary.to_pylist(), np.asarray(words.indices)
-        if len(self.place) + len(names) > KNOWN_WORDS:
-            self._clear()
-        if fresh := [w for w in names if w not in self.place]:
-            self._learn(fresh)
-        place = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
-        code = place[indices]
-        sizes = np.diff(self.start)[code]
+        if not self.by_word:
+            return self._encode_texts(texts.to_pylist())
+        key, row, start, end, data = word_spans(texts)
+        number = self.table.find(key)
+        if len(unknown := np.flatnonzero(number < 0)):
+            fresh, first = np.unique(key[unknown], return_index=True)
+            first = unknown[first]
+            size = end[first] - start[first]
+            upto = np.concatenate(([0], np.cumsum(size)))
+            raw = data[np.repeat(start[first] - upto[:-1], size) + np.arange(upto[-1])]
+            words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(raw.tobytes())).cast(pa.string())
+            self._learn(fresh, words)
+            number = self.table.find(key)
+            if (number < 0).any():  # more words at once than the table holds
+                return self._encode_texts(texts.to_pylist())
+        self.table.warm[number] = True
+        ids, sizes = self.table.ids_of(number)
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        ids = self.ids[np.repeat(self.start[code] - ends[:-1], sizes) + np.arange(ends[-1])]
-        stops = np.asarray(pc.match_substring_regex(words.dictionary, r"[.!?][\"']?$"), bool)
-        last = np.flatnonzero(stops[indices])
-        return ids, ends[offsets], ends[last + 1], np.searchsorted(offsets, last, "right") - 1
+        last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
+        before = data[np.maximum(end - 2, start)] if len(end) else last
+        is_stop = np.isin(last, STOPS) | (np.isin(last, QUOTES) & np.isin(before, STOPS))
+        stops = np.flatnonzero(is_stop)
+        return ids, ends[np.searchsorted(row, np.arange(len(texts) + 1))], ends[stops + 1], row[stops]
+
+    def _encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        ids, stops, rows = [], [], []
+        for k, (text, x) in enumerate(zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)):
+            until = np.array([e for _, e in x.offsets], np.int64)
+            at = np.array([m.end() for m in re.finditer(r"[.!?][\"']?(?=[ \t-\r]|$)", text)], np.int64)
+            ids.append(np.array(x.ids, np.uint32))
+            stops.append(np.unique(np.searchsorted(until, at, "right")))
+            rows.append(np.full(len(stops[-1]), k))
+        first = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), first, join(s + f for s, f in zip(stops, first, strict=False)), join(rows)
 
 
 @lru_cache(2)
@@ -253,7 +328,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     if waiting.total >= stretch:
                         yield rows(waiting.pieces())
         yield rows(waiting.pieces())
-        words.forget()
+        pa.default_memory_pool().release_unused()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -66,23 +66,30 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of anything but ASCII white space, A-Z as a-z) and the row of each."""
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words (runs of anything but ASCII white space): the hash (A-Z as a-z), the row, the first byte and the end in the bytes of all rows; and those bytes."""
     data, offsets = as_bytes(texts)
     value, space = _tables()
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, data
     inside = ~space[data]
-    first = inside.copy()
+    first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
     edges = offsets[:-1][offsets[:-1] < len(data)]
     first[edges] = inside[edges]
-    starts = np.flatnonzero(first)
+    edges = edges[edges > 0]
+    last[edges - 1] = inside[edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = powers(len(data) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.where(inside, value[data] * up[: len(data)], np.uint64(0)), dtype=np.uint64)))
-    ends = np.append(starts[1:], len(data))  # white space adds nothing to the sum
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    return hashes, np.searchsorted(offsets, starts, "right") - 1, starts, ends, data
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rows of word_spans()."""
+    return word_spans(texts)[:2]
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
