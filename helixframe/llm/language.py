@@ -12,13 +12,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.storage import documents
+from helixframe.llm.shingles import slices
+from helixframe.llm.storage import documents, materialize
 
 BINS = 1 << 14
 ROUNDS = 12
+#: Bytes of text worked on at once (a longer text is still read whole).
+PART = 1 << 19
+#: So many languages may be learned; the model has BINS numbers for each, on the driver and in each task.
+MOST_LANGS = 500
+#: The prior behind a score: as if so many trigrams more were spread over all languages evenly.
+PRIOR = 2.0
 #: A language that would hold less than this share is not considered.
 LEAST_SHARE = 0.02
 UNKNOWN = "und"
@@ -55,18 +63,25 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, bins, counts))
 
 
+def _parts(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(first row, texts) of about PART bytes at a time, so that a batch of long texts takes no more memory than one of short ones."""
+    for a, b in slices(pc.fill_null(texts, ""), PART):
+        yield a, texts.slice(a, b - a).to_pylist()
+
+
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """Trigram counts of all labelled rows: (lang, bin, n), at most BINS rows a language. Counts are summed in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            rows, bins, counts = trigrams(texts)
-            of = langs[rows]
-            for lang in set(of):
-                mine = of == lang
-                sums[lang] = sums.get(lang, 0) + np.bincount(bins[mine], weights=counts[mine], minlength=BINS)
+            langs = batch.column(0).to_pylist()
+            for a, texts in _parts(batch.column(1)):
+                rows, bins, counts = trigrams(texts)
+                of = np.array(langs[a : a + len(texts)], object)[rows]
+                for lang in set(of):
+                    mine = of == lang
+                    sums[lang] = sums.get(lang, 0) + np.bincount(bins[mine], weights=counts[mine], minlength=BINS)
         for lang, n in sums.items():
             at = n.nonzero()[0]
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], ["lang", "bin", "n"])
@@ -85,6 +100,10 @@ class Mixture:
 
     @classmethod
     def collect(cls, trained: DataFrame) -> Mixture:
+        """Raises ValueError where there are more than MOST_LANGS languages, before anything is collected."""
+        trained = materialize(trained, "trigram-counts")
+        if len(trained.select("lang").distinct().limit(MOST_LANGS + 1).collect()) > MOST_LANGS:
+            raise ValueError(f"more than {MOST_LANGS} values of lang")
         rows = trained.toPandas()
         langs = sorted(rows["lang"].unique())
         counts = np.zeros((len(langs), BINS))
@@ -99,9 +118,16 @@ class Mixture:
             w = w * np.add.reduceat(p * (c / mixed)[:, None], starts) / total
         return w, np.add.reduceat(c * np.log(np.einsum("nl,nl->n", p, w[row])), starts, dtype=np.float64)
 
+    def score(self, share: float, n: int) -> float:
+        """The expected proportion of a language that holds share of n trigrams, given the prior: near share for long texts, and near 1 / languages for a letter or two."""
+        return (share * n + PRIOR / len(self.langs)) / (n + PRIOR)
+
     def infer(self, texts: list[str | None]) -> list[list[tuple[str, float]]]:
-        """For each text the languages chosen with their proportions, largest first; none if it has no letter or nothing was learned."""
-        found: list[list[tuple[str, float]]] = [[] for _ in texts]
+        return [found for found, _ in self.infer_counted(texts)]
+
+    def infer_counted(self, texts: list[str | None]) -> list[tuple[list[tuple[str, float]], int]]:
+        """For each text the languages chosen with their proportions, largest first (none if it has no letter or nothing was learned), and its number of trigrams."""
+        found: list[tuple[list[tuple[str, float]], int]] = [([], 0) for _ in texts]
         row, bins, count = trigrams(texts)
         if not len(row) or not self.langs:
             return found
@@ -130,23 +156,24 @@ class Mixture:
                     i = int(open_[j])
                     top[i] = ll[j]
                     chosen[i] = [(int(x), float(fit[j, x])) for x in np.argsort(-fit[j], kind="stable")[:k]]
+        n = np.add.reduceat(count, starts)
         for i, doc in enumerate(ids):
-            found[doc] = [(self.langs[x], min(1.0, v)) for x, v in chosen[i]]
+            found[doc] = ([(self.langs[x], min(1.0, v)) for x, v in chosen[i]], int(n[i]))
         return found
 
 
 def identify(docs: DataFrame, model: Mixture, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, langs, shares), one row per input row: the language with the largest proportion and that proportion, and the whole set.
+    """(id, lang_pred, score, langs, shares), one row per input row: the language with the largest proportion, its Mixture.score(), and the whole set with its proportions.
 
     Without letters, text or learned languages: 'und' with score 0 and an empty set. Ties go to the language first in order.
+    Rows with equal or null ids are rows of their own. Texts of any length are read whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, sets = batch.column(1).to_pylist(), []
-            for a in range(0, len(texts), 500):
-                sets += model.infer(texts[a : a + 500])
-            first = [s[0] if s else (UNKNOWN, 0.0) for s in sets]
+            found = [x for _, texts in _parts(batch.column(1)) for x in model.infer_counted(texts)]
+            sets = [s for s, _ in found]
+            first = [(s[0][0], model.score(s[0][1], n)) if s else (UNKNOWN, 0.0) for s, n in found]
             yield pa.record_batch(
                 [batch.column(0), pa.array([f[0] for f in first], pa.string()), pa.array([f[1] for f in first], pa.float64()), pa.array([[x for x, _ in s] for s in sets], pa.list_(pa.string())), pa.array([[v for _, v in s] for s in sets], pa.list_(pa.float64()))],
                 ["id", "lang_pred", "score", "langs", "shares"],
@@ -166,9 +193,8 @@ def keep_identified(docs: DataFrame, model: Mixture, *, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keep = batch.column(at).to_pylist(), []
-            for a in range(0, len(texts), 500):
-                part = texts[a : a + 500]
+            keep = []
+            for _, part in _parts(batch.column(at)):
                 if model.langs:
                     keep += [bool(s) and s[0][1] >= least for s in model.infer(part)]
                 else:
@@ -183,6 +209,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out; a null or repeated doc_id is a row like any other."""
     docs = documents(spark, sf_dir)
     model = Mixture.collect(train(docs.where(~held_out())))
     found = identify(docs, model)
