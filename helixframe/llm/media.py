@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.storage import documents
+from helixframe.llm.shingles import slices
+from helixframe.llm.storage import documents, materialize
 
 ROW = 64
 #: Chunk sizes in bytes: least, 2 ** AVERAGE_BITS beyond that on average, most. Most texts have some thousand bytes, so chunks are smaller than that.
 LEAST, AVERAGE_BITS, MOST = 256, 10, 65536
+#: Bytes worked on at once (a longer payload is still taken whole).
+PART = 4 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -72,52 +75,115 @@ def _chunks(payload: bytes) -> tuple[bytes, list[bytes]]:
 
 
 def manifests(payloads: DataFrame) -> DataFrame:
-    """payloads: (payload binary). One row per distinct payload: (payload_key, media_sha256, media_bytes, digests), keys are SHA-256 in binary, digests those of the chunks in order."""
+    """payloads: (payload binary). One row per distinct payload: (payload_key, media_sha256, media_bytes, digests, sizes); keys are SHA-256 in binary, digests and sizes those of the chunks in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for payload in (x.as_py() for x in batch.column(0)):
-                media, chunks = _chunks(payload)
-                out.append((hashlib.sha256(payload).digest(), hashlib.sha256(media).digest(), len(media), [digest(c) for c in chunks]))
-            key, sha, size, digests = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.record_batch([pa.array(key, pa.binary()), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], ["payload_key", "media_sha256", "media_bytes", "digests"])
+            for a, b in slices(batch.column(0), PART):
+                out = {}
+                for payload in (x.as_py() for x in batch.column(0)[a:b]):
+                    if (key := hashlib.sha256(payload).digest()) not in out:
+                        media, chunks = _chunks(payload)
+                        out[key] = (hashlib.sha256(media).digest(), len(media), [digest(c) for c in chunks], [len(c) for c in chunks])
+                sha, size, digests, sizes = zip(*out.values(), strict=True) if out else ((),) * 4
+                yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))], ["payload_key", "media_sha256", "media_bytes", "digests", "sizes"])
 
-    return payloads.select("payload").mapInArrow(run, "payload_key binary, media_sha256 binary, media_bytes long, digests array<binary>").dropDuplicates(["payload_key"])
+    return payloads.select("payload").mapInArrow(run, "payload_key binary, media_sha256 binary, media_bytes long, digests array<binary>, sizes array<int>").dropDuplicates(["payload_key"])
 
 
-def chunk_store(payloads: DataFrame) -> DataFrame:
-    """Each distinct chunk of the payloads' media once: (digest, data), data compressed. Copies within a task meet before the shuffle."""
+def chunk_holders(listed: DataFrame) -> DataFrame:
+    """(payload_key, digest, holder) of the chunks that several manifests list: the holder, the least key of them, is the one whose pack stores the chunk. A chunk of very many payloads is summed before it is shuffled, and joined, not collected."""
+    each = listed.select("payload_key", F.explode(F.array_distinct("digests")).alias("digest"))
+    held = each.groupBy("digest").agg(F.min("payload_key").alias("holder"), F.max("payload_key").alias("last")).where("holder < last")
+    return each.join(held.select("digest", "holder"), "digest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fresh: dict[bytes, bytes] = {}
-            for payload in (x.as_py() for x in batch.column(0)):
-                for c in _chunks(payload)[1]:
-                    if (d := digest(c)) not in fresh:
-                        fresh[d] = bz2.compress(c, 1)
-            yield pa.record_batch([pa.array(fresh.keys(), pa.binary()), pa.array(fresh.values(), pa.binary())], ["digest", "data"])
 
-    return payloads.select("payload").mapInArrow(run, "digest binary, data binary").dropDuplicates(["digest"])
+def _pack(media: bytes, digests: list[bytes], sizes: list[int], foreign: set[bytes]) -> tuple[list[bytes], list[int], bytes]:
+    """Digests, sizes and bytes of the chunks that a pack stores: each once, without those that others hold."""
+    own, lengths, data, at = {}, [], [], 0
+    for d, n in zip(digests, sizes, strict=True):
+        if d not in own and d not in foreign:
+            own[d] = None
+            lengths.append(n)
+            data.append(media[at : at + n])
+        at += n
+    return list(own), lengths, b"".join(data)
 
 
-def rebuild(wanted: DataFrame, store: DataFrame) -> DataFrame:
-    """Media of manifests from the store: (payload_key, media). A missing chunk or a wrong digest raises."""
-    parts = wanted.select("payload_key", "media_sha256", F.posexplode("digests").alias("seq", "digest"))
-    # The digest of the whole goes with its first chunk only.
-    parts = parts.withColumn("media_sha256", F.when(F.col("seq") == 0, F.col("media_sha256"))).join(store, "digest", "left")
-    lists = parts.groupBy("payload_key").agg(F.max("media_sha256").alias("sha"), F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
+def chunk_packs(payloads: DataFrame, listed: DataFrame, holders: DataFrame) -> DataFrame:
+    """The chunk store: (payload_key, own, sizes, data). Each distinct chunk of all payloads is stored once, in the pack of its holder; the chunks of a pack (digests own, in order, with their sizes) are compressed together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each distinct payload is shuffled once, compressed; copies within a batch meet before.
+    """
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, media = batch.column("payload_key"), []
-            for sha, parts in zip(batch.column("sha").to_pylist(), batch.column("parts"), strict=True):
-                media.append(b"".join(bz2.decompress(p["data"]) for p in parts.as_py()))
-                if hashlib.sha256(media[-1]).digest() != sha:
-                    raise ValueError("rebuilt media differ from their manifest")
-            yield pa.record_batch([keys, pa.array(media, pa.binary())], ["payload_key", "media"])
+            for a, b in slices(batch.column(0), PART):
+                out = {}
+                for payload in (x.as_py() for x in batch.column(0)[a:b]):
+                    if (key := hashlib.sha256(payload).digest()) not in out:
+                        out[key] = bz2.compress(to_media(payload), 1)
+                yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], ["payload_key", "packed"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("packed"), PART):
+                out = []
+                for key, packed, digests, sizes, foreign in zip(*(batch.column(c)[a:b].to_pylist() for c in ("payload_key", "packed", "digests", "sizes", "foreign")), strict=True):
+                    if foreign or len(set(digests)) < len(digests):
+                        digests, sizes, data = _pack(bz2.decompress(packed), digests, sizes, set(foreign or ()))
+                        packed = bz2.compress(data, 1)
+                    out.append((key, digests, sizes, packed))
+                key, own, sizes, data = zip(*out, strict=True) if out else ((),) * 4
+                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(own, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["payload_key", "own", "sizes", "data"])
+
+    shipped = payloads.select("payload").mapInArrow(ship, "payload_key binary, packed binary").dropDuplicates(["payload_key"])
+    foreign = holders.where("holder <> payload_key").groupBy("payload_key").agg(F.collect_list("digest").alias("foreign"))
+    info = listed.select("payload_key", "digests", "sizes").join(foreign, "payload_key", "left")
+    return shipped.join(info, "payload_key").select("payload_key", "packed", "digests", "sizes", "foreign").mapInArrow(pack, "payload_key binary, own array<binary>, sizes array<int>, data binary")
+
+
+def rebuild(listed: DataFrame, packs: DataFrame, holders: DataFrame) -> DataFrame:
+    """Media of manifests from the store: (payload_key, media). A missing chunk, one with a wrong digest, or media that differ from their manifest raise.
+
+    Chunks that others hold are taken out of their packs and joined to the payloads that list them.
+    """
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("data"), PART):
+                out = {}
+                for own, sizes, data, lent in zip(*(batch.column(c)[a:b].to_pylist() for c in ("own", "sizes", "data", "lent")), strict=True):
+                    there = _unpack(own, sizes, data)
+                    out |= {d: bz2.compress(there[d], 1) for d in lent}
+                yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], ["digest", "chunk"])
 
-    return lists.select("payload_key", "sha", F.transform("parts", lambda p: F.struct(p["data"].alias("data"))).alias("parts")).mapInArrow(run, "payload_key binary, media binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("data"), PART):
+                keys, media = batch.column("payload_key")[a:b], []
+                for sha, digests, own, sizes, data, borrowed in zip(*(batch.column(c)[a:b].to_pylist() for c in ("media_sha256", "digests", "own", "chunk_sizes", "data", "borrowed")), strict=True):
+                    there = _unpack(own, sizes, data) | {x["digest"]: bz2.decompress(x["chunk"]) for x in borrowed or ()}
+                    if any(d not in there or digest(there[d]) != d for d in digests):
+                        raise ValueError("a chunk is missing or not what its digest says")
+                    media.append(b"".join(there[d] for d in digests))
+                    if hashlib.sha256(media[-1]).digest() != sha:
+                        raise ValueError("rebuilt media differ from their manifest")
+                yield pa.record_batch([keys, pa.array(media, pa.binary())], ["payload_key", "media"])
+
+    lent = holders.where("holder = payload_key").groupBy("payload_key").agg(F.collect_list("digest").alias("lent"))
+    chunks = packs.join(lent, "payload_key").select("own", "sizes", "data", "lent").mapInArrow(lend, "digest binary, chunk binary")
+    borrowed = holders.where("holder <> payload_key").select("payload_key", "digest").join(chunks, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("digest", "chunk")).alias("borrowed"))
+    stored = packs.select("payload_key", "own", F.col("sizes").alias("chunk_sizes"), "data")
+    full = listed.select("payload_key", "media_sha256", "digests").join(stored, "payload_key", "left").join(borrowed, "payload_key", "left")
+    return full.mapInArrow(run, "payload_key binary, media binary")
+
+
+def _unpack(own: list[bytes] | None, sizes: list[int] | None, data: bytes | None) -> dict[bytes, bytes]:
+    if data is None:
+        return {}
+    raw, ends = bz2.decompress(data), np.cumsum([0, *sizes]).tolist()
+    return {d: raw[a:b] for d, a, b in zip(own, ends, ends[1:], strict=False)}
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -151,10 +217,13 @@ def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     payload = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), payload.alias("payload"))
-    features = media_features(rebuild(manifests(rows), chunk_store(rows)))
+    listed = materialize(manifests(rows), "manifests")
+    holders = materialize(chunk_holders(listed), "chunk-holders")
+    features = media_features(rebuild(listed, chunk_packs(rows, listed, holders), holders))
     described = rows.select("id", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_key")).join(features, "payload_key")
     return described.drop("payload_key").withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
 def op1_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every document's stored media; a null text is the empty payload, equal texts give equal values."""
     return media_digests(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -66,17 +66,25 @@ def test_op1(docs, none, texts):
     assert media.media_digests(none).count() == 0
 
 
+def stored(df):
+    listed = media.manifests(df).cache()
+    holders = media.chunk_holders(listed).cache()
+    return listed, holders, media.chunk_packs(df, listed, holders)
+
+
 def test_op1_chunks_are_shared_and_rebuild(spark):
     r = np.random.default_rng(1)
-    body = r.bytes(300_000)
-    df = spark.createDataFrame([(body,), (r.bytes(5000) + body,)], "payload binary")
-    store, listed = media.chunk_store(df), media.manifests(df)
-    assert store.count() < sum(len(x["digests"]) for x in listed.collect())
-    assert {bytes(x["media"]) for x in media.rebuild(listed, store).collect()} == {media.to_media(bytes(x["payload"])) for x in df.collect()}
+    body, block = r.bytes(300_000), r.bytes(70_000)
+    df = spark.createDataFrame([(body,), (r.bytes(5000) + body,), (block * 4,), (b"",), (body,)], "payload binary")
+    listed, holders, packs = stored(df)
+    every = [bytes(d) for x in packs.collect() for d in x["own"]]
+    wanted = [bytes(d) for x in listed.collect() for d in x["digests"]]
+    assert len(every) == len(set(every)) and set(every) == set(wanted) and len(every) < 0.7 * len(wanted)
+    assert {bytes(x["media"]) for x in media.rebuild(listed, packs, holders).collect()} == {media.to_media(bytes(x["payload"])) for x in df.collect()}
     ends = media.cut_points(np.frombuffer(body, np.uint8))
     assert ends[-1] == len(body) and max(np.diff([0, *ends])) <= media.MOST and min(np.diff([0, *ends])[:-1]) >= media.LEAST
-    with pytest.raises(Exception, match="differ|NoneType|None"):
-        media.rebuild(listed, store.limit(1)).count()
+    with pytest.raises(Exception, match="missing"):
+        media.rebuild(listed, packs.limit(1), holders).count()
 
 
 def test_op1_texts_share_passages(spark):
@@ -84,14 +92,16 @@ def test_op1_texts_share_passages(spark):
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
     passage = prose(800)
-    texts = [bytearray((prose(60 + 7 * i) + " " + passage + " " + prose(50)).encode()) for i in range(4)]
+    texts = [(prose(60 + 7 * i) + " " + passage + " " + prose(50)) for i in range(4)]
     assert max(map(len, texts)) < 8192
-    df = spark.createDataFrame([(t,) for t in texts], "payload binary")
-    store, listed = media.chunk_store(df), media.manifests(df).collect()
-    digests = [set(map(bytes, x["digests"])) for x in listed]
+    df = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "payload binary")
+    listed, holders, packs = stored(df)
+    digests = [set(map(bytes, x["digests"])) for x in listed.collect()]
     assert len(set.intersection(*digests)) >= 1
-    sizes = {bytes(x["digest"]): len(bz2.decompress(bytes(x["data"]))) for x in store.collect()}
-    assert sum(sizes.values()) < sum(x["media_bytes"] for x in listed)
+    assert sum(sum(x["sizes"]) for x in packs.collect()) < sum(x["media_bytes"] for x in listed.collect())
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)] + [(9, "é" * 3_000_000, "", "", "")], "doc_id long, text string, payload_key string, media string, digests string")
+    got = {x["id"]: x["payload_sha256"] for x in media.media_digests(docs).collect()}
+    assert got == {i: hashlib.sha256(b.ljust(-(-len(b) // 64) * 64, b"\0")).hexdigest() for i, b in ((x["doc_id"], x["text"].encode()) for x in docs.collect())}
 
 
 def naive_secrets(t):
