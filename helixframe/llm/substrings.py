@@ -1,45 +1,62 @@
 """Exact substring dedup: bytes covered by strings of a fixed length that an earlier document has.
 
-The suffixes of all texts are sorted bucket by bucket, as far as the length asks for. What a difference cover gives for
-one long text, positions such that any two equal strings have one at the same offset, is needed across documents that
-are not aligned, so the cover here is chosen by content: of the KEY-byte strings within a window of the given length, the
-one with the least hash. Any two equal windows have the same cover position, so all equal windows meet in the bucket of
-its hash.
-
-1. Buckets of hashes that only one document has are dropped by a bitmap of fixed size.
-2. Cover positions are dealt to their buckets with a hash of their context (all windows that have this position). Where a
-   smaller id has the same context, all its windows are covered. That settles nearly everything within long repeats.
-3. Where a bucket holds several contexts, at the ends of repeats, contexts are fetched as text, each with its smallest
-   id only, and their windows sorted. Which ones to fetch is told by a second bitmap of fixed size. Of a bucket with very
-   many contexts (the ends of a passage that very many documents have) windows are dealt by their own hash.
-
-When the bitmaps fill up more positions than needed are sorted, and results stay the same.
+The suffixes of all texts that matter are sorted one bucket at a time, by way of a difference cover. A cover of modulus v
+is a set of residues such that for any two positions i and j some d < v has both i + d and j + d in it (counted from the
+start of their texts, modulo v). So any two equal windows of `length` bytes, wherever they start, have a cover sample at the
+same offset d, and from there on equal strings of length - v + 1 bytes. Texts are kept in blocks, and three steps ask about
+them, each answered one bucket (a range of keys) at a time:
+
+1. The cover samples of all blocks are sorted by their strings, which ranks them. Samples whose string only one document has
+   get no rank: no suffix is tied with them.
+2. Suffixes that hold a ranked sample are tied as far as ranks tell. They are sorted by rank and context (all windows that
+   hold the sample at an offset below v). Where a smaller id has the same rank and context, all these windows are covered;
+   that settles nearly everything within long repeats without looking at single suffixes.
+3. Where one rank has several contexts, at the ends of repeats, the windows that are still open are sorted by themselves.
+
+Buckets travel as sorted, packed lists, one for each block, and answers come back as codes in the order of the list. The table
+of blocks is bucketed by block, so that answers are joined to texts and texts are never shuffled. Strings are compared by
+hashes: of the samples, to so many bits that one in 65,536 meets another by chance (which costs work only), and of contexts
+and windows to 64 bits.
 """
 
 from __future__ import annotations
 
-import bz2
 import hashlib
+import math
 import uuid
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import as_bytes, mix, powers, slices
-from helixframe.llm.storage import documents, materialize
+from helixframe.llm.shingles import as_bytes, mix, slices
+from helixframe.llm.storage import documents, materialize, shared_dir
 
-LENGTH, KEY = 50, 24
-#: A bitmap of hashes: 2 ** BITS bits, in SLICES parts. 64 MB whatever the corpus.
-BITS, SLICES = 29, 64
-#: A bucket of more contexts is not settled in one task.
-CROWDED = 20_000
-_R = np.uint64(0x9E3779B97F4A7C15)
+LENGTH = 50
+#: Perfect difference sets by their modulus.
+COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
+#: Bytes of text in a block (a longer text is a block of its own), and in a bucket of the table of blocks.
+BLOCK, TABLE_BUCKET = 2 << 20, 16 << 20
+#: Samples in one suffix bucket, which a task sorts in memory, on average.
+BUCKET = 3 << 19
+#: A sample that so many blocks have is crowded: its contexts are dealt by themselves, not by rank.
+CROWDED = 64
+#: Positions hashed at once.
+STEP = 1 << 19
+_R = 0x9E3779B97F4A7C15
+
+
+def difference_cover(length: int) -> tuple[int, tuple[int, ...]]:
+    """The largest cover whose samples leave strings of at least its modulus."""
+    v = max((v for v in COVERS if 2 * v <= length + 1), default=3)
+    return v, COVERS[v]
 
 
 @lru_cache(1)
@@ -52,7 +69,7 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
 
     def join(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
         n = len(data) - n_a - n_b + 1
-        return a[:n] * np.uint64(pow(int(_R), n_b, 2**64)) + b[n_a : n_a + n]
+        return a[:n] * np.uint64(pow(_R, n_b, 2**64)) + b[n_a : n_a + n]
 
     if len(data) < size:
         return np.zeros(0, np.uint64)
@@ -66,390 +83,376 @@ def rolling(data: np.ndarray, size: int) -> np.ndarray:
     return mix(made)
 
 
-def covers(data: np.ndarray, offsets: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first, last) for each cover position of texts laid end to end: the windows from first to last (starts, in data) have it as theirs."""
-    h = rolling(data, key)
-    starts = len(data) - length + 1
-    if starts <= 0:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3
-    wide = length - key + 1
-    # The least of each window of hashes by doubling; the lower half of a number is its place, so of equal ones the first.
-    least, n = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64), 1
-    while n < wide:
-        step = min(n, wide - n)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        n += step
-    best = (least[:starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(starts), "right") - 1
-    fits = np.arange(starts) + length <= offsets[row + 1]
-    change = np.ones(starts, bool)
-    change[1:] = (best[1:] != best[:-1]) | (row[1:] != row[:-1]) | (fits[1:] != fits[:-1])
-    at = np.flatnonzero(change)
-    until = np.append(at[1:], starts) - 1
-    at, until = at[fits[at]], until[fits[at]]
-    return h[best[at]], row[at], at, until
-
-
-def _parts(batch: pa.RecordBatch, length: int, key: int) -> Iterator[tuple]:
-    """Covers of the texts of a batch, a part at a time: (first row, row ids, data, offsets, covers)."""
-    for a, b in slices(batch.column("text")):
-        part = batch.slice(a, b - a)
-        data, offsets = as_bytes(part.column("text"))
-        yield part.column("id").to_numpy(zero_copy_only=False), part.column("h"), data, offsets, covers(data, offsets, length, key)
-
-
-def _place(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-_unpacked: dict[str, np.ndarray] = {}
-
-
-def _bits(bitmap: tuple[str, dict[int, bytes]], place: np.ndarray) -> np.ndarray:
-    """Whether the places are set in a bitmap of merge_bitmap(); a worker unpacks each bitmap once and keeps two."""
-    name, slices_of = bitmap
-    if name not in _unpacked:
-        while len(_unpacked) > 1:
-            _unpacked.pop(next(iter(_unpacked)))
-        bits, width = np.zeros(1 << (BITS - 3), np.uint8), (1 << (BITS - 3)) // SLICES
-        for k, packed in slices_of.items():
-            bits[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(packed), np.uint8)
-        _unpacked[name] = bits
-    return (_unpacked[name][place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
-
-
-def place_rows(places: np.ndarray, twice: bool) -> Iterator[tuple[int, bool, bytes]]:
-    """Sorted distinct places as one row for each slice of the bitmap: (slice, twice, gaps between them, compressed)."""
-    width = (1 << BITS) // SLICES
-    at = np.searchsorted(places, np.arange(SLICES + 1) * width)
-    for k in np.flatnonzero(np.diff(at)).tolist():
-        yield k, twice, zlib.compress(np.diff(places[at[k] : at[k + 1]] - k * width, prepend=0).astype(np.uint32).tobytes(), 1)
-
-
-def merge_bitmap(listed: DataFrame, once_is_enough: bool) -> tuple[str, dict[int, bytes]]:
-    """The bitmap of places in two rows, or in one that says twice (or in any row at all), from place_rows() in a table (slice, twice, places).
-
-    A slice is put together by a task, a row at a time; the driver gets the slices compressed, 2 ** BITS bits at most.
-    """
-    width = (1 << BITS) // SLICES
+def hash_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the strings of size bytes at these places, in increasing order; STEP places are looked at at once, however long a text is."""
+    out = np.zeros(len(at), np.uint64)
+    for a in range(0, len(data), STEP):
+        i, j = np.searchsorted(at, (a, a + STEP))
+        if i < j:
+            out[i:j] = rolling(data[a : a + STEP + size - 1], size)[at[i:j] - a]
+    return out
 
-    def fill(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, twice = np.zeros(width, bool), np.zeros(width, bool)
-        for f in frames:
-            for both, gaps in zip(f["twice"], f["places"], strict=True):
-                at = np.cumsum(np.frombuffer(zlib.decompress(gaps), np.uint32), dtype=np.int64)
-                if both or once_is_enough:
-                    twice[at] = True
-                else:
-                    twice[at[once[at]]] = True
-                    once[at] = True
-        yield pd.DataFrame({"slice": [key[0]], "bits": [zlib.compress(np.packbits(twice).tobytes(), 1)]})
 
-    found = listed.groupBy("slice").applyInPandas(fill, "slice int, bits binary").collect()
-    return uuid.uuid4().hex, {r["slice"]: bytes(r["bits"]) for r in found}
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, as planes of bytes, compressed."""
+    x = x.astype(np.uint64, copy=False)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-_PLACES = "slice int, twice boolean, places binary"
+def unpack(b: bytes) -> np.ndarray:
+    n, out = int.from_bytes(b[1:9], "little"), None
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[9:], max_output_size=max(1, b[0] * n)), np.uint8).reshape(b[0], n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : b[0]] = planes.T
+    return out.reshape(-1).view(np.uint64)
 
 
-def _place_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())], ["slice", "twice", "places"])
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=np.uint64(0)))
 
 
-def shared_places(rows: DataFrame, length: int, key: int) -> DataFrame:
-    """place_rows() of the cover positions of each batch; twice says that two ids of the batch have it."""
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b), dtype=np.uint64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(_place(h), ids[row]) for ids, _, _, _, (h, row, _, _) in _parts(batch, length, key)]
-            place, of = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-            order = np.argsort(place, kind="stable")
-            place, of = place[order], of[order]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(place)), bool), place[1:] != place[:-1])))
-            if len(first):
-                several = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first)
-                yield _place_batch([*place_rows(place[first[~several]], False), *place_rows(place[first[several]], True)])
-
-    return rows.select("id", "h", "text").mapInArrow(run, _PLACES)
 
+@dataclass
+class Block:
+    """Texts end to end. start and end are those of each text; a text without an id takes part in nothing."""
 
-def _contexts(data: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the bytes from first to last + length."""
-    up, down = powers(len(data) + 1)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_values()[data] * up[: len(data)], dtype=np.uint64)))
-    return mix((sums[last + length] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    ids: np.ndarray
+    named: np.ndarray
+    offsets: np.ndarray
+    data: np.ndarray
 
+    def row(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.offsets, at, "right") - 1
 
-def _asked(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return mix(context ^ mix(ids.astype(np.uint64)))
 
+_BLOCK = "block long, n_bytes long, ids array<long>, sizes array<long>, data binary"
 
-def bucket_rows(rows: DataFrame, shared, length: int, key: int) -> DataFrame:
-    """Cover positions of the buckets that shared (a broadcast bitmap) lets through: (hash, context, id, h, first, windows, known).
 
-    Of equal contexts of a part of a batch only those of the smallest id go to the bucket; all windows of the others are
-    known to be covered, and they pass as spans under the hash of their text, joined with their neighbours.
-    """
-    names = ["hash", "context", "id", "h", "first", "windows", "known"]
+def write_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(block, n_bytes, ids, sizes, data) in the shared folder, bucketed by block: the texts of docs in their order, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts, data, offsets, (h, row, first, last) in _parts(batch, length, key):
-                open_ = _bits(shared.value, _place(h))
-                h, row, first, last = h[open_], row[open_], first[open_], last[open_]
-                if not len(h):
-                    continue
-                context, of, begin = _contexts(data, first, last, length), ids[row], first - offsets[row]
-                code = pd.factorize(context)[0]
-                smallest = np.full(code.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(smallest, code, of)
-                known, end, text_hash = smallest[code] < of, begin + (last - first), texts.to_numpy()[row]
-                # Known neighbours are joined into one span.
-                k = np.flatnonzero(known)
-                joins = np.concatenate((np.zeros(min(1, len(k)), bool), (row[k[1:]] == row[k[:-1]]) & (begin[k[1:]] <= end[k[:-1]] + length)))
-                k0 = k[~joins]
-                k1 = k[np.append(np.flatnonzero(~joins)[1:], len(k)) - 1] if len(k) else k
-                u = np.flatnonzero(~known)
-                bucket = h[u].view(np.int64)
-                yield pa.record_batch([pa.array(bucket), pa.array(context[u].view(np.int64)), pa.array(of[u]), pa.array(text_hash[u]), pa.array(begin[u].astype(np.int32)), pa.array((end - begin)[u].astype(np.int32)), pa.array(np.zeros(len(u), bool))], names)
-                if len(k0):
-                    yield pa.record_batch([pa.array(text_hash[k0]), pa.array(text_hash[k0]), pa.array(of[k0]), pa.array(text_hash[k0]), pa.array(begin[k0].astype(np.int32)), pa.array((end[k1] - begin[k0]).astype(np.int32)), pa.array(np.ones(len(k0), bool))], names)
-
-    return rows.select("id", "h", "text").mapInArrow(run, "hash long, context long, id long, h long, first int, windows int, known boolean")
-
-
-def same_contexts(dealt: DataFrame, length: int) -> DataFrame:
-    """(id, h, start, end, asked) from buckets sorted by hash, context and id: spans of positions whose context a smaller id has, and, with a null span, what to ask for: contexts with their smallest id in buckets of several contexts.
-
-    Rows are read as they come, and no bucket is held: of the bucket and the context that a batch ends in, only the
-    smallest id, and one row to ask for if the context is the bucket's first, are carried into the next batch.
-    """
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (bucket, context, smallest id, whether the bucket has several contexts, the row to ask for if it gets several)
-        for f in frames:
-            if not len(f):
-                continue
-            ready = f["known"].to_numpy(bool)
-            ids, h, start, more = (f[c].to_numpy() for c in ("id", "h", "first", "windows"))
-            bucket, context = (f[c].to_numpy(np.int64) for c in ("hash", "context"))
-            same_bucket = held is not None and bucket[0] == held[0]
-            same_context = same_bucket and context[0] == held[1]
-            new_bucket = np.concatenate(([True], bucket[1:] != bucket[:-1]))
-            new = new_bucket | np.concatenate(([True], context[1:] != context[:-1]))
-            least = ids[np.flatnonzero(new)]
-            if same_context:
-                least[0] = held[2]
-            smallest = least[np.cumsum(new) - 1]
-            contexts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_bucket))
-            if same_bucket:
-                contexts[0] += held[3] + (not same_context)
-            of = np.cumsum(new_bucket) - 1
-            several = contexts[of] > 1
-            covered = ready | (smallest < ids)
-            ask = ~covered & several
-            key = _asked(context.view(np.uint64), ids).view(np.int64)
-            show = covered | ask
-            out = {"id": ids[show], "h": h[show], "start": start[show], "end": np.where(covered, start + more + length, -1)[show].astype(np.int32), "asked": np.where(ask, key, 0)[show]}
-            waits = held[4] if same_bucket else None
-            if waits and contexts[0] > 1:
-                yield pd.DataFrame({c: [v] for c, v in zip(out, waits, strict=True)}).astype({"start": np.int32, "end": np.int32})
-                waits = None
-            if contexts[-1] > 1:
-                waits = None
-            elif not (same_bucket and of[-1] == 0 and waits):
-                last = np.flatnonzero(~covered & (of == of[-1]))
-                waits = (ids[last[0]], h[last[0]], start[last[0]], -1, key[last[0]]) if len(last) else None
-            held = (bucket[-1], context[-1], smallest[-1], contexts[-1] > 1, waits)
-            yield pd.DataFrame(out)
-
-    return dealt.mapInPandas(run, "id long, h long, start int, end int, asked long")
-
-
-def merged_spans(spans: DataFrame) -> DataFrame:
-    """(id, h, spans, places) of (id, h, rows of start, end, asked): overlapping spans joined, and the places asked for as place_rows() are made from."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        def made() -> pa.RecordBatch:
+            ids, text = pa.concat_arrays([x for x, _ in held]), pa.concat_arrays([x.cast(pa.large_string()) for _, x in held])
+            data, offsets = as_bytes(text)
+            columns = [pa.array([number], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=7).compress(data.tobytes())], pa.binary())]
+            return pa.record_batch(columns, ["block", "n_bytes", "ids", "sizes", "data"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, asked = [], []
-            for x in batch.column("x"):
-                start, end, key = (x.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "asked"))
-                span = end >= 0
-                asked.append(np.unique(_place(key[~span].view(np.uint64))))
-                out.append([{"start": a, "end": b} for a, b in union(start[span], end[span])])
-            yield pa.record_batch([batch.column("id"), batch.column("h"), pa.array(out, kind), pa.array(asked, pa.list_(pa.int64()))], ["id", "h", "spans", "places"])
-
-    grouped = spans.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end", "asked")).alias("x"))
-    return grouped.mapInArrow(run, "id long, h long, spans array<struct<start:int,end:int>>, places array<long>")
-
-
-def union(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
-    """Spans that overlap or touch joined, in order."""
-    if not len(start):
-        return []
-    order = np.argsort(start, kind="stable")
-    start, reach = start[order], np.maximum.accumulate(end[order])
-    first = np.concatenate(([True], start[1:] > reach[:-1]))
-    return list(zip(start[first].tolist(), reach[np.append(np.flatnonzero(first)[1:], len(start)) - 1].tolist(), strict=True))
-
-
-def asked_places(merged: DataFrame) -> DataFrame:
-    """place_rows() of what merged_spans() asks for."""
+            text = batch.column("text")
+            for a, b in slices(text, BLOCK):
+                held.append((batch.column("id")[a:b], text[a:b]))
+                size += sum(pc.binary_length(text[a:b]).to_numpy())
+                if size >= BLOCK:
+                    yield made()
+                    held, size, number = [], 0, number + 1
+        if held:
+            yield made()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    rows.mapInArrow(run, _BLOCK).write.format("parquet").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
+@dataclass(frozen=True)
+class Plan:
+    """length, the cover's modulus and residues, the length of a sample's string, the bits of its hash that are compared, and those that choose a bucket."""
+
+    length: int
+    modulus: int
+    cover: tuple[int, ...]
+    key: int
+    bits: int
+    bucket_bits: int
+
+    @classmethod
+    def of(cls, n_bytes: int, length: int) -> Plan:
+        modulus, cover = difference_cover(length)
+        samples = max(1, n_bytes * len(cover) // modulus)
+        return cls(length, modulus, cover, length - modulus + 1, min(62, samples.bit_length() + 16), min(20, max(4, math.ceil(math.log2(samples / BUCKET + 1)))))
+
+
+class Lists:
+    """Keys in order, each once, dealt to buckets; and what is answered about them."""
+
+    def __init__(self, order: np.ndarray, new: np.ndarray, keys: np.ndarray, bits: int, plan: Plan):
+        """order sorts the items by key (and more); new says, in that order, where a list entry begins; keys are those of the entries."""
+        self.first, self.keys, self.shift = np.flatnonzero(new), keys, np.uint64(bits - plan.bucket_bits)
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.cumsum(new) - 1
+        self.bucket, self.begin = np.unique(keys >> self.shift, return_index=True)
+
+    def ranges(self) -> Iterator[tuple[int, int, int]]:
+        yield from zip(self.bucket.tolist(), self.begin.tolist(), [*self.begin[1:].tolist(), len(self.keys)][: len(self.begin)], strict=True)
+
+    def rows(self, block: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {c: [] for c in _DEALT}
+        for bucket, a, b in self.ranges():
+            found["bucket"].append(bucket)
+            found["block"].append(block)
+            found["keys"].append(pack_sorted(self.keys[a:b] - (np.uint64(bucket) << self.shift)))
+            for c in ("contexts", "ids", "flags"):
+                found[c].append(pack(columns[c][a:b]) if c in columns else None)
+        if found["bucket"]:
+            yield pa.record_batch([pa.array(found[c], t) for c, t in _DEALT.items()], list(_DEALT))
+
+    def answered(self, codes: dict[int, np.ndarray]) -> np.ndarray:
+        """The code of each item."""
+        out = np.zeros(len(self.keys), np.uint8)
+        for bucket, a, b in self.ranges():
+            if bucket in codes:
+                out[a:b] = codes[bucket]
+        return out[self.entry]
+
+
+_DEALT = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "contexts": pa.binary(), "ids": pa.binary(), "flags": pa.binary()}
+
+
+def _edges(*sorted_: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(sorted_[0]), bool)
+    new[:1] = True
+    for x in sorted_:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def _unsigned(ids: np.ndarray) -> np.ndarray:
+    """Ids as unsigned numbers in the same order."""
+    return ids.view(np.uint64) ^ np.uint64(1 << 63)
+
+
+class Work:
+    """A block's questions, and what follows from the answers. The same block gives the same questions again."""
+
+    def __init__(self, plan: Plan, b: Block):
+        self.plan, self.b = plan, b
+        sizes = np.diff(b.offsets)
+        mask = np.zeros(len(b.data), bool)
+        for k in np.flatnonzero(b.named & (sizes >= plan.length)).tolist():
+            start, end = int(b.offsets[k]), int(b.offsets[k + 1])
+            for c in plan.cover:
+                mask[start + c : end - plan.key + 1 : plan.modulus] = True
+        self.at = np.flatnonzero(mask)
+        self.rank = hash_at(b.data, self.at, plan.key) >> np.uint64(64 - plan.bits)
+        self.ids = _unsigned(b.ids[b.row(self.at)])
+
+    def samples(self) -> tuple[Lists, np.ndarray]:
+        """Step 1: the samples by rank, and which of them two ids of the block have."""
+        order = np.argsort(self.rank)
+        ranked, ids = self.rank[order], self.ids[order]
+        new = _edges(ranked)
+        first = np.flatnonzero(new)
+        lists = Lists(order, new, ranked[first], self.plan.bits, self.plan)
+        several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
+        return lists, several
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that hold a sample at an offset below the modulus, cut at the text's ends."""
+        back, size = self.plan.modulus - 1, self.plan.length + self.plan.modulus - 1
+        row = self.b.row(at)
+        start, end = self.b.offsets[row], self.b.offsets[row + 1]
+        whole = (at - back >= start) & (at - back + size <= end)
+        out = np.zeros(len(at), np.uint64)
+        out[whole] = hash_at(self.b.data, at[whole] - back, size)
+        power = np.array([pow(_R, j, 2**64) for j in range(size)], np.uint64)
+        cut = np.flatnonzero(~whole)
+        for k in range(0, len(cut), 10_000):
+            part = cut[k : k + 10_000]
+            place = at[part, None] - back + np.arange(size)
+            there = (place >= start[part, None]) & (place < end[part, None])
+            x = _values()[self.b.data[np.clip(place, 0, len(self.b.data) - 1)]] * there
+            shape = (np.maximum(start[part] - at[part] + back, 0) * size + np.minimum(end[part] - at[part], size)).astype(np.uint64)
+            out[part] = mix((x * power).sum(1, dtype=np.uint64) + mix(shape + np.uint64(1)))
+        return out
+
+    def ranked(self, codes: dict[int, np.ndarray]) -> None:
+        """After step 1: the ranked samples, by rank and context, or by both together where a rank is crowded."""
+        code = self.samples()[0].answered(codes)
+        known = np.flatnonzero(code)
+        self.at, rank, self.ids = self.at[known], self.rank[known], self.ids[known]
+        context, crowded = self.contexts(self.at), code[known] == 2
+        key = np.where(crowded, mix(rank ^ context) >> np.uint64(64 - self.plan.bits), rank)
+        order = np.lexsort((self.ids, context, key))
+        new = _edges(key[order], context[order])
+        first = order[new]
+        self.lists = Lists(order, new, key[first], self.plan.bits, self.plan)
+        self.columns = {"contexts": context[first], "ids": self.ids[first], "flags": crowded[first]}
+        self.later = self.ids > self.ids[first][self.lists.entry]
+
+    def windows(self, codes: dict[int, np.ndarray]) -> None:
+        """After step 2: the covered windows, and those still open."""
+        code = self.lists.answered(codes)
+        covered = self.later | (code == 1)
+        self.covered = self._windows_of(self.at[covered])
+        self.open = np.flatnonzero(self._windows_of(self.at[~covered & (code == 2)]) & ~self.covered)
+        h, self.ids = hash_at(self.b.data, self.open, self.plan.length), _unsigned(self.b.ids[self.b.row(self.open)])
+        order = np.lexsort((self.ids, h))
+        new = _edges(h[order])
+        first = order[new]
+        self.lists = Lists(order, new, h[first], 64, self.plan)
+        self.columns = {"ids": self.ids[first]}
+        self.later = self.ids > self.ids[first][self.lists.entry]
+
+    def _windows_of(self, at: np.ndarray) -> np.ndarray:
+        """A mask of the windows (by their first bytes) that hold the samples at an offset below the modulus."""
+        row = self.b.row(at)
+        first = np.maximum(at - self.plan.modulus + 1, self.b.offsets[row])
+        last = np.minimum(at, self.b.offsets[row + 1] - self.plan.length)
+        return _mask(first, last + 1, len(self.b.data))
+
+    def gone(self, codes: dict[int, np.ndarray]) -> np.ndarray:
+        """After step 3: a mask of the covered bytes."""
+        self.covered[self.open[self.later | (self.lists.answered(codes) == 1)]] = True
+        start = np.flatnonzero(self.covered)
+        return _mask(start, start + self.plan.length, len(self.b.data))
+
+
+def _mask(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    depth = np.bincount(start, minlength=n + 1).astype(np.int32)
+    depth -= np.bincount(end, minlength=n + 1).astype(np.int32)
+    return np.cumsum(depth, out=depth)[:n] > 0
+
+
+def each_block(table: DataFrame, answers: list[DataFrame], made: Callable, schema: str) -> DataFrame:
+    """What made(block, its number, answers by step as {bucket: codes}) gives for each block."""
+    names = ["block", "ids", "sizes", "data"]
+    if answers:
+        every = answers[0]
+        for more in answers[1:]:
+            every = every.unionByName(more)
+        table = table.join(every.groupBy("block").agg(F.collect_list(F.struct("step", "bucket", "codes")).alias("answers")), "block", "left")
+        names.append("answers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _place_batch(list(place_rows(np.unique(batch.column(0).flatten().to_numpy()), True)))
+            for k in range(len(batch)):
+                row = {c: batch.column(c)[k] for c in names}
+                ids, sizes = row["ids"].values, row["sizes"].values.to_numpy()
+                raw = zstandard.ZstdDecompressor().decompress(row["data"].as_py(), max_output_size=max(1, int(sizes.sum())))
+                codes: dict[int, dict[int, np.ndarray]] = {1: {}, 2: {}, 3: {}}
+                for x in (row["answers"].as_py() or ()) if "answers" in row else ():
+                    codes[x["step"]][x["bucket"]] = unpack(x["codes"]).astype(np.uint8)
+                block = Block(pc.fill_null(ids, 0).to_numpy(), np.asarray(ids.is_valid()), np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(raw, np.uint8))
+                yield from made(block, row["block"].as_py(), codes)
 
-    return merged.select("places").mapInArrow(run, _PLACES)
+    return table.select(*names).mapInArrow(run, schema)
 
 
-def context_rows(rows: DataFrame, shared, asked, length: int, key: int) -> DataFrame:
-    """(hash, id, h, first, context bytes) of the contexts that asked (a broadcast bitmap) lets through."""
+def settle(dealt: DataFrame, step: int, verdict: Callable) -> DataFrame:
+    """(block, step, bucket, codes): the answers of verdict(lists of keys, contexts, ids and flags of all blocks) for one bucket at a time. Lists with nothing to tell are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, texts, data, offsets, (h, row, first, last) in _parts(batch, length, key):
-                open_ = _bits(shared.value, _place(h))
-                h, row, first, last = h[open_], row[open_], first[open_], last[open_]
-                if len(h):
-                    wanted = _bits(asked.value, _place(_asked(_contexts(data, first, last, length), ids[row])))
-                    h, row, first, last = h[wanted], row[wanted], first[wanted], last[wanted]
-                raw = data.tobytes() if len(h) else b""
-                context = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(ids[row]), pa.array(texts.to_numpy()[row]), pa.array((first - offsets[row]).astype(np.int32)), pa.array(context, pa.binary())], ["hash", "id", "h", "first", "context"])
-
-    return rows.select("id", "h", "text").mapInArrow(run, "hash long, id long, h long, first int, context binary")
-
-
-def _covered(first: np.ndarray, hit: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of hits in the rows of a matrix: (row, start, end) in bytes, for windows that start at first + column."""
-    edge = np.diff(np.pad(hit.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, a = np.nonzero(edge == 1)
-    _, b = np.nonzero(edge == -1)
-    return row, first[row] + a, first[row] + b - 1 + length
-
+        held, bucket = [], None
 
-def sorted_buckets(dealt: DataFrame, length: int, crowded: int = CROWDED) -> DataFrame:
-    """(id, h, start, end, window): spans covered by windows that a smaller id has, with a null window; and, of crowded buckets, hashes of windows still to be compared with their places. dealt: context_rows(), whole buckets to a partition, sorted by hash and id.
+        def answer() -> Iterator[pa.RecordBatch]:
+            columns = [[unpack_sorted(r["keys"]) for r in held], *([None if r[c] is None else unpack(r[c]) for r in held] for c in ("contexts", "ids", "flags"))]
+            ends = np.cumsum([len(k) for k in columns[0]])
+            codes = np.split(verdict(*(np.concatenate(c) if c[0] is not None else None for c in columns), ends), ends[:-1])
+            told = [(r["block"], pack(c)) for r, c in zip(held, codes, strict=True) if c.any()]
+            if told:
+                block, packed = zip(*told, strict=True)
+                yield pa.record_batch([pa.array(block, pa.int64()), pa.array([step] * len(told), pa.int32()), pa.array([bucket] * len(told), pa.int32()), pa.array(packed, pa.binary())], ["block", "step", "bucket", "codes"])
 
-    A bucket of up to crowded rows is settled here. Of a larger one, rows are read as they come and each lot of crowded
-    rows gives its windows, those of the smallest id in the lot only; held_windows() compares them across lots.
-    """
-
-    def settle(f: pd.DataFrame, all_known: bool) -> Iterator[pd.DataFrame]:
-        sizes = np.fromiter(map(len, f["context"]), np.int64, len(f))
-        data = np.frombuffer(b"".join(f["context"]), np.uint8)
-        at = np.concatenate(([0], np.cumsum(sizes)))
-        windows = sizes - length + 1
-        of = np.repeat(np.arange(len(f)), windows)
-        column = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        h = rolling(data, length)[at[of] + column]
-        ids, texts, first = f["id"].to_numpy(np.int64), f["h"].to_numpy(np.int64), f["first"].to_numpy(np.int64)
-        order = np.lexsort((ids[of], h))
-        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
-        smallest = np.empty(len(of), np.int64)
-        smallest[order] = ids[of][order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        hit = np.zeros((len(f), int(windows.max())), bool)
-        hit[of, column] = smallest < ids[of]
-        row, start, end = _covered(first, hit, length)
-        yield pd.DataFrame({"id": ids[row], "h": texts[row], "start": start.astype(np.int32), "end": end.astype(np.int32), "window": pd.array([None] * len(row), "Int64")})
-        if not all_known:
-            left = np.flatnonzero(smallest == ids[of])
-            start = first[of[left]] + column[left]
-            yield pd.DataFrame({"id": ids[of[left]], "h": texts[of[left]], "start": start.astype(np.int32), "end": (start + length).astype(np.int32), "window": pd.array(h[left].view(np.int64), "Int64")})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, going = [], 0, None  # going: the crowded bucket that is being read
-        for f in (f.iloc[k : k + crowded] for f in frames for k in range(0, len(f), crowded)):
-            held.append(f)
-            size += len(f)
-            if size < crowded:
-                continue
-            f = pd.concat(held, ignore_index=True)
-            bucket = f["hash"].to_numpy()
-            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(f)]
-            a, tail = 0, cuts[-2]
-            if going is not None and bucket[0] == going:
-                a = cuts[1]
-                yield from settle(f.iloc[:a], False)
-            if a < tail:
-                yield from settle(f.iloc[a:tail], True)
-            rest = f.iloc[max(a, tail) :]
-            if len(rest) >= crowded:
-                yield from settle(rest, False)
-                going, rest = bucket[-1], rest.iloc[:0]
-            elif a < len(f):
-                going = None
-            held, size = [rest], len(rest)
-        f = pd.concat(held, ignore_index=True) if size else None
-        if f is not None:
-            mine = f["hash"].to_numpy() == going if going is not None else np.zeros(len(f), bool)
-            for part, known in ((f[mine], False), (f[~mine], True)):
-                if len(part):
-                    yield from settle(part, known)
-
-    return dealt.mapInPandas(run, "id long, h long, start int, end int, window long")
-
-
-def held_windows(windows: DataFrame) -> DataFrame:
-    """(id, h, start, end) of the rows of (id, h, start, end, window) whose window a smaller id has. Smallest ids are partly found before the shuffle, so a window of very many rows is no load for one task."""
-    least = windows.groupBy("window").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select(F.col("window").alias("of"), "least")
-    return windows.join(least, F.col("window") == F.col("of")).where("least < id").select("id", "h", "start", "end")
-
-
-def cut_out(texts: DataFrame) -> DataFrame:
-    """texts: (id, packed, spans): compressed bytes without their spans, (id, n_bytes, n_removed, n_spans, kept_sha256, kept)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for packed, spans in zip(batch.column("packed"), batch.column("spans"), strict=True):
-                text = bz2.decompress(packed.as_py())
-                found = spans.as_py() or ()
-                merged = union(np.array([x["start"] for x in found], np.int64), np.array([x["end"] for x in found], np.int64))
-                ends = [0, *(x for s in merged for x in s), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
-                out.append((len(text), len(text) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.record_batch([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return texts.select("id", "packed", "spans").mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, key: int = KEY, crowded: int = CROWDED) -> DataFrame:
+            for k in range(len(batch)):
+                r = {c: batch.column(c)[k].as_py() for c in _DEALT}
+                if held and r["bucket"] != bucket:
+                    yield from answer()
+                    held = []
+                bucket = r["bucket"]
+                held.append(r)
+        if held:
+            yield from answer()
+
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, step int, bucket int, codes binary")
+
+
+def rank_samples(keys, contexts, ids, flags, ends) -> np.ndarray:
+    """1 for samples that two ids have, 2 for those of CROWDED blocks or more."""
+    order = np.argsort(keys)
+    new = _edges(keys[order])
+    entry = np.empty(len(keys), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    blocks, several = np.bincount(entry), np.bincount(entry, weights=flags) > 0
+    return (np.where(blocks >= CROWDED, 2, (several | (blocks > 1)).astype(np.int8))[entry]).astype(np.uint8)
+
+
+def sort_contexts(keys, contexts, ids, flags, ends) -> np.ndarray:
+    """1 where a smaller id has the key with the same context, 2 for the smallest ids of a context whose key has others too, or is crowded."""
+    order = np.lexsort((ids, contexts, keys))
+    new_key = _edges(keys[order])
+    new = new_key | _edges(contexts[order])
+    entry, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
+    least = ids[order][np.flatnonzero(new)][entry]
+    several = np.bincount(of_key[np.flatnonzero(new)])[of_key] > 1
+    out = np.empty(len(keys), np.uint8)
+    out[order] = np.where(ids[order] > least, 1, np.where(several | (flags[order] > 0), 2, 0))
+    return out
+
+
+def sort_windows(keys, contexts, ids, flags, ends) -> np.ndarray:
+    """1 for windows that a smaller id has."""
+    order = np.lexsort((ids, keys))
+    new = _edges(keys[order])
+    out = np.empty(len(keys), np.uint8)
+    out[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller id.
 
     One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per input row. Texts are UTF-8 bytes, a null text is
     empty; matches never cross documents, overlaps count, and strings are judged on the input. Rows with equal ids are
-    not repeats of each other. A row with a null id keeps its text and is nobody's earlier document.
+    not repeats of each other. A row with a null id keeps its text and is nobody's earlier document. Other columns are not looked at. A block's
+    text and its samples are in memory at once, so that a text of 100 MB takes a task about 1 GB.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    named = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= length))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(merge_bitmap(shared_places(named, length, key), False))
-    dealt = bucket_rows(named, shared, length, key).repartition("hash").sortWithinPartitions("hash", "context", "id")
-    settled = materialize(merged_spans(same_contexts(dealt, length)), "settled-spans")
-    asked = context.broadcast(merge_bitmap(asked_places(settled), True))
-    fetched = context_rows(named, shared, asked, length, key).repartition("hash").sortWithinPartitions("hash", "id")
-    sorted_ = materialize(sorted_buckets(fetched, length, crowded), "sorted-buckets")
-    found = sorted_.where("window IS NULL").select("id", "h", "start", "end").unionByName(held_windows(sorted_.where("window IS NOT NULL")))
-    ends = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    nothing = F.array().cast("array<struct<start:int,end:int>>")
-    both = settled.select("id", "h", "spans").join(ends, ["id", "h"], "full_outer")
-    spans = both.select("id", "h", F.concat(F.coalesce("spans", nothing), F.coalesce("more", nothing)).alias("spans"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.slice(a, 1000)
-                yield pa.record_batch([part.column("id"), part.column("h"), pa.array([bz2.compress(x.as_py().encode(), 1) for x in part.column("text")], pa.binary())], ["id", "h", "packed"])
-
-    packed = rows.select("id", "h", "text").mapInArrow(pack, "id long, h long, packed binary")
-    return cut_out(packed.join(spans, ["id", "h"], "left"))
+    if length < 5:
+        raise ValueError("length: 5 or more")
+    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    plan = Plan.of(n_bytes, length)
+    table = write_blocks(docs, id_col, text_col, min(20_000, max(8, -(-n_bytes // TABLE_BUCKET))))
+    dealt = ", ".join(f"{c} {'int' if c == 'bucket' else 'long' if c == 'block' else 'binary'}" for c in _DEALT)
+
+    def step_1(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        lists, several = Work(plan, b).samples()
+        yield from lists.rows(number, flags=several)
+
+    def step_2(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        (work := Work(plan, b)).ranked(codes[1])
+        yield from work.lists.rows(number, **work.columns)
+
+    def step_3(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        (work := Work(plan, b)).ranked(codes[1])
+        work.windows(codes[2])
+        yield from work.lists.rows(number, **work.columns)
+
+    def cut_out(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        (work := Work(plan, b)).ranked(codes[1])
+        work.windows(codes[2])
+        gone = work.gone(codes[3])
+        out = []
+        for named, id_, start, end in zip(b.named.tolist(), b.ids.tolist(), b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
+            hit = gone[start:end]
+            kept = b.data[start:end][~hit].tobytes()
+            out.append((id_ if named else None, end - start, end - start - len(kept), int(hit[:1].sum()) + int((hit[1:] & ~hit[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+    answers: list[DataFrame] = []
+    for number, ask, verdict in ((1, step_1, rank_samples), (2, step_2, sort_contexts), (3, step_3, sort_windows)):
+        answers.append(materialize(settle(each_block(table, answers, ask, dealt), number, verdict), f"answers-{number}"))
+    return each_block(table, answers, cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without the 50-byte strings that a smaller doc_id has; see remove_repeats() for nulls, ties and repeated rows."""
     return remove_repeats(documents(spark, sf_dir)).drop("kept").withColumnRenamed("id", "doc_id")

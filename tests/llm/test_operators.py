@@ -281,25 +281,49 @@ def test_op7(docs, none, texts):
     assert substrings.remove_repeats(none).count() == 0
 
 
-def test_op7_no_bucket_is_held(spark):
-    r = random.Random(7)
-    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
-    passage, ends = some(90), [some(40) for _ in range(25)]
-    rows = [(i, r.choice(ends) + some(r.randint(0, 9)) + passage + r.choice(ends) + some(r.randint(0, 30))) for i in range(300)]
+def brute_force_kept(rows):
     first, want = {}, {}
-    for i, t in rows:
+    for i, t in sorted(rows):
         gone = set()
         for k in range(len(t) - 49):
             if first.setdefault(t[k : k + 50], i) < i:
                 gone |= set(range(k, k + 50))
         want[i] = hashlib.sha256("".join(c for k, c in enumerate(t) if k not in gone).encode()).hexdigest()
+    return want
+
+
+@pytest.mark.parametrize("crowded", [2, 64])
+def test_op7_repeats_at_all_offsets(spark, monkeypatch, crowded):
+    r = random.Random(7)
+    some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, ends, long = some(90), [some(40) for _ in range(25)], some(2000)
+    rows = [(i, r.choice(ends) + some(r.randint(0, 9)) + passage + r.choice(ends) + some(r.randint(0, 30))) for i in range(300)]
+    for i in range(300, 420):
+        a = r.randint(0, 1900)
+        rows.append((i, some(r.randint(0, 60)) + long[a : a + r.randint(45, 160)] + some(r.randint(0, 60))))
+    rows.append((500, "ab" * 400 + long[:60] + "ab" * 300))
+    rows.append((501, "b" + "ab" * 100))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
-    try:
-        for crowded in (5, 64, 20_000):
-            assert {x["id"]: x["kept_sha256"] for x in substrings.remove_repeats(df, crowded=crowded).collect()} == want
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(substrings, "CROWDED", crowded)
+    monkeypatch.setattr(substrings, "BLOCK", 3000)
+    monkeypatch.setattr(substrings, "STEP", 777)
+    assert {x["id"]: x["kept_sha256"] for x in substrings.remove_repeats(df).collect()} == brute_force_kept(rows)
+
+
+def test_op7_covers():
+    for v, cover in substrings.COVERS.items():
+        assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+    r = np.random.default_rng(2)
+    for x in (np.zeros(0, np.uint64), np.array([5], np.uint64), r.integers(0, 2**63, 1000).astype(np.uint64), np.zeros(9, np.uint64)):
+        assert (substrings.unpack(substrings.pack(x)) == x).all() and (substrings.unpack_sorted(substrings.pack_sorted(np.sort(x))) == np.sort(x)).all()
+
+
+def test_op7_long_text(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(3_000_000))
+    rows = [(2, long + "x" * 10), (1, long[1_000_000:2_000_000]), (3, "y" + long), (4, None)]
+    got = {x["id"]: (x["n_bytes"], x["n_removed"], x["n_spans"]) for x in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1_000_000, 0, 0), 2: (3_000_010, 1_000_000, 1), 3: (3_000_001, 3_000_000, 1), 4: (0, 0, 0)}
 
 
 def test_op8_alignment():
