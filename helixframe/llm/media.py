@@ -2,7 +2,7 @@
 
 A payload is stored as the samples of a binary grey-scale image (PGM, 64 samples a row, 8 bits each). The image is cut
 where a rolling gear hash of its last 32 bytes has its top bits zero, so equal passages give equal chunks wherever they
-stand. A chunk is named by the first 16 bytes of its SHA-256. Three tables come of it: manifests (payload -> ordered digests), the chunk store
+stand. A chunk is named by the first bytes of its SHA-256. Three tables come of it: manifests (payload -> ordered digests), the chunk store
 (digest -> compressed bytes, each once) and, read back, the media rebuilt from both and checked against the manifest.
 """
 
@@ -26,6 +26,10 @@ ROW = 64
 LEAST, AVERAGE_BITS, MOST = 256, 10, 65536
 #: Bytes worked on at once (a longer payload is still taken whole).
 PART = 4 << 20
+#: Compressed bytes of payloads that make up a pack of the store.
+PACK = 200_000
+#: Bytes of SHA-256 that name a payload and a chunk.
+KEY_BYTES, DIGEST_BYTES = 16, 12
 GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -65,7 +69,7 @@ def cut_points(data: np.ndarray, least: int = LEAST, bits: int = AVERAGE_BITS, m
 
 
 def digest(chunk: bytes) -> bytes:
-    return hashlib.sha256(chunk).digest()[:16]
+    return hashlib.sha256(chunk).digest()[:DIGEST_BYTES]
 
 
 def _chunks(payload: bytes) -> tuple[bytes, list[bytes]]:
@@ -74,21 +78,25 @@ def _chunks(payload: bytes) -> tuple[bytes, list[bytes]]:
     return media, [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def payload_key(payload: bytes) -> bytes:
+    return hashlib.sha256(payload).digest()[:KEY_BYTES]
+
+
 def manifests(payloads: DataFrame) -> DataFrame:
-    """payloads: (payload binary). One row per distinct payload: (payload_key, media_sha256, media_bytes, digests, sizes); keys are SHA-256 in binary, digests and sizes those of the chunks in order."""
+    """payloads: (payload binary). One row per distinct payload: (payload_key, media_sha256, digests, sizes); digests and sizes are those of the chunks of its medium, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0), PART):
                 out = {}
                 for payload in (x.as_py() for x in batch.column(0)[a:b]):
-                    if (key := hashlib.sha256(payload).digest()) not in out:
+                    if (key := payload_key(payload)) not in out:
                         media, chunks = _chunks(payload)
-                        out[key] = (hashlib.sha256(media).digest(), len(media), [digest(c) for c in chunks], [len(c) for c in chunks])
-                sha, size, digests, sizes = zip(*out.values(), strict=True) if out else ((),) * 4
-                yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))], ["payload_key", "media_sha256", "media_bytes", "digests", "sizes"])
+                        out[key] = (hashlib.sha256(media).digest(), [digest(c) for c in chunks], [len(c) for c in chunks])
+                sha, digests, sizes = zip(*out.values(), strict=True) if out else ((),) * 3
+                yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(sha, pa.binary()), pa.array(digests, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))], ["payload_key", "media_sha256", "digests", "sizes"])
 
-    return payloads.select("payload").mapInArrow(run, "payload_key binary, media_sha256 binary, media_bytes long, digests array<binary>, sizes array<int>").dropDuplicates(["payload_key"])
+    return payloads.select("payload").mapInArrow(run, "payload_key binary, media_sha256 binary, digests array<binary>, sizes array<int>").dropDuplicates(["payload_key"])
 
 
 def chunk_holders(listed: DataFrame) -> DataFrame:
@@ -98,22 +106,25 @@ def chunk_holders(listed: DataFrame) -> DataFrame:
     return each.join(held.select("digest", "holder"), "digest")
 
 
-def _pack(media: bytes, digests: list[bytes], sizes: list[int], foreign: set[bytes]) -> tuple[list[bytes], list[int], bytes]:
-    """Digests, sizes and bytes of the chunks that a pack stores: each once, without those that others hold."""
-    own, lengths, data, at = {}, [], [], 0
+_STORE = "media array<struct<payload_key:binary,media_sha256:binary,digests:array<binary>,sizes:array<int>,foreign:array<binary>,lent:array<binary>>>, data binary"
+
+
+def _own(digests: list[bytes], sizes: list[int], foreign: list[bytes] | None) -> Iterator[tuple[bytes, int, int]]:
+    """(digest, start, end) of the chunks that a pack stores: each once, without those that others hold."""
+    seen, at = set(foreign or ()), 0
     for d, n in zip(digests, sizes, strict=True):
-        if d not in own and d not in foreign:
-            own[d] = None
-            lengths.append(n)
-            data.append(media[at : at + n])
+        if d not in seen:
+            seen.add(d)
+            yield d, at, at + n
         at += n
-    return list(own), lengths, b"".join(data)
 
 
 def chunk_packs(payloads: DataFrame, listed: DataFrame, holders: DataFrame) -> DataFrame:
-    """The chunk store: (payload_key, own, sizes, data). Each distinct chunk of all payloads is stored once, in the pack of its holder; the chunks of a pack (digests own, in order, with their sizes) are compressed together.
+    """The chunk store, a row per pack: (media, data). Each distinct chunk of all payloads is stored once, in the pack of its holder.
 
-    Each distinct payload is shuffled once, compressed; copies within a batch meet before.
+    media describes the payloads of the pack: their chunks in order, which of them others hold (foreign) and which others
+    borrow (lent); data holds the chunks that are not foreign, end to end, compressed together. Each distinct payload is
+    shuffled once, compressed; copies within a batch meet before.
     """
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,69 +132,103 @@ def chunk_packs(payloads: DataFrame, listed: DataFrame, holders: DataFrame) -> D
             for a, b in slices(batch.column(0), PART):
                 out = {}
                 for payload in (x.as_py() for x in batch.column(0)[a:b]):
-                    if (key := hashlib.sha256(payload).digest()) not in out:
+                    if (key := payload_key(payload)) not in out:
                         out[key] = bz2.compress(to_media(payload), 1)
                 yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], ["payload_key", "packed"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("packed"), PART):
-                out = []
-                for key, packed, digests, sizes, foreign in zip(*(batch.column(c)[a:b].to_pylist() for c in ("payload_key", "packed", "digests", "sizes", "foreign")), strict=True):
-                    if foreign or len(set(digests)) < len(digests):
-                        digests, sizes, data = _pack(bz2.decompress(packed), digests, sizes, set(foreign or ()))
-                        packed = bz2.compress(data, 1)
-                    out.append((key, digests, sizes, packed))
-                key, own, sizes, data = zip(*out, strict=True) if out else ((),) * 4
-                yield pa.record_batch([pa.array(key, pa.binary()), pa.array(own, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["payload_key", "own", "sizes", "data"])
+            for a, b in slices(batch.column("packed"), PACK):
+                part = batch.slice(a, b - a)
+                data = []
+                for packed, digests, sizes, foreign in zip(*(part.column(c).to_pylist() for c in ("packed", "digests", "sizes", "foreign")), strict=True):
+                    media = bz2.decompress(packed)
+                    data += [media[x:y] for _, x, y in _own(digests, sizes, foreign)]
+                rows = pa.StructArray.from_arrays([part.column(c) for c in _FIELDS], _FIELDS)
+                listed = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows)
+                yield pa.record_batch([listed, pa.array([bz2.compress(b"".join(data), 9)], pa.binary())], ["media", "data"])
 
     shipped = payloads.select("payload").mapInArrow(ship, "payload_key binary, packed binary").dropDuplicates(["payload_key"])
     foreign = holders.where("holder <> payload_key").groupBy("payload_key").agg(F.collect_list("digest").alias("foreign"))
-    info = listed.select("payload_key", "digests", "sizes").join(foreign, "payload_key", "left")
-    return shipped.join(info, "payload_key").select("payload_key", "packed", "digests", "sizes", "foreign").mapInArrow(pack, "payload_key binary, own array<binary>, sizes array<int>, data binary")
+    lent = holders.where("holder = payload_key").groupBy("payload_key").agg(F.collect_list("digest").alias("lent"))
+    full = shipped.join(listed, "payload_key").join(foreign, "payload_key", "left").join(lent, "payload_key", "left")
+    return full.select(*_FIELDS, "packed").mapInArrow(pack, _STORE)
 
 
-def rebuild(listed: DataFrame, packs: DataFrame, holders: DataFrame) -> DataFrame:
-    """Media of manifests from the store: (payload_key, media). A missing chunk, one with a wrong digest, or media that differ from their manifest raise.
+_FIELDS = ["payload_key", "media_sha256", "digests", "sizes", "foreign", "lent"]
 
-    Chunks that others hold are taken out of their packs and joined to the payloads that list them.
-    """
 
-    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column("data"), PART):
-                out = {}
-                for own, sizes, data, lent in zip(*(batch.column(c)[a:b].to_pylist() for c in ("own", "sizes", "data", "lent")), strict=True):
-                    there = _unpack(own, sizes, data)
-                    out |= {d: bz2.compress(there[d], 1) for d in lent}
-                yield pa.record_batch([pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())], ["digest", "chunk"])
+def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, dict[bytes, bytes]]]:
+    """Each payload of the packs, and its chunks in the store."""
+    for batch in batches:
+        for media, data in zip(batch.column("media"), batch.column("data"), strict=True):
+            raw, at = bz2.decompress(data.as_py()), 0
+            for x in media:
+                m, there = x.as_py(), {}
+                for d, a, b in _own(m["digests"], m["sizes"], m["foreign"]):
+                    there[d] = raw[at : at + b - a]
+                    at += b - a
+                yield m, there
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column("data"), PART):
-                keys, media = batch.column("payload_key")[a:b], []
-                for sha, digests, own, sizes, data, borrowed in zip(*(batch.column(c)[a:b].to_pylist() for c in ("media_sha256", "digests", "own", "chunk_sizes", "data", "borrowed")), strict=True):
-                    there = _unpack(own, sizes, data) | {x["digest"]: bz2.decompress(x["chunk"]) for x in borrowed or ()}
-                    if any(d not in there or digest(there[d]) != d for d in digests):
-                        raise ValueError("a chunk is missing or not what its digest says")
-                    media.append(b"".join(there[d] for d in digests))
-                    if hashlib.sha256(media[-1]).digest() != sha:
-                        raise ValueError("rebuilt media differ from their manifest")
-                yield pa.record_batch([keys, pa.array(media, pa.binary())], ["payload_key", "media"])
 
-    lent = holders.where("holder = payload_key").groupBy("payload_key").agg(F.collect_list("digest").alias("lent"))
-    chunks = packs.join(lent, "payload_key").select("own", "sizes", "data", "lent").mapInArrow(lend, "digest binary, chunk binary")
-    borrowed = holders.where("holder <> payload_key").select("payload_key", "digest").join(chunks, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("digest", "chunk")).alias("borrowed"))
-    stored = packs.select("payload_key", "own", F.col("sizes").alias("chunk_sizes"), "data")
-    full = listed.select("payload_key", "media_sha256", "digests").join(stored, "payload_key", "left").join(borrowed, "payload_key", "left")
-    return full.mapInArrow(run, "payload_key binary, media binary")
+def _joined(m: dict, there: dict[bytes, bytes]) -> bytes:
+    if any(d not in there or digest(there[d]) != d for d in m["digests"]):
+        raise ValueError("a chunk is missing or not what its digest says")
+    media = b"".join(there[d] for d in m["digests"])
+    if hashlib.sha256(media).digest() != m["media_sha256"]:
+        raise ValueError("rebuilt media differ from their manifest")
+    return media
+
 
+def _lots(rows: Iterator[tuple], kinds: list[pa.DataType], names: list[str], most: int = PART) -> Iterator[pa.RecordBatch]:
+    """Record batches of rows whose last values are about most bytes together."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if size >= most:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+            held, size = [], 0
+    if held:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
 
-def _unpack(own: list[bytes] | None, sizes: list[int] | None, data: bytes | None) -> dict[bytes, bytes]:
-    if data is None:
-        return {}
-    raw, ends = bz2.decompress(data), np.cumsum([0, *sizes]).tolist()
-    return {d: raw[a:b] for d, a, b in zip(own, ends, ends[1:], strict=False)}
+
+def rebuild(packs: DataFrame, holders: DataFrame) -> DataFrame:
+    """Media of all payloads, read from the store: (payload_key, media). A missing chunk, one with a wrong digest, or media that differ from their manifest raise.
+
+    Chunks that others hold are taken out of their packs and joined to the payloads that list them.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((m["payload_key"], _joined(m, there)) for m, there in _stored(batches) if not m["foreign"])
+        yield from _lots(rows, [pa.binary(), pa.binary()], ["payload_key", "media"])
+
+    def lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d, bz2.compress(there[d], 1)) for m, there in _stored(batches) for d in m["lent"] or ())
+        yield from _lots(rows, [pa.binary(), pa.binary()], ["digest", "chunk"])
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((m["payload_key"], m["media_sha256"], m["digests"], list(there), list(map(len, there.values())), bz2.compress(b"".join(there.values()), 1)) for m, there in _stored(batches) if m["foreign"])
+        yield from _lots(rows, [pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()], ["payload_key", "media_sha256", "digests", "own", "sizes", "data"])
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[bytes, bytes]]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    m = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                    raw, ends = bz2.decompress(m["data"]), np.cumsum([0, *m["sizes"]]).tolist()
+                    there = {d: raw[a:b] for d, a, b in zip(m["own"], ends, ends[1:], strict=False)}
+                    yield m["payload_key"], _joined(m, there | {x["digest"]: bz2.decompress(x["chunk"]) for x in m["borrowed"] or ()})
+
+        yield from _lots(rows(), [pa.binary(), pa.binary()], ["payload_key", "media"])
+
+    lends = F.exists("media", lambda m: m["lent"].isNotNull())
+    borrows = F.exists("media", lambda m: m["foreign"].isNotNull())
+    chunks = packs.where(lends).mapInArrow(lend, "digest binary, chunk binary")
+    borrowed = holders.where("holder <> payload_key").select("payload_key", "digest").join(chunks, "digest").groupBy("payload_key").agg(F.collect_list(F.struct("digest", "chunk")).alias("borrowed"))
+    parts = packs.where(borrows).mapInArrow(partly, "payload_key binary, media_sha256 binary, digests array<binary>, own array<binary>, sizes array<int>, data binary")
+    done = parts.join(borrowed, "payload_key", "left").mapInArrow(complete, "payload_key binary, media binary")
+    return packs.mapInArrow(whole, "payload_key binary, media binary").unionByName(done)
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -219,8 +264,9 @@ def media_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).alias("id"), payload.alias("payload"))
     listed = materialize(manifests(rows), "manifests")
     holders = materialize(chunk_holders(listed), "chunk-holders")
-    features = media_features(rebuild(listed, chunk_packs(rows, listed, holders), holders))
-    described = rows.select("id", F.octet_length("payload").cast("long").alias("n_bytes"), F.unhex(F.sha2("payload", 256)).alias("payload_key")).join(features, "payload_key")
+    packs = materialize(chunk_packs(rows, listed, holders), "chunk-packs")
+    features = media_features(rebuild(packs, holders))
+    described = rows.select("id", F.octet_length("payload").cast("long").alias("n_bytes"), F.substring(F.unhex(F.sha2("payload", 256)), 1, KEY_BYTES).alias("payload_key")).join(features, "payload_key")
     return described.drop("payload_key").withColumns({c: F.lower(F.hex(c)) for c in ("payload_sha256", "media_sha256")})
 
 
