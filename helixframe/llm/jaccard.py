@@ -1,19 +1,21 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
-Documents with one and the same shingle set are one class. Classes are compared in two steps:
-
-1. Similar classes are partitioned into groups. A class's shingles are dealt by hash into as many parts as two linked
-   sets can differ in, and a few more; two linked sets have one equal part at least (they differ in fewer shingles than
-   there are parts), so the hash of a part brings together all that can link, and little else: a passage or line that
-   many documents share makes no two parts equal. Classes that share a part, directly or through others, are a group, so
-   that links never leave a group. A large group has several rows of at most ROW classes on average.
-2. The token-group matrix holds each row's union of shingles and which class has which. Every class of a group is a query
-   to its own row and to those before it: its overlap with the row's union bounds its overlap with every member, and only
-   rows within the bound are opened and compared with all members at once, as products with the matrix.
-
-Whole sets are compared, so no link is wrong, and with parts none is lost. For low similarities, where parts would be too
-small, step 1 takes minhash bands instead. A task holds one row and a block of queries; what leaves it is a forest of
-the links found, not the links.
+Documents with one and the same shingle set are one class. Links between classes are found in three steps, each of which
+bounds overlaps before it opens anything:
+
+1. The union of all other classes bounds what a class can share with any: classes of whose shingles too many are their own
+   cannot link, and go no further. Which shingles several classes have is settled in buckets of shingle hashes (see blocks).
+2. The remaining classes are partitioned into groups of similar ones. A class's shingles are dealt by hash into as many
+   parts as two linked sets can differ in, and a few more; two linked sets have one equal part at least (they differ in
+   fewer shingles than there are parts). Each class is put to the least class of each of its parts; then, where classes
+   that share a part are not connected yet, groups are rows of at most ROW classes on average, and a class is a query to
+   the rows whose parts it shares. Shingles are sent to those rows only.
+3. A row of the token-group matrix holds the union of its members' shingles and which member has which. A query whose
+   overlap with the union is below what any member asks for does not open the row; else it is compared with all members at
+   once, as products with the matrix.
+
+Whole sets are compared, so no link is wrong, and none is lost. A task holds one row and a block of queries; what leaves it
+is a forest of the links found, not the links.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.llm.blocks import DEALT, Block, Lists, bucket_bits, each_block, edges, key_bits, known_keys, settle, text_bytes, write_blocks
 from helixframe.llm.components import components
 from helixframe.llm.shingles import mix, shingle_sets
 from helixframe.llm.storage import documents, materialize
@@ -35,10 +38,6 @@ from helixframe.llm.vectors import whole_groups
 
 #: Parts beyond those that the pigeonhole principle asks for: so many parts may be empty in a set before empty parts are listed too.
 SPARE = 2
-#: Similarity in percent from which sets are dealt in parts; below it parts hold so few shingles that unlike sets share some by
-#: chance, and groups come from minhash bands. BANDS bands of DEPTH hashes miss a pair of similarity 0.8 with a chance of 7e-4,
-#: one of 0.85 with 1e-6, and join pairs of 0.3 with 4e-4.
-EXACT_FROM, BANDS, DEPTH = 87, 64, 10
 #: Classes in one row of the token-group matrix, and queries put to it at once, on average.
 ROW, BLOCK = 64, 256
 
@@ -73,74 +72,70 @@ def part_hashes(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-@lru_cache(1)
-def _factors() -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(23)
-    draw = lambda: r.integers(0, 2**32, (BANDS * DEPTH, 1), dtype=np.uint32)
-    return draw() | np.uint32(1), draw()
-
-
-def band_hashes(tokens: np.ndarray) -> np.ndarray:
-    """A hash of each band of the minhashes of a set."""
-    a, b = _factors()
-    short = (mix(tokens) >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint32).max, np.uint32)
-    for i in range(0, len(short), 512):
-        np.minimum(least, (a * short[None, i : i + 512] + b).min(1), out=least)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, DEPTH).T:
-        h = mix(h + column.astype(np.uint64))
-    return h
-
-
 def class_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
-    return shingle_sets(batch.column("text"), words)
-
-
-def classes(docs: DataFrame, words: int) -> DataFrame:
-    """docs: (id, text). One row (id, class, n_shingles) per row; class is null for sets without shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = _sets(batch, words)
-            yield pa.record_batch([batch.column("id"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "class", "n_shingles"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, class long, n_shingles long")
-
+class BlockSets:
+    """The shingle sets of a block's texts, and which of their shingles are to be asked about."""
+
+    def __init__(self, b: Block, words: int, bits: int, bucket: int):
+        self.sets = shingle_sets(b.texts(), words)
+        self.names = [class_of(s) for s in self.sets]
+        self.first = {c: k for k, c in reversed(list(enumerate(self.names))) if c is not None}  # a class is asked about once
+        self.asked = sorted(self.first.values())
+        tokens = np.concatenate([self.sets[k] for k in self.asked]) >> np.uint64(64 - bits) if self.asked else np.zeros(0, np.uint64)
+        order = np.argsort(tokens)
+        new = edges(tokens[order])
+        self.lists = Lists(order, new, tokens[order][new], bits, bucket)
+        self.several = np.diff(np.append(self.lists.first, len(tokens))) > 1
+
+    def survivors(self, codes: dict[int, np.ndarray], num: int, den: int) -> set[int]:
+        """Texts whose sets may link with one of another class: those of their shingles that some other class has are enough for it."""
+        code, at, out = self.lists.answered(codes), 0, set()
+        for k in self.asked:
+            n = len(self.sets[k])
+            if int((code[at : at + n] > 0).sum()) * den >= n * num:
+                out.add(k)
+            at += n
+        return out
+
+
+def shingle_rows(docs: DataFrame, n_bytes: int, words: int, num: int, den: int) -> DataFrame:
+    """docs: (id, text). One row (id, class, n_shingles, tokens) per row: class is null without shingles, and tokens is null for all sets that cannot link with another class.
+
+    A set that links shares num / den of its shingles at least with the other one, so it needs as many that the union of
+    all other classes holds. That bound is met by few; the shingles of all others are not moved.
+    """
+    table = write_blocks(docs, n_bytes)
+    tokens = max(1, n_bytes // 5)
+    bits, bucket = key_bits(tokens), bucket_bits(tokens)
 
-def parts(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(part, class) of all sets; copies within a batch are listed once."""
+    def ask(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        held = BlockSets(b, words, bits, bucket)
+        yield from held.lists.rows(number, flags=held.several)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, hashes, sizes = {}, [], []
-            for s in _sets(batch, words):
-                if len(s) and (c := class_of(s)) not in seen:
-                    seen[c] = True
-                    hashes.append(part_hashes(s, num, den) if num * 100 >= EXACT_FROM * den else band_hashes(s))
-                    sizes.append(len(hashes[-1]))
-            own = np.repeat(np.fromiter(seen, np.int64, len(seen)), np.array(sizes, np.int64)) if seen else np.zeros(0, np.int64)
-            every = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
-            for a in range(0, len(own), 100_000):
-                yield pa.record_batch([pa.array(every[a : a + 100_000]), pa.array(own[a : a + 100_000])], ["part", "class"])
+    def tell(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        held = BlockSets(b, words, bits, bucket)
+        alive = held.survivors(codes[1], num, den)
+        yield pa.record_batch([b.ids, pa.array(held.names, pa.int64()), pa.array([len(s) for s in held.sets], pa.int64()), pa.array([s.view(np.int64) if k in alive else None for k, s in enumerate(held.sets)], pa.list_(pa.int64()))], ["id", "class", "n_shingles", "tokens"])
 
-    return docs.select("id", "text").mapInArrow(run, "part long, class long")
+    answers = materialize(settle(each_block(table, [], ask, DEALT), 1, known_keys), "shared-shingles")
+    return each_block(table, [answers], tell, f"id {docs.schema['id'].dataType.simpleString()}, class long, n_shingles long, tokens array<long>")
 
 
-def token_sets(docs: DataFrame, words: int) -> DataFrame:
-    """docs: (id, text), a row per class. (class, tokens array<long>)."""
+def parts(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(part, class) of the sets (class, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 500):
-                sets = [s for s in _sets(batch.slice(a, 500), words) if len(s)]
-                yield pa.record_batch([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["class", "tokens"])
+                held = batch.slice(a, 500)
+                hashes = [part_hashes(t.values.to_numpy().view(np.uint64), num, den) for t in held.column("tokens")]
+                own = np.repeat(held.column("class").to_numpy(), [len(h) for h in hashes])
+                yield pa.record_batch([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(own)], ["part", "class"])
 
-    return docs.select("id", "text").mapInArrow(run, "class long, tokens array<long>")
+    return sets.mapInArrow(run, "part long, class long").distinct()
 
 
 def open_rows(queries: list[np.ndarray], members: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -181,8 +176,8 @@ def forest(links: list[tuple[int, int]]) -> dict[int, int]:
     return {x: find(x) for x in root}
 
 
-def row_links(placed: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v) links of a forest from placed (class, tokens, group, row, block, role): role 1 for a query, 2 for a member, 3 for both."""
+def row_links(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) links of a forest from placed (class, group, row, block, role): role 1 for a query, 2 for a member. Tokens are joined to what is placed, and only to that."""
     keys = ["group", "row", "block"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,46 +189,67 @@ def row_links(placed: DataFrame, num: int, den: int) -> DataFrame:
                 asks, held = a + np.flatnonzero(role[a:b] & 1), a + np.flatnonzero(role[a:b] & 2)
                 if len(asks) and len(held):
                     found = open_rows([tokens[i] for i in asks], [tokens[i] for i in held], num, den)
-                    tree = forest([(int(names[asks[q]]), int(names[held[m]])) for q, m in found if asks[q] != held[m]])
+                    tree = forest([(int(names[asks[q]]), int(names[held[m]])) for q, m in found if names[asks[q]] != names[held[m]]])
                     out += [(u, v) for u, v in tree.items() if u != v]
             if out:
                 yield pd.DataFrame(out, columns=["u", "v"])
 
-    dealt = placed.repartition(*keys).sortWithinPartitions(*keys)
+    dealt = placed.join(sets, "class").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.select("class", "tokens", *keys, "role").mapInPandas(run, "u long, v long")
 
 
+def put_queries(queries: DataFrame, members: DataFrame) -> DataFrame:
+    """queries (class, group, row) and members (class, group, row) of rows, placed for row_links(): the queries of a row in blocks of BLOCK on average, and its members in each of them. Rows without queries stay closed."""
+    n = queries.groupBy("group", "row").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"))
+    block = F.pmod(F.xxhash64("class", F.lit(2)), F.col("n")).cast("int").alias("block")
+    asks = queries.join(n, ["group", "row"]).select("class", "group", "row", block, F.lit(1).alias("role"))
+    held = members.join(n, ["group", "row"]).select("class", "group", "row", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"), F.lit(2).alias("role"))
+    return asks.unionByName(held)
+
+
+def class_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) links between the sets (class, tokens), such that sets connected by links of num / den or more are connected, and only those.
+
+    Classes that share a part are candidates. First each is put to the least class of each of its parts; what that connects
+    is one component, whose members need not meet again. Then, for parts with several components, classes are partitioned
+    into rows by their least part-mate, and a class is a query to each row that shares a part with it in another component.
+    """
+    listed = parts(sets, num, den)
+    ends = listed.groupBy("part").agg(F.min("class").alias("pivot"), F.max("class").alias("last")).where("pivot < last").select("part", "pivot")
+    shared = materialize(listed.join(ends, "part"), "shared-parts")
+    star = materialize(shared.where("pivot < class").select("class", F.col("pivot").alias("group"), F.lit(0).alias("row")).distinct(), "stars-of-parts")
+    first = materialize(row_links(put_queries(star, star.select(F.col("group").alias("class"), "group", "row").distinct()), sets, num, den), "pivot-links")
+    known = components(first)
+    marked = shared.join(known.withColumnRenamed("node", "class"), "class", "left").select("part", "class", "pivot", F.coalesce("component", "class").alias("one"))
+    several = marked.groupBy("part").agg(F.min("one").alias("a"), F.max("one").alias("b")).where("a < b").select("part")
+    open_ = materialize(marked.join(several, "part"), "open-parts")
+    home = open_.groupBy("class").agg(F.min("pivot").alias("group"), F.min("one").alias("one"))
+    n = home.groupBy("group").agg(F.ceil(F.count("*") / ROW).cast("int").alias("n"))
+    home = materialize(home.join(n, "group").select("class", "one", "group", F.pmod(F.xxhash64("class", F.lit(1)), F.col("n")).cast("int").alias("row")), "rows-of-classes")
+    placed = open_.select("part", "class").join(home, "class")
+    unions = placed.groupBy("part", "group", "row").agg(F.min("one").alias("a"), F.max("one").alias("b"))
+    own = placed.select("part", "class", "one", F.col("group").alias("own_group"), F.col("row").alias("own_row"))
+    other = ~((F.col("a") == F.col("b")) & (F.col("a") == F.col("one")))
+    # Of two rows, the classes of the later one are the queries.
+    queries = own.join(unions, "part").where(other & (F.struct("group", "row") <= F.struct(F.col("own_group").alias("group"), F.col("own_row").alias("row")))).select("class", "group", "row").distinct()
+    second = row_links(put_queries(materialize(queries, "queries"), home.select("class", "group", "row")), sets, num, den)
+    return first.unionByName(second)
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """Link rows whose sets of word shingles have a Jaccard similarity of num / den or more.
+    """Link rows whose sets of word shingles have a Jaccard similarity of num / den or more. No link is lost at any similarity.
 
     Returns (id, n_shingles, component_id), one row per input row; component_id is the smallest id reachable, the row's own
-    where nothing links. From a similarity of EXACT_FROM percent on no link is lost; for lower ones see BANDS. Words are runs of anything but ASCII white space, A-Z as a-z. A text with fewer words has them
+    where nothing links. Words are runs of anything but ASCII white space, A-Z as a-z. A text with fewer words has them
     all as one shingle; a null or wordless text has none and links with nothing. Rows with equal sets link. Null ids keep
     their row and are no component's smallest id. Sets are compared by 64-bit hashes of their shingles.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    by_row = materialize(classes(rows, words), "classes")
+    seen = materialize(shingle_rows(rows, text_bytes(docs, text_col), words, num, den), "shingles")
+    by_row = seen.select("id", "class", "n_shingles")
     firsts = materialize(by_row.where(F.col("class").isNotNull()).groupBy("class").agg(F.min("id").alias("first")), "class-ids")
-    together = Window.partitionBy("part")
-    met = parts(rows, words, num, den).select("class", F.min("class").over(together).alias("pivot"))
-    groups = components(met.where("pivot < class").select(F.col("class").alias("u"), F.col("pivot").alias("v"))).select(F.col("node").alias("class"), F.col("component").alias("group"))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    n_rows, n_blocks = F.ceil(F.col("n") / ROW).cast("int"), F.ceil(F.col("n") / BLOCK).cast("int")
-    spot = lambda seed, n: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
-    groups = materialize(groups.join(sizes, "group").select("class", "group", spot(1, n_rows).alias("row"), spot(2, n_blocks).alias("block"), n_blocks.alias("n_blocks")), "groups")
-
-    named = groups.join(firsts, "class").select("class", F.col("first").alias("of"))
-    reps = rows.join(named.where("of IS NOT NULL"), F.col("id") == F.col("of"), "left_semi")
-    if not named.where("of IS NULL").isEmpty():  # classes of which no row has an id
-        reps = reps.unionByName(rows.where(F.col("id").isNull()))
-    sets = token_sets(reps, words).join(groups, "class").dropDuplicates(["class"])
-    here = F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda b: F.struct(F.col("row").alias("row"), b.alias("block"), F.when(b == F.col("block"), 3).otherwise(2).alias("role")))
-    before = F.when(F.col("row") > 0, F.transform(F.sequence(F.lit(0), F.col("row") - 1), lambda r: F.struct(r.alias("row"), F.col("block").alias("block"), F.lit(1).alias("role"))))
-    spots = F.explode(F.concat(here, F.coalesce(before, F.slice(here, 1, 0)))).alias("at")
-    placed = sets.select("class", "tokens", "group", spots).select("class", "tokens", "group", "at.row", "at.block", "at.role")
-    links = materialize(row_links(placed, num, den), "links")
-
-    joined = components(links)
+    sets = materialize(seen.where("tokens IS NOT NULL").select("class", "tokens").dropDuplicates(["class"]), "sets")
+    joined = components(materialize(class_links(sets, num, den), "links"))
     named = firsts.join(joined, F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("smallest"))
     final = named.join(least, "component").select(F.col("class").alias("of"), "smallest")
@@ -241,4 +257,5 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by word 3-grams at a similarity of 0.9; see jaccard_components() for nulls, ties and repeated rows."""
     return jaccard_components(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")

@@ -22,32 +22,23 @@ and windows to 64 bits.
 from __future__ import annotations
 
 import hashlib
-import math
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import as_bytes, mix, slices
-from helixframe.llm.storage import documents, materialize, shared_dir
+from helixframe.llm.blocks import BLOCK, CROWDED, DEALT, Block, Lists, bucket_bits, each_block, edges, key_bits, known_keys, settle, text_bytes, unsigned, write_blocks
+from helixframe.llm.shingles import mix
+from helixframe.llm.storage import documents, materialize
 
 LENGTH = 50
 #: Perfect difference sets by their modulus.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
-#: Bytes of text in a block (a longer text is a block of its own), and in a bucket of the table of blocks.
-BLOCK, TABLE_BUCKET = 2 << 20, 16 << 20
-#: Samples in one suffix bucket, which a task sorts in memory, on average.
-BUCKET = 3 << 19
-#: A sample that so many blocks have is crowded: its contexts are dealt by themselves, not by rank.
-CROWDED = 64
 #: Positions hashed at once.
 STEP = 1 << 19
 _R = 0x9E3779B97F4A7C15
@@ -93,75 +84,6 @@ def hash_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 on, as planes of bytes, compressed."""
-    x = x.astype(np.uint64, copy=False)
-    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return bytes([width]) + len(x).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def unpack(b: bytes) -> np.ndarray:
-    n, out = int.from_bytes(b[1:9], "little"), None
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[9:], max_output_size=max(1, b[0] * n)), np.uint8).reshape(b[0], n)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : b[0]] = planes.T
-    return out.reshape(-1).view(np.uint64)
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=np.uint64(0)))
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b), dtype=np.uint64)
-
-
-@dataclass
-class Block:
-    """Texts end to end. start and end are those of each text; a text without an id takes part in nothing."""
-
-    ids: np.ndarray
-    named: np.ndarray
-    offsets: np.ndarray
-    data: np.ndarray
-
-    def row(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.offsets, at, "right") - 1
-
-
-_BLOCK = "block long, n_bytes long, ids array<long>, sizes array<long>, data binary"
-
-
-def write_blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(block, n_bytes, ids, sizes, data) in the shared folder, bucketed by block: the texts of docs in their order, without a shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number = [], 0, TaskContext.get().partitionId() << 32
-
-        def made() -> pa.RecordBatch:
-            ids, text = pa.concat_arrays([x for x, _ in held]), pa.concat_arrays([x.cast(pa.large_string()) for _, x in held])
-            data, offsets = as_bytes(text)
-            columns = [pa.array([number], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(offsets)], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=7).compress(data.tobytes())], pa.binary())]
-            return pa.record_batch(columns, ["block", "n_bytes", "ids", "sizes", "data"])
-
-        for batch in batches:
-            text = batch.column("text")
-            for a, b in slices(text, BLOCK):
-                held.append((batch.column("id")[a:b], text[a:b]))
-                size += sum(pc.binary_length(text[a:b]).to_numpy())
-                if size >= BLOCK:
-                    yield made()
-                    held, size, number = [], 0, number + 1
-        if held:
-            yield made()
-
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spark, name = docs.sparkSession, f"blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(run, _BLOCK).write.format("parquet").bucketBy(buckets, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 @dataclass(frozen=True)
 class Plan:
     """length, the cover's modulus and residues, the length of a sample's string, the bits of its hash that are compared, and those that choose a bucket."""
@@ -177,56 +99,7 @@ class Plan:
     def of(cls, n_bytes: int, length: int) -> Plan:
         modulus, cover = difference_cover(length)
         samples = max(1, n_bytes * len(cover) // modulus)
-        return cls(length, modulus, cover, length - modulus + 1, min(62, samples.bit_length() + 16), min(20, max(4, math.ceil(math.log2(samples / BUCKET + 1)))))
-
-
-class Lists:
-    """Keys in order, each once, dealt to buckets; and what is answered about them."""
-
-    def __init__(self, order: np.ndarray, new: np.ndarray, keys: np.ndarray, bits: int, plan: Plan):
-        """order sorts the items by key (and more); new says, in that order, where a list entry begins; keys are those of the entries."""
-        self.first, self.keys, self.shift = np.flatnonzero(new), keys, np.uint64(bits - plan.bucket_bits)
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-        self.bucket, self.begin = np.unique(keys >> self.shift, return_index=True)
-
-    def ranges(self) -> Iterator[tuple[int, int, int]]:
-        yield from zip(self.bucket.tolist(), self.begin.tolist(), [*self.begin[1:].tolist(), len(self.keys)][: len(self.begin)], strict=True)
-
-    def rows(self, block: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {c: [] for c in _DEALT}
-        for bucket, a, b in self.ranges():
-            found["bucket"].append(bucket)
-            found["block"].append(block)
-            found["keys"].append(pack_sorted(self.keys[a:b] - (np.uint64(bucket) << self.shift)))
-            for c in ("contexts", "ids", "flags"):
-                found[c].append(pack(columns[c][a:b]) if c in columns else None)
-        if found["bucket"]:
-            yield pa.record_batch([pa.array(found[c], t) for c, t in _DEALT.items()], list(_DEALT))
-
-    def answered(self, codes: dict[int, np.ndarray]) -> np.ndarray:
-        """The code of each item."""
-        out = np.zeros(len(self.keys), np.uint8)
-        for bucket, a, b in self.ranges():
-            if bucket in codes:
-                out[a:b] = codes[bucket]
-        return out[self.entry]
-
-
-_DEALT = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "contexts": pa.binary(), "ids": pa.binary(), "flags": pa.binary()}
-
-
-def _edges(*sorted_: np.ndarray) -> np.ndarray:
-    new = np.zeros(len(sorted_[0]), bool)
-    new[:1] = True
-    for x in sorted_:
-        new[1:] |= x[1:] != x[:-1]
-    return new
-
-
-def _unsigned(ids: np.ndarray) -> np.ndarray:
-    """Ids as unsigned numbers in the same order."""
-    return ids.view(np.uint64) ^ np.uint64(1 << 63)
+        return cls(length, modulus, cover, length - modulus + 1, key_bits(samples), bucket_bits(samples))
 
 
 class Work:
@@ -234,23 +107,24 @@ class Work:
 
     def __init__(self, plan: Plan, b: Block):
         self.plan, self.b = plan, b
+        self.named, self.id = np.asarray(b.ids.is_valid()), pc.fill_null(b.ids, 0).to_numpy()
         sizes = np.diff(b.offsets)
         mask = np.zeros(len(b.data), bool)
-        for k in np.flatnonzero(b.named & (sizes >= plan.length)).tolist():
+        for k in np.flatnonzero(self.named & (sizes >= plan.length)).tolist():
             start, end = int(b.offsets[k]), int(b.offsets[k + 1])
             for c in plan.cover:
                 mask[start + c : end - plan.key + 1 : plan.modulus] = True
         self.at = np.flatnonzero(mask)
         self.rank = hash_at(b.data, self.at, plan.key) >> np.uint64(64 - plan.bits)
-        self.ids = _unsigned(b.ids[b.row(self.at)])
+        self.ids = unsigned(self.id[b.row(self.at)])
 
     def samples(self) -> tuple[Lists, np.ndarray]:
         """Step 1: the samples by rank, and which of them two ids of the block have."""
         order = np.argsort(self.rank)
         ranked, ids = self.rank[order], self.ids[order]
-        new = _edges(ranked)
+        new = edges(ranked)
         first = np.flatnonzero(new)
-        lists = Lists(order, new, ranked[first], self.plan.bits, self.plan)
+        lists = Lists(order, new, ranked[first], self.plan.bits, self.plan.bucket_bits)
         several = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first) if len(first) else np.zeros(0, bool)
         return lists, several
 
@@ -281,9 +155,9 @@ class Work:
         context, crowded = self.contexts(self.at), code[known] == 2
         key = np.where(crowded, mix(rank ^ context) >> np.uint64(64 - self.plan.bits), rank)
         order = np.lexsort((self.ids, context, key))
-        new = _edges(key[order], context[order])
+        new = edges(key[order], context[order])
         first = order[new]
-        self.lists = Lists(order, new, key[first], self.plan.bits, self.plan)
+        self.lists = Lists(order, new, key[first], self.plan.bits, self.plan.bucket_bits)
         self.columns = {"contexts": context[first], "ids": self.ids[first], "flags": crowded[first]}
         self.later = self.ids > self.ids[first][self.lists.entry]
 
@@ -293,11 +167,11 @@ class Work:
         covered = self.later | (code == 1)
         self.covered = self._windows_of(self.at[covered])
         self.open = np.flatnonzero(self._windows_of(self.at[~covered & (code == 2)]) & ~self.covered)
-        h, self.ids = hash_at(self.b.data, self.open, self.plan.length), _unsigned(self.b.ids[self.b.row(self.open)])
+        h, self.ids = hash_at(self.b.data, self.open, self.plan.length), unsigned(self.id[self.b.row(self.open)])
         order = np.lexsort((self.ids, h))
-        new = _edges(h[order])
+        new = edges(h[order])
         first = order[new]
-        self.lists = Lists(order, new, h[first], 64, self.plan)
+        self.lists = Lists(order, new, h[first], 64, self.plan.bucket_bits)
         self.columns = {"ids": self.ids[first]}
         self.later = self.ids > self.ids[first][self.lists.entry]
 
@@ -321,75 +195,11 @@ def _mask(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(depth, out=depth)[:n] > 0
 
 
-def each_block(table: DataFrame, answers: list[DataFrame], made: Callable, schema: str) -> DataFrame:
-    """What made(block, its number, answers by step as {bucket: codes}) gives for each block."""
-    names = ["block", "ids", "sizes", "data"]
-    if answers:
-        every = answers[0]
-        for more in answers[1:]:
-            every = every.unionByName(more)
-        table = table.join(every.groupBy("block").agg(F.collect_list(F.struct("step", "bucket", "codes")).alias("answers")), "block", "left")
-        names.append("answers")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                row = {c: batch.column(c)[k] for c in names}
-                ids, sizes = row["ids"].values, row["sizes"].values.to_numpy()
-                raw = zstandard.ZstdDecompressor().decompress(row["data"].as_py(), max_output_size=max(1, int(sizes.sum())))
-                codes: dict[int, dict[int, np.ndarray]] = {1: {}, 2: {}, 3: {}}
-                for x in (row["answers"].as_py() or ()) if "answers" in row else ():
-                    codes[x["step"]][x["bucket"]] = unpack(x["codes"]).astype(np.uint8)
-                block = Block(pc.fill_null(ids, 0).to_numpy(), np.asarray(ids.is_valid()), np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(raw, np.uint8))
-                yield from made(block, row["block"].as_py(), codes)
-
-    return table.select(*names).mapInArrow(run, schema)
-
-
-def settle(dealt: DataFrame, step: int, verdict: Callable) -> DataFrame:
-    """(block, step, bucket, codes): the answers of verdict(lists of keys, contexts, ids and flags of all blocks) for one bucket at a time. Lists with nothing to tell are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bucket = [], None
-
-        def answer() -> Iterator[pa.RecordBatch]:
-            columns = [[unpack_sorted(r["keys"]) for r in held], *([None if r[c] is None else unpack(r[c]) for r in held] for c in ("contexts", "ids", "flags"))]
-            ends = np.cumsum([len(k) for k in columns[0]])
-            codes = np.split(verdict(*(np.concatenate(c) if c[0] is not None else None for c in columns), ends), ends[:-1])
-            told = [(r["block"], pack(c)) for r, c in zip(held, codes, strict=True) if c.any()]
-            if told:
-                block, packed = zip(*told, strict=True)
-                yield pa.record_batch([pa.array(block, pa.int64()), pa.array([step] * len(told), pa.int32()), pa.array([bucket] * len(told), pa.int32()), pa.array(packed, pa.binary())], ["block", "step", "bucket", "codes"])
-
-        for batch in batches:
-            for k in range(len(batch)):
-                r = {c: batch.column(c)[k].as_py() for c in _DEALT}
-                if held and r["bucket"] != bucket:
-                    yield from answer()
-                    held = []
-                bucket = r["bucket"]
-                held.append(r)
-        if held:
-            yield from answer()
-
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, step int, bucket int, codes binary")
-
-
-def rank_samples(keys, contexts, ids, flags, ends) -> np.ndarray:
-    """1 for samples that two ids have, 2 for those of CROWDED blocks or more."""
-    order = np.argsort(keys)
-    new = _edges(keys[order])
-    entry = np.empty(len(keys), np.int64)
-    entry[order] = np.cumsum(new) - 1
-    blocks, several = np.bincount(entry), np.bincount(entry, weights=flags) > 0
-    return (np.where(blocks >= CROWDED, 2, (several | (blocks > 1)).astype(np.int8))[entry]).astype(np.uint8)
-
-
 def sort_contexts(keys, contexts, ids, flags, ends) -> np.ndarray:
     """1 where a smaller id has the key with the same context, 2 for the smallest ids of a context whose key has others too, or is crowded."""
     order = np.lexsort((ids, contexts, keys))
-    new_key = _edges(keys[order])
-    new = new_key | _edges(contexts[order])
+    new_key = edges(keys[order])
+    new = new_key | edges(contexts[order])
     entry, of_key = np.cumsum(new) - 1, np.cumsum(new_key) - 1
     least = ids[order][np.flatnonzero(new)][entry]
     several = np.bincount(of_key[np.flatnonzero(new)])[of_key] > 1
@@ -401,13 +211,13 @@ def sort_contexts(keys, contexts, ids, flags, ends) -> np.ndarray:
 def sort_windows(keys, contexts, ids, flags, ends) -> np.ndarray:
     """1 for windows that a smaller id has."""
     order = np.lexsort((ids, keys))
-    new = _edges(keys[order])
+    new = edges(keys[order])
     out = np.empty(len(keys), np.uint8)
     out[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller id.
 
     One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per input row. Texts are UTF-8 bytes, a null text is
@@ -417,10 +227,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     if length < 5:
         raise ValueError("length: 5 or more")
-    n_bytes = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+    n_bytes = text_bytes(docs, text_col)
     plan = Plan.of(n_bytes, length)
-    table = write_blocks(docs, id_col, text_col, min(20_000, max(8, -(-n_bytes // TABLE_BUCKET))))
-    dealt = ", ".join(f"{c} {'int' if c == 'bucket' else 'long' if c == 'block' else 'binary'}" for c in _DEALT)
+    table = write_blocks(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), n_bytes, block)
 
     def step_1(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
         lists, several = Work(plan, b).samples()
@@ -440,16 +249,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         work.windows(codes[2])
         gone = work.gone(codes[3])
         out = []
-        for named, id_, start, end in zip(b.named.tolist(), b.ids.tolist(), b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
+        for id_, start, end in zip(b.ids.to_pylist(), b.offsets[:-1].tolist(), b.offsets[1:].tolist(), strict=True):
             hit = gone[start:end]
             kept = b.data[start:end][~hit].tobytes()
-            out.append((id_ if named else None, end - start, end - start - len(kept), int(hit[:1].sum()) + int((hit[1:] & ~hit[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((id_, end - start, end - start - len(kept), int(hit[:1].sum()) + int((hit[1:] & ~hit[:-1]).sum()), hashlib.sha256(kept).hexdigest(), kept))
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     answers: list[DataFrame] = []
-    for number, ask, verdict in ((1, step_1, rank_samples), (2, step_2, sort_contexts), (3, step_3, sort_windows)):
-        answers.append(materialize(settle(each_block(table, answers, ask, dealt), number, verdict), f"answers-{number}"))
+    for number, ask, verdict in ((1, step_1, partial(known_keys, crowded=crowded)), (2, step_2, sort_contexts), (3, step_3, sort_windows)):
+        answers.append(materialize(settle(each_block(table, answers, ask, DEALT), number, verdict), f"answers-{number}"))
     return each_block(table, answers, cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

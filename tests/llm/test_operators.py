@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.llm import components, jaccard, language, licenses, lines, media, mixing, packing, secrets, shingles, substrings, vectors
+from helixframe.llm import blocks, components, jaccard, language, licenses, lines, media, mixing, packing, secrets, shingles, substrings, vectors
 
 from ..conftest import SF, rows_of, same
 
@@ -300,7 +300,7 @@ def brute_force_kept(rows):
 
 
 @pytest.mark.parametrize("crowded", [2, 64])
-def test_op7_repeats_at_all_offsets(spark, monkeypatch, crowded):
+def test_op7_repeats_at_all_offsets(spark, crowded):
     r = random.Random(7)
     some = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     passage, ends, long = some(90), [some(40) for _ in range(25)], some(2000)
@@ -311,18 +311,18 @@ def test_op7_repeats_at_all_offsets(spark, monkeypatch, crowded):
     rows.append((500, "ab" * 400 + long[:60] + "ab" * 300))
     rows.append((501, "b" + "ab" * 100))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
-    monkeypatch.setattr(substrings, "CROWDED", crowded)
-    monkeypatch.setattr(substrings, "BLOCK", 3000)
-    monkeypatch.setattr(substrings, "STEP", 777)
-    assert {x["id"]: x["kept_sha256"] for x in substrings.remove_repeats(df).collect()} == brute_force_kept(rows)
+    assert {x["id"]: x["kept_sha256"] for x in substrings.remove_repeats(df, block=3000, crowded=crowded).collect()} == brute_force_kept(rows)
 
 
 def test_op7_covers():
     for v, cover in substrings.COVERS.items():
         assert {(a - b) % v for a in cover for b in cover} == set(range(v))
+    data = np.random.default_rng(4).integers(0, 256, 3 * substrings.STEP // 2, dtype=np.uint8)
+    at = np.arange(substrings.STEP - 60, substrings.STEP + 60)
+    assert (substrings.hash_at(data, at, 50) == substrings.rolling(data, 50)[at]).all()
     r = np.random.default_rng(2)
     for x in (np.zeros(0, np.uint64), np.array([5], np.uint64), r.integers(0, 2**63, 1000).astype(np.uint64), np.zeros(9, np.uint64)):
-        assert (substrings.unpack(substrings.pack(x)) == x).all() and (substrings.unpack_sorted(substrings.pack_sorted(np.sort(x))) == np.sort(x)).all()
+        assert (blocks.unpack(blocks.pack(x)) == x).all() and (blocks.unpack_sorted(blocks.pack_sorted(np.sort(x))) == np.sort(x)).all()
 
 
 def test_op7_long_text(spark):
