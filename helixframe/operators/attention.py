@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -27,22 +27,26 @@ def length_stats(sequences: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def chunk_spans(sequences: DataFrame, size: int = 8192, overlap: int = 4096) -> DataFrame:
-    """sequences (keys, seq) with one row a chunk: chunk, chunk_start, chunk_end, valid_start, valid_end (from 0, ends exclusive) and chunk_seq.
+    """sequences (keys, seq[, positions]) with one row a chunk: chunk, chunk_start, chunk_end, valid_start, valid_end (from 0, ends exclusive), chunk_seq and chunk_positions instead of seq and positions.
 
     The last chunk ends at the end of the sequence and is moved back to full size; the valid part leaves out half of the
-    overlap at inner edges. Empty sequences have no chunk.
+    overlap at inner edges. Empty sequences have no chunk. A chunk carries its own bases and positions only.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and less than size")
     step, half, n = size - overlap, overlap // 2, F.length("seq")
     count = F.when(n <= size, 1).otherwise(F.ceil((n - overlap) / step)).cast("int")
-    rows = sequences.where(n > 0).withColumn("_count", count).select("*", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("chunk"))
-    last = F.col("chunk") == F.col("_count") - 1
-    start = F.when(last, F.greatest(n - size, F.lit(0))).otherwise(F.col("chunk") * step)
-    rows = rows.withColumn("chunk_start", start).withColumn("chunk_end", F.least(F.col("chunk_start") + size, n))
-    valid_start = F.when(F.col("chunk") == 0, F.col("chunk_start")).otherwise(F.col("chunk_start") + half)
-    valid_end = F.when(last, F.col("chunk_end")).otherwise(F.col("chunk_end") - half)
-    return rows.withColumns({"valid_start": valid_start, "valid_end": valid_end, "chunk_seq": F.substring("seq", F.col("chunk_start") + 1, F.col("chunk_end") - F.col("chunk_start"))}).drop("_count")
+
+    def chunk(i: Column) -> Column:
+        last = i == count - 1
+        start = F.when(last, F.greatest(n - size, F.lit(0))).otherwise(i * step).cast("int")
+        end = F.least(start + size, n).cast("int")
+        valid = [F.when(i == 0, start).otherwise(start + half).alias("valid_start"), F.when(last, end).otherwise(end - half).alias("valid_end")]
+        own = [F.slice("positions", start + 1, end - start).alias("chunk_positions")] if "positions" in sequences.columns else []
+        return F.struct(i.alias("chunk"), start.alias("chunk_start"), end.alias("chunk_end"), *valid, F.substring("seq", start + 1, end - start).alias("chunk_seq"), *own)
+
+    kept = [c for c in sequences.columns if c not in ("seq", "positions")]
+    return sequences.where(n > 0).select(*kept, F.explode(F.transform(F.sequence(F.lit(0), count - 1), chunk)).alias("c")).select(*kept, "c.*")
 
 
 def score_sequences(df: DataFrame, scorer: Callable[[], Callable[[list[str]], list[Sequence[float]]]], column: str = "seq", batch: int = 32) -> DataFrame:
@@ -81,12 +85,12 @@ def collapse_last(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def collapse_chunks(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One score for each position of chunked sequences: the mean of the chunks' means there, over valid parts.
 
-    chunks: chunk_spans() with positions of the whole sequence and scores of chunk_seq. Scores beyond the chunk are cut; a
+    chunks: chunk_spans() with scores of chunk_seq. Scores beyond the chunk are cut; a
     chunk with fewer scores than its valid part asks for is dropped.
     """
     have = F.size("scores") >= F.col("valid_end") - F.col("chunk_start")
     n = F.col("valid_end") - F.col("valid_start")
-    valid = chunks.where(have).select(*keys, "chunk", F.slice("positions", F.col("valid_start") + 1, n).alias("positions"), F.slice("scores", F.col("valid_start") - F.col("chunk_start") + 1, n).alias("scores"))
+    valid = chunks.where(have).select(*keys, "chunk", F.slice("chunk_positions", F.col("valid_start") - F.col("chunk_start") + 1, n).alias("positions"), F.slice("scores", F.col("valid_start") - F.col("chunk_start") + 1, n).alias("scores"))
     by_chunk = _tokens(valid, [*keys, "chunk"]).groupBy(*keys, "chunk", "position").agg(F.avg("score").alias("score"))
     return by_chunk.groupBy(*keys, "position").agg(F.avg("score").alias("score"))
 

@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.pvalues import chi2_p, fisher_p
-from helixframe.operators.ranks import bh_adjust, mann_whitney, rank_ladder, rank_statistics
+from helixframe.functions.pvalues import chi2_p, fisher_p, mann_whitney_p
+from helixframe.operators.ranks import bh_adjust, counts_ladder, rank_statistics
 
 SITE = ("gene", "hap", "position")
 PAIR = ("groupA", "groupB")
@@ -73,19 +73,48 @@ def group_stats(attention: DataFrame, samples: DataFrame) -> DataFrame:
     return by_label.select(*SITE, "label", "n", "mean", "std", (F.sum("total").over(site) / F.sum("n").over(site)).alias("baseMean"))
 
 
-def pair_stats(attention: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
-    """group_stats() of both labels of each pair side by side, for each position that has any score; a label without scores has n 0."""
-    stats = group_stats(attention, samples)
-    sites = stats.select(*SITE, "baseMean").distinct().crossJoin(F.broadcast(pairs))
-    side = lambda s: stats.select(*SITE, F.col("label").alias(f"group{s}"), F.col("n").alias(f"n_{s}"), F.col("mean").alias(f"mean_{s}"), F.col("std").alias(f"std_{s}"))
-    both = sites.join(side("A"), [*SITE, "groupA"], "left").join(side("B"), [*SITE, "groupB"], "left")
-    return both.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_A", "n_B")})
+#: Parameter tables (pairs of labels, windows) have so many rows at most; they become literals of the plan.
+MOST_ROWS = 1000
+
+
+def listed(table: DataFrame, *columns: str) -> Column:
+    """The rows of a small parameter table as an array of structs, to be exploded; more than MOST_ROWS raise ValueError."""
+    rows = table.select(*columns).limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a parameter table has more than {MOST_ROWS} rows")
+    kinds = {c: table.schema[c].dataType for c in columns}
+    one = F.struct(*(F.lit(None).cast(kinds[c]).alias(c) for c in columns))
+    return F.array(*(F.struct(*(F.lit(r[c]).cast(kinds[c]).alias(c) for c in columns)) for r in rows)) if rows else F.slice(F.array(one), 1, 0)
+
+
+def pair_effects(attention: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All numbers of each pair at each position that has any score: (gene, hap, position, groupA, groupB, baseMean, n_A, n_B, mean_A, mean_B, std_A, std_B, u_a, ties, auc, wasserstein).
+
+    Scores are shuffled once, by position. There, equal scores of a label are counted, and the pairs get their sides from
+    these counts; ranks, means and deviations follow without another shuffle. A label without scores has n 0.
+    """
+    rows = attention.where(F.col("score").isNotNull()).join(samples, "sample").select(*SITE, "label", F.col("score").alias("value")).repartition(*SITE)
+    site = Window.partitionBy(*SITE)
+    counts = rows.groupBy(*SITE, "label", "value").agg(F.count("*").alias("c"))
+    counts = counts.select("*", (F.sum(F.col("c") * F.col("value")).over(site) / F.sum("c").over(site)).alias("baseMean"), F.row_number().over(site.orderBy("label", "value")).alias("first"))
+    # One row of a position stands for all pairs that have no score there.
+    mine = F.filter(listed(pairs, *PAIR), lambda p: (F.col("first") == 1) | (p["groupA"] == F.col("label")) | (p["groupB"] == F.col("label")))
+    sided = counts.select("*", F.explode(mine).alias("p")).select(*SITE, "p.groupA", "p.groupB", "label", "value", "c", "baseMean")
+    keys = [*SITE, *PAIR]
+    side = lambda g: F.sum(F.when(F.col("label") == F.col(g), F.col("c")).otherwise(0))
+    ladder = counts_ladder(sided.groupBy(*keys, "value").agg(side("groupA").alias("a"), side("groupB").alias("b"), F.first("baseMean").alias("baseMean")), keys)
+    whole = Window.partitionBy(*keys)
+    mean = lambda n: F.try_divide(F.sum(F.col(n) * F.col("value")).over(whole), F.col(f"n_{n}"))
+    ladder = ladder.withColumns({"mean_a": mean("a"), "mean_b": mean("b")})
+    spread = lambda n: F.sqrt(F.sum(F.col(n) * F.pow(F.col("value") - F.col(f"mean_{n}"), F.lit(2))) / F.nullif(F.max(f"n_{n}") - 1, F.lit(0)))
+    more = [F.max("baseMean").alias("baseMean"), F.max("mean_a").alias("mean_A"), F.max("mean_b").alias("mean_B"), spread("a").alias("std_A"), spread("b").alias("std_B")]
+    out = rank_statistics(ladder, keys, more)
+    return out.select(*keys, "baseMean", F.col("n_a").alias("n_A"), F.col("n_b").alias("n_B"), "mean_A", "mean_B", F.when(F.col("n_a") > 1, F.col("std_A")).alias("std_A"), F.when(F.col("n_b") > 1, F.col("std_B")).alias("std_B"), "u_a", "ties", "auc", "wasserstein")
 
 
-def pair_rows(attention: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Scores of the samples of each pair, with is_a."""
-    rows = attention.where(F.col("score").isNotNull()).join(samples, "sample")
-    return rows.join(F.broadcast(pairs), F.col("label").isin(F.col("groupA"), F.col("groupB"))).withColumn("is_a", F.col("label") == F.col("groupA"))
+def pair_stats(attention: DataFrame, samples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """n, mean and std of both labels of each pair side by side, of pair_effects()."""
+    return pair_effects(attention, samples, pairs).drop("u_a", "ties", "auc", "wasserstein")
 
 
 def log2_fold_change(stats: DataFrame) -> DataFrame:
@@ -97,31 +126,46 @@ def log2_fold_change(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"log2FC": F.log2(ratio), "delta": F.col("mean_B") - F.col("mean_A")})
 
 
+def _tested(pair: DataFrame, min_n: int) -> DataFrame:
+    """pair_effects() with log2FC, delta, pvalue and padj."""
+    enough = (F.col("n_A") >= min_n) & (F.col("n_B") >= min_n)
+    p = F.when(enough, mann_whitney_p("u_a", "n_A", "n_B", "ties"))
+    return bh_adjust(log2_fold_change(pair).withColumn("pvalue", p), ["gene", "hap", *PAIR])
+
+
+def _separated(pair: DataFrame, min_n: int) -> DataFrame:
+    """pair_effects() with Cliff's delta, Cohen's d and Hedges' g; all its numbers are null where a side has fewer than min_n values."""
+    a, b = F.col("n_A"), F.col("n_B")
+    pooled = F.sqrt(((a - 1) * F.col("std_A") ** 2 + (b - 1) * F.col("std_B") ** 2) / F.when(a + b > 2, a + b - 2))
+    d = F.when(pooled > 0, (F.col("mean_B") - F.col("mean_A")) / pooled)
+    out = pair.withColumns({"cliffs_delta": 2 * F.col("auc") - 1, "cohen_d": d}).withColumn("hedges_g", F.when(a + b > 3, F.col("cohen_d") * (1 - 3 / (4 * (a + b) - 9))))
+    return out.withColumns({c: F.when((a >= min_n) & (b >= min_n), F.col(c)) for c in SEPARATION})
+
+
+SEPARATION = ("mean_A", "mean_B", "std_A", "std_B", "auc", "cliffs_delta", "wasserstein", "cohen_d", "hedges_g")
+DIFFERENTIAL = ("gene", "hap", *PAIR, "position", "baseMean", "mean_A", "mean_B", "log2FC", "delta", "nA_nonNA", "nB_nonNA", "pvalue", "padj")
+
+
 def differential(attention: DataFrame, samples: DataFrame, pairs: DataFrame, min_n: int = 10) -> DataFrame:
     """Differential scores: (gene, hap, groupA, groupB, position, baseMean, mean_A, mean_B, log2FC, delta, nA_nonNA, nB_nonNA, pvalue, padj).
 
     A pair with fewer than min_n values on a side has no p at that position; padj is over the tested positions of a
     gene, haplotype and pair.
     """
-    fold = log2_fold_change(pair_stats(attention, samples, pairs))
-    keys = [*SITE, *PAIR]
-    p = mann_whitney(pair_rows(attention, samples, pairs), keys, "score", F.col("is_a"), min_n).select(*keys, "pvalue")
-    out = bh_adjust(fold.join(p, keys, "left"), ["gene", "hap", *PAIR])
-    return out.select("gene", "hap", *PAIR, "position", "baseMean", "mean_A", "mean_B", "log2FC", "delta", F.col("n_A").alias("nA_nonNA"), F.col("n_B").alias("nB_nonNA"), "pvalue", "padj")
+    return _tested(pair_effects(attention, samples, pairs), min_n).withColumnsRenamed({"n_A": "nA_nonNA", "n_B": "nB_nonNA"}).select(*DIFFERENTIAL)
 
 
 def separability(attention: DataFrame, samples: DataFrame, pairs: DataFrame, min_n: int = 10) -> DataFrame:
     """Effect sizes at each position: AUC (A above B), Cliff's delta, Wasserstein-1, Cohen's d (B less A) and Hedges' g; nulls where a side has fewer than min_n values."""
-    keys = [*SITE, *PAIR]
-    ranks = rank_statistics(rank_ladder(pair_rows(attention, samples, pairs), keys, "score", F.col("is_a")), keys).select(*keys, "auc", "wasserstein")
-    stats = pair_stats(attention, samples, pairs).join(ranks, keys, "left")
-    a, b = F.col("n_A"), F.col("n_B")
-    pooled = F.sqrt(((a - 1) * F.col("std_A") ** 2 + (b - 1) * F.col("std_B") ** 2) / F.when(a + b > 2, a + b - 2))
-    d = F.when(pooled > 0, (F.col("mean_B") - F.col("mean_A")) / pooled)
-    stats = stats.withColumns({"cliffs_delta": 2 * F.col("auc") - 1, "cohen_d": d}).withColumn("hedges_g", F.when(a + b > 3, F.col("cohen_d") * (1 - 3 / (4 * (a + b) - 9))))
-    enough = (a >= min_n) & (b >= min_n)
-    shown = ("mean_A", "mean_B", "std_A", "std_B", "auc", "cliffs_delta", "wasserstein", "cohen_d", "hedges_g")
-    return stats.select("gene", "hap", "position", *PAIR, "n_A", "n_B", *(F.when(enough, F.col(c)).alias(c) for c in shown))
+    return _separated(pair_effects(attention, samples, pairs), min_n).select("gene", "hap", "position", *PAIR, "n_A", "n_B", *SEPARATION)
+
+
+def effects(attention: DataFrame, samples: DataFrame, pairs: DataFrame, min_n: int = 10) -> DataFrame:
+    """What join_effect_sizes() gives for differential() and separability(), from one pair_effects()."""
+    tested = _tested(pair_effects(attention, samples, pairs), min_n)
+    kept = tested.withColumns({"kept_A": F.col("mean_A"), "kept_B": F.col("mean_B")})
+    out = _separated(kept, min_n).withColumns({"mean_A": F.col("kept_A"), "mean_B": F.col("kept_B")})
+    return out.withColumnsRenamed({"n_A": "nA_nonNA", "n_B": "nB_nonNA"}).select(*DIFFERENTIAL, "cohen_d", "hedges_g")
 
 
 def balanced(samples: DataFrame, min_n: int = 10) -> DataFrame:
@@ -140,7 +184,7 @@ def deletion_enrichment(attention: DataFrame, samples: DataFrame, pairs: DataFra
     present = attention.where(F.col("score").isNotNull()).join(samples, "sample").groupBy(*SITE, "label").agg(F.count("*").alias("here"))
     side = lambda s: sizes.select("gene", "hap", F.col("label").alias(f"group{s}"), F.col("size").alias(f"n{s}"))
     here = lambda s: present.select(*SITE, F.col("label").alias(f"group{s}"), F.col("here").alias(f"{s}_pres"))
-    rows = site_spine(attention).crossJoin(F.broadcast(pairs)).join(side("A"), ["gene", "hap", "groupA"]).join(side("B"), ["gene", "hap", "groupB"]).where((F.col("nA") >= min_n) & (F.col("nB") >= min_n))
+    rows = site_spine(attention).select("*", F.explode(listed(pairs, *PAIR)).alias("p")).select(*SITE, "p.groupA", "p.groupB").join(side("A"), ["gene", "hap", "groupA"]).join(side("B"), ["gene", "hap", "groupB"]).where((F.col("nA") >= min_n) & (F.col("nB") >= min_n))
     rows = rows.join(here("A"), [*SITE, "groupA"], "left").join(here("B"), [*SITE, "groupB"], "left").fillna(0, ["A_pres", "B_pres"])
     rows = rows.withColumns({"A_del": F.col("nA") - F.col("A_pres"), "B_del": F.col("nB") - F.col("B_pres")})
     # Each distinct table is tested once.
@@ -162,11 +206,17 @@ def join_effect_sizes(diff: DataFrame, sep: DataFrame, how: str = "inner") -> Da
     return diff.join(sep.select(*SITE, *PAIR, "cohen_d", "hedges_g"), [*SITE, *PAIR], how)
 
 
+#: Positions that one row of dense_trace() lists.
+SPAN_BLOCK = 100_000
+
+
 def dense_trace(effects: DataFrame) -> DataFrame:
     """Every integer position from the first to the last of a gene, haplotype and pair; where there is none, log2FC and cohen_d 0 and padj 1."""
     keys = ["gene", "hap", *PAIR]
     ends = effects.groupBy(*keys).agg(F.min("position").alias("lo"), F.max("position").alias("hi"))
-    spine = ends.select(*keys, F.explode(F.sequence("lo", "hi")).alias("position"))
+    # A span is listed in blocks, so that no array grows with it.
+    blocks = ends.select(*keys, "hi", F.explode(F.sequence("lo", "hi", F.lit(SPAN_BLOCK))).alias("lo"))
+    spine = blocks.select(*keys, F.explode(F.sequence("lo", F.least(F.col("lo") + SPAN_BLOCK - 1, "hi"))).alias("position"))
     filled = spine.join(effects.select(*keys, "position", "log2FC", "padj", "cohen_d"), [*keys, "position"], "left")
     return filled.fillna({"log2FC": 0.0, "padj": 1.0, "cohen_d": 0.0})
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.base import listed
+
 KEYS = ("gene", "hap", "groupA", "groupB")
 
 
@@ -22,7 +24,7 @@ def significant_sites(effects: DataFrame, padj: float = 0.05, quantile: float |
     """Sites with padj below its bound, |log2FC| at or above the quantile over the pair's sites and |cohen_d| at or above its bound (if any).
 
     Without quantile it is the adaptive one of all hap1 rows of the gene, for both haplotypes; a negative one selects
-    nothing.
+    nothing. The sizes of one gene, haplotype and pair are held in one row: as many numbers as the gene has positions.
     """
     size = F.abs("log2FC")
     sizes = effects.groupBy(*KEYS).agg(F.array_sort(F.collect_list(size)).alias("_all"))
@@ -96,7 +98,7 @@ def top_clusters(scores: DataFrame, n: int = 5, keys: Sequence[str] = KEYS) -> D
 
 def run_summary(effects: DataFrame, sites: DataFrame, scores: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each gene, haplotype and pair: status, significant sites, clusters and top score; pairs without data are listed too."""
-    every = effects.select("gene", "hap").distinct().crossJoin(F.broadcast(pairs))
+    every = effects.select("gene", "hap").distinct().select("*", F.explode(listed(pairs, "groupA", "groupB")).alias("p")).select("gene", "hap", "p.groupA", "p.groupB")
     count = lambda df, name, *more: df.groupBy(*KEYS).agg(F.count("*").alias(name), *more)
     out = every.join(count(effects, "rows"), list(KEYS), "left").join(count(sites, "n_significant"), list(KEYS), "left").join(count(scores, "n_clusters", F.max("total_score").alias("top_score")), list(KEYS), "left")
     status = F.when(F.col("rows").isNull() | F.col("n_significant").isNull(), "skipped_no_data").when(F.col("n_clusters").isNull(), "skipped_no_clusters").otherwise("success")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.base import listed
 from helixframe.operators.ranks import rank_ladder
 
 KEYS = ("gene", "hap", "groupA", "groupB")
@@ -17,8 +18,9 @@ def truth_windows(positions: DataFrame, truth: DataFrame, windows: DataFrame) ->
 
     Windows around variants are listed as positions and met in an equi-join, so a position is looked up once.
     """
-    inside = truth.crossJoin(F.broadcast(windows)).select(F.col("gene").alias("g"), F.col("left_bp").alias("l"), F.col("right_bp").alias("r"), F.explode(F.sequence(F.col("pos") - F.col("left_bp"), F.col("pos") + F.col("right_bp"))).alias("p")).distinct()
-    p = positions.crossJoin(F.broadcast(windows))
+    every = F.explode(listed(windows, "left_bp", "right_bp")).alias("w")
+    inside = truth.select("gene", "pos", every).select(F.col("gene").alias("g"), F.col("w.left_bp").alias("l"), F.col("w.right_bp").alias("r"), F.explode(F.sequence(F.col("pos") - F.col("w.left_bp"), F.col("pos") + F.col("w.right_bp"))).alias("p")).distinct()
+    p = positions.select("*", every).select(*positions.columns, "w.left_bp", "w.right_bp")
     met = p.join(inside, (F.col("gene") == F.col("g")) & (F.col("left_bp") == F.col("l")) & (F.col("right_bp") == F.col("r")) & (F.col("position") == F.col("p")), "left")
     return met.withColumn("is_true", F.col("p").isNotNull()).drop("g", "l", "r", "p")
 

@@ -16,19 +16,24 @@ def rank_ladder(df: DataFrame, keys: Sequence[str], value: str, is_a: Column) ->
     Rows are counted before they meet in a window, so a key's window holds its distinct values. Null values and rows whose
     side is null are left out.
     """
-    counts = df.where(F.col(value).isNotNull() & is_a.isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count_if(is_a).alias("a"), F.count_if(~is_a).alias("b"))
+    return counts_ladder(df.where(F.col(value).isNotNull() & is_a.isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count_if(is_a).alias("a"), F.count_if(~is_a).alias("b")), keys)
+
+
+def counts_ladder(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rank_ladder() from counts (keys, value, a, b, ...), one row a value; rows of none on either side change nothing."""
     up = Window.partitionBy(*keys).orderBy("value")
     whole = Window.partitionBy(*keys)
     return counts.select("*", F.sum("a").over(up).alias("cum_a"), F.sum("b").over(up).alias("cum_b"), F.sum("a").over(whole).alias("n_a"), F.sum("b").over(whole).alias("n_b"), F.lead("value").over(up).alias("next_value"))
 
 
-def rank_statistics(ladder: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n_a, n_b, u_a, ties, auc, wasserstein) of a ladder; auc and wasserstein are null if a side is empty."""
+def rank_statistics(ladder: DataFrame, keys: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    """(keys, n_a, n_b, u_a, ties, auc, wasserstein) of a ladder, and more aggregates; auc and wasserstein are null if a side is empty."""
     t = F.col("a") + F.col("b")
     gap = F.abs(F.try_divide("cum_a", "n_a") - F.try_divide("cum_b", "n_b")) * (F.col("next_value") - F.col("value"))
-    out = ladder.groupBy(*keys).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum(F.col("a") * (F.col("cum_b") - F.col("b") / 2)).alias("u_a"), F.sum((t * t * t - t).cast("double")).alias("ties"), F.sum(gap).alias("w"))
+    out = ladder.groupBy(*keys).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum(F.col("a") * (F.col("cum_b") - F.col("b") / 2)).alias("u_a"), F.sum((t * t * t - t).cast("double")).alias("ties"), F.sum(gap).alias("w"), *more)
     both = (F.col("n_a") > 0) & (F.col("n_b") > 0)
-    return out.select(*keys, "n_a", "n_b", "u_a", "ties", F.when(both, F.col("u_a") / (F.col("n_a") * F.col("n_b"))).alias("auc"), F.when(both, F.coalesce("w", F.lit(0.0))).alias("wasserstein"))
+    rest = out.columns[len(keys) + 5 :]
+    return out.select(*keys, *rest, "n_a", "n_b", "u_a", "ties", F.when(both, F.col("u_a") / (F.col("n_a") * F.col("n_b"))).alias("auc"), F.when(both, F.coalesce("w", F.lit(0.0))).alias("wasserstein"))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, is_a: Column, min_n: int = 1) -> DataFrame:

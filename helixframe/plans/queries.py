@@ -118,8 +118,7 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = _base(spark, sf_dir)
-    return base.join_effect_sizes(base.differential(*args), base.separability(*args))
+    return base.effects(*_base(spark, sf_dir))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,7 +418,7 @@ def q_collapse_last(spark, sf_dir):
 
 @query([CHUNKS, "ck AS (SELECT sample, chunk, cs, seq, unnest(generate_series(vs + 1, ve)) AS i FROM ch), cm AS (SELECT sample, chunk, i * 2 // 3 AS position, avg(" + CODE.format("seq", "i") + " * (i - cs)) AS m FROM ck GROUP BY ALL)"], "sample, position, round(avg(m), 9) + 0.0 AS score", "cm GROUP BY sample, position")
 def q_collapse_chunk_mean(spark, sf_dir):
-    c = attention.score_sequences(attention.chunk_spans(ad.sequences(spark, sf_dir), 256, 64).select("sample", "positions", "chunk", "chunk_start", "chunk_end", "valid_start", "valid_end", "chunk_seq"), toy_scorer, "chunk_seq")
+    c = attention.score_sequences(attention.chunk_spans(ad.sequences(spark, sf_dir), 256, 64), toy_scorer, "chunk_seq")
     return rounded(attention.collapse_chunks(c, ["sample"]))
 
 
