@@ -229,3 +229,10 @@ def highlight_sites(trace: DataFrame, padj: float = 0.05, quantile: float = 0.95
     if cohen is not None:
         flag = flag & (F.abs("cohen_d") > cohen)
     return trace.join(level, keys).withColumn("highlighted", F.coalesce(flag, F.lit(False)))
+
+
+def highlight_sweep(trace: DataFrame, cohens: Sequence[float], padj: float = 0.05, quantile: float = 0.95) -> DataFrame:
+    """highlight_sites() for several bounds of |cohen_d| at once: trace with cohen and highlighted, a row for each bound."""
+    plain = highlight_sites(trace, padj, quantile)
+    swept = plain.select("*", F.explode(F.array(*map(F.lit, map(float, cohens)))).alias("cohen"))
+    return swept.withColumn("highlighted", F.coalesce(F.col("highlighted") & (F.abs("cohen_d") > F.col("cohen")), F.lit(False)))

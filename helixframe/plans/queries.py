@@ -103,10 +103,24 @@ def q_gene_metric_table(spark, sf_dir):
     return rounded(metrics.group_metric_table(m, metrics.gene_tests(m), "chr_forward_g1")).withColumn("p", F.round("p", 8) + F.lit(0.0))
 
 
-@query()
+EXACT = """
+ru AS (SELECT gene, position, score AS value, sample_type = 2 AS is_a FROM att JOIN smp USING (sample) WHERE sample_type IN (0, 2)),"""
+ORDERS = """
+RECURSIVE ways AS (SELECT 0 AS n, 0 AS m, 0 AS s, 1::HUGEINT AS c UNION ALL
+  SELECT n + 1, m, s, CAST(sum(c) AS HUGEINT) FROM (SELECT n, m, s, c FROM ways UNION ALL SELECT n, m + 1, s + n + 1, c FROM ways WHERE m < 8) WHERE n < 60 GROUP BY n, m, s),
+us AS (SELECT n, m, s - m * (m + 1) // 2 AS u, CAST(c AS DOUBLE) AS c FROM ways)"""
+
+
+@query(
+    [ORDERS, sql.GENES, EXACT + sql.ladder("ru", "gene, position", "ex")],
+    """gene, position, n_a, n_b, u_a, round(CASE WHEN n_a > 0 AND n_b > 0 AND ties = 0 AND least(n_a, n_b) <= 8 THEN least(1.0::DOUBLE, 2 * (SELECT sum(c) FILTER (u >= greatest(u_a, n_a * n_b - u_a)) / sum(c) FROM us WHERE us.n = n_a + n_b AND us.m = least(n_a, n_b))) ELSE pvalue END, 9) + 0.0 AS pvalue""",
+    "ex",
+)
 def q_utest_exact_small(spark, sf_dir):
-    rows = ad.site_attention(spark, sf_dir).where("hap = 'hap1'").withColumn("kind", F.col("sample") % 16)
-    return ranks.mann_whitney(rows.where("kind IN (0, 2)"), ["position"], "score", F.col("kind") == 2)
+    """Positions of genes have few samples of a label, so that most tests are exact."""
+    rows = ad.gene_attention(spark, sf_dir).join(ad.supplier_samples(spark, sf_dir), "sample").where("sample_type IN (0, 2)")
+    tested = ranks.mann_whitney(rows, ["gene", "position"], "score", F.col("sample_type") == 2)
+    return rounded(tested.select("gene", "position", F.col("n_a").cast("double").alias("n_a"), F.col("n_b").cast("double").alias("n_b"), F.col("u_a").cast("double").alias("u_a"), "pvalue"))
 
 
 # Base level
@@ -233,11 +247,43 @@ def q_haplotype_traces(spark, sf_dir):
     return rounded(clusters.haplotype_traces(traces, clusters.dbscan_1d(clusters.significant_sites(effects))))
 
 
-@query()
+FEATURES = """
+ft0 AS (SELECT gene, hap, "groupA", "groupB", position, CAST(position AS DOUBLE) AS a, -log10(padj + 1e-100::DOUBLE) AS b, abs("log2FC") AS c FROM sig),
+ft AS (SELECT gene, hap, "groupA", "groupB", position,
+  1.0::DOUBLE * (a - avg(a) OVER w) / CASE WHEN stddev_pop(a) OVER w > 0 THEN stddev_pop(a) OVER w ELSE 1.0::DOUBLE END AS x,
+  0.5::DOUBLE * (b - avg(b) OVER w) / CASE WHEN stddev_pop(b) OVER w > 0 THEN stddev_pop(b) OVER w ELSE 1.0::DOUBLE END AS y,
+  0.3::DOUBLE * (c - avg(c) OVER w) / CASE WHEN stddev_pop(c) OVER w > 0 THEN stddev_pop(c) OVER w ELSE 1.0::DOUBLE END AS z
+  FROM ft0 WINDOW w AS (PARTITION BY gene, hap, "groupA", "groupB"))"""
+K4 = 'gene, hap, "groupA", "groupB"'
+DENSITY = f"""
+dd AS MATERIALIZED (SELECT {K4}, s.position, t.position AS other, (s.x - t.x) ** 2 + (s.y - t.y) ** 2 + (s.z - t.z) ** 2 AS d2 FROM ft s JOIN ft t USING ({K4})),
+ke AS (SELECT {K4}, quantile_cont(d, 0.9) AS eps FROM (SELECT {K4}, position, list_sort(list(sqrt(d2)))[least(5, count(*))] AS d FROM dd GROUP BY ALL) GROUP BY ALL),
+nb AS MATERIALIZED (SELECT {K4}, position, other FROM dd JOIN ke USING ({K4}) WHERE d2 <= eps * eps),
+cr AS MATERIALIZED (SELECT {K4}, position FROM nb GROUP BY ALL HAVING count(*) >= 5),
+cl AS MATERIALIZED (SELECT nb.* FROM nb JOIN cr USING ({K4}, position) JOIN (SELECT {K4}, position AS other FROM cr) USING ({K4}, other)),
+rc AS (SELECT {K4}, position, position AS seed FROM cr UNION SELECT cl.gene, cl.hap, cl."groupA", cl."groupB", cl.other, rc.seed FROM rc JOIN cl ON cl.gene = rc.gene AND cl.hap = rc.hap AND cl."groupA" = rc."groupA" AND cl."groupB" = rc."groupB" AND cl.position = rc.position),
+sd AS (SELECT {K4}, position, min(seed) AS seed FROM rc GROUP BY ALL),
+nm AS (SELECT *, dense_rank() OVER (PARTITION BY {K4} ORDER BY seed) - 1 AS id FROM sd),
+wc AS (SELECT ft.gene, ft.hap, ft."groupA", ft."groupB", ft.position, CAST(coalesce((SELECT id FROM nm WHERE nm.gene = ft.gene AND nm.hap = ft.hap AND nm."groupA" = ft."groupA" AND nm."groupB" = ft."groupB" AND nm.position = ft.position),
+  (SELECT min(id) FROM nb JOIN nm ON nm.gene = nb.gene AND nm.hap = nb.hap AND nm."groupA" = nb."groupA" AND nm."groupB" = nb."groupB" AND nm.position = nb.other WHERE nb.gene = ft.gene AND nb.hap = ft.hap AND nb."groupA" = ft."groupA" AND nb."groupB" = ft."groupB" AND nb.position = ft.position), -1) AS INT) AS cluster FROM ft)"""
+
+
+@query([sql.SITES, sql.BASE, FEATURES], KEY + ", " + r("x y z"), "ft")
+def q_scaled_features(spark, sf_dir):
+    return rounded(clusters.scaled_features(clusters.significant_sites(_effects(spark, sf_dir))).select("gene", "hap", "groupA", "groupB", "position", "x", "y", "z"))
+
+
+@query(["RECURSIVE " + sql.SITES.lstrip(), sql.BASE, FEATURES, DENSITY], KEY + ", cluster", "wc")
 def q_clusters_weighted(spark, sf_dir):
     return clusters.dbscan_weighted(clusters.significant_sites(_effects(spark, sf_dir)))
 
 
+@query([sql.SITES, sql.BASE, """th AS (SELECT unnest([0.0, 0.5, 0.8]::DOUBLE[]) AS cohen), hl AS (SELECT tr.*, lv FROM tr JOIN (SELECT gene, hap, "groupA", "groupB", quantile_cont(abs("log2FC"), 0.95) AS lv FROM tr GROUP BY ALL) USING (gene, hap, groupA, groupB))"""], KEY + ', cohen, padj < 0.05 AND abs("log2FC") >= lv AND abs(cohen_d) > cohen AS highlighted', "hl, th")
+def q_highlight_sweep(spark, sf_dir):
+    swept = base.highlight_sweep(base.dense_trace(_effects(spark, sf_dir)), [0.0, 0.5, 0.8])
+    return swept.select("gene", "hap", "groupA", "groupB", "position", "cohen", "highlighted")
+
+
 @query(
     [sql.SITES, sql.BASE, 'kd AS (SELECT s.gene, s.hap, s."groupA", s."groupB", s.position, list_sort(list(abs(t.position - s.position)))[5] AS d FROM sig s JOIN sig t USING (gene, hap, groupA, groupB) GROUP BY ALL)'],
     'gene, hap, "groupA", "groupB", round(quantile_cont(d, 0.9), 9) + 0.0 AS eps',
@@ -296,6 +342,23 @@ def q_cluster_truth_match(spark, sf_dir):
     return rounded(_matches(spark, sf_dir).select("gene", "hap", "groupA", "groupB", "cluster_id", "n_points", "density", "match_start", "match_end", "truth_position", "truth_id", "match_status", "dist_truth_to_cluster_center"))
 
 
+KEPT = """
+dn AS (SELECT *, n_points / greatest(end_position - start_position, 1) AS density FROM sco), kl AS (SELECT gene, hap, "groupA", "groupB", quantile_cont(total_score, 0.4) AS lv FROM dn GROUP BY ALL),
+kc AS (SELECT dn.* FROM dn JOIN kl USING (gene, hap, groupA, groupB) WHERE total_score >= lv AND n_points >= 6 AND density >= 0.1)"""
+
+
+@query([sql.SITES, sql.BASE, KEPT], 'gene, hap, "groupA", "groupB", CAST(cluster_id AS INT) AS cluster_id, n_points, round(density, 9) + 0.0 AS density', "kc")
+def q_kept_clusters(spark, sf_dir):
+    kept = evaluate.kept_clusters(clusters.cluster_scores(_clustered(spark, sf_dir)), 6, 0.1, 0.6)
+    return rounded(kept.select("gene", "hap", "groupA", "groupB", "cluster_id", "n_points", "density"))
+
+
+@query([sql.SITES, sql.BASE], 'sco.gene, hap, "groupA", "groupB", CAST(cluster_id AS INT) AS cluster_id, start_position AS match_start, end_position + 10 AS match_end, t.pos AS truth_position, t.ID AS truth_id', "sco LEFT JOIN truth t ON t.gene = sco.gene AND t.pos BETWEEN start_position AND end_position + 10")
+def q_cluster_truth_match_minus(spark, sf_dir):
+    m = evaluate.match_clusters(clusters.cluster_scores(_clustered(spark, sf_dir)), _truth(spark, sf_dir), "-")
+    return m.select("gene", "hap", "groupA", "groupB", "cluster_id", "match_start", "match_end", "truth_position", "truth_id")
+
+
 @query([sql.SITES, sql.BASE], 'k.gene, k.hap, k."groupA", k."groupB", ID AS "ID", pos', '(SELECT DISTINCT gene, hap, "groupA", "groupB" FROM mt) k JOIN truth USING (gene) WHERE NOT EXISTS (SELECT 1 FROM mt WHERE mt.gene = k.gene AND mt.hap = k.hap AND mt."groupA" = k."groupA" AND mt."groupB" = k."groupB" AND mt.truth_id = ID)')
 def q_missed_truth(spark, sf_dir):
     return evaluate.missed_truth(_matches(spark, sf_dir), _truth(spark, sf_dir))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +28,7 @@ def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     names = lines.where(F.col("value").startswith("#CHROM")).select("file", F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("samples"))
     rows = lines.where(~F.col("value").startswith("#")).withColumn("f", f).where((F.size("f") >= 5) & F.col("f")[1].try_cast("long").isNotNull())
     base = rows.select("file", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alts"), "line_no", "f")
+    # A line is joined to the names of its file while its calls are one array; reference calls may be dropped by haplotype_edits().
     calls = base.join(names, "file").select("file", "chrom", "pos", "line_no", F.explode(F.arrays_zip("samples", F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("gt"))).alias("x"))
     return base.drop("f"), calls.select("file", "chrom", "pos", "line_no", F.col("x.samples").alias("sample"), F.col("x.gt").alias("gt")).where("sample IS NOT NULL AND gt IS NOT NULL")
 
@@ -80,18 +86,49 @@ def read_attention_wide(spark: SparkSession, path: str) -> DataFrame:
     return cells.select("file", "sample", normalize_position(F.col("x.name")).alias("position"), score.alias("score")).where("position IS NOT NULL")
 
 
+def read_attention_wide_parquet(spark: SparkSession, path: str, most_cells: int = 1 << 20) -> DataFrame:
+    """(file, sample, position, score) of wide Parquet matrices (a column sample, and pos_<n>), one file a task at least.
+
+    Files may have different columns: each is read by itself where it is, by row groups and lots of columns of about
+    most_cells cells, so no plan has a column for a position. A file has to fit in memory (2 GB at most).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                f = pq.ParquetFile(io.BytesIO(content.as_py()))
+                axis = [(c, int(c.removeprefix("pos_"))) for c in f.schema_arrow.names if c.removeprefix("pos_").isdigit()]
+                for g in range(f.num_row_groups):
+                    n = f.metadata.row_group(g).num_rows
+                    step = max(1, most_cells // max(1, n))
+                    sample = f.read_row_group(g, ["sample"]).column(0).combine_chunks().cast(pa.string())
+                    for a in range(0, len(axis), step):
+                        lot = f.read_row_group(g, [c for c, _ in axis[a : a + step]])
+                        for c, position in axis[a : a + step]:
+                            score = lot.column(c).combine_chunks().cast(pa.float64())
+                            yield pa.record_batch([pa.array([name] * n, pa.string()), sample, pa.array([position] * n, pa.int64()), score], ["file", "sample", "position", "score"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    long = files.mapInArrow(run, "file string, sample string, position long, score double")
+    return long.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
 def read_genes(spark: SparkSession, root: str, hap: str = "hap1") -> DataFrame:
-    """(gene, hap, sample, position, score) of all folders of root that have both a matrix of the haplotype and metadata.csv; the folder 1.plot is none."""
-    gene = F.element_at(F.split("file", "/"), -2)
+    """(gene, hap, sample, position, score) of all folders of root that have both a matrix of the haplotype and metadata.csv; the folder 1.plot is none. A matrix may be a file or a folder of one."""
+    gene = F.regexp_extract("file", "/([^/]+)/[^/]*collapsed[^/]*[.]csv(/[^/]*)?$", 1)
     matrix = read_attention_wide(spark, f"{root}/*/{hap}*collapsed*.csv").withColumn("gene", gene)
-    metadata = _lines(spark, f"{root}/*/metadata.csv").select(gene.alias("gene")).distinct()
+    metadata = _lines(spark, f"{root}/*/metadata.csv").select(_folder().alias("gene")).distinct()
     return matrix.where("gene <> '1.plot'").join(metadata, "gene", "left_semi").select("gene", F.lit(hap).alias("hap"), "sample", "position", "score")
 
 
+def _folder():
+    return F.regexp_extract("file", "/([^/]+)/metadata[.]csv(/[^/]*)?$", 1)
+
+
 def read_metadata(spark: SparkSession, root: str) -> DataFrame:
-    """(gene, sample, sample_type) of the metadata.csv of all folders of root."""
+    """(gene, sample, sample_type) of the metadata.csv (file or folder) of all folders of root."""
     rows = _lines(spark, f"{root}/*/metadata.csv").withColumn("f", F.split("value", ","))
-    return rows.select(F.element_at(F.split("file", "/"), -2).alias("gene"), F.col("f")[0].alias("sample"), F.try_element_at("f", F.lit(2)).try_cast("int").alias("sample_type")).where("sample_type IS NOT NULL")
+    return rows.select(_folder().alias("gene"), F.col("f")[0].alias("sample"), F.try_element_at("f", F.lit(2)).try_cast("int").alias("sample_type")).where("sample_type IS NOT NULL")
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from helixframe.plans import files  # noqa: F401
 from helixframe.plans import queries as own
 
 from .conftest import SF, same
