@@ -11,8 +11,8 @@ bounds overlaps before it opens anything:
    that share a part are not connected yet, groups are rows of at most ROW classes on average, and a class is a query to
    the rows whose parts it shares. Shingles are sent to those rows only.
 3. A row of the token-group matrix holds the union of its members' shingles and which member has which. A query whose
-   overlap with the union is below what any member asks for does not open the row; else it is compared with all members at
-   once, as products with the matrix.
+   overlap with the union is below what any member asks for does not open the row; else its overlaps with all members are
+   counted at once, along its shingles' lines of the matrix.
 
 Whole sets are compared, so no link is wrong, and none is lost. A task holds one row and a block of queries; what leaves it
 is a forest of the links found, not the links.
@@ -39,7 +39,7 @@ from helixframe.llm.vectors import whole_groups
 #: Parts beyond those that the pigeonhole principle asks for: so many parts may be empty in a set before empty parts are listed too.
 SPARE = 2
 #: Classes in one row of the token-group matrix, and queries put to it at once, on average.
-ROW, BLOCK = 64, 256
+ROW, BLOCK = 512, 1024
 
 
 @lru_cache(64)
@@ -143,21 +143,24 @@ def open_rows(queries: list[np.ndarray], members: list[np.ndarray], num: int, de
 
     A query whose overlap with the union of all members is below what any of them asks for does not open the row.
     """
-    union, at = np.unique(np.concatenate(members), return_inverse=True)
     sizes = np.array([len(m) for m in members])
-    matrix = np.zeros((len(union), len(members)), np.float32)
-    matrix[at, np.repeat(np.arange(len(members)), sizes)] = 1
+    tokens = np.concatenate(members)
+    order = np.argsort(tokens, kind="stable")
+    union, begin = np.unique(tokens[order], return_index=True)
+    holder, end = np.repeat(np.arange(len(members)), sizes)[order], np.append(begin[1:], len(tokens))
     found = []
-    for q, tokens in enumerate(queries):
-        fits = (sizes * den >= len(tokens) * num) & (sizes * num <= len(tokens) * den)
+    for q, mine in enumerate(queries):
+        fits = (sizes * den >= len(mine) * num) & (sizes * num <= len(mine) * den)
         if not fits.any():
             continue
-        place = np.searchsorted(union, tokens)
-        place = place[union[np.minimum(place, len(union) - 1)] == tokens]
-        if len(place) * den < num * max(len(tokens), sizes[fits].min()):
+        place = np.searchsorted(union, mine)
+        place = place[union[np.minimum(place, len(union) - 1)] == mine]
+        if len(place) * den < num * max(len(mine), sizes[fits].min()):
             continue
-        common = matrix[place].sum(0).astype(np.int64)
-        found += [(q, int(m)) for m in np.flatnonzero(fits & (den * common >= num * (len(tokens) + sizes - common)))]
+        n = end[place] - begin[place]
+        ends = np.cumsum(n)
+        common = np.bincount(holder[np.arange(ends[-1]) + np.repeat(begin[place] - ends + n, n)], minlength=len(members))
+        found += [(q, int(m)) for m in np.flatnonzero(fits & (den * common >= num * (len(mine) + sizes - common)))]
     return found
 
 

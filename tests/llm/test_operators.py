@@ -267,6 +267,31 @@ def test_op6_crowded_groups(spark, monkeypatch):
     assert got == least
 
 
+def test_op6_large_family(spark):
+    """A family of classes that all share parts, of which many do not link, stays exact with several rows and blocks."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 2, 3, 4])):
+            w[r.randrange(80)] = f"n{r.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    got = {x["id"]: x["component_id"] for x in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), num=85).collect()}
+    ids, sets = list(range(1500)), dict(naive_sets(rows, 3))
+    vocabulary = {t: k for k, t in enumerate(sorted({t for s in sets.values() for t in s}))}
+    m = np.zeros((1500, len(vocabulary)), np.float32)
+    for i in ids:
+        m[i, [vocabulary[t] for t in sets[i]]] = 1
+    n, common = m.sum(1), m @ m.T
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    least = np.arange(1500)
+    for _ in range(60):
+        least = np.array([least[linked[i]].min() for i in ids])
+    assert got == dict(enumerate(least.tolist()))
+    assert 50 < len(set(least.tolist())) < 1450
+
+
 def test_op7(docs, none, texts):
     got = [tuple(r) for r in substrings.remove_repeats(docs).select("id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     first = {}
