@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.storage import documents
+from helixframe.llm.storage import documents, materialize
 
 
 @dataclass(frozen=True)
@@ -36,7 +36,7 @@ RULES = (
     Rule("assign", 1, r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    Rule("pem", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,. \t\r\n-]*?-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
 )
 BASE = ("assign", "access", "hex")
 
@@ -54,7 +54,7 @@ def scan_text(text: str, rules: Sequence[tuple[Rule, re.Pattern]]) -> list[tuple
 
 
 def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """blobs: (blob, text, todo array<string>), todo being the kinds to scan for. Returns (blob, kinds, starts, ends) of each blob, as parallel arrays."""
+    """blobs: (blob, text, todo array<string>), todo being the kinds to scan for. Returns (blob, todo, kinds, starts, ends) of each blob, the last three as parallel arrays."""
     names = [r.kind for r in rules]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,9 +62,9 @@ def scan_blobs(blobs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         for f in frames:
             rows = [scan_text(t, [x for x in ready if x[0].kind in set(todo)]) for t, todo in zip(f["text"], f["todo"], strict=True)]
             todo = [[n for n in names if n in set(t)] for t in f["todo"]]
-            yield pd.DataFrame({"blob": f["blob"], "kinds": [[k[p] for _, p, _ in r] for r, k in zip(rows, todo, strict=True)], "starts": [[s for s, _, _ in r] for r in rows], "ends": [[e for _, _, e in r] for r in rows]})
+            yield pd.DataFrame({"blob": f["blob"], "todo": todo, "kinds": [[k[p] for _, p, _ in r] for r, k in zip(rows, todo, strict=True)], "starts": [[s for s, _, _ in r] for r in rows], "ends": [[e for _, _, e in r] for r in rows]})
 
-    return blobs.select("blob", "text", "todo").mapInPandas(run, "blob string, kinds array<string>, starts array<long>, ends array<long>")
+    return blobs.select("blob", "text", "todo").mapInPandas(run, "blob string, todo array<string>, kinds array<string>, starts array<long>, ends array<long>")
 
 
 def unseen_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, *, text_col: str = "text") -> DataFrame:
@@ -92,9 +92,15 @@ def ledger_rows(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def findings_by_path(versions: DataFrame, findings: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of all runs, joined to each version that holds the blob: (key, blob, kinds, starts, ends); empty arrays where there are none.
 
-    A plain join on the blob: Spark splits the rows of a blob with very many versions over tasks.
+    Where several runs scanned a blob (for other rules), their findings are put together in order. A plain join on the blob:
+    Spark splits the rows of a blob with very many versions over tasks.
     """
     held = versions.select(F.col(key), blob_id(F.col(text_col)).alias("blob"))
+    at = F.arrays_zip("starts", "ends", "kinds")
+    order = [r.kind for r in RULES]
+    place = F.transform(at, lambda x: F.struct(x["starts"].alias("starts"), F.array_position(F.array(*map(F.lit, order)), x["kinds"]).alias("place"), x["ends"].alias("ends"), x["kinds"].alias("kinds")))
+    merged = findings.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(place))).alias("x"))
+    findings = merged.select("blob", *(F.col(f"x.{c}").alias(c) for c in ("kinds", "starts", "ends")))
     fill = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     return held.join(findings, "blob", "left").select(key, "blob", fill("kinds", "string"), fill("starts", "long"), fill("ends", "long"))
 
@@ -105,13 +111,45 @@ def digests(findings: DataFrame) -> DataFrame:
     spell = lambda x: F.concat_ws(":", x["kinds"], x["starts"].cast("string"), x["ends"].cast("string"))
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
     base = F.filter(at, lambda x: x["kinds"].isin(*BASE))
-    return findings.select("blob", *(count(k) for k in BASE), F.sha2(F.concat_ws(",", F.transform(base, spell)).cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.transform(at, spell)).alias("spans"))
+    return findings.select(*(c for c in findings.columns if c not in ("kinds", "starts", "ends")), *(count(k) for k in BASE), F.sha2(F.concat_ws(",", F.transform(base, spell)).cast("binary"), 256).alias("base_sha256"), F.concat_ws(",", F.transform(at, spell)).alias("spans"))
+
+
+class Ledger:
+    """The ledger (blob, kind, version) and the findings (blob, kinds, starts, ends) of all runs, as tables in the shared folder. A run adds a part to each."""
+
+    def __init__(self):
+        self.scanned: list[DataFrame] = []
+        self.findings: list[DataFrame] = []
+
+    @staticmethod
+    def _all(parts: list[DataFrame]) -> DataFrame | None:
+        out = parts[0] if parts else None
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        return out
+
+    def scan(self, versions: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "text") -> None:
+        """One run: scan the blobs of versions for the rule versions that the ledger lacks, and take down both."""
+        todo = unseen_blobs(versions, self._all(self.scanned), rules, text_col=text_col)
+        found = materialize(scan_blobs(todo, rules), "findings")
+        self.findings.append(found.select("blob", "kinds", "starts", "ends"))
+        kinds = found.select("blob", F.explode("todo").alias("kind"))
+        version = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.version)))
+        self.scanned.append(kinds.withColumn("version", version[F.col("kind")]))
+
+    def by_path(self, versions: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """findings_by_path() of all runs."""
+        return findings_by_path(versions, self._all(self.findings), key=key, text_col=text_col)
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    found = digests(scan_blobs(unseen_blobs(docs)))
-    return docs.select("doc_id", blob_id(F.col("text")).alias("blob")).join(found, "blob").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    """Findings of every document after two runs: the second one scans only blobs that the ledger of the first one lacks. Null texts are empty; repeated rows are rows of their own."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    second = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1, F.lit(False))
+    ledger = Ledger()
+    ledger.scan(docs.where(~second))
+    ledger.scan(docs.where(second))
+    return digests(ledger.by_path(docs)).drop("blob")
 
 
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -119,13 +157,13 @@ ORACLE = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), r(kind, place, pat, least) AS (VALUES
   ('assign', 0, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)[A-Za-z0-9+/_.=-]+', 12),
-  ('access', 1, 'AKIA[A-Z0-9]+', 18), ('hex', 2, '[0-9a-f]+', 16), ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 1)
+  ('access', 1, 'AKIA[A-Z0-9]+', 18), ('hex', 2, '[0-9a-f]+', 16), ('pem', 3, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,. \t\r\n-]*?-----END [A-Z ]*PRIVATE KEY-----)?', 1)
 ), m AS (
   SELECT doc_id, kind, place, least,
     CASE place WHEN 0 THEN regexp_extract_all(t, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)[A-Za-z0-9+/_.=-]+')
-      WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_extract_all(t, '[0-9a-f]+') ELSE regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') END AS hits,
+      WHEN 1 THEN regexp_extract_all(t, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_extract_all(t, '[0-9a-f]+') ELSE regexp_extract_all(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,. \t\r\n-]*?-----END [A-Z ]*PRIVATE KEY-----)?') END AS hits,
     CASE place WHEN 0 THEN regexp_split_to_array(t, '((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?)[A-Za-z0-9+/_.=-]+')
-      WHEN 1 THEN regexp_split_to_array(t, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_split_to_array(t, '[0-9a-f]+') ELSE regexp_split_to_array(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----') END AS gaps
+      WHEN 1 THEN regexp_split_to_array(t, 'AKIA[A-Z0-9]+') WHEN 2 THEN regexp_split_to_array(t, '[0-9a-f]+') ELSE regexp_split_to_array(t, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,. \t\r\n-]*?-----END [A-Z ]*PRIVATE KEY-----)?') END AS gaps
   FROM d, r
 ), x AS (
   SELECT doc_id, kind, place, least, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap, unnest(generate_series(1, len(hits))) AS i FROM m WHERE len(hits) > 0
