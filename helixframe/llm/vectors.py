@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,36 @@ from helixframe.llm.components import components
 from helixframe.llm.storage import materialize
 
 SIMILARITY = 0.95
-#: Vectors compared at once; and the chance that one rotation gives two vectors at the least similarity the same axis, as measured at 0.95 in 64 dimensions.
-BLOCK, AGREE = 512, 0.6
+#: Vectors compared at once.
+BLOCK = 512
+#: So many lengths of vectors may occur in a table; each is hashed by itself.
+MOST_LENGTHS = 1000
 #: The chance to miss a pair at the least similarity, for which the number of tables is chosen; probes and closer pairs lower it.
 MISS = 1e-4
 
 
+@lru_cache(1000)
+def agreement(dim: int, similarity: float, tries: int = 4000) -> float:
+    """The chance that a rotation gives two vectors of this cosine the same axis, with its sign: rotated vectors are as good as normal ones, so pairs of these are tried."""
+    r = np.random.default_rng(dim)
+    same, step = 0, max(1, 2_000_000 // dim)
+    for a in range(0, tries, step):
+        n = min(step, tries - a)
+        x, y = r.normal(size=(n, dim)), r.normal(size=(n, dim))
+        y = similarity * x + math.sqrt(max(0.0, 1 - similarity**2)) * y
+        i, j = np.abs(x).argmax(1), np.abs(y).argmax(1)
+        rows = np.arange(n)
+        same += int(((i == j) & (np.sign(x[rows, i]) == np.sign(y[rows, j]))).sum())
+    return max(1, same) / tries
+
+
+def layout(n: int, dim: int, similarity: float) -> tuple[int, int]:
+    """(tables, rotations in a bucket) for n vectors: buckets stay small, and the chance to miss a pair at the least similarity is MISS."""
+    padded = max(2, 1 << max(0, dim - 1).bit_length())
+    rotations = max(1, round(math.log(max(n, 1)) / math.log(2 * padded)))
+    return max(4, math.ceil(math.log(MISS) / math.log(max(1e-12, 1 - agreement(padded, similarity) ** rotations)))), rotations
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Walsh-Hadamard transform of the rows, whose length is a power of two."""
     n, h = x.shape[1], 1
@@ -114,35 +139,36 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     """One row (id, n_links, component_id, kept) per input row.
 
     n_links: other rows linked directly (cosine of similarity or more); component_id: the smallest id reachable. Null
-    vectors, zero vectors, and those with null or non-finite components link with nothing; so do vectors of other lengths
-    than the longest. Equal vectors are compared once, with their number. Rows with a null id are left out. The number of
-    rotations in a bucket follows the logarithm of the number of vectors, so that buckets stay small.
+    vectors, zero vectors, and those with null or non-finite components link with nothing, and vectors of different lengths
+    don't link. Equal vectors are compared once, with their number. A row with a null id links with nothing and has no
+    component. The number of rotations in a bucket follows the logarithm of the number of vectors of a length, so that
+    buckets stay small. Other columns are not looked at.
     """
     kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     zero = ~F.exists("v", lambda e: e != 0)
-    rows = rows.withColumn("v", F.when(F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True)), F.col("v")))
+    rows = rows.withColumn("v", F.when(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & ~F.coalesce(zero, F.lit(True)), F.col("v")))
     keyed = materialize(rows.withColumn("k", F.when(F.col("v").isNotNull(), F.sha2(F.concat_ws(",", F.col("v").cast("array<string>")), 256))), "vectors")
     usable = keyed.where("v IS NOT NULL")
-    n, dim = usable.agg(F.count("*"), F.max(F.size("v"))).first()
-    if not n:
-        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    padded = max(2, 1 << max(0, dim - 1).bit_length())
-    rotations = max(1, round(math.log(n) / math.log(2 * padded)))
-    tables = max(4, math.ceil(math.log(MISS) / math.log(1 - AGREE**rotations)))
-    distinct = materialize(usable.where(F.size("v") == dim).groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "distinct-vectors")
+    lengths = usable.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).limit(MOST_LENGTHS + 1).collect()
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    if not lengths:
+        return rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
+    layouts = {r["dim"]: layout(r["n"], r["dim"], similarity) for r in lengths}
+    distinct = materialize(usable.groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "distinct-vectors")
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if not len(f):
-                continue
-            own, second = buckets(unit(f["v"]), tables, rotations)
-            yield pd.DataFrame({"rep": f["rep"], "copies": f["copies"], "v": f["v"], "own": list(own.astype(np.int32)), "second": list(second.astype(np.int32))})
+        for whole in frames:
+            for dim, f in whole.groupby(whole["v"].map(len), sort=False):
+                own, second = buckets(unit(f["v"]), *layouts[dim])
+                yield pd.DataFrame({"rep": f["rep"], "copies": f["copies"], "v": f["v"], "own": list(own.astype(np.int32)), "second": list(second.astype(np.int32))})
 
     coded = materialize(distinct.select("rep", "copies", "v").mapInPandas(hashed, f"rep long, copies long, v array<{kind}>, own array<int>, second array<int>"), "coded-vectors")
     both = F.arrays_zip("own", "second")
-    places = coded.select("rep", F.posexplode(both).alias("t", "b")).select("rep", "t", F.explode(F.array_distinct(F.array("b.own", "b.second"))).alias("bucket"))
+    # A bucket's number tells the length of its vectors, too.
+    places = coded.select("rep", F.size("v").alias("dim"), F.posexplode(both).alias("t", "b")).select("rep", (F.col("t") + F.col("dim").cast("long") * 65536).alias("t"), F.explode(F.array_distinct(F.array("b.own", "b.second"))).alias("bucket"))
     crowd = places.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     met = places.join(crowd, ["t", "bucket"]).select("rep", "t", "bucket", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
@@ -153,11 +179,11 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         for f in whole_groups(frames, ["t", "bucket", "lo", "hi"]):
             out = []
             starts = np.flatnonzero((f[["t", "bucket", "lo", "hi"]].diff() != 0).any(axis=1).to_numpy())
-            x, own, second = unit(f["v"]), *(np.stack(f[c].to_numpy()) for c in ("own", "second"))
             ids, copies, parts, t, bucket = (f[c].to_numpy() for c in ("rep", "copies", "part", "t", "bucket"))
             for a, b in zip(starts, [*starts[1:], len(f)], strict=True):
                 if b - a > 1:
-                    gains, label = compare(int(t[a]), int(bucket[a]), parts[a:b], ids[a:b], x[a:b], own[a:b], second[a:b], copies[a:b], similarity)
+                    x, own, second = unit(f["v"].iloc[a:b]), *(np.stack(f[c].iloc[a:b].to_numpy()) for c in ("own", "second"))
+                    gains, label = compare(int(t[a]) % 65536, int(bucket[a]), parts[a:b], ids[a:b], x, own, second, copies[a:b], similarity)
                     for i in np.flatnonzero(gains):
                         out.append((int(ids[a + i]), int(gains[i]), int(ids[a + label[i]])))
             if out:
@@ -171,7 +197,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     classes = classes.select(F.col("k").alias("of"), (F.coalesce("gain", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     found = keyed.select("id", "k").join(classes, F.col("k") == F.col("of"), "left")
     component = F.coalesce("component_id", "id")
-    return found.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return found.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 
 
 def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], least: int = 2000) -> Iterator[pd.DataFrame]:
@@ -194,5 +220,6 @@ def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], least: int = 2
 
 
 def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings at a cosine of 0.95; see near_vectors() for nulls, lengths and repeated rows."""
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumnRenamed("id", "vec_id")
