@@ -12,6 +12,7 @@ smallest document of each run settles exactly which lines stand in a block that
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -142,8 +143,19 @@ def aligned_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     return gone.where(F.size("gone") > 0)
 
 
+def kept_runs(hit: np.ndarray) -> list[dict[str, int]]:
+    """Runs of lines that are not hit, as their first line from 1 on and their number; lines beyond hit belong to the last run."""
+    edge = np.diff(np.concatenate(([0], (~hit).astype(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+    if not end or end[-1] < len(hit):
+        start.append(len(hit))
+        end.append(len(hit))
+    end[-1] = 1 << 30
+    return [{"first": a + 1, "n": b - a} for a, b in zip(start, end, strict=True)]
+
+
 def deleted_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(id, h, deleted array<int>): lines of each row that are in blocks an earlier row has, from 0, in order."""
+    """(id, h, deleted, kept array<struct<first, n>>): how many lines of each row are in blocks an earlier row has, and the runs of lines between them, counted from 1; the last run is open."""
     kind = table.schema["key"].dataType["id"].dataType.simpleString()
     nothing = F.lit(None).cast("int")
     both = aligned_lines(table, least).select("id", "h", "gone", nothing.alias("start"), nothing.alias("end")).unionByName(held_runs(table, least).select("id", "h", F.lit(None).cast("array<int>").alias("gone"), "start", "end"))
@@ -160,29 +172,33 @@ def deleted_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
                 depth = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
                 hit = np.cumsum(depth) > 0
                 hit[aligned] = True
-                out.append(np.flatnonzero(hit).astype(np.int32))
-            yield pa.record_batch([batch.column("id"), batch.column("h"), pa.array(out, pa.list_(pa.int32()))], ["id", "h", "deleted"])
+                out.append((int(hit.sum()), kept_runs(hit)))
+            yield pa.record_batch([batch.column("id"), batch.column("h"), pa.array([n for n, _ in out], pa.int64()), pa.array([k for _, k in out], runs_type)], ["id", "h", "deleted", "kept"])
 
-    return lists.select("id", "h", "gone", "runs").mapInArrow(run, f"id {kind}, h long, deleted array<int>")
+    runs_type = pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())]))
+    return lists.select("id", "h", "gone", "runs").mapInArrow(run, f"id {kind}, h long, deleted long, kept array<struct<first:int,n:int>>")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS) -> DataFrame:
-    """docs with text_col without the blocks of lines that an earlier document has, and the columns n_lines and n_deleted.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_CHARS, counts: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """docs with text_col without the blocks of lines that an earlier document has, and two columns named counts: lines, and deleted ones.
 
     Earlier means a smaller id, and for equal ids a smaller hash of the text; rows equal in both are one document and all
     keep the same lines. A block is judged on the input, and its first holder keeps it there. Lines are compared
     without outer spaces; blank lines go only inside of a block. Rows with a null id or text are returned as they are;
-    columns named n_lines and n_deleted are replaced.
+    columns named as counts are replaced, all others are kept, whatever their names.
     """
-    gone = materialize(deleted_lines(materialize(line_table(docs, id_col, text_col), "lines"), least), "gone-lines").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("deleted").alias("_gone"))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.drop("n_lines", "n_deleted").join(gone, (F.col(id_col) == F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    n_lines = F.size(F.split(text, "\n")).cast("long")
-    new = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.withColumns({"n_lines": n_lines, "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), text_col: new}).drop("_id", "_h", "_gone")
+    kept = docs.drop(*counts)
+    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("id", "h", "deleted", "kept")}
+    gone = materialize(deleted_lines(materialize(line_table(docs, id_col, text_col), "lines"), least), "gone-lines").withColumnsRenamed(own)
+    text, lines = F.coalesce(F.col(text_col), F.lit("")), F.split(F.col(text_col), "\n")
+    joined = kept.join(gone, (F.col(id_col) == F.col(own["id"])) & (F.xxhash64(text) == F.col(own["h"])), "left")
+    left = F.array_join(F.flatten(F.transform(own["kept"], lambda r: F.slice(lines, r["first"], r["n"]))), "\n")
+    new = F.when(F.col(own["kept"]).isNull(), F.col(text_col)).otherwise(left)
+    out = joined.select(*(F.col(c) for c in kept.columns if c != text_col), new.alias(text_col), F.size(F.split(text, "\n")).cast("long").alias(counts[0]), F.coalesce(own["deleted"], F.lit(0)).cast("long").alias(counts[1]))
+    return out.select(*kept.columns, *counts)
 
 
 def op8_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps without blocks of lines that an earlier one has; see dedup_lines() for nulls, ties and repeated rows."""
     kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_deleted", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
