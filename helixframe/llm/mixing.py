@@ -7,6 +7,7 @@ budget is opened and summed by the next bits of the hash, and so on; only histog
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,15 +85,14 @@ def hash_thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
 FEW_SOURCES = 50_000
 
 
-def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, added: tuple[str, str, str, str] = ("mix_size", "source_size", "target", "times")) -> DataFrame:
     """docs with what each row gives to a mix of all sources.
 
-    Adds mix_size (the row's number of words), source_size, target (its source's, see source_targets) and times: how often
-    the mix takes the row, that is the number of whole passes over the source, and once more for rows below the source's
+    Adds four columns, named added: mix_size (the row's number of words), source_size, target (its source's, see
+    source_targets) and times: how often the mix takes the row, that is the number of whole passes over the source, and once more for rows below the source's
     hash threshold. Null texts have no words; null sources are a source; repeated ids are taken or left together; columns
-    of the added names are replaced. The same rows give the same mix in any order and partitioning.
+    of these names are replaced, all others are kept, whatever their names. The same rows give the same mix in any order and partitioning.
     """
-    added = ("mix_size", "source_size", "target", "times")
     rows = docs.drop(*added)
     size, h = word_count(F.col(text_col)), hash_bits(F.col(id_col))
     sized = materialize(rows.select(F.col(source_col).alias("source"), size.alias("size"), h.alias("h")), "mix-sizes")
@@ -101,15 +101,18 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     targets = materialize(targets.withColumn("passes", passes.cast("long")), "mix-targets")
     open_ones = targets.where(F.col("target") > F.col("passes") * F.col("source_size"))
     cuts = hash_thresholds(sized, open_ones.select("source", (F.col("target") - F.col("passes") * F.col("source_size")).alias("budget")))
-    plan = targets.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("_of"), "source_size", "target", F.col("passes").alias("_passes"), F.col("cut").alias("_cut"))
+    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("source", "source_size", "target", "passes", "cut")}
+    plan = targets.join(cuts.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "passes", "cut").withColumnsRenamed(own)
     plan = materialize(plan, "mix-plan")
     if plan.count() <= FEW_SOURCES:
         plan = F.broadcast(plan)
-    times = (F.col("_passes") + F.when(h < F.col("_cut"), 1).otherwise(0)).cast("int")
-    return rows.join(plan, F.col(source_col).eqNullSafe(F.col("_of"))).withColumns({"mix_size": size, "times": times}).drop("_of", "_passes", "_cut")
+    times = (F.col(own["passes"]) + F.when(h < F.col(own["cut"]), 1).otherwise(0)).cast("int")
+    joined = rows.join(plan, F.col(source_col).eqNullSafe(F.col(own["source"])))
+    return joined.select(*rows.columns, size.alias(added[0]), F.col(own["source_size"]).alias(added[1]), F.col(own["target"]).alias(added[2]), times.alias(added[3]))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; see mix_sources() for nulls, ties and repeated rows."""
     mixed = mix_sources(documents(spark, sf_dir))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("mix_size") * F.col("times")).alias("taken"))
 
