@@ -1,20 +1,24 @@
-"""Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
-
-Everything on the main path is a DataFrame expression. The size bound is used as an equality: for a threshold d, only
-texts with between n * d / (2 - d) and n * (2 - d) / d distinct bigrams can reach d against a template of n bigrams, so
-each template is listed once for each such size, and texts meet templates in a hash join on their size.
+"""Licence scans: normalised text compared to licence templates by the Dice coefficient over word bigrams.
+
+Everything on the main path is a DataFrame expression. Two kinds of units are compared: lines and whole texts, and windows
+of as many words as a template has, wherever a text has one of the template's probes, so that notices inside a line or
+wrapped over several are found, and full licence texts inside of longer ones. The size bound is used as an equality: for a
+threshold d, only texts with between n * d / (2 - d) and n * (2 - d) / d distinct bigrams can reach d against a template of
+n bigrams, so each template is listed once for each such size, and lines meet templates in a hash join on their size. Probes
+are bigrams of which every text within the threshold has one.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.storage import documents
+from helixframe.llm.storage import documents, materialize
 
-#: Well-known short licence notices.
+#: Well-known short licence notices, and the bodies of three short licences.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
@@ -26,6 +30,9 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "ISC (text)": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "MIT (text)": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause (text)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 }
 THRESHOLD = 0.85
 #: Up to so many templates they are sent to all executors, and texts are tried for parts of them first.
@@ -56,6 +63,15 @@ def probes(grams: list[str], threshold: float) -> list[str]:
     return sorted(grams, key=lambda g: (-len(g), g))[: n - least + 1]
 
 
+def probe_pattern(known: list[str]) -> str:
+    """One pattern for whole bigrams in a normalised text, tried at starts of words only. Normalised words have no characters that a pattern reads otherwise."""
+    by_first: dict[str, list[str]] = {}
+    for p in sorted(known):
+        first, _, rest = p.partition(" ")
+        by_first.setdefault(first, []).append(f" {rest}" if rest else "")
+    return "(?:^| )(?:" + "|".join(f"{w}(?:{'|'.join(rest)})" for w, rest in by_first.items()) + ")(?= |$)"
+
+
 def match_templates(units: DataFrame, licences: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """All (unit, licence) with a Dice coefficient of threshold or more.
 
@@ -71,52 +87,109 @@ def match_templates(units: DataFrame, licences: DataFrame, *, threshold: float =
     known = t.limit(FEW + 1).collect()
     if len(known) <= FEW:
         tried = sorted({p for row in known for p in probes(row["t_grams"], threshold)})
-        # One pattern, so that a text is normalised once. Normalised words have no characters that a pattern reads otherwise.
-        u = u.where(F.col("norm").rlike("|".join(tried)) if tried else F.lit(False))
+        u = u.where(F.col("norm").rlike(probe_pattern(tried)) if tried else F.lit(False))
         by_size = F.broadcast(by_size)
     else:
         u = u.where(F.col("norm") != "")
     u = u.select(*keys, bigrams(F.col("norm")).alias("grams")).withColumn("n_grams", F.size("grams"))
-    score = 2 * F.size(F.array_intersect("grams", "t_grams")) / (F.size("grams") + F.size("t_grams"))
-    return u.join(by_size, "n_grams").withColumn("score", score).where(F.col("score") >= threshold).select(*keys, "licence", "score")
+    return u.join(by_size, "n_grams").withColumn("score", dice(F.col("grams"), F.col("t_grams"))).where(F.col("score") >= threshold).select(*keys, "licence", "score")
+
+
+def dice(a: Column, b: Column) -> Column:
+    return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b))
+
+
+def match_windows(texts: DataFrame, licences: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
+    """texts: (key, norm), normalised, keys once each. (key, licence, start, score) of windows within the threshold: as many words as the template has, such that a probe stands where the template has it.
+
+    Windows that would begin before the text begin with it, and those at its end are cut. Templates of one word have no windows.
+    """
+    words, pair = F.split("norm", " "), lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    t = licences.select("licence", normalised(F.col("text")).alias("norm")).where(F.instr("norm", " ") > 0).select("licence", F.size(words).alias("n_words"), bigrams(F.col("norm")).alias("t_grams"), pair(words).alias("pairs"))
+    known = t.limit(FEW + 1).collect()
+    few = len(known) <= FEW
+    if few:
+        rows = [(r["licence"], r["n_words"], p, k) for r in known for p in probes(r["t_grams"], threshold) for k, g in enumerate(r["pairs"]) if g == p]
+        placed = F.broadcast(texts.sparkSession.createDataFrame(rows, "licence string, n_words int, gram string, offset int"))
+        texts = texts.where(F.col("norm").rlike(probe_pattern(sorted({r[2] for r in rows}))) if rows else F.lit(False))
+    else:  # all bigrams as probes
+        placed = t.select("licence", "n_words", F.posexplode("pairs").alias("offset", "gram"))
+    hits = texts.where(F.instr("norm", " ") > 0).select("key", F.posexplode(pair(words)).alias("at", "gram")).join(placed, "gram")
+    found = hits.select("key", "licence", "n_words", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start")).distinct()
+    window = F.array_distinct(pair(F.slice("words", F.col("start") + 1, F.col("n_words"))))
+    cut = found.join(texts.select("key", words.alias("words")), "key").select("key", "licence", "start", window.alias("grams"))
+    full = t.select("licence", "t_grams")
+    return cut.join(F.broadcast(full) if few else full, "licence").withColumn("score", dice(F.col("grams"), F.col("t_grams"))).where(F.col("score") >= threshold).select("key", "licence", "start", "score")
 
 
 def license_scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Licence notices in the lines of each text, and texts that are a licence as a whole.
+    """Licences in each text: in its lines, as a whole, and in windows of words anywhere.
 
-    Returns (id, n_lines, licences, best): the lines that match some template (and one more if the whole text does), the licences found (sorted, comma-joined)
-    and the highest score (null without a match). One row per distinct id; null texts, empty texts and empty template
-    tables give no match. Ties between templates are all reported.
+    Returns (id, n_lines, n_windows, licences, best), one row per input row: the lines that match some template (and one
+    more if the whole text does), the starts of windows that do, the licences found (sorted, comma-joined) and the highest
+    score (null without a match). Null texts, empty texts and empty template tables give no match. Ties between templates
+    are all reported; equal texts are scanned once. Other columns are not looked at.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = docs.select(F.col(id_col).alias("id"), text.alias("t"))
-    lines = ids.select("id", F.posexplode(F.split("t", "\n")).alias("line", "text"))
-    whole = ids.where(F.instr("t", "\n") > 0).select("id", F.lit(-1).alias("line"), F.col("t").alias("text"))
-    found = match_templates(lines.unionByName(whole), licences, threshold=threshold)
-    by_id = found.groupBy("id").agg(F.count_distinct("line").alias("n_lines"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.max("score").alias("best"))
-    return ids.select("id").distinct().join(by_id.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left").select("id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("licences", F.lit("")).alias("licences"), "best")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("key", F.sha2(F.col("t").cast("binary"), 256))
+    lines = rows.select("key", F.posexplode(F.split("t", "\n")).alias("line", "text"))
+    whole = rows.where(F.instr("t", "\n") > 0).select("key", F.lit(-1).alias("line"), F.col("t").alias("text"))
+    found = match_templates(lines.unionByName(whole), licences, threshold=threshold).select("key", "licence", "score", "line", F.lit(None).cast("int").alias("start"))
+    # Texts with a probe meet as one for each key before they are shuffled.
+    texts = rows.select("key", normalised(F.col("t")).alias("norm"))
+    windows = match_windows(distinct_texts(texts, licences, threshold), licences, threshold=threshold).select("key", "licence", "score", F.lit(None).cast("int").alias("line"), "start")
+    by_key = found.unionByName(windows).groupBy("key").agg(F.count_distinct("line").alias("n_lines"), F.count_distinct("start").alias("n_windows"), F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("licences"), F.max("score").alias("best"))
+    n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select("id", "key").join(by_key, "key", "left").select("id", n("n_lines"), n("n_windows"), F.coalesce("licences", F.lit("")).alias("licences"), "best")
+
+
+def distinct_texts(texts: DataFrame, licences: DataFrame, threshold: float) -> DataFrame:
+    """One row a key of texts (key, norm), in the shared folder; with few templates only of texts that have a probe."""
+    t = licences.select(bigrams(normalised(F.col("text"))).alias("t_grams")).where(F.size("t_grams") > 0).limit(FEW + 1).collect()
+    if len(t) <= FEW:
+        tried = sorted({p for r in t for p in probes(r["t_grams"], threshold)})
+        texts = texts.where(F.col("norm").rlike(probe_pattern(tried)) if tried else F.lit(False))
+    return materialize(texts.groupBy("key").agg(F.first("norm").alias("norm")), "licence-texts")
 
 
 def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in every document; see license_scan() for nulls, ties and repeated rows."""
     found = license_scan(documents(spark, sf_dir), templates(spark))
-    return found.select(F.col("id").alias("doc_id"), "n_lines", "licences", F.round("best", 9).alias("best"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_windows", "licences", F.round("best", 9).alias("best"))
+
+
+def _placed_probes() -> list[tuple[str, int, str, int]]:
+    """(licence, words, probe, place) of the templates, for the SQL."""
+    out = []
+    for name, text in TEMPLATES.items():
+        w = " ".join(re.findall(r"[^\W_]+", text.lower())).split(" ")
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        out += [(name, len(w), p, k) for p in probes(list(dict.fromkeys(pairs)), THRESHOLD) for k, g in enumerate(pairs) if g == p]
+    return out
 
 
 ORACLE = (
     r"""
 WITH l(licence, text) AS (VALUES """
     + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
-    + r"""), d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents
+    + r"""), pb(licence, n_words, gram, k) AS (VALUES """
+    + ", ".join(f"('{a}', {n}, '{g}', {k})" for a, n, g, k in _placed_probes())
+    + r"""), d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), u AS (
-  SELECT id, unnest(generate_series(0, len(string_split(t, chr(10))) - 1)) AS line, unnest(string_split(t, chr(10))) AS text FROM d
-  UNION ALL SELECT id, -1, t FROM d WHERE contains(t, chr(10))
-), n AS (SELECT id, line, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM u
-), w AS (SELECT id, line, string_split(norm, ' ') AS w FROM n WHERE norm <> ''
-), g AS (SELECT id, line, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w WHERE len(w) <= 80
+  SELECT r, unnest(generate_series(0, len(string_split(t, chr(10))) - 1)) AS line, unnest(string_split(t, chr(10))) AS text FROM d
+  UNION ALL SELECT r, -1, t FROM d WHERE contains(t, chr(10))
+), n AS (SELECT r, line, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM u
+), w AS (SELECT r, line, string_split(norm, ' ') AS w FROM n WHERE norm <> ''
+), g AS (SELECT r, line, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w
 ), tw AS (SELECT licence, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM l
 ), tg AS (SELECT licence, CASE WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) END AS tg FROM tw
-), m AS (SELECT id, line, licence, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS score FROM g, tg
-), f AS (SELECT id, count(DISTINCT line) AS n_lines, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(score) AS best FROM m WHERE score >= 0.85 GROUP BY id)
-SELECT DISTINCT d.id AS doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(licences, '') AS licences, round(best, 9) AS best FROM d LEFT JOIN f USING (id)
+), m AS (SELECT r, line, NULL AS start, licence, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) AS score FROM g JOIN tg ON len(g) >= len(tg) * 0.85 / 1.15 - 1e-6 AND len(g) <= len(tg) * 1.15 / 0.85 + 1e-6
+), dw AS (SELECT r, string_split(trim(regexp_replace(lower(t), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM d
+), gr AS (SELECT r, i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, w, unnest(generate_series(1, len(w) - 1)) AS i FROM dw)
+), ca AS (SELECT DISTINCT r, licence, n_words, greatest(i - 1 - k, 0) AS start FROM gr JOIN pb USING (gram)
+), cw AS (SELECT r, licence, start, w[start + 1:start + n_words] AS w FROM ca JOIN dw USING (r)
+), cg AS (SELECT r, licence, start, list_distinct(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM cw
+), a AS (SELECT * FROM m UNION ALL SELECT r, NULL, start, licence, 2.0::DOUBLE * len(list_intersect(g, tg)) / (len(g) + len(tg)) FROM cg JOIN tg USING (licence)
+), f AS (SELECT r, count(DISTINCT line) AS n_lines, count(DISTINCT start) AS n_windows, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, max(score) AS best FROM a WHERE score >= 0.85 GROUP BY r)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_windows, 0) AS n_windows, coalesce(licences, '') AS licences, round(best, 9) AS best FROM d LEFT JOIN f USING (r)
 """
 )

@@ -441,6 +441,11 @@ def test_op10(spark, docs, none):
         w = re.sub(r"[\W_]+", " ", t.lower()).strip().split(" ")
         return set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} - {("",)}
 
+    mit, bsd = licenses.TEMPLATES["MIT (text)"].split(), licenses.TEMPLATES["BSD-3-Clause"].split()
+    inside = [(1, "word " * 30 + "\n".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9)) + " more" * 20), (2, "# Use of this source code is governed by a BSD-style\n# license that can be found in the LICENSE file.\ncode()"), (3, "x " * 5000 + " ".join(bsd) + " y" * 5000), (4, "nothing of the kind"), (3, "x " * 5000 + " ".join(bsd) + " y" * 5000), (5, "released under the mit license " * 20)]
+    got = sorted((x["id"], x["licences"], x["n_windows"] > 0) for x in licenses.license_scan(spark.createDataFrame([(i, t, "c", 1) for i, t in inside], "doc_id int, text string, key string, norm int"), known).collect())
+    assert got == [(1, "MIT (text)", True), (2, "BSD-3-Clause", True), (3, "BSD-3-Clause", True), (3, "BSD-3-Clause", True), (4, "", False), (5, "MIT", True)]
+
     r = random.Random(5)
     words = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
     units = []
