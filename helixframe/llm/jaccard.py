@@ -262,3 +262,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 def op6_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by word 3-grams at a similarity of 0.9; see jaccard_components() for nulls, ties and repeated rows."""
     return jaccard_components(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+n AS MATERIALIZED (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+t AS MATERIALIZED (SELECT doc_id, unnest(s) AS t FROM s),
+pr AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL) x JOIN n p ON p.doc_id = x.a JOIN n q ON q.doc_id = x.b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+rc AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT rc.a, pr.b FROM rc JOIN pr ON pr.a = rc.b)
+SELECT n.doc_id, n AS n_shingles, min(b) AS component_id FROM n JOIN rc ON rc.a = n.doc_id GROUP BY n.doc_id, n
+"""

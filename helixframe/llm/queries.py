@@ -16,4 +16,11 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_license_dice": licenses.op10_license_dice,
 }
-ORACLES = {"op2_secret_ledger": secrets.ORACLE, "op9_mix_sources": mixing.ORACLE, "op10_license_dice": licenses.ORACLE}
+ORACLES = {
+    "op2_secret_ledger": secrets.ORACLE,
+    "op3_cross_polytope": vectors.ORACLE,
+    "op6_token_groups": jaccard.ORACLE,
+    "op7_suffix_buckets": substrings.ORACLE,
+    "op9_mix_sources": mixing.ORACLE,
+    "op10_license_dice": licenses.ORACLE,
+}

@@ -265,3 +265,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 def op7_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document keeps without the 50-byte strings that a smaller doc_id has; see remove_repeats() for nulls, ties and repeated rows."""
     return remove_repeats(documents(spark, sf_dir)).drop("kept").withColumnRenamed("id", "doc_id")
+
+
+ORACLE = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+pc AS MATERIALIZED (SELECT doc_id, n, j, substr(h, 1000 * j + 1, 1098) AS x FROM (SELECT doc_id, h, n, unnest(generate_series(0, (n - 50) // 500)) AS j FROM d WHERE n >= 50)),
+w AS MATERIALIZED (SELECT doc_id, 500 * j + i AS p, substr(x, 2 * i + 1, 100) AS x FROM (SELECT doc_id, j, x, unnest(generate_series(0, least(499, n - 50 - 500 * j))) AS i FROM pc)),
+f AS (SELECT x, min(doc_id) AS least FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM w JOIN f USING (x) WHERE least < doc_id),
+g AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+sp AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM g GROUP BY doc_id, k),
+ed AS (SELECT doc_id, list(struct_pack(a := a, b := b) ORDER BY a) AS s, count(*) AS n_spans, sum(b - a) AS removed FROM sp GROUP BY doc_id),
+kp AS (SELECT d.doc_id, n, coalesce(removed, 0) AS removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN s IS NULL THEN h ELSE
+  array_to_string(list_transform(generate_series(1, len(s) + 1), lambda i: substr(h, 2 * CASE WHEN i = 1 THEN 0 ELSE s[i - 1].b END + 1, 2 * (CASE WHEN i > len(s) THEN n ELSE s[i].a END - CASE WHEN i = 1 THEN 0 ELSE s[i - 1].b END))), '') END AS kept FROM d LEFT JOIN ed USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM kp
+"""

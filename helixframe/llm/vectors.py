@@ -223,3 +223,13 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of all embeddings at a cosine of 0.95; see near_vectors() for nulls, lengths and repeated rows."""
     found = near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return found.withColumnRenamed("id", "vec_id")
+
+
+ORACLE = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+pr AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+rc AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT rc.a, pr.b FROM rc JOIN pr ON pr.a = rc.b),
+co AS (SELECT a, min(b) AS c FROM rc GROUP BY a), nl AS (SELECT a, count(*) AS n FROM pr GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN co ON co.a = vec_id LEFT JOIN nl ON nl.a = vec_id
+"""

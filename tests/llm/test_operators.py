@@ -128,6 +128,23 @@ def test_op2(docs, none, texts):
     assert secrets.scan_blobs(secrets.unseen_blobs(none)).count() == 0
 
 
+def test_op2_ledger_runs(spark):
+    """Two runs of a ledger and a run with a newer rule give what one scan gives; keys are spanned whole; megabytes are read whole."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIab+/=\nxyz\n-----END RSA PRIVATE KEY-----"
+    long = "nothing here " * 200_000 + "token=abcdefghijklmnop"
+    rows = [(1, f"a {key} b"), (2, "-----BEGIN PRIVATE KEY----- cut"), (3, "token=abcdefghijkl"), (4, "token=abcdefghijkl"), (None, None), (5, long), (6, "")]
+    v = spark.createDataFrame([(i, t, "k", "s") for i, t in rows], "doc_id long, text string, kinds string, blob string")
+    ledger = secrets.Ledger()
+    ledger.scan(v.where("doc_id < 4"))
+    ledger.scan(v.where("doc_id >= 4 OR doc_id IS NULL"))
+    assert ledger.findings[1].where("size(kinds) > 0").count() == 1  # the blob of 4 is known from 3
+    newer = [secrets.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.group, r.least, r.any_case) for r in secrets.RULES]
+    ledger.scan(v, newer)
+    got = {x["doc_id"]: x["spans"] for x in secrets.digests(ledger.by_path(v)).collect()}
+    n = len(long)
+    assert got == {1: f"pem:2:{2 + len(key)}", 2: "pem:0:27", 3: "assign:0:18", 4: "assign:0:18", None: "", 5: f"assign:{n - 22}:{n}", 6: ""}
+
+
 def test_op2_scans_only_what_is_new(spark):
     v1 = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "clean")], "doc_id long, text string")
     seen = secrets.unseen_blobs(v1)
@@ -178,6 +195,75 @@ def test_op4(spark, docs, none):
     assert language.keep_identified(docs, empty).count() == sum(any(c.isalpha() for c in t or "") for _, t, *_ in made_docs())
 
 
+def test_op4_mixtures_by_hand(spark, docs):
+    """EM and the penalised choice of a set, in plain Python over a dict of bins, for texts of one to three languages."""
+    r = random.Random(3)
+    alphabets = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop"}
+    say = lambda k, n: " ".join("".join(r.choice(alphabets[k]) for _ in range(r.randint(2, 7))) for _ in range(n))
+    trained = spark.createDataFrame([(k, say(k, 600)) for k in alphabets for _ in range(3)] + [(None, say("a", 50)), ("a", None)], "lang string, text string")
+    model = language.Mixture.collect(language.train(trained))
+    cases = [say("a", 80), say("a", 40) + " " + say("c", 40), say("b", 9), say("a", 30) + " " + say("b", 30) + " " + say("c", 30), "e", "", "12", "f" * 4000 + " g", say("c", 1)]
+    got = model.infer_counted(cases)
+    langs = model.langs
+    for text, (found, n) in zip(cases, got, strict=True):
+        row, bins, count = language.trigrams([text])
+        c = dict(zip(bins.tolist(), count.tolist(), strict=True))
+        assert n == sum(c.values()) and bool(found) == bool(c)
+        if not c:
+            continue
+        p = {t: dict(zip(langs, map(float, model.p[t]), strict=True)) for t in c}
+
+        def fit(chosen, c=c, p=p, n=n):
+            w = dict.fromkeys(chosen, 1 / len(chosen))
+            for _ in range(language.ROUNDS):
+                new = dict.fromkeys(chosen, 0.0)
+                for t, k in c.items():
+                    mixed = sum(w[x] * p[t][x] for x in chosen)
+                    for x in chosen:
+                        new[x] += k * w[x] * p[t][x] / mixed
+                w = {x: v / n for x, v in new.items()}
+            return w, sum(k * math.log(sum(w[x] * p[t][x] for x in chosen)) for t, k in c.items())
+
+        every, _ = fit(langs)
+        ranked = sorted(langs, key=lambda x: -every[x])
+        single = {x: sum(k * math.log(p[t][x]) for t, k in c.items()) for x in langs}
+        best = max(langs, key=lambda x: single[x])
+        options = [(single[best], {best: 1.0})]
+        for k in range(2, len(langs) + 1):
+            if every[ranked[k - 1]] < language.LEAST_SHARE:
+                break
+            w, ll = fit(ranked[:k])
+            options.append((ll - (k - 1) * (0.5 * math.log(n) + 3.0), w))
+        want = max(options, key=lambda o: o[0])[1]
+        assert {x for x, _ in found} == set(want) and all(v == pytest.approx(want[x], abs=0.01) for x, v in found)
+    assert {x for x, _ in got[1][0]} == {"a", "c"} and {x for x, _ in got[3][0]} == {"a", "b", "c"}
+    scores = {x["id"]: x["score"] for x in language.identify(spark.createDataFrame([(1, cases[0], 1.0), (2, "e", 1.0)], "doc_id int, text string, score double"), model).collect()}
+    assert scores[1] > 0.98 and scores[2] < 0.7
+    with pytest.raises(ValueError, match="values of lang"):
+        language.Mixture.collect(language.train(spark.range(600).select(F.col("id").cast("string").alias("lang"), F.lit("abc").alias("text"))))
+
+
+def test_op3_lengths_nulls_and_recall(spark):
+    """Vectors of several lengths and dimensions with planted pairs just above the bound, null ids, and clashing columns."""
+    r = np.random.default_rng(11)
+    rows, planted = [(0, [1.0, 0.0]), (1, [1.0, 0.01]), (2, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.0])], {0: 1, 1: 1, 2: 0}
+    for dim in (16, 64, 200):
+        for _ in range(400):
+            x, y = r.normal(size=(2, dim))
+            x /= np.linalg.norm(x)
+            y -= (x @ y) * x
+            cos = r.uniform(0.951, 0.96)
+            k = len(rows) + 10
+            rows += [(k, x.tolist()), (k + 1, (cos * x + math.sqrt(1 - cos * cos) * y / np.linalg.norm(y)).tolist())]
+            planted |= {k: 1, k + 1: 1}
+    df = spark.createDataFrame([(i, v, i, 5, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, rep long, t int, bucket string, own string")
+    got = vectors.near_vectors(df).collect()
+    assert len(got) == len(rows) and [tuple(x) for x in got if x["id"] is None] == [(None, 0, None, False)]
+    found = {x["id"]: x["n_links"] for x in got if x["id"] is not None}
+    assert {i: found[i] for i in (0, 1, 2)} == {0: 1, 1: 1, 2: 0}
+    assert sum(found.values()) >= 0.995 * sum(planted.values())
+
+
 def test_op5(docs, none, texts):
     from tokenizers import Tokenizer
 
