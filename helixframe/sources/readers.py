@@ -18,18 +18,21 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
-def read_vcf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_vcf(spark: SparkSession, path: str, carriers: bool = False) -> tuple[DataFrame, DataFrame]:
     """variants (file, chrom, pos, id, ref, alts, line_no) and genotypes (file, chrom, pos, line_no, sample, gt) of plain or gzipped files.
 
-    The #CHROM line of each file names its samples. Lines with fewer than five fields or without a position are skipped.
+    The #CHROM line of each file names its samples. Lines with fewer than five fields or without a position are skipped. With
+    carriers, calls without any allele above 0 are dropped before a line is taken apart. The names of samples, one row a file,
+    are joined by file; Spark sends them to all executors where they are small.
     """
     lines = _lines(spark, path)
     f = F.split("value", "\t")
     names = lines.where(F.col("value").startswith("#CHROM")).select("file", F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("samples"))
     rows = lines.where(~F.col("value").startswith("#")).withColumn("f", f).where((F.size("f") >= 5) & F.col("f")[1].try_cast("long").isNotNull())
     base = rows.select("file", F.col("f")[0].alias("chrom"), F.col("f")[1].cast("long").alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alts"), "line_no", "f")
-    # A line is joined to the names of its file while its calls are one array; reference calls may be dropped by haplotype_edits().
-    calls = base.join(names, "file").select("file", "chrom", "pos", "line_no", F.explode(F.arrays_zip("samples", F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("gt"))).alias("x"))
+    each = F.arrays_zip("samples", F.slice("f", 10, F.greatest(F.size("f") - 9, F.lit(0))).alias("gt"))
+    each = F.filter(each, lambda x: x["gt"].rlike(r"^[^:]*[1-9]")) if carriers else each
+    calls = base.join(names, "file").select("file", "chrom", "pos", "line_no", F.explode(each).alias("x"))
     return base.drop("f"), calls.select("file", "chrom", "pos", "line_no", F.col("x.samples").alias("sample"), F.col("x.gt").alias("gt")).where("sample IS NOT NULL AND gt IS NOT NULL")
 
 

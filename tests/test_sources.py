@@ -77,3 +77,56 @@ def test_result_tables(spark, tmp_path):
     assert spark.read.csv(f"{tmp_path}/b/deletion", header=True).count() == 1
     writers.write_cluster_results(*[diff] * 6, str(tmp_path / "c"))
     assert "analysis_timestamp" in spark.read.csv(f"{tmp_path}/c/truth_metrics", header=True).columns
+
+
+def test_cohort_files(spark, tmp_path):
+    """Files of 40 samples under 36 header lines, named after their regions: their kinds of variants and calls are counted right."""
+    import random
+
+    from helixframe.operators.regions import indel_lengths
+
+    r, want = random.Random(1), {}
+    for name, n, ins, dels in (("chr1_1324755_1328896_forward_A", 93, 5, 4), ("chr5_73444826_73448777_reverse_B", 61, 10, 4), ("chr17_7658999_7663000_forward_C", 54, 0, 3)):
+        chrom, start = name.split("_")[0], int(name.split("_")[1])
+        lines, calls = [f"##line {i}" for i in range(36)] + ["\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *(f"S{i:02}" for i in range(1, 41))])], {}
+        for k in range(n):
+            ref, alt = ("A", "A" + "CG" * 9) if k < ins else ("A" + "T" * 21, "A") if k < ins + dels else ("A", "G")
+            gts = [r.choice(["0|0"] * 6 + ["0|1", "1|0", "1|1"]) for _ in range(40)]
+            for g in gts:
+                calls[g] = calls.get(g, 0) + 1
+            lines.append("\t".join([chrom, str(start + 30 * k + 1), ".", ref, alt, ".", ".", "AC=1;AN=80", "GT", *gts]))
+        (tmp_path / f"{name}.vcf").write_text("\n".join(lines) + "\n")
+        want[name] = (n, ins, dels, calls)
+    variants, genotypes = readers.read_vcf(spark, str(tmp_path / "*.vcf"))
+    carriers = readers.read_vcf(spark, str(tmp_path / "*.vcf"), carriers=True)[1]
+    for name, (n, ins, dels, calls) in want.items():
+        mine = variants.where(variants["file"].endswith(f"{name}.vcf"))
+        sizes = indel_lengths(mine)
+        assert (mine.count(), sizes.where("insertion > 0").count(), sizes.where("deletion > 0").count()) == (n, ins, dels)
+        got = {x["gt"]: x["count"] for x in genotypes.where(genotypes["file"].endswith(f"{name}.vcf")).groupBy("gt").count().collect()}
+        assert got == calls
+        assert carriers.where(carriers["file"].endswith(f"{name}.vcf")).count() == sum(calls.values()) - calls["0|0"]
+
+
+def test_wide_parquet_and_folders(spark, tmp_path):
+    a = spark.createDataFrame([("g", "hap1", "s1", 3, 1.5), ("g", "hap1", "s1", 20, 2.0), ("g", "hap1", "s2", 20, None), ("h", "hap1", "s1", 7, 4.0)], "gene string, hap string, sample string, position long, score double")
+    roster = spark.createDataFrame([(g, "hap1", s) for g in "gh" for s in ("s1", "s2", "s3")], "gene string, hap string, sample string")
+    writers.write_attention_wide_parquet(a, str(tmp_path / "w"), roster)
+    assert spark.read.parquet(str(tmp_path / "w/gene=g/hap=hap1")).columns == ["sample", "pos_3", "pos_20"]
+    back = readers.read_attention_wide_parquet(spark, str(tmp_path / "w/*/*/*.parquet"), most_cells=2)
+    assert sorted(tuple(x)[1:] for x in back.where("score IS NOT NULL").collect()) == [("s1", 3, 1.5), ("s1", 7, 4.0), ("s1", 20, 2.0)] and back.count() == 9
+    metadata = spark.createDataFrame([("g", "s1", 0), ("g", "s2", 2)], "gene string, sample string, sample_type int")
+    writers.write_gene_folders(a, metadata, str(tmp_path / "root"))
+    assert sorted(tuple(x) for x in readers.read_metadata(spark, str(tmp_path / "root")).collect()) == [("g", "s1", 0), ("g", "s2", 2)]
+    assert {(x["gene"], x["sample"], x["position"]) for x in readers.read_genes(spark, str(tmp_path / "root")).where("score IS NOT NULL").collect()} == {("g", "s1", 3), ("g", "s1", 20)}
+
+
+def test_parameter_tables_are_bounded(spark):
+    import pytest
+
+    from helixframe.operators.base import dense_trace, listed
+
+    with pytest.raises(ValueError, match="parameter table"):
+        listed(spark.range(2000).selectExpr("int(id) AS groupA", "2 AS groupB"), "groupA", "groupB")
+    wide = spark.createDataFrame([("g", "hap1", 1, 2, p, 1.0, 0.5, 1.0) for p in (1, 250_001)], "gene string, hap string, groupA int, groupB int, position long, log2FC double, padj double, cohen_d double")
+    assert dense_trace(wide).count() == 250_001 and dense_trace(wide.limit(0)).count() == 0
