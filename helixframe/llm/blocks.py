@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from helixframe.llm.shingles import as_bytes, slices
 from helixframe.llm.storage import shared_dir
 
-#: Bytes of text in a block (a longer text is a block of its own), and in a bucket of the table of blocks.
-BLOCK, TABLE_BUCKET = 2 << 20, 16 << 20
+#: Bytes of text in a block (a longer text is a block of its own) of a small corpus and of a large one, and in a bucket of the table of blocks.
+BLOCK, LARGE_BLOCK, TABLE_BUCKET = 2 << 20, 64 << 20, 16 << 20
+#: Blocks grow when there would be more than so many.
+MANY_BLOCKS = 200_000
 #: Keys in one bucket of keys, which a task sorts in memory, on average.
 BUCKET = 3 << 19
 #: A key that so many blocks have is crowded.
@@ -85,9 +87,10 @@ class Block:
         return pa.LargeStringArray.from_buffers(len(self.ids), pa.py_buffer(self.offsets.astype(np.int64).tobytes()), pa.py_buffer(self.data.tobytes()))
 
 
-def write_blocks(docs: DataFrame, n_bytes: int, most: int = BLOCK) -> DataFrame:
-    """docs: (id, text), n_bytes of text, in blocks of about most bytes. (block, ids, sizes, data) in the shared folder, bucketed by block: the texts in their order, without a shuffle; a null text is empty."""
+def write_blocks(docs: DataFrame, n_bytes: int, most: int | None = None) -> DataFrame:
+    """docs: (id, text), n_bytes of text, in blocks of about most bytes (without, BLOCK or more for a large corpus). (block, ids, sizes, data) in the shared folder, bucketed by block: the texts in their order, without a shuffle; a null text is empty."""
     kind = docs.schema["id"].dataType.simpleString()
+    most = most or min(LARGE_BLOCK, max(BLOCK, n_bytes // MANY_BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
@@ -150,7 +153,8 @@ class Lists:
 
 
 _COLUMNS = {"bucket": pa.int32(), "block": pa.int64(), "keys": pa.binary(), "contexts": pa.binary(), "ids": pa.binary(), "flags": pa.binary()}
-#: The schema of the lists that settle() reads.
+#: The schemas of answers, those of step 0 being what a block has noted for itself, and of the lists that settle() reads.
+ANSWER = "block long, step int, bucket int, codes binary"
 DEALT = "bucket int, block long, keys binary, contexts binary, ids binary, flags binary"
 
 
@@ -183,9 +187,9 @@ def each_block(table: DataFrame, answers: list[DataFrame], made: Callable, schem
                 row = {c: batch.column(c)[k] for c in names}
                 ids, sizes = row["ids"].values, row["sizes"].values.to_numpy()
                 raw = zstandard.ZstdDecompressor().decompress(row["data"].as_py(), max_output_size=max(1, int(sizes.sum())))
-                codes: dict[int, dict[int, np.ndarray]] = {1: {}, 2: {}, 3: {}}
+                codes: dict[int, dict[int, np.ndarray]] = {0: {}, 1: {}, 2: {}, 3: {}}
                 for x in (row["answers"].as_py() or ()) if "answers" in row else ():
-                    codes[x["step"]][x["bucket"]] = unpack(x["codes"]).astype(np.uint8)
+                    codes[x["step"]][x["bucket"]] = unpack(x["codes"]) if x["step"] == 0 else unpack(x["codes"]).astype(np.uint8)
                 block = Block(ids, np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(raw, np.uint8))
                 yield from made(block, row["block"].as_py(), codes)
 
@@ -218,7 +222,7 @@ def settle(dealt: DataFrame, step: int, verdict: Callable) -> DataFrame:
         if held:
             yield from answer()
 
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block long, step int, bucket int, codes binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
 
 
 def known_keys(keys, contexts, ids, flags, ends, crowded: int = CROWDED) -> np.ndarray:

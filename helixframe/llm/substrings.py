@@ -22,7 +22,7 @@ and windows to 64 bits.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.blocks import BLOCK, CROWDED, DEALT, Block, Lists, bucket_bits, each_block, edges, key_bits, known_keys, settle, text_bytes, unsigned, write_blocks
+from helixframe.llm.blocks import ANSWER, CROWDED, DEALT, Block, Lists, bucket_bits, each_block, edges, key_bits, known_keys, pack, settle, text_bytes, unsigned, write_blocks
 from helixframe.llm.shingles import mix
 from helixframe.llm.storage import documents, materialize
 
@@ -105,12 +105,18 @@ class Plan:
 class Work:
     """A block's questions, and what follows from the answers. The same block gives the same questions again."""
 
-    def __init__(self, plan: Plan, b: Block):
+    def __init__(self, plan: Plan, b: Block, known: dict[int, np.ndarray] | None = None):
+        """known: what ranked_rows() noted, if it has been there already; then only ranked samples are looked at."""
         self.plan, self.b = plan, b
-        self.named, self.id = np.asarray(b.ids.is_valid()), pc.fill_null(b.ids, 0).to_numpy()
-        sizes = np.diff(b.offsets)
+        self.id = pc.fill_null(b.ids, 0).to_numpy()
+        if known is not None:
+            none = np.zeros(0, np.uint64)
+            self.at, self.rank, self.crowded = known.get(0, none).astype(np.int64), known.get(1, none), known.get(2, none) == 2
+            self.ids = unsigned(self.id[b.row(self.at)])
+            return
+        named, sizes = np.asarray(b.ids.is_valid()), np.diff(b.offsets)
         mask = np.zeros(len(b.data), bool)
-        for k in np.flatnonzero(self.named & (sizes >= plan.length)).tolist():
+        for k in np.flatnonzero(named & (sizes >= plan.length)).tolist():
             start, end = int(b.offsets[k]), int(b.offsets[k + 1])
             for c in plan.cover:
                 mask[start + c : end - plan.key + 1 : plan.modulus] = True
@@ -147,18 +153,23 @@ class Work:
             out[part] = mix((x * power).sum(1, dtype=np.uint64) + mix(shape + np.uint64(1)))
         return out
 
-    def ranked(self, codes: dict[int, np.ndarray]) -> None:
-        """After step 1: the ranked samples, by rank and context, or by both together where a rank is crowded."""
+    def ranked_rows(self, number: int, codes: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """After step 1: the places, ranks and codes of the ranked samples, as answers of step 0."""
         code = self.samples()[0].answered(codes)
         known = np.flatnonzero(code)
-        self.at, rank, self.ids = self.at[known], self.rank[known], self.ids[known]
-        context, crowded = self.contexts(self.at), code[known] == 2
-        key = np.where(crowded, mix(rank ^ context) >> np.uint64(64 - self.plan.bits), rank)
+        if len(known):
+            packed = [pack(x) for x in (self.at[known].astype(np.uint64), self.rank[known], code[known])]
+            yield pa.record_batch([pa.array([number] * 3, pa.int64()), pa.array([0] * 3, pa.int32()), pa.array([0, 1, 2], pa.int32()), pa.array(packed, pa.binary())], ["block", "step", "bucket", "codes"])
+
+    def contexts_of_ranks(self) -> None:
+        """Step 2: the ranked samples, by rank and context, or by both together where a rank is crowded."""
+        context = self.contexts(self.at)
+        key = np.where(self.crowded, mix(self.rank ^ context) >> np.uint64(64 - self.plan.bits), self.rank)
         order = np.lexsort((self.ids, context, key))
         new = edges(key[order], context[order])
         first = order[new]
         self.lists = Lists(order, new, key[first], self.plan.bits, self.plan.bucket_bits)
-        self.columns = {"contexts": context[first], "ids": self.ids[first], "flags": crowded[first]}
+        self.columns = {"contexts": context[first], "ids": self.ids[first], "flags": self.crowded[first]}
         self.later = self.ids > self.ids[first][self.lists.entry]
 
     def windows(self, codes: dict[int, np.ndarray]) -> None:
@@ -217,7 +228,7 @@ def sort_windows(keys, contexts, ids, flags, ends) -> np.ndarray:
     return out
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int = BLOCK, crowded: int = CROWDED) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, block: int | None = None, crowded: int = CROWDED) -> DataFrame:
     """Remove each byte covered by a string of length bytes that also starts in a document with a smaller id.
 
     One row (id, n_bytes, n_removed, n_spans, kept_sha256, kept) per input row. Texts are UTF-8 bytes, a null text is
@@ -235,17 +246,20 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         lists, several = Work(plan, b).samples()
         yield from lists.rows(number, flags=several)
 
+    def ranks(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
+        yield from Work(plan, b).ranked_rows(number, codes[1])
+
     def step_2(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
-        (work := Work(plan, b)).ranked(codes[1])
+        (work := Work(plan, b, codes[0])).contexts_of_ranks()
         yield from work.lists.rows(number, **work.columns)
 
     def step_3(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
-        (work := Work(plan, b)).ranked(codes[1])
+        (work := Work(plan, b, codes[0])).contexts_of_ranks()
         work.windows(codes[2])
         yield from work.lists.rows(number, **work.columns)
 
     def cut_out(b: Block, number: int, codes: dict) -> Iterator[pa.RecordBatch]:
-        (work := Work(plan, b)).ranked(codes[1])
+        (work := Work(plan, b, codes[0])).contexts_of_ranks()
         work.windows(codes[2])
         gone = work.gone(codes[3])
         out = []
@@ -256,9 +270,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    answers: list[DataFrame] = []
-    for number, ask, verdict in ((1, step_1, partial(known_keys, crowded=crowded)), (2, step_2, sort_contexts), (3, step_3, sort_windows)):
-        answers.append(materialize(settle(each_block(table, answers, ask, DEALT), number, verdict), f"answers-{number}"))
+    def asked(answers: list[DataFrame], number: int, ask: Callable, verdict: Callable) -> DataFrame:
+        return materialize(settle(each_block(table, answers, ask, DEALT), number, verdict), f"answers-{number}")
+
+    known = asked([], 1, step_1, partial(known_keys, crowded=crowded))
+    answers = [materialize(each_block(table, [known], ranks, ANSWER), "ranks")]
+    answers.append(asked(answers, 2, step_2, sort_contexts))
+    answers.append(asked(answers, 3, step_3, sort_windows))
     return each_block(table, answers, cut_out, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
