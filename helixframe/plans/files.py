@@ -9,7 +9,7 @@ from helixframe.operators import attention, base, clusters, evaluate, metrics
 from helixframe.operators import regions as reg
 from helixframe.plans import adapters as ad
 from helixframe.plans import oracle as sql
-from helixframe.plans.queries import HAPLOTYPES, KEY, REGIONS, SEQ, _base, _clustered, _effects, _gene_tests, _haplotypes, _matches, _scored, _truth, query, r, rounded
+from helixframe.plans.queries import HAPLOTYPES, KEY, REGIONS, SEQ, _base, _effects, _gene_tests, _haplotypes, _truth, query, r, rounded
 from helixframe.sources import readers, writers
 from helixframe.sources.scratch import scratch
 
@@ -48,19 +48,21 @@ def _region_files(spark, sf_dir):
     return readers.read_vcf(spark, f"{path}/*/*")
 
 
-FOLDER = F.regexp_extract("file", "region_name=([^/]+)/", 1).alias("folder")
+def _part(name: str):
+    """What a folder name=... of a file's path says."""
+    return F.regexp_extract("file", f"{name}=([^/]+)/", 1)
 
 
 @query([REGIONS, NAMED], "folder, chrom, pos, '.' AS id, rf AS ref, array_to_string(alts, ',') AS alts", "wv")
 def q_read_region_vcfs(spark, sf_dir):
     """J2, K1 and S1: records of regions, written and read as variants."""
-    return _region_files(spark, sf_dir)[0].select(FOLDER, "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"))
+    return _region_files(spark, sf_dir)[0].select(_part("region_name").alias("folder"), "chrom", "pos", "id", "ref", F.array_join("alts", ",").alias("alts"))
 
 
 @query([REGIONS, NAMED], "folder, pos, 's' || j AS sample, CASE j " + " ".join(f"WHEN {j} THEN {GT.format(a=j + 3, b=j + 5)}" for j in range(4)) + " END AS gt", "wv, (SELECT unnest(generate_series(0, 3)) AS j)")
 def q_read_region_genotypes(spark, sf_dir):
     """S1: the calls of the same files."""
-    return _region_files(spark, sf_dir)[1].select(FOLDER, "pos", "sample", "gt")
+    return _region_files(spark, sf_dir)[1].select(_part("region_name").alias("folder"), "pos", "sample", "gt")
 
 
 @query([REGIONS], "chrom || ':' || s || '-' || e || ':' || strand AS region, chrom, s AS start, e AS \"end\", strand, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'g' || p_partkey END AS gene", "rg")
@@ -106,7 +108,6 @@ def q_load_tables(spark, sf_dir):
 
 
 MATRIX = "gene, hap, CAST(sample AS VARCHAR) AS sample, position, round(score, 9) + 0.0 AS score"
-PLACE = (F.regexp_extract("file", "gene=([^/]+)/", 1).alias("gene"), F.regexp_extract("file", "hap=([^/]+)/", 1).alias("hap"))
 
 
 @query([sql.EMBEDDING], MATRIX, "att")
@@ -114,7 +115,7 @@ def q_wide_text(spark, sf_dir):
     """K3 and S6: matrices as wide CSV."""
     writers.write_attention_wide(ad.embedding_attention(spark, sf_dir), path := scratch(spark, "wide"))
     back = readers.read_attention_wide(spark, f"{path}/*/*")
-    return rounded(back.where("score IS NOT NULL").select(*PLACE, "sample", "position", "score"))
+    return rounded(back.where("score IS NOT NULL").select(_part("gene").alias("gene"), _part("hap").alias("hap"), "sample", "position", "score"))
 
 
 @query([sql.EMBEDDING], MATRIX, "att")
@@ -122,7 +123,7 @@ def q_wide_parquet(spark, sf_dir):
     """K3 and S6: matrices as wide Parquet."""
     writers.write_attention_wide_parquet(ad.embedding_attention(spark, sf_dir), path := scratch(spark, "wide"))
     back = readers.read_attention_wide_parquet(spark, f"{path}/*/*/*.parquet")
-    return rounded(back.where("score IS NOT NULL").select(*PLACE, "sample", "position", "score"))
+    return rounded(back.where("score IS NOT NULL").select(_part("gene").alias("gene"), _part("hap").alias("hap"), "sample", "position", "score"))
 
 
 def _folders(spark, sf_dir) -> str:
@@ -189,11 +190,14 @@ def q_base_result_files(spark, sf_dir):
 @query([sql.SITES, sql.BASE], 'gene, hap, "groupA", "groupB", CAST(cluster_id AS INT) AS cluster_id, n_points, start_position, end_position, direction, round(total_score, 7) + 0.0 AS total_score', "sco")
 def q_cluster_result_files(spark, sf_dir):
     """K6: all tables of the cluster step, the clusters read back."""
-    found, effects = _clustered(spark, sf_dir), _effects(spark, sf_dir)
-    scores, matches = clusters.cluster_scores(found), _matches(spark, sf_dir)
-    summary = clusters.run_summary(effects, clusters.significant_sites(effects), scores, base.pair_table(spark, ad.PAIRS))
-    truth = _truth(spark, sf_dir)
-    writers.write_cluster_results(summary, scores, clusters.sites_without_cluster(found), matches, evaluate.cluster_truth_metrics(matches, truth), evaluate.evaluation(_scored(spark, sf_dir), truth), path := scratch(spark, "clusters"))
+    _effects(spark, sf_dir).write.parquet(known := scratch(spark, "effects"))
+    effects, truth, args = spark.read.parquet(known), _truth(spark, sf_dir), base.pair_table(spark, ad.PAIRS)
+    found = clusters.dbscan_1d(clusters.significant_sites(effects))
+    scores = clusters.cluster_scores(found)
+    matches = evaluate.match_clusters(evaluate.kept_clusters(scores), truth)
+    swept = evaluate.evaluation_sweep(base.dense_trace(effects), truth, evaluate.windows_table(spark))
+    summary = clusters.run_summary(effects, clusters.significant_sites(effects), scores, args)
+    writers.write_cluster_results(summary, scores, clusters.sites_without_cluster(found), matches, evaluate.cluster_truth_metrics(matches, truth), swept, path := scratch(spark, "clusters"))
     back = spark.read.csv(f"{path}/clusters", header=True, inferSchema=True)
     return rounded(back.select("gene", "hap", "groupA", "groupB", F.col("cluster_id").cast("int").alias("cluster_id"), *(F.col(c).cast("long").alias(c) for c in ("n_points", "start_position", "end_position")), "direction", F.col("total_score").cast("double").alias("total_score")), 7)
 

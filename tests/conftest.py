@@ -27,16 +27,20 @@ def spark():
     made.stop()
 
 
-@pytest.fixture(scope="session")
-def duck():
+def tables(folder):
     import duckdb
 
     con = duckdb.connect()
-    for f in sorted(os.listdir(SF)):
-        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{SF}/{f}')")
+    for f in sorted(os.listdir(folder)):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{folder}/{f}')")
     return con
 
 
+@pytest.fixture(scope="session")
+def duck():
+    return tables(SF)
+
+
 def rows_of(df):
     """Rows with columns in order of their names, sorted as text."""
     names = sorted(df.columns)
