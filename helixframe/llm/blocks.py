@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import as_bytes, slices
+from helixframe.llm.shingles import as_bytes, release, slices
 from helixframe.llm.storage import shared_dir
 
 #: Bytes of text in a block (a longer text is a block of its own) of a small corpus and of a large one, and in a bucket of the table of blocks.
@@ -111,6 +111,7 @@ def write_blocks(docs: DataFrame, n_bytes: int, most: int | None = None) -> Data
                     held, size, number = [], 0, number + 1
         if held:
             yield made()
+        release()
 
     rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     buckets = min(20_000, max(8, -(-n_bytes // TABLE_BUCKET)))
@@ -192,6 +193,7 @@ def each_block(table: DataFrame, answers: list[DataFrame], made: Callable, schem
                     codes[x["step"]][x["bucket"]] = unpack(x["codes"]) if x["step"] == 0 else unpack(x["codes"]).astype(np.uint8)
                 block = Block(ids, np.concatenate(([0], np.cumsum(sizes))), np.frombuffer(raw, np.uint8))
                 yield from made(block, row["block"].as_py(), codes)
+        release()
 
     return table.select(*names).mapInArrow(run, schema)
 
@@ -221,6 +223,7 @@ def settle(dealt: DataFrame, step: int, verdict: Callable) -> DataFrame:
                 held.append(r)
         if held:
             yield from answer()
+        release()
 
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWER)
 

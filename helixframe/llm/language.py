@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import slices
+from helixframe.llm.shingles import release, slices
 from helixframe.llm.storage import documents, materialize
 
 BINS = 1 << 14
@@ -85,6 +85,7 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") ->
         for lang, n in sums.items():
             at = n.nonzero()[0]
             yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], ["lang", "bin", "n"])
+        release()
 
     labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     return labelled.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, model: Mixture, *, id_col: str = "doc_id", text_co
                 [batch.column(0), pa.array([f[0] for f in first], pa.string()), pa.array([f[1] for f in first], pa.float64()), pa.array([[x for x, _ in s] for s in sets], pa.list_(pa.string())), pa.array([[v for _, v in s] for s in sets], pa.list_(pa.float64()))],
                 ["id", "lang_pred", "score", "langs", "shares"],
             )
+        release()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
@@ -200,6 +202,7 @@ def keep_identified(docs: DataFrame, model: Mixture, *, text_col: str = "text",
                 else:
                     keep += [any(c.isalpha() for c in t or "") for t in part]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 

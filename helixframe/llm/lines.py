@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import mix, powers
+from helixframe.llm.shingles import mix, powers, release
 from helixframe.llm.storage import documents, materialize
 
 #: A common block is deleted if it holds so many characters, line ends and outer spaces not counted.
@@ -123,6 +123,7 @@ def held_runs(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
             row = np.searchsorted(offsets, start, "right") - 1
             begin = offsets[row]
             yield pa.record_batch([pa.array(found), batch.column("id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array((start - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["run", "id", "h", "start", "end"])
+        release()
 
     runs = table.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "lines", "chars").mapInArrow(run, f"run long, id {kind}, h long, start int, end int").withColumn("key", F.struct("id", "h"))
     first = runs.groupBy("run").agg(F.min("key").alias("earlier"), F.max("key").alias("last")).where("earlier < last").select(F.col("run").alias("of"), "earlier")

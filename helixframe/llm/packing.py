@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import slices, word_spans
+from helixframe.llm.shingles import release, slices, word_spans
 from helixframe.llm.storage import documents
 
 LENGTH = 2048
@@ -37,9 +37,9 @@ END_ID = 1
 #: A stretch is closed after the first document with which it holds so many tokens; a bound on memory, at the price of one window's padding.
 STRETCH = 1 << 20
 #: Bytes of text tokenized at once (a longer text is still tokenized whole).
-PART = (2 << 20) - 1
-#: Words whose ids a worker remembers from task to task, in arrays of some 60 MB; beyond it, those not asked for since are forgotten.
-KNOWN_WORDS = 1 << 21
+PART = 1 << 20
+#: Words whose ids a worker remembers from task to task, in arrays of some 35 MB; beyond it, those not asked for since are forgotten.
+KNOWN_WORDS = 1 << 20
 STOPS, QUOTES = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"'", np.uint8)
 
 
@@ -328,7 +328,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     if waiting.total >= stretch:
                         yield rows(waiting.pieces())
         yield rows(waiting.pieces())
-        pa.default_memory_pool().release_unused()
+        release()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -13,6 +14,14 @@ PART = 1 << 20
 _R = 0x9E3779B97F4A7C15
 
 
+def release() -> None:
+    """Give memory that is not held any more back to the machine at the end of a task: workers live on, and other work follows."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # as in glibc
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads the bits of each number."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -36,7 +45,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_R ** i and its inverse for i < n, modulo 2 ** 64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, PART * 2)
+        size = max(n, PART + 1)
         made = []
         for base in (_R, pow(_R, -1, 2**64)):
             x = np.full(size, base, np.uint64)
