@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import as_bytes, release, slices
+from helixframe.llm.shingles import as_bytes, enter, release, slices
 from helixframe.llm.storage import shared_dir
 
 #: Bytes of text in a block (a longer text is a block of its own) of a small corpus and of a large one, and in a bucket of the table of blocks.
@@ -93,6 +93,7 @@ def write_blocks(docs: DataFrame, n_bytes: int, most: int | None = None) -> Data
     most = most or min(LARGE_BLOCK, max(BLOCK, n_bytes // MANY_BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("blocks")
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
 
         def made() -> pa.RecordBatch:
@@ -202,6 +203,7 @@ def settle(dealt: DataFrame, step: int, verdict: Callable) -> DataFrame:
     """(block, step, bucket, codes): the answers of verdict(lists of keys, contexts, ids and flags of all blocks) for one bucket at a time. Lists with nothing to tell are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("blocks")
         held, bucket = [], None
 
         def answer() -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import release, slices
+from helixframe.llm.shingles import enter, release, slices
 from helixframe.llm.storage import documents, materialize
 
 BINS = 1 << 14
@@ -73,6 +73,7 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text") ->
     """Trigram counts of all labelled rows: (lang, bin, n), at most BINS rows a language. Counts are summed in each task before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language")
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column(0).to_pylist()
@@ -171,6 +172,7 @@ def identify(docs: DataFrame, model: Mixture, *, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language")
         for batch in batches:
             found = [x for _, texts in _parts(batch.column(1)) for x in model.infer_counted(texts)]
             sets = [s for s, _ in found]
@@ -194,6 +196,7 @@ def keep_identified(docs: DataFrame, model: Mixture, *, text_col: str = "text",
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language")
         for batch in batches:
             keep = []
             for _, part in _parts(batch.column(at)):

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import release, slices, word_spans
+from helixframe.llm.shingles import enter, release, slices, word_spans
 from helixframe.llm.storage import documents
 
 LENGTH = 2048
@@ -303,6 +303,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("packing", _tokenizer.cache_clear)
         words, waiting = _tokenizer(path), Stretch(length, truncation)
         upper = TaskContext.get().partitionId() << 33
 

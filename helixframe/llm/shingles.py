@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +15,18 @@ PART = 1 << 20
 _R = 0x9E3779B97F4A7C15
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def enter(work: str, forget: Callable[[], None] | None = None) -> None:
+    """Begin a task of some work in a worker: what other work keeps from task to task is forgotten, what this work keeps (and forget clears) stays."""
+    for other in [w for w in _caches if w != work]:
+        _caches.pop(other)()
+        release()
+    if forget is not None:
+        _caches[work] = forget
+
+
 def release() -> None:
     """Give memory that is not held any more back to the machine at the end of a task: workers live on, and other work follows."""
     pa.default_memory_pool().release_unused()
