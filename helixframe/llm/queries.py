@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import jaccard, language, licenses, lines, media, mixing, packing, secrets, substrings, vectors
+from helixframe.llm import decontaminate, jaccard, language, licenses, lines, media, mixing, packing, secrets, substrings, vectors
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_alignment": lines.op8_line_alignment,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_license_dice": licenses.op10_license_dice,
+    "op11_prefix_join": decontaminate.op11_prefix_join,
 }
 ORACLES = {
     "op2_secret_ledger": secrets.ORACLE,
@@ -23,4 +24,5 @@ ORACLES = {
     "op7_suffix_buckets": substrings.ORACLE,
     "op9_mix_sources": mixing.ORACLE,
     "op10_license_dice": licenses.ORACLE,
+    "op11_prefix_join": decontaminate.ORACLE,
 }

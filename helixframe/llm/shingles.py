@@ -52,6 +52,14 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return value, space
 
 
+@lru_cache(1)
+def term_tables() -> tuple[np.ndarray, np.ndarray]:
+    """As _tables(), for terms: words of letters, digits and all characters beyond ASCII."""
+    inside = np.zeros(256, bool)
+    inside[48:58] = inside[65:91] = inside[97:123] = inside[128:] = True
+    return _tables()[0], ~inside
+
+
 _powers: list[np.ndarray] = []
 
 
@@ -88,10 +96,10 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words (runs of anything but ASCII white space): the hash (A-Z as a-z), the row, the first byte and the end in the bytes of all rows; and those bytes."""
+def word_spans(texts: pa.Array, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words (runs of anything but ASCII white space): the hash (A-Z as a-z), the row, the first byte and the end in the bytes of all rows; and those bytes. tables: such as term_tables(), for other words."""
     data, offsets = as_bytes(texts)
-    value, space = _tables()
+    value, space = tables or _tables()
     if not len(data):
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, data
     inside = ~space[data]
