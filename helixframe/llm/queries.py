@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.llm import decontaminate, jaccard, language, licenses, lines, media, mixing, packing, periodic, secrets, substrings, vectors
+from helixframe.llm import decontaminate, jaccard, language, licenses, lines, media, mixing, packing, periodic, search, secrets, substrings, vectors
 
 QUERIES = {
     "op1_media_chunks": media.op1_media_chunks,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_license_dice": licenses.op10_license_dice,
     "op11_prefix_join": decontaminate.op11_prefix_join,
+    "op12_block_max": search.op12_block_max,
     "op13_scale_tiles": periodic.op13_scale_tiles,
 }
 ORACLES = {
@@ -26,5 +27,6 @@ ORACLES = {
     "op9_mix_sources": mixing.ORACLE,
     "op10_license_dice": licenses.ORACLE,
     "op11_prefix_join": decontaminate.ORACLE,
+    "op12_block_max": search.ORACLE,
     "op13_scale_tiles": periodic.ORACLE,
 }
