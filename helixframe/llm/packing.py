@@ -72,7 +72,9 @@ class WordTable:
         return out
 
     def add(self, key: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Take in words that are not held, each once. Beyond the most, only those asked for since the last time stay."""
+        """Take in words that are not held, each once, the most at most. Beyond it, only those asked for since the last time stay."""
+        if len(key) > self.most:
+            raise ValueError("more words at once than the table holds")
         if len(self.key) + len(key) > self.most:
             keep = np.flatnonzero(self.warm)
             keep = keep[: max(0, min(self.most // 2, self.most - len(key)))]
@@ -167,6 +169,8 @@ class WordTokenizer:
         number = self.table.find(key)
         if len(unknown := np.flatnonzero(number < 0)):
             fresh, first = np.unique(key[unknown], return_index=True)
+            if len(fresh) > self.table.most:  # more words at once than the table holds
+                return self._encode_texts(texts.to_pylist())
             first = unknown[first]
             size = end[first] - start[first]
             upto = np.concatenate(([0], np.cumsum(size)))
@@ -174,7 +178,7 @@ class WordTokenizer:
             words = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(raw.tobytes())).cast(pa.string())
             self._learn(fresh, words)
             number = self.table.find(key)
-            if (number < 0).any():  # more words at once than the table holds
+            if (number < 0).any():  # words that were known have been forgotten for others
                 return self._encode_texts(texts.to_pylist())
         self.table.warm[number] = True
         ids, sizes = self.table.ids_of(number)
@@ -336,4 +340,5 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op5_pack_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of up to LENGTH tokens; see pack_documents() for nulls, ties and repeated rows."""
     return pack_documents(documents(spark, sf_dir), with_ids=False).withColumnRenamed("id", "doc_id")
