@@ -35,8 +35,8 @@ TEMPLATES = {
     "BSD-2-Clause (text)": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 }
 THRESHOLD = 0.85
-#: Up to so many templates they are sent to all executors, and texts are tried for parts of them first.
-FEW = 200
+#: Up to so many bytes of templates they are sent to all executors, and texts are tried for their probes first; results are the same beyond.
+SMALL = 256 << 10
 
 
 def normalised(text: Column) -> Column:
@@ -63,6 +63,28 @@ def probes(grams: list[str], threshold: float) -> list[str]:
     return sorted(grams, key=lambda g: (-len(g), g))[: n - least + 1]
 
 
+def _grammed(licences: DataFrame, threshold: float) -> DataFrame:
+    """(licence, n_words, pairs, t_grams, probes): a template's bigrams in their order, each once, and its probes() as a column."""
+    words = F.split("norm", " ")
+    t = licences.select("licence", normalised(F.col("text")).alias("norm")).where(F.col("norm") != "").select("licence", F.size(words).alias("n_words"), F.when(F.size(words) > 1, _pairs(words)).alias("pairs"), bigrams(F.col("norm")).alias("t_grams"))
+    n = F.size("t_grams")
+    least = F.ceil(threshold * (n + F.ceil(n * threshold / (2 - threshold))) / 2 - 1e-9)
+    ordered = F.array_sort(F.transform("t_grams", lambda g: F.struct((-F.length(g)).alias("n"), g.alias("g"))))
+    return t.withColumn("probes", F.transform(F.slice(ordered, F.lit(1), (n - least + 1).cast("int")), lambda x: x["g"]))
+
+
+def _pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _tried(licences: DataFrame, threshold: float) -> Column | None:
+    """Whether a normalised text (column norm) has a probe of any template; None if the templates are too many to try."""
+    if (licences.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0) > SMALL:
+        return None
+    tried = sorted({p for row in _grammed(licences, threshold).select("probes").collect() for p in row[0]})
+    return F.col("norm").rlike(probe_pattern(tried)) if tried else F.lit(False)
+
+
 def probe_pattern(known: list[str]) -> str:
     """One pattern for whole bigrams in a normalised text, tried at starts of words only. Normalised words have no characters that a pattern reads otherwise."""
     by_first: dict[str, list[str]] = {}
@@ -76,23 +98,20 @@ def match_templates(units: DataFrame, licences: DataFrame, *, threshold: float =
     """All (unit, licence) with a Dice coefficient of threshold or more.
 
     units: any key columns and text; licences: (licence, text). Returns the key columns with licence and score. Null and
-    empty texts match nothing. With few templates, texts that have none of the probes of any are dropped before their
-    bigrams are made; no match is lost by that.
+    empty texts match nothing. With up to SMALL bytes of templates, texts that have none of the probes of any are dropped
+    before their bigrams are made; no match is lost by that. A template's sizes meet units before its bigrams do.
     """
     keys = [c for c in units.columns if c != "text"]
-    t = licences.select("licence", bigrams(normalised(F.col("text"))).alias("t_grams")).where(F.size("t_grams") > 0)
+    t = _grammed(licences, threshold).select("licence", "t_grams")
     n = F.size("t_grams")
-    by_size = t.select("licence", "t_grams", F.explode(F.sequence(F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int"))).alias("n_grams"))
+    sizes = t.select("licence", F.explode(F.sequence(F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int"))).alias("n_grams"))
     u = units.select(*keys, normalised(F.col("text")).alias("norm"))
-    known = t.limit(FEW + 1).collect()
-    if len(known) <= FEW:
-        tried = sorted({p for row in known for p in probes(row["t_grams"], threshold)})
-        u = u.where(F.col("norm").rlike(probe_pattern(tried)) if tried else F.lit(False))
-        by_size = F.broadcast(by_size)
-    else:
-        u = u.where(F.col("norm") != "")
+    tried = _tried(licences, threshold)
+    u = u.where(F.col("norm") != "" if tried is None else tried)
+    if tried is not None:
+        sizes, t = F.broadcast(sizes), F.broadcast(t)
     u = u.select(*keys, bigrams(F.col("norm")).alias("grams")).withColumn("n_grams", F.size("grams"))
-    return u.join(by_size, "n_grams").withColumn("score", dice(F.col("grams"), F.col("t_grams"))).where(F.col("score") >= threshold).select(*keys, "licence", "score")
+    return u.join(sizes, "n_grams").join(t, "licence").withColumn("score", dice(F.col("grams"), F.col("t_grams"))).where(F.col("score") >= threshold).select(*keys, "licence", "score")
 
 
 def dice(a: Column, b: Column) -> Column:
@@ -104,22 +123,18 @@ def match_windows(texts: DataFrame, licences: DataFrame, *, threshold: float = T
 
     Windows that would begin before the text begin with it, and those at its end are cut. Templates of one word have no windows.
     """
-    words, pair = F.split("norm", " "), lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b))
-    t = licences.select("licence", normalised(F.col("text")).alias("norm")).where(F.instr("norm", " ") > 0).select("licence", F.size(words).alias("n_words"), bigrams(F.col("norm")).alias("t_grams"), pair(words).alias("pairs"))
-    known = t.limit(FEW + 1).collect()
-    few = len(known) <= FEW
-    if few:
-        rows = [(r["licence"], r["n_words"], p, k) for r in known for p in probes(r["t_grams"], threshold) for k, g in enumerate(r["pairs"]) if g == p]
-        placed = F.broadcast(texts.sparkSession.createDataFrame(rows, "licence string, n_words int, gram string, offset int"))
-        texts = texts.where(F.col("norm").rlike(probe_pattern(sorted({r[2] for r in rows}))) if rows else F.lit(False))
-    else:  # all bigrams as probes
-        placed = t.select("licence", "n_words", F.posexplode("pairs").alias("offset", "gram"))
-    hits = texts.where(F.instr("norm", " ") > 0).select("key", F.posexplode(pair(words)).alias("at", "gram")).join(placed, "gram")
+    words = F.split("norm", " ")
+    t = _grammed(licences, threshold).where("n_words > 1")
+    placed = t.select("licence", "n_words", "probes", F.posexplode("pairs").alias("offset", "gram")).where(F.array_contains("probes", F.col("gram"))).drop("probes")
+    full = t.select("licence", "t_grams")
+    tried = _tried(licences, threshold)
+    if tried is not None:
+        texts, placed, full = texts.where(tried), F.broadcast(placed), F.broadcast(full)
+    hits = texts.where(F.instr("norm", " ") > 0).select("key", F.posexplode(_pairs(words)).alias("at", "gram")).join(placed, "gram")
     found = hits.select("key", "licence", "n_words", F.greatest(F.col("at") - F.col("offset"), F.lit(0)).alias("start")).distinct()
-    window = F.array_distinct(pair(F.slice("words", F.col("start") + 1, F.col("n_words"))))
+    window = F.array_distinct(_pairs(F.slice("words", F.col("start") + 1, F.col("n_words"))))
     cut = found.join(texts.select("key", words.alias("words")), "key").select("key", "licence", "start", window.alias("grams"))
-    full = t.select("licence", "t_grams")
-    return cut.join(F.broadcast(full) if few else full, "licence").withColumn("score", dice(F.col("grams"), F.col("t_grams"))).where(F.col("score") >= threshold).select("key", "licence", "start", "score")
+    return cut.join(full, "licence").withColumn("score", dice(F.col("grams"), F.col("t_grams"))).where(F.col("score") >= threshold).select("key", "licence", "start", "score")
 
 
 def license_scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -143,11 +158,9 @@ def license_scan(docs: DataFrame, licences: DataFrame, *, id_col: str = "doc_id"
 
 
 def distinct_texts(texts: DataFrame, licences: DataFrame, threshold: float) -> DataFrame:
-    """One row a key of texts (key, norm), in the shared folder; with few templates only of texts that have a probe."""
-    t = licences.select(bigrams(normalised(F.col("text"))).alias("t_grams")).where(F.size("t_grams") > 0).limit(FEW + 1).collect()
-    if len(t) <= FEW:
-        tried = sorted({p for r in t for p in probes(r["t_grams"], threshold)})
-        texts = texts.where(F.col("norm").rlike(probe_pattern(tried)) if tried else F.lit(False))
+    """One row a key of texts (key, norm), in the shared folder; of up to SMALL bytes of templates only of texts that have a probe."""
+    tried = _tried(licences, threshold)
+    texts = texts if tried is None else texts.where(tried)
     return materialize(texts.groupBy("key").agg(F.first("norm").alias("norm")), "licence-texts")
 
 

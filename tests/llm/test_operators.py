@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,20 @@ def test_op5(docs, none, texts):
     assert packing.pack_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 4, 64])
+def test_op5_more_words_than_the_table_holds(most):
+    """A table that words do not fit in ends, and ids are the tokenizer's."""
+    from tokenizers import Tokenizer
+
+    made, plain = packing.WordTokenizer(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    made.table = packing.WordTable(most, np.uint16)
+    for texts in (["one two three"], [" ".join(f"w{i}" for i in range(100)), "one two"], ["one w7 ßtraße", ""], [" ".join(f"v{i}" for i in range(60))]):
+        ids, first, *_ = made.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    with pytest.raises(ValueError):
+        made.table.add(np.arange(most + 1, dtype=np.uint64), np.zeros(0, np.uint16), np.zeros(most + 1, np.int64))
+
+
 def test_op5_costs_are_least():
     r = random.Random(1)
     for _ in range(60):
@@ -565,3 +580,16 @@ def test_sql(spark, duck):
 
     for name, sql in queries.ORACLES.items():
         same(queries.QUERIES[name](spark, SF), duck, sql)
+
+
+def test_op10_rows_do_not_depend_on_the_number_of_templates(spark, monkeypatch):
+    """Templates that match nothing change no row, whether templates are tried on texts first or joined to them."""
+    mit, bsd = licenses.TEMPLATES["MIT (text)"].split(), licenses.TEMPLATES["BSD-3-Clause"].split()
+    texts = [(i, " ".join(random.Random(i).sample(mit, 9) + mit[: 40 + 5 * i] + mit[3:] + bsd * (i % 3))) for i in range(20)] + [(50, "x\n" + " ".join(bsd) + "\ny"), (51, None), (52, "mit")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    more = {**licenses.TEMPLATES, **{f"none {i}": " ".join(f"q{i}x{j}" for j in range(5 + i % 9)) for i in range(250)}}
+    few = key(tuple(r) for r in licenses.license_scan(docs, licenses.templates(spark)).collect())
+    assert sum(r[2] > 0 for r in few) > 10
+    assert key(tuple(r) for r in licenses.license_scan(docs, licenses.templates(spark, more)).collect()) == few
+    monkeypatch.setattr(licenses, "SMALL", 0)
+    assert key(tuple(r) for r in licenses.license_scan(docs, licenses.templates(spark, more)).collect()) == few
