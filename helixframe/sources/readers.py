@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.sequences import normalize_position, parse_region
+from helixframe.sources.matrices import knows_store, plan_matrices, read_planned, read_whole
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -90,29 +86,12 @@ def read_attention_wide(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_attention_wide_parquet(spark: SparkSession, path: str, most_cells: int = 1 << 20) -> DataFrame:
-    """(file, sample, position, score) of wide Parquet matrices (a column sample, and pos_<n>), one file a task at least.
+    """(file, sample, position, score) of wide Parquet matrices (a column sample, and pos_<n>); files may have different columns.
 
-    Files may have different columns: each is read by itself where it is, by row groups and lots of columns of about
-    most_cells cells, so no plan has a column for a position. A file has to fit in memory (2 GB at most).
+    Tasks read ranges of files: row groups, and lots of columns of about most_cells cells, so files may be of any size and no
+    plan has a column for a position. Files in stores that only Spark knows come as a whole (2 GB at most each).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                f = pq.ParquetFile(io.BytesIO(content.as_py()))
-                axis = [(c, int(c.removeprefix("pos_"))) for c in f.schema_arrow.names if c.removeprefix("pos_").isdigit()]
-                for g in range(f.num_row_groups):
-                    n = f.metadata.row_group(g).num_rows
-                    step = max(1, most_cells // max(1, n))
-                    sample = f.read_row_group(g, ["sample"]).column(0).combine_chunks().cast(pa.string())
-                    for a in range(0, len(axis), step):
-                        lot = f.read_row_group(g, [c for c, _ in axis[a : a + step]])
-                        for c, position in axis[a : a + step]:
-                            score = lot.column(c).combine_chunks().cast(pa.float64())
-                            yield pa.record_batch([pa.array([name] * n, pa.string()), sample, pa.array([position] * n, pa.int64()), score], ["file", "sample", "position", "score"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    long = files.mapInArrow(run, "file string, sample string, position long, score double")
+    long = read_planned(plan_matrices(spark, path, most_cells)) if knows_store(path) else read_whole(spark, path, most_cells)
     return long.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
