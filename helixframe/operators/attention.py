@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -101,27 +102,81 @@ def attention_column_sums(weights: DataFrame, keys: Sequence[str] = ("sample", "
     return weights.groupBy(*keys, "col").agg(F.sum("weight").alias("total")).join(heads, list(keys)).select(*keys, "col", (F.col("total") / F.col("heads")).alias("score"))
 
 
-def column_sums(q: np.ndarray, k: np.ndarray, block: int = 1024) -> np.ndarray:
-    """Sums over causal softmax rows of scaled q k', without the whole matrix: block rows at a time."""
-    out = np.zeros(len(k))
-    for a in range(0, len(q), block):
-        b = min(a + block, len(q))
-        s = q[a:b] @ k[:b].T / np.sqrt(q.shape[1])
-        s[np.arange(a, b)[:, None] < np.arange(b)[None, :]] = -np.inf
-        e = np.exp(s - s.max(1, keepdims=True))
-        out[:b] += (e / (e.sum(1, keepdims=True) + 1e-12)).sum(0)
-    return out
+#: Tokens of a block of rows or columns; two blocks make a tile. A tile computes so many of its rows at once.
+TILE, ROWS = 4096, 512
 
 
-def attention_column_sums_qk(qk: DataFrame, keys: Sequence[str] = ("sample", "hap"), block: int = 1024) -> DataFrame:
-    """attention_column_sums() from vectors (keys, head, token, q, k): a head of one sequence is a group, which holds its q and k only."""
-    keys = list(keys)
+def _tiles(qk: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """(keys, head, rows, cols, tokens, q, others, k): each pair of a block of query rows with one of columns up to it; vectors end to end."""
+    by = [*keys, "head"]
+    block = F.floor(F.col("token") / tile).cast("long")
+    x = F.sort_array(F.collect_list(F.struct("token", "q", "k")))
+    blocks = qk.groupBy(*by, block.alias("block")).agg(x.alias("x"))
+    flat = lambda c: F.flatten(F.transform("x", lambda r: r[c])).cast("array<double>")
+    tokens = F.transform("x", lambda r: r["token"].cast("long"))
+    rows = blocks.select(*by, F.col("block").alias("rows"), tokens.alias("tokens"), flat("q").alias("q"))
+    cols = blocks.select(*by, F.col("block").alias("cols"), tokens.alias("others"), flat("k").alias("k"))
+    return rows.join(cols, by).where("cols <= rows")
+
+
+def _scores(row: dict) -> Iterator[tuple[slice, np.ndarray]]:
+    """Scaled products of a tile, some rows at a time; columns after a row are left out as -inf."""
+    tokens, others = row["tokens"], row["others"]
+    q, k = row["q"].reshape(len(tokens), -1), row["k"].reshape(len(others), -1)
+    for a in range(0, len(tokens), ROWS):
+        at = slice(a, a + ROWS)
+        s = q[at] @ k.T / np.sqrt(q.shape[1])
+        s[tokens[at, None] < others[None, :]] = -np.inf
+        yield at, s
+
+
+def _each_tile(tiles: DataFrame, keys: Sequence[str], columns: Sequence[str], made: Callable, schema: str) -> DataFrame:
+    """What made(columns of a tile as arrays) gives as arrays, with keys and head."""
+    by = [*keys, "head"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [made({c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in columns}) for i in range(len(batch))]
+            if found:
+                yield pa.record_batch([*(batch.column(c) for c in by), *(pa.array([x[c] for x in found]) for c in found[0])], [*by, *found[0]])
+
+    kinds = ", ".join(f"{c} {tiles.schema[c].dataType.simpleString()}" for c in by)
+    return tiles.select(*by, *columns).mapInArrow(run, f"{kinds}, {schema}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("token", ignore_index=True)
-        pdf["score"] = column_sums(np.stack(pdf["q"].to_numpy()).astype(float), np.stack(pdf["k"].to_numpy()).astype(float), block)
-        return pdf[[*keys, "head", "token", "score"]]
 
-    schema = ", ".join(f"{c} {qk.schema[c].dataType.simpleString()}" for c in (*keys, "head", "token")) + ", score double"
-    by_head = qk.select(*keys, "head", "token", "q", "k").groupBy(*keys, "head").applyInPandas(run, schema)
-    return by_head.groupBy(*keys, F.col("token").alias("col")).agg(F.avg("score").alias("score"))
+def _row_parts(tile: dict) -> dict:
+    """Of each row the largest score in the tile, and the sum of exponentials below it."""
+    most, total = (np.zeros(len(tile["tokens"])) for _ in range(2))
+    for at, s in _scores(tile):
+        most[at] = s.max(1)
+        total[at] = np.exp(s - most[at, None]).sum(1)
+    return {"token": tile["tokens"], "most": most, "total": total}
+
+
+def _column_parts(tile: dict) -> dict:
+    """Of each column the sum of the tile's weights, given the maxima and denominators of whole rows."""
+    out = np.zeros(len(tile["others"]))
+    for at, s in _scores(tile):
+        out += (np.exp(s - tile["most"][at, None]) / (tile["total"][at, None] + 1e-12)).sum(0)
+    return {"token": tile["others"], "part": out}
+
+
+def attention_column_sums_qk(qk: DataFrame, keys: Sequence[str] = ("sample", "hap"), tile: int = TILE) -> DataFrame:
+    """attention_column_sums() of causal softmax rows of scaled q k', from vectors (keys, head, token, q, k), without the whole matrix.
+
+    A head is cut into tiles of tile x tile tokens, which are tasks' work by themselves. A first pass gives each row's
+    maximum and sum within each tile, which are merged by row; a second one sums the weights by column. Tokens are
+    numbers along the sequence, each once; a row sees its own token and those before.
+    """
+    keys = list(keys)
+    by, block = [*keys, "head"], F.floor(F.col("token") / tile).cast("long")
+    tiles = _tiles(qk.select(*by, "token", "q", "k"), keys, tile)
+    parts = _each_tile(tiles, keys, ["tokens", "q", "others", "k"], _row_parts, "token array<long>, most array<double>, total array<double>")
+    each = parts.select(*by, F.explode(F.arrays_zip("token", "most", "total")).alias("x")).select(*by, "x.*")
+    merged = each.groupBy(*by, "token").agg(F.max("most").alias("m"), F.collect_list(F.struct("most", "total")).alias("x"))  # one for each block of columns
+    total = F.aggregate("x", F.lit(0.0), lambda t, x: t + x["total"] * F.exp(x["most"] - F.col("m")))
+    listed = merged.select(*by, block.alias("rows"), F.struct("token", "m", total.alias("total")).alias("x")).groupBy(*by, "rows").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    whole = listed.select(*by, "rows", F.transform("x", lambda x: x["m"]).alias("most"), F.transform("x", lambda x: x["total"]).alias("total"))
+    sums = _each_tile(tiles.join(whole, [*by, "rows"]), keys, ["tokens", "q", "others", "k", "most", "total"], _column_parts, "token array<long>, part array<double>")
+    by_head = sums.select(*by, F.explode(F.arrays_zip("token", "part")).alias("x")).groupBy(*by, F.col("x.token").alias("token")).agg(F.sum("x.part").alias("score"))
+    return by_head.groupBy(*keys, F.col("token").cast(qk.schema["token"].dataType).alias("col")).agg(F.avg("score").alias("score"))

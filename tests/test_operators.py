@@ -89,11 +89,26 @@ def test_chunks_are_moved_back_at_the_end(spark):
         attention.chunk_spans(df, 4, 4)
 
 
-def test_column_sums_do_not_depend_on_blocks():
+@pytest.mark.parametrize("tile", [5, 16, 4096])
+def test_attention_tiles_give_the_sums_of_the_whole_matrix(spark, tile):
     r = np.random.default_rng(0)
-    q, k = r.normal(size=(2, 37, 4))
-    assert attention.column_sums(q, k, 5) == pytest.approx(attention.column_sums(q, k, 100))
-    assert attention.column_sums(q, k, 8).sum() == pytest.approx(37)
+    rows, want = [], {}
+    for sample, n in ((1, 37), (2, 1), (3, 16)):
+        whole = np.zeros(n)
+        for head in range(2):
+            q, k = r.normal(size=(2, n, 4)) * 5
+            s = np.where(np.tri(n, dtype=bool), q @ k.T / 2, -np.inf)
+            e = np.exp(s - s.max(1, keepdims=True))
+            whole += (e / (e.sum(1, keepdims=True) + 1e-12)).sum(0) / 2
+            rows += [(sample, "hap1", head, t, q[t].tolist(), k[t].tolist()) for t in range(n)]
+        want |= {(sample, t): x for t, x in enumerate(whole)}
+    df = table(spark, rows, "sample long, hap string, head int, token int, q array<double>, k array<double>").repartition(4)
+    got = {(x["sample"], x["col"]): x["score"] for x in attention.attention_column_sums_qk(df, tile=tile).collect()}
+    assert got == pytest.approx(want)
+    blocks = attention._tiles(df, ["sample", "hap"], tile)
+    cut = -(-37 // tile)
+    assert blocks.where("sample = 1 AND head = 0").count() == cut * (cut + 1) // 2
+    assert attention.attention_column_sums_qk(df.limit(0)).count() == 0
 
 
 def test_variants_at_region_ends(spark):
