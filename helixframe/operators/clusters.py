@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.base import listed
+from helixframe.operators.quantiles import quantile_by_key
 
 KEYS = ("gene", "hap", "groupA", "groupB")
 
@@ -24,21 +25,14 @@ def significant_sites(effects: DataFrame, padj: float = 0.05, quantile: float |
     """Sites with padj below its bound, |log2FC| at or above the quantile over the pair's sites and |cohen_d| at or above its bound (if any).
 
     Without quantile it is the adaptive one of all hap1 rows of the gene, for both haplotypes; a negative one selects
-    nothing. The sizes of one gene, haplotype and pair are held in one row: as many numbers as the gene has positions.
+    nothing. The quantile is exact (see quantile_by_key()); effects is read several times for it, so write it first.
     """
     size = F.abs("log2FC")
-    sizes = effects.groupBy(*KEYS).agg(F.array_sort(F.collect_list(size)).alias("_all"))
     if quantile is None:
-        q = effects.where(F.col("hap") == "hap1").groupBy("gene").agg(adaptive_quantile(F.count("*")).alias("_q"))
-        sizes = sizes.join(q, "gene")
+        at = effects.where(F.col("hap") == "hap1").groupBy("gene").agg(adaptive_quantile(F.count("*")).alias("quantile"))
     else:
-        sizes = sizes.withColumn("_q", F.lit(float(quantile)))
-    # The sorted sizes of a pair's sites are at hand; the quantile is a column, which percentile() does not take.
-    at = F.col("_q") * (F.size("_all") - 1)
-    low = F.floor(at).cast("int")
-    value = lambda i: F.try_element_at("_all", i + 1)
-    level = value(low) + (at - low) * (F.coalesce(value(low + 1), value(low)) - value(low))
-    levels = sizes.where((F.col("_q") >= 0) & (F.size("_all") > 0)).select(*KEYS, level.alias("level"))
+        at = effects.select(*KEYS).distinct().withColumn("quantile", F.lit(float(quantile)))
+    levels = quantile_by_key(effects, KEYS, size, at)
     hit = (F.col("padj") < padj) & (size >= F.col("level"))
     if cohen is not None:
         hit = hit & (F.abs("cohen_d") >= cohen)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAIRS = [(1, 2), (1, 3)]
@@ -31,24 +33,24 @@ def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), (F.col("label") % 4).cast("int").alias("sample_type"))
 
 
-def _lineitem_cells(spark: SparkSession, sf_dir: str, gene, keys: dict[str, str]) -> DataFrame:
+def _lineitem_cells(spark: SparkSession, sf_dir: str, gene: Callable[[Column], Column], keys: dict[str, str], wide: int) -> DataFrame:
     """Mean price of each gene, supplier and position, in units that leave no short decimals; times 3 for suppliers of type 2 at planted positions."""
     li = table(spark, sf_dir, "lineitem")
-    hap = F.explode(F.array(*(F.struct(F.lit(h).alias("hap"), (F.col(c) % 500).alias("position")) for h, c in keys.items()))).alias("h")
-    rows = li.select(gene.alias("gene"), hap, F.col("l_suppkey").alias("sample"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
-    cells = rows.groupBy("gene", "h.hap", "sample", "h.position").agg((F.sum("cents") / F.count("*") / 9999991.0).alias("score"))
+    hap = F.explode(F.array(*(F.struct(F.lit(h).alias("hap"), gene(F.col(c)).alias("gene"), (F.col(c) % wide).alias("position")) for h, c in keys.items()))).alias("h")
+    rows = li.select(hap, F.col("l_suppkey").alias("sample"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    cells = rows.groupBy("h.gene", "h.hap", "sample", "h.position").agg((F.sum("cents") / F.count("*") / 9999991.0).alias("score"))
     planted = (F.col("sample") % 4 == 2) & (F.col("position") % 100 < 30)
     return cells.select("gene", "hap", "sample", "position", (F.col("score") * F.when(planted, 3.0).otherwise(1.0)).alias("score"))
 
 
 def site_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One gene of 500 positions, by order for hap1 and by part for hap2."""
-    return _lineitem_cells(spark, sf_dir, F.lit("gene0"), {"hap1": "l_orderkey", "hap2": "l_partkey"})
+    """Four genes with the same 125 positions, by order for hap1 and by part for hap2."""
+    return _lineitem_cells(spark, sf_dir, lambda c: F.concat(F.lit("gene"), (F.floor(c / 125) % 4).cast("string")), {"hap1": "l_orderkey", "hap2": "l_partkey"}, 125)
 
 
 def gene_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty genes, hap1."""
-    return _lineitem_cells(spark, sf_dir, F.concat(F.lit("chr_forward_g"), (F.col("l_partkey") % 20).cast("string")), {"hap1": "l_orderkey"})
+    return _lineitem_cells(spark, sf_dir, lambda _: F.concat(F.lit("chr_forward_g"), (F.col("l_partkey") % 20).cast("string")), {"hap1": "l_orderkey"}, 500)
 
 
 def supplier_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def supplier_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(attention: DataFrame) -> DataFrame:
     """Every ninth position of a gene as a known variant, shifted by its number of hundreds."""
-    sites = attention.where("hap = 'hap1'").select("gene", "position").distinct().where((F.col("position") % 100 < 35) & ((F.col("position") + F.floor(F.col("position") / 100)) % 9 == 0))
+    sites = attention.where("hap = 'hap1'").select("gene", "position").distinct().where((F.col("position") % 100 < 50) & ((F.col("position") + F.floor(F.col("position") / 100)) % 9 == 0))
     return sites.select("gene", F.col("position").alias("pos"), F.concat(F.lit("v"), F.col("position").cast("string")).alias("ID"))
 
 

@@ -190,8 +190,7 @@ def q_base_result_files(spark, sf_dir):
 @query([sql.SITES, sql.BASE], 'gene, hap, "groupA", "groupB", CAST(cluster_id AS INT) AS cluster_id, n_points, start_position, end_position, direction, round(total_score, 7) + 0.0 AS total_score', "sco")
 def q_cluster_result_files(spark, sf_dir):
     """K6: all tables of the cluster step, the clusters read back."""
-    _effects(spark, sf_dir).write.parquet(known := scratch(spark, "effects"))
-    effects, truth, args = spark.read.parquet(known), _truth(spark, sf_dir), base.pair_table(spark, ad.PAIRS)
+    effects, truth, args = _effects(spark, sf_dir), _truth(spark, sf_dir), base.pair_table(spark, ad.PAIRS)
     found = clusters.dbscan_1d(clusters.significant_sites(effects))
     scores = clusters.cluster_scores(found)
     matches = evaluate.match_clusters(evaluate.kept_clusters(scores), truth)

@@ -22,17 +22,17 @@ roster AS (SELECT DISTINCT 'gene' || g AS gene, hap, vec_id AS sample FROM embed
 smp AS (SELECT vec_id AS sample, CAST(label % 4 AS INT) AS sample_type FROM embeddings)"""
 
 
-def _cells(gene: str, haps: dict[str, str]) -> str:
-    rows = " UNION ALL ".join(f"SELECT {gene} AS gene, '{h}' AS hap, l_suppkey AS sample, {c} % 500 AS position, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem" for h, c in haps.items())
+def _cells(gene: str, haps: dict[str, str], wide: int) -> str:
+    rows = " UNION ALL ".join(f"SELECT {gene.format(c)} AS gene, '{h}' AS hap, l_suppkey AS sample, {c} % {wide} AS position, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem" for h, c in haps.items())
     return f"""
 li AS ({rows}),
 att AS (SELECT gene, hap, sample, position, CAST(sum(cents) AS DOUBLE) / count(*) / 9999991.0::DOUBLE * CASE WHEN sample % 4 = 2 AND position % 100 < 30 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM li GROUP BY gene, hap, sample, position),
 smp AS (SELECT DISTINCT l_suppkey AS sample, CAST(l_suppkey % 4 AS INT) AS sample_type FROM lineitem)"""
 
 
-SITES = _cells("'gene0'", {"hap1": "l_orderkey", "hap2": "l_partkey"})
-GENES = _cells("'chr_forward_g' || (l_partkey % 20)", {"hap1": "l_orderkey"})
-TRUTH = "truth AS (SELECT DISTINCT gene, position AS pos, 'v' || position AS ID FROM att WHERE hap = 'hap1' AND position % 100 < 35 AND (position + position // 100) % 9 = 0)"
+SITES = _cells("'gene' || ({} // 125 % 4)", {"hap1": "l_orderkey", "hap2": "l_partkey"}, 125)
+GENES = _cells("'chr_forward_g' || (l_partkey % 20)", {"hap1": "l_orderkey"}, 500)
+TRUTH = "truth AS (SELECT DISTINCT gene, position AS pos, 'v' || position AS ID FROM att WHERE hap = 'hap1' AND position % 100 < 50 AND (position + position // 100) % 9 = 0)"
 
 
 def ladder(rows: str, keys: str, out: str) -> str:

@@ -13,6 +13,7 @@ from helixframe.operators import attention, base, clusters, evaluate, metrics, r
 from helixframe.operators import regions as reg
 from helixframe.plans import adapters as ad
 from helixframe.plans import oracle as sql
+from helixframe.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,7 +133,8 @@ def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return base.effects(*_base(spark, sf_dir))
+    """Written once, as all that follows reads it several times."""
+    return written(base.effects(*_base(spark, sf_dir)), "effects")
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
