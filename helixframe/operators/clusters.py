@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.base import listed
+from helixframe.operators.density import density_clusters, kth_eps
 from helixframe.operators.quantiles import quantile_by_key
+from helixframe.sources.scratch import written
 
 KEYS = ("gene", "hap", "groupA", "groupB")
 
@@ -134,42 +134,12 @@ def kth_neighbor_eps(sites: DataFrame, keys: Sequence[str] = KEYS, k: int = 5, p
     return sites.select(*keys, d.alias("d")).groupBy(*keys).agg(F.percentile("d", F.lit(percentile / 100)).alias("eps"))
 
 
-def dbscan_points(x: np.ndarray, eps: float, min_points: int) -> np.ndarray:
-    """Labels of density clusters of the rows of x, in the order of their first core row; -1 for noise; border rows go to the earlier cluster."""
-    near = [np.flatnonzero(((x - row) ** 2).sum(1) <= eps * eps) for row in x]
-    core = np.array([len(n) >= min_points for n in near], bool)
-    label, c = np.full(len(x), -1), 0
-    for i in np.flatnonzero(core):
-        if label[i] >= 0:
-            continue
-        label[i], todo = c, [i]
-        while todo:
-            for j in near[todo.pop()]:
-                if label[j] < 0:
-                    label[j] = c
-                    if core[j]:
-                        todo.append(j)
-        c += 1
-    return label
-
-
 def dbscan_weighted(sites: DataFrame, keys: Sequence[str] = KEYS, eps: float | None = None, eps_percentile: float = 90.0, min_points: int = 5) -> DataFrame:
-    """(keys, position, cluster) of density clusters over scaled_features(); without eps it is the percentile of the distances to the min_points-th neighbour.
-
-    A group is the significant sites of one gene, haplotype and pair, a few percent of a gene's positions.
-    """
+    """(keys, position, cluster) of density clusters over scaled_features(); without eps it is the percentile of the distances to the min_points-th neighbour. See density_clusters()."""
     keys = list(keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position", ignore_index=True)
-        x = pdf[["x", "y", "z"]].to_numpy()
-        within = eps
-        if within is None:
-            d = [np.sort(np.sqrt(((x - row) ** 2).sum(1)))[min(min_points, len(x)) - 1] for row in x]
-            within = float(np.percentile(d, eps_percentile))
-        pdf["cluster"] = dbscan_points(x, within, min_points).astype("int32")
-        return pdf[[*keys, "position", "cluster"]]
-
-    featured = scaled_features(sites, keys).select(*keys, "position", "x", "y", "z")
-    schema = ", ".join(f"{c} {featured.schema[c].dataType.simpleString()}" for c in (*keys, "position")) + ", cluster int"
-    return featured.groupBy(*keys).applyInPandas(run, schema)
+    featured = written(scaled_features(sites, keys).select(*keys, "position", "x", "y", "z"), "features")
+    if eps is None:
+        within = kth_eps(featured, keys, min_points, eps_percentile)
+    else:
+        within = featured.select(*keys).distinct().withColumn("eps", F.lit(float(eps)))
+    return density_clusters(featured, keys, within, min_points)

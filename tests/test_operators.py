@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import attention, base, clusters, evaluate, metrics, ranks, regions
 
+from .plain import density_labels
+
 
 def table(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
@@ -70,7 +72,7 @@ def test_dbscan_along_a_line(spark):
     df = table(spark, [("g", "hap1", 1, 2, p) for p in at], "gene string, hap string, groupA int, groupB int, position long")
     got = {r["position"]: r["cluster"] for r in clusters.dbscan_1d(df).collect()}
     # 37 is exactly 20 from 17, a core site; 240 is a border site of the second cluster.
-    want = clusters.dbscan_points(np.array([[p] for p in at], float), 20, 5)
+    want = density_labels(np.array([[p] for p in at], float), 20, 5)
     assert [got[p] for p in at] == list(want) == [0] * 6 + [-1] + [1] * 5
 
 
