@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +43,59 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return r.select("region", "r.chrom", "r.start", "r.end", "r.strand", "gene")
 
 
+def read_genome(spark: SparkSession, path: str, size: int = 1 << 16) -> DataFrame:
+    """(chrom, offset, bases) of FASTA files: slices of at most size bases in upper case, offset from 0 in their contig, named by the first word of its header.
+
+    A file is read in splits like any text. Tasks join the lines of each stretch of a contig in their split into slices; where
+    stretches begin in their contigs is summed over one row a stretch (splits and contigs of the files), of which those
+    before the first header of a split belong to the contig of the split before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, stretch, chrom, upto, held, length = None, 0, None, 0, [], 0
+
+        def made(bases: str) -> pa.RecordBatch:
+            return pa.record_batch([pa.array([x]) for x in (*split, stretch)] + [pa.array([chrom], pa.string()), pa.array([upto], pa.int64()), pa.array([bases])], names)
+
+        names = ["file", "block", "stretch", "name", "upto", "bases"]
+        for batch in batches:
+            for file, block, value in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "value")), strict=True):
+                if (file, block) != split or value.startswith(">"):
+                    if split is not None:
+                        yield made("".join(held))
+                    stretch = stretch + 1 if (file, block) == split else 0
+                    split, upto, held, length = (file, block), 0, [], 0
+                    chrom = (value[1:].split() or [""])[0] if value.startswith(">") else None
+                    if chrom is not None:
+                        continue
+                held.append("".join(value.split()).upper())
+                length += len(held[-1])
+                if length >= size:
+                    text = "".join(held)
+                    for a in range(0, length - size + 1, size):
+                        yield made(text[a : a + size])
+                        upto += size
+                    held, length = [text[length - length % size :]], length % size
+        if split is not None:
+            yield made("".join(held))
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    cut = lines.mapInArrow(run, "file string, block long, stretch long, name string, upto long, bases string")
+    stretches = cut.groupBy("file", "block", "stretch").agg(F.max("name").alias("name"), F.sum(F.length("bases")).alias("n"))
+    along = Window.partitionBy("file").orderBy("block", "stretch")
+    contig = F.count("name").over(along)
+    chrom = F.last("name", True).over(along)
+    begun = stretches.select("file", "block", "stretch", chrom.alias("chrom"), contig.alias("contig"), "n")
+    within = Window.partitionBy("file", "contig").orderBy("block", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begun = begun.select("file", "block", "stretch", "chrom", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("begin"))
+    placed = cut.join(begun, ["file", "block", "stretch"]).where("chrom IS NOT NULL AND bases <> ''")
+    return placed.select("chrom", (F.col("begin") + F.col("upto")).alias("offset"), "bases")
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, seq): the first word of each header, and its lines joined in upper case."""
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    head = F.substring_index("value", "\n", 1)
-    body = F.substring(F.col("value"), F.length(head) + 1, F.length("value"))
-    return records.select(F.regexp_extract(head, r"^\s*(\S+)", 1).alias("chrom"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))
+    """(chrom, seq): whole contigs of read_genome(), a row each, for those that fit one; contigs without bases are left out."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "bases")))
+    return read_genome(spark, path).groupBy("chrom").agg(F.array_join(F.transform(parts, lambda x: x["bases"]), "").alias("seq"))
 
 
 def read_sample_types(spark: SparkSession, path: str) -> DataFrame:
