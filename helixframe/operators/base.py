@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.pvalues import chi2_p, fisher_p, mann_whitney_p
-from helixframe.operators.ranks import bh_adjust, counts_ladder, rank_statistics
+from helixframe.functions.pvalues import chi2_p, fisher_p
+from helixframe.operators.ranks import bh_adjust, counts_ladder, rank_statistics, u_test
 
 SITE = ("gene", "hap", "position")
 PAIR = ("groupA", "groupB")
@@ -128,9 +128,7 @@ def log2_fold_change(stats: DataFrame) -> DataFrame:
 
 def _tested(pair: DataFrame, min_n: int) -> DataFrame:
     """pair_effects() with log2FC, delta, pvalue and padj."""
-    enough = (F.col("n_A") >= min_n) & (F.col("n_B") >= min_n)
-    p = F.when(enough, mann_whitney_p("u_a", "n_A", "n_B", "ties"))
-    return bh_adjust(log2_fold_change(pair).withColumn("pvalue", p), ["gene", "hap", *PAIR])
+    return bh_adjust(u_test(log2_fold_change(pair), min_n, "u_a", "n_A", "n_B", "ties"), ["gene", "hap", *PAIR])
 
 
 def _separated(pair: DataFrame, min_n: int) -> DataFrame:
@@ -195,7 +193,7 @@ def deletion_enrichment(attention: DataFrame, samples: DataFrame, pairs: DataFra
     chi = sum((F.pow(F.greatest(F.abs(o - e) - 0.5, F.lit(0.0)), F.lit(2)) / F.nullif(e, F.lit(0.0)) for o, e in gap), F.lit(0.0))
     small = F.least(*cells) < 5
     tables = rows.select("A_del", "A_pres", "B_del", "B_pres").distinct().withColumns({"small": small, "chi": chi})
-    tested = tables.where("small").withColumn("pvalue", fisher_p("A_del", "A_pres", "B_del", "B_pres")).unionByName(tables.where("NOT small").withColumn("pvalue", chi2_p("chi"))).drop("small", "chi")
+    tested = tables.where("small").withColumn("pvalue", fisher_p("A_del", "A_pres", "B_del", "B_pres")).unionByName(tables.where("NOT small").withColumn("pvalue", chi2_p(F.col("chi")))).drop("small", "chi")
     odds = ((a + 0.5) / (b + 0.5)) / ((c + 0.5) / (d + 0.5))
     out = bh_adjust(rows.join(tested, ["A_del", "A_pres", "B_del", "B_pres"]).withColumn("OR_deleted", odds), ["gene", "hap", *PAIR])
     return out.select("gene", "hap", *PAIR, "position", "OR_deleted", "pvalue", "padj", "nA", "nB")

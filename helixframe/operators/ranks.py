@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.pvalues import mann_whitney_p
+from helixframe.functions.pvalues import EXACT, erfc, exact_u_test, u_erfc_argument
+from helixframe.sources.scratch import written
 
 
 def rank_ladder(df: DataFrame, keys: Sequence[str], value: str, is_a: Column) -> DataFrame:
@@ -36,11 +37,27 @@ def rank_statistics(ladder: DataFrame, keys: Sequence[str], more: Sequence[Colum
     return out.select(*keys, *rest, "n_a", "n_b", "u_a", "ties", F.when(both, F.col("u_a") / (F.col("n_a") * F.col("n_b"))).alias("auc"), F.when(both, F.coalesce("w", F.lit(0.0))).alias("wasserstein"))
 
 
+def u_test(stats: DataFrame, min_n: int, u: str = "u_a", n_a: str = "n_a", n_b: str = "n_b", ties: str = "ties") -> DataFrame:
+    """stats with pvalue, the two-sided Mann-Whitney p; null where a side has fewer than min_n values.
+
+    Exact if a group has at most EXACT values and nothing ties, else normal. Where min_n leaves no small groups all is column
+    arithmetic; else stats are written, and only rows with small groups go to an exact test.
+    """
+    enough = (F.col(n_a) >= min_n) & (F.col(n_b) >= min_n)
+    normal = lambda df: df.withColumn("_x", F.when(enough, u_erfc_argument(F.col(u), F.col(n_a), F.col(n_b), F.col(ties)))).withColumn("pvalue", erfc(F.col("_x"))).drop("_x")
+    if min_n > EXACT:
+        return normal(stats)
+    s = written(stats, "rank-statistics")
+    small = F.coalesce(enough & (F.least(n_a, n_b) <= EXACT) & (F.least(n_a, n_b) > 0) & (F.col(ties) == 0), F.lit(False))
+    out = normal(s.where(~small))
+    if s.where(small).limit(1).count():
+        out = out.unionByName(s.where(small).withColumn("pvalue", exact_u_test(u, n_a, n_b)))
+    return out
+
+
 def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, is_a: Column, min_n: int = 1) -> DataFrame:
-    """Two-sided U test of a side against the other by key: rank_statistics() with pvalue, null where a side has fewer than min_n values."""
-    s = rank_statistics(rank_ladder(df, keys, value, is_a), keys)
-    enough = (F.col("n_a") >= min_n) & (F.col("n_b") >= min_n)
-    return s.withColumn("pvalue", F.when(enough, mann_whitney_p("u_a", "n_a", "n_b", "ties")))
+    """Two-sided U test of a side against the other by key: rank_statistics() with pvalue, see u_test()."""
+    return u_test(rank_statistics(rank_ladder(df, keys, value, is_a), keys), min_n)
 
 
 def bh_adjust(df: DataFrame, keys: Sequence[str], p: str = "pvalue", out: str = "padj") -> DataFrame:

@@ -7,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helixframe.functions import sequences as s
-from helixframe.functions.pvalues import exact_u_p, fisher_two_sided, u_counts
+from helixframe.functions.pvalues import chi2_p, erfc, exact_u_p, fisher_two_sided, u_counts
+from helixframe.operators.ranks import u_test
 
 
 @given(st.integers(1, 4), st.integers(1, 5))
@@ -52,3 +53,30 @@ def test_small_column_functions(spark):
     x = spark.createDataFrame([("acgn", "chr1_reverse_A_forward_B", "pos_7"), ("", "chr_forward_G", "x"), ("ttR", "plain", "12")], "q string, g string, p string")
     got = [tuple(r) for r in x.select(s.reverse_complement(F.col("q")), s.short_gene_name(F.col("g")), s.normalize_position(F.col("p"))).collect()]
     assert got == [("NCGT", "A_forward_B", 7), ("", "G", None), ("NAA", "plain", 12)]
+
+
+def test_erfc_column_has_fifteen_digits(spark):
+    x = [0.0, 1e-9, 0.1, 0.46875, 0.4688, 1.0, 2.5, 3.999, 4.0, 4.001, 6.0, 10.0, 20.0, 26.0] + [i / 37 for i in range(900)]
+    got = spark.createDataFrame([(v,) for v in [*x, None, 30.0]], "x double").select("x", erfc(F.col("x")).alias("p"), chi2_p(2 * F.col("x") * F.col("x")).alias("c")).collect()
+    for r in got:
+        want = None if r["x"] is None else math.erfc(r["x"])
+        assert r["p"] == (want if want is None else pytest.approx(want, rel=2e-14, abs=1e-300)), r
+        assert r["c"] == (want if want is None else pytest.approx(want, rel=1e-12, abs=1e-300)), r
+
+
+def test_u_p_of_ties_and_empty_groups(spark):
+    rows = [(3.0, 2, 3, 0.0), (4.5, 3, 3, 210.0), (0.0, 0, 5, 0.0), (50.0, 10, 10, 0.0), (0.0, 10, 10, 0.0), (50.0, 10, 10, 7980.0), (0.0, 9, 40, 6.0)]
+    stats = spark.createDataFrame(rows, "u_a double, n_a long, n_b long, ties double")
+    got = {tuple(r)[:4]: r["pvalue"] for r in u_test(stats, 1).collect()}
+    for u, a, b, t in rows:
+        if min(a, b) == 0:
+            want = None
+        elif min(a, b) <= 8 and t == 0:
+            want = exact_u_p(u, a, b)
+        else:
+            n = a + b
+            s = math.sqrt(max(0.0, a * b / 12 * ((n + 1) - t / (n * (n - 1)))))
+            want = min(1.0, math.erfc((max(u, a * b - u) - a * b / 2 - 0.5) / s / math.sqrt(2))) if s > 0 else 1.0
+        assert got[u, a, b, t] == (want if want is None else pytest.approx(want, rel=1e-12))
+    plan = u_test(stats, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and u_test(stats, 10).where("pvalue IS NOT NULL").count() == 3
