@@ -4,43 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.base import listed
 from helixframe.operators.ranks import rank_ladder
+from helixframe.sources.scratch import written
 
 KEYS = ("gene", "hap", "groupA", "groupB")
 
 
-def truth_windows(positions: DataFrame, truth: DataFrame, windows: DataFrame) -> DataFrame:
-    """positions (any keys with gene and position) for each window (left, right), with is_true: within [t - left, t + right] of a known variant t (gene, pos) of the gene.
+def truth_neighbours(positions: DataFrame, truth: DataFrame, keys: Sequence[str] = ("gene",)) -> DataFrame:
+    """(keys, position, before, after): for each position once the nearest known variants (keys, pos) up to it and from it on, null without any.
 
-    Windows around variants are listed as positions and met in an equi-join, so a position is looked up once.
+    An as-of join both ways, as windows over the union of positions and variants, so rows are as many as these.
     """
-    every = F.explode(listed(windows, "left_bp", "right_bp")).alias("w")
-    inside = truth.select("gene", "pos", every).select(F.col("gene").alias("g"), F.col("w.left_bp").alias("l"), F.col("w.right_bp").alias("r"), F.explode(F.sequence(F.col("pos") - F.col("w.left_bp"), F.col("pos") + F.col("w.right_bp"))).alias("p")).distinct()
-    p = positions.select("*", every).select(*positions.columns, "w.left_bp", "w.right_bp")
-    met = p.join(inside, (F.col("gene") == F.col("g")) & (F.col("left_bp") == F.col("l")) & (F.col("right_bp") == F.col("r")) & (F.col("position") == F.col("p")), "left")
-    return met.withColumn("is_true", F.col("p").isNotNull()).drop("g", "l", "r", "p")
-
-
-def nearest_truth(positions: DataFrame, truth: DataFrame, keys: Sequence[str] = ("gene",)) -> DataFrame:
-    """positions with distance to the nearest known variant of the gene, infinite without any: an as-of join both ways, as windows over the union."""
     sites = positions.select(*keys, "position").distinct()
     both = sites.select(*keys, "position", F.lit(None).cast("long").alias("t")).unionByName(truth.select(*keys, F.col("pos").alias("position"), F.col("pos").cast("long").alias("t")))
     along = Window.partitionBy(*keys).orderBy("position")
     before = F.last("t", True).over(along.rangeBetween(Window.unboundedPreceding, 0))
     after = F.first("t", True).over(along.rangeBetween(0, Window.unboundedFollowing))
-    found = both.select(*keys, "position", "t", before.alias("before"), after.alias("after")).where("t IS NULL")
-    distance = F.coalesce(F.least(F.col("position") - F.col("before"), F.col("after") - F.col("position")).cast("double"), F.lit(float("inf")))
-    return positions.join(found.select(*keys, "position", distance.alias("distance")), [*keys, "position"])
+    return both.select(*keys, "position", "t", before.alias("before"), after.alias("after")).where("t IS NULL").drop("t")
+
+
+def _within(left: str = "left_bp", right: str = "right_bp") -> Column:
+    """Whether a position with its truth_neighbours() is in the window of any variant: overlapping windows merge by themselves, as the nearest variants decide."""
+    return F.coalesce(F.col("position") - F.col("before") <= F.col(right), F.lit(False)) | F.coalesce(F.col("after") - F.col("position") <= F.col(left), F.lit(False))
+
+
+def _distance() -> Column:
+    return F.coalesce(F.least(F.col("position") - F.col("before"), F.col("after") - F.col("position")).cast("double"), F.lit(float("inf")))
+
+
+def _each_window(windows: DataFrame) -> Column:
+    if windows.where("left_bp < 0 OR right_bp < 0").limit(1).count():
+        raise ValueError("windows hold their variant: left_bp and right_bp must not be negative")
+    return F.explode(listed(windows, "left_bp", "right_bp")).alias("w")
+
+
+def truth_windows(positions: DataFrame, truth: DataFrame, windows: DataFrame) -> DataFrame:
+    """positions (any keys with gene and position) for each window (left_bp, right_bp), with is_true: within [t - left_bp, t + right_bp] of a known variant t (gene, pos) of the gene.
+
+    However wide windows are, a position is looked up once; null positions are in none.
+    """
+    met = positions.join(truth_neighbours(positions, truth), ["gene", "position"], "left").select("*", _each_window(windows))
+    return met.select(*positions.columns, "before", "after", "w.left_bp", "w.right_bp").withColumn("is_true", _within()).drop("before", "after")
+
+
+def nearest_truth(positions: DataFrame, truth: DataFrame, keys: Sequence[str] = ("gene",)) -> DataFrame:
+    """positions with distance to the nearest known variant of the gene, infinite without any."""
+    return positions.join(truth_neighbours(positions, truth, keys).select(*keys, "position", _distance().alias("distance")), [*keys, "position"])
 
 
 def signal_scores(trace: DataFrame, truth: DataFrame, windows: DataFrame) -> DataFrame:
-    """trace (keys, position, log2FC) for each window, with is_true, distance and signal (|log2FC|, 0 where null)."""
-    labelled = truth_windows(trace, truth, windows).withColumn("signal", F.coalesce(F.abs("log2FC"), F.lit(0.0)))
-    return nearest_truth(labelled, truth)
+    """trace (keys, position, log2FC) for each window, with is_true, distance and signal (|log2FC|, 0 where null): one join for all windows."""
+    near = trace.join(truth_neighbours(trace, truth), ["gene", "position"]).withColumns({"distance": _distance(), "signal": F.coalesce(F.abs("log2FC"), F.lit(0.0))})
+    kept = [*trace.columns, "distance", "signal"]
+    return near.select(*kept, "before", "after", _each_window(windows)).select(*kept, "before", "after", "w.left_bp", "w.right_bp").withColumn("is_true", _within()).drop("before", "after")
 
 
 def evaluation(scored: DataFrame, truth: DataFrame) -> DataFrame:
@@ -117,8 +137,8 @@ def windows_table(spark: SparkSession, rights: Sequence[int] = (3, 5, 10, 20), l
 
 
 def evaluation_sweep(trace: DataFrame, truth: DataFrame, windows: DataFrame) -> DataFrame:
-    """evaluation() of both haplotypes, all pairs and all windows in one job."""
-    return evaluation(signal_scores(trace, truth, windows), truth)
+    """evaluation() of both haplotypes, all pairs and all windows; scores are made once, and written."""
+    return evaluation(written(signal_scores(trace, truth, windows), "signal-scores"), truth)
 
 
 def sites_in_range(trace: DataFrame, sites: DataFrame) -> DataFrame:

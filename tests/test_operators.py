@@ -119,6 +119,20 @@ def test_variants_at_region_ends(spark):
     assert sorted((x["region"], x["pos"]) for x in regions.variants_in_regions(v, r, 7).collect()) == [("r1", 11), ("r1", 20), ("r2", 20), ("r2", 21)]
 
 
+def test_windows_of_a_megabase_list_no_positions(spark):
+    r = np.random.default_rng(4)
+    known = [("g", int(p)) for p in r.integers(0, 5_000_000, 30)] + [("h", 7)]
+    at = [("g", int(p)) for p in r.integers(0, 5_000_000, 200)] + [("h", 7), ("h", 8), ("i", 1), ("g", known[0][1])]
+    wide = [(0, 0), (0, 3), (5, 0), (1_000, 1_000_000), (250_000, 10)]
+    positions, truth = table(spark, [(g, p, "x") for g, p in at], "gene string, position long, more string"), table(spark, known, "gene string, pos long")
+    scored = evaluate.truth_windows(positions, truth, table(spark, wide, "left_bp int, right_bp int"))
+    got = sorted((x["gene"], x["position"], x["left_bp"], x["right_bp"], x["is_true"]) for x in scored.collect())
+    assert got == sorted((g, p, a, b, any(k == g and t - a <= p <= t + b for k, t in known)) for g, p in at for a, b in wide)
+    assert 20 < sum(x[-1] for x in got) < len(got)
+    with pytest.raises(ValueError):
+        evaluate.truth_windows(positions, truth, table(spark, [(-1, 3)], "left_bp int, right_bp int"))
+
+
 def test_evaluation_of_perfect_scores(spark):
     trace = table(spark, [("g", "hap1", 1, 2, p, 2.0 if 10 <= p <= 13 else 0.5) for p in range(30)], "gene string, hap string, groupA int, groupB int, position long, log2FC double")
     truth = table(spark, [("g", 10, "v")], "gene string, pos long, ID string")
