@@ -11,6 +11,8 @@ from helixframe.plans import adapters as ad
 from helixframe.plans import oracle as sql
 from helixframe.plans.queries import HAPLOTYPES, KEY, REGIONS, SEQ, _base, _effects, _gene_tests, _haplotypes, _truth, query, r, rounded
 from helixframe.sources import readers, writers
+from helixframe.sources.bgzf import read_bgzf_lines
+from helixframe.sources.matrices import write_folders
 from helixframe.sources.scratch import scratch
 
 WINDOWS = "SELECT n_nationkey AS k, 'chr' || (n_nationkey % 22 + 1) AS chrom, n_nationkey * 40 AS s, n_nationkey * 40 + 500 AS e, CASE WHEN n_nationkey % 2 = 0 THEN '+' ELSE '-' END AS strand, n_name AS gene FROM nation"
@@ -65,6 +67,23 @@ def q_read_region_genotypes(spark, sf_dir):
     return _region_files(spark, sf_dir)[1].select(_part("region_name").alias("folder"), "pos", "sample", "gt")
 
 
+PACKED = """folder, chrom, pos, rf AS ref, array_to_string(alts, ',') AS alts"""
+
+
+@query([REGIONS, NAMED], PACKED, "(SELECT DISTINCT 'calls' || (CAST(substr(chrom, 4) AS INT) % 3) AS folder, chrom, pos, rf, alts FROM wv)")
+def q_read_packed_vcf(spark, sf_dir):
+    """S1 and J2: block-compressed files sorted by contig and position, read in ranges, of which only those that may hold a region."""
+    lines = _vcf_lines(spark, sf_dir)
+    c = F.regexp_extract(F.split_part("value", F.lit("\t"), F.lit(1)), r"^chr(\d+)$", 1).try_cast("long") % 3
+    named = lines.where(~F.col("value").startswith("#")).withColumn("k", c).unionByName(lines.where(F.col("value").startswith("#")).withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in range(3))))))
+    sorted_ = named.withColumn("folder", F.concat(F.lit("calls"), F.col("k").cast("string"))).repartition("folder").sortWithinPartitions("folder", "line_no")
+    write_folders(sorted_, path := scratch(spark, "packed"), packed=True)
+    regions = _windows(spark, sf_dir)
+    found, _ = readers.read_vcf(spark, path, lines=read_bgzf_lines(spark, f"{path}/*/*", regions, 4096))
+    kept = reg.variants_in_regions(found, regions, 500).select(F.regexp_extract("file", "/(calls[0-9])/", 1).alias("folder"), "chrom", "pos", "ref", F.array_join("alts", ",").alias("alts"))
+    return kept.distinct()
+
+
 @query([REGIONS], "chrom || ':' || s || '-' || e || ':' || strand AS region, chrom, s AS start, e AS \"end\", strand, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'g' || p_partkey END AS gene", "rg")
 def q_read_regions(spark, sf_dir):
     """S2 and P1: region lists with tabs and spaces, some without a gene."""

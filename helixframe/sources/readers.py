@@ -17,14 +17,15 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
-def read_vcf(spark: SparkSession, path: str, carriers: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_vcf(spark: SparkSession, path: str, carriers: bool = False, lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """variants (file, chrom, pos, id, ref, alts, line_no) and genotypes (file, chrom, pos, line_no, sample, gt) of plain or gzipped files.
 
     The #CHROM line of each file names its samples. Lines with fewer than five fields or without a position are skipped. With
     carriers, calls without any allele above 0 are dropped before a line is taken apart. The names of samples, one row a file,
-    are joined by file; Spark sends them to all executors where they are small.
+    are joined by file; Spark sends them to all executors where they are small. lines: those of the files, if they have been read
+    otherwise, such as by read_bgzf_lines(), which reads a compressed file in many tasks and leaves out what regions don't need.
     """
-    lines = _lines(spark, path)
+    lines = _lines(spark, path) if lines is None else lines
     f = F.split("value", "\t")
     names = lines.where(F.col("value").startswith("#CHROM")).select("file", F.slice(f, 10, F.greatest(F.size(f) - 9, F.lit(0))).alias("samples"))
     rows = lines.where(~F.col("value").startswith("#")).withColumn("f", f).where((F.size("f") >= 5) & F.col("f")[1].try_cast("long").isNotNull())
