@@ -140,6 +140,7 @@ def _separated(pair: DataFrame, min_n: int) -> DataFrame:
     return out.withColumns({c: F.when((a >= min_n) & (b >= min_n), F.col(c)) for c in SEPARATION})
 
 
+#: Fixed names and order of the columns of result tables.
 SEPARATION = ("mean_A", "mean_B", "std_A", "std_B", "auc", "cliffs_delta", "wasserstein", "cohen_d", "hedges_g")
 DIFFERENTIAL = ("gene", "hap", *PAIR, "position", "baseMean", "mean_A", "mean_B", "log2FC", "delta", "nA_nonNA", "nB_nonNA", "pvalue", "padj")
 
