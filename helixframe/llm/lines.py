@@ -1,13 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found through line hashes: a document is paired with the first document that holds one
-of its lines, so a line that very many documents share costs one pair for each of them. Of the pairs, each is aligned by
-patience diff (lines that occur once on either side, the rare ones, are matched in order and the matches extended), and
-aligned common blocks are deleted from the later document.
-
-What these alignments leave (blocks of which another earlier document is the holder, repeats that a diff cannot anchor) is
-found through runs: consecutive lines that just reach the length of a block. Any block is a union of its runs, so the
-smallest document of each run settles exactly which lines stand in a block that some earlier document has.
+Overlapping documents are found through rare lines, those that at most RARE documents hold: each holder is paired with the
+first one, so a rare line costs fewer than RARE pairs. Each pair is aligned by patience diff (lines that occur once on
+either side are matched in order and the matches extended), and aligned common blocks are deleted from the later document.
+
+An exact way settles the rest: blocks whose lines are all frequent, blocks of which the first holder of no line is the
+holder, repeats that a diff cannot anchor. Any block is a union of runs, consecutive lines that just reach the length of a
+block; lines that the alignments left ask whether an earlier document has one of their runs. Only runs whose lines other
+documents have too are listed, and runs within aligned blocks do not ask.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from helixframe.llm.storage import documents, materialize
 
 #: A common block is deleted if it holds so many characters, line ends and outer spaces not counted.
 LEAST_CHARS = 40
+#: A line is rare if no more documents hold it. Lines of more documents make no pairs; their blocks are found as runs.
+RARE = 64
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -89,11 +91,17 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"), F.transform(trimmed, lambda x: F.length(x)).alias("chars")).dropDuplicates(["key"])
 
 
-def overlaps(table: DataFrame) -> DataFrame:
-    """(later, earlier) keys: each row of line_table() with the first row that holds one of its lines that is not blank."""
-    at = table.select("key", F.explode(F.arrays_zip("lines", "chars")).alias("x")).where("x.chars > 0").select(F.col("x.lines").alias("line"), "key").distinct()
-    first = at.groupBy("line").agg(F.min("key").alias("earlier"), F.count("*").alias("n")).where("n > 1")
-    return at.join(first.select(F.col("line").alias("of"), "earlier"), F.col("line") == F.col("of")).where("earlier < key").select(F.col("key").alias("later"), "earlier").distinct()
+def shared_lines(table: DataFrame) -> DataFrame:
+    """(key, line, earlier, n): the lines of each row of line_table(), blank ones left out, that n > 1 rows hold, and the first of these rows."""
+    zipped = F.filter(F.arrays_zip("lines", "chars"), lambda x: x["chars"] > 0)
+    at = table.select("key", F.explode(F.array_distinct(F.transform(zipped, lambda x: x["lines"]))).alias("line"))
+    first = at.groupBy("line").agg(F.min("key").alias("earlier"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("line", "of")
+    return at.join(first, F.col("line") == F.col("of")).select("key", "line", "earlier", "n")
+
+
+def overlaps(shared: DataFrame, rare: int = RARE) -> DataFrame:
+    """(later, earlier) keys: each row with the first row that holds one of its rare lines; shared as of shared_lines()."""
+    return shared.where((F.col("n") <= rare) & (F.col("earlier") < F.col("key"))).select(F.col("key").alias("later"), "earlier").distinct()
 
 
 def least_runs(lines: np.ndarray, chars: np.ndarray, offsets: np.ndarray, least: int = LEAST_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,28 +119,43 @@ def least_runs(lines: np.ndarray, chars: np.ndarray, offsets: np.ndarray, least:
     return mix((joined[end] - joined[start]) * lowered[start] + (end - start).astype(np.uint64)).view(np.int64), start, end
 
 
-def held_runs(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(id, h, start, end): runs of lines of each row of line_table(), end excluded, that an earlier row has."""
+def held_runs(table: DataFrame, shared: DataFrame, aligned: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(id, h, start, end): runs of lines of each row of line_table(), end excluded, that an earlier row has and that hold a line which is not in aligned.
+
+    shared is of shared_lines(), aligned (id, h, gone) of aligned_lines(). A row has each of its lines in shared once, so lists
+    by row are bounded by the text.
+    """
     kind = table.schema["key"].dataType["id"].dataType.simpleString()
+    known = shared.groupBy("key").agg(F.collect_list("line").alias("known"))
+    rows = table.join(known, "key").select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "lines", "chars", "known").join(aligned, ["id", "h"], "left")
+    rows = rows.select("id", "h", "lines", "chars", "known", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             listed = batch.column("lines")
             offsets = np.concatenate(([0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
-            found, start, end = least_runs(listed.flatten().to_numpy(), batch.column("chars").flatten().to_numpy(), offsets, least)
+            lines, chars = listed.flatten().to_numpy(), batch.column("chars").flatten().to_numpy()
+            usable, unsettled = chars == 0, np.ones(len(lines), bool)
+            for begin, end, known, gone in zip(offsets, offsets[1:], batch.column("known"), batch.column("gone"), strict=False):
+                usable[begin:end] |= np.isin(lines[begin:end], known.values.to_numpy())
+                unsettled[begin + gone.values.to_numpy()] = False
+            found, start, end = least_runs(lines, chars, offsets, least)
+            strange, asked = (np.concatenate(([0], np.cumsum(x))) for x in (~usable, unsettled))
+            met = strange[end] == strange[start]
+            found, start, end = found[met], start[met], end[met]
             row = np.searchsorted(offsets, start, "right") - 1
             begin = offsets[row]
-            yield pa.record_batch([pa.array(found), batch.column("id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array((start - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["run", "id", "h", "start", "end"])
+            yield pa.record_batch([pa.array(found), batch.column("id").take(pa.array(row)), batch.column("h").take(pa.array(row)), pa.array((start - begin).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(asked[end] > asked[start])], ["run", "id", "h", "start", "end", "asks"])
         release()
 
-    runs = table.select(F.col("key.id").alias("id"), F.col("key.h").alias("h"), "lines", "chars").mapInArrow(run, f"run long, id {kind}, h long, start int, end int").withColumn("key", F.struct("id", "h"))
-    first = runs.groupBy("run").agg(F.min("key").alias("earlier"), F.max("key").alias("last")).where("earlier < last").select(F.col("run").alias("of"), "earlier")
-    return runs.join(first, F.col("run") == F.col("of")).where("earlier < key").select("id", "h", "start", "end")
+    runs = rows.mapInArrow(run, f"run long, id {kind}, h long, start int, end int, asks boolean").withColumn("key", F.struct("id", "h"))
+    first = runs.groupBy("run").agg(F.min("key").alias("earlier"), F.max(F.when(F.col("asks"), F.col("key"))).alias("last")).where("earlier < last").select(F.col("run").alias("of"), "earlier")
+    return runs.where("asks").join(first, F.col("run") == F.col("of")).where("earlier < key").select("id", "h", "start", "end")
 
 
-def aligned_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
-    """(id, h, gone array<int>): for each pair of overlaps(), the lines of the later row that are in aligned blocks."""
-    pairs = overlaps(table).join(table.select(F.col("key").alias("later"), F.col("lines").alias("mine"), "chars"), "later").join(table.select(F.col("key").alias("earlier"), F.col("lines").alias("theirs")), "earlier")
+def aligned_lines(table: DataFrame, pairs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(id, h, gone array<int>): the lines of each row of line_table() that are in aligned blocks of one of its pairs of overlaps()."""
+    pairs = pairs.join(table.select(F.col("key").alias("later"), F.col("lines").alias("mine"), "chars"), "later").join(table.select(F.col("key").alias("earlier"), F.col("lines").alias("theirs")), "earlier")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -141,7 +164,8 @@ def aligned_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
 
     kind = table.schema["key"].dataType["id"].dataType.simpleString()
     gone = pairs.select(F.col("later.id").alias("id"), F.col("later.h").alias("h"), "mine", "theirs", "chars").mapInPandas(run, f"id {kind}, h long, gone array<int>")
-    return gone.where(F.size("gone") > 0)
+    # A row meets at most one earlier one for each of its lines.
+    return gone.where(F.size("gone") > 0).groupBy("id", "h").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
 
 
 def kept_runs(hit: np.ndarray) -> list[dict[str, int]]:
@@ -159,8 +183,10 @@ def deleted_lines(table: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
     """(id, h, deleted, kept array<struct<first, n>>): how many lines of each row are in blocks an earlier row has, and the runs of lines between them, counted from 1; the last run is open."""
     kind = table.schema["key"].dataType["id"].dataType.simpleString()
     nothing = F.lit(None).cast("int")
-    both = aligned_lines(table, least).select("id", "h", "gone", nothing.alias("start"), nothing.alias("end")).unionByName(held_runs(table, least).select("id", "h", F.lit(None).cast("array<int>").alias("gone"), "start", "end"))
-    # A document meets at most one earlier one for each of its lines and has at most two runs for each, so lists are bounded by the text.
+    shared = materialize(shared_lines(table), "shared-lines")
+    aligned = materialize(aligned_lines(table, overlaps(shared), least), "aligned-lines")
+    both = aligned.select("id", "h", "gone", nothing.alias("start"), nothing.alias("end")).unionByName(held_runs(table, shared, aligned, least).select("id", "h", F.lit(None).cast("array<int>").alias("gone"), "start", "end"))
+    # A row has one list of aligned lines and at most two runs for each line, so lists are bounded by the text.
     lists = both.groupBy("id", "h").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.collect_list(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

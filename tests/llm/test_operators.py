@@ -520,6 +520,54 @@ def test_op8_blocks_of_any_earlier_document(spark):
     assert got == want and want[3] == (3, "") and want[4] == (2, "x")
 
 
+@pytest.mark.parametrize("rare", [1, 3, 64])
+def test_op8_rows_do_not_depend_on_what_is_rare(spark, monkeypatch, rare):
+    r = random.Random(rare)
+    own = iter(range(10_000))
+    passages = [[f"passage {p} line {k} of some words" for k in range(4)] for p in range(6)]
+    rows = []
+    for i in range(60):
+        text = [f"own line {next(own)}" for _ in range(r.randint(1, 4))]
+        for p in r.sample(range(6), r.randint(0, 2)):
+            at = r.randint(0, len(text))
+            text[at:at] = ["", *passages[p]] if r.random() < 0.5 else passages[p][r.randint(0, 2) :]
+        rows.append((i, "\n".join(text)))
+    split = [t.split("\n") for _, t in rows]
+    want = {}
+    for k, mine in enumerate(split):
+        gone = set()
+        for theirs in split[:k]:
+            for s in range(len(mine)):
+                for q in range(len(theirs)):
+                    n = 0
+                    while s + n < len(mine) and q + n < len(theirs) and mine[s + n] == theirs[q + n]:
+                        n += 1
+                    if sum(map(len, mine[s : s + n])) >= 40:
+                        gone |= set(range(s, s + n))
+        want[k] = (len(gone), "\n".join(x for i, x in enumerate(mine) if i not in gone))
+    pairs = lines.overlaps
+    monkeypatch.setattr(lines, "overlaps", lambda shared: pairs(shared, rare))
+    got = {x["doc_id"]: (x["n_deleted"], x["text"]) for x in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and sum(n for n, _ in want.values()) > 50
+
+
+def test_op8_what_alignment_deletes_no_run_asks_for(spark, monkeypatch):
+    """Copies of rare lines go by alignment alone; copies of frequent lines, and repeats that a diff cannot anchor, by runs alone."""
+    rare, frequent = [f"rare line number {k} of a passage" for k in range(3)], [f"frequent line number {k} of all" for k in range(2)]
+    rows = [(i, "\n".join([f"begin {i}", *frequent])) for i in range(70)] + [(100, "\n".join(["a", *rare])), (101, "\n".join(["b", *rare, "c"])), (102, "\n".join(["d" * 45] * 2)), (103, "\n".join(["e", *["d" * 45] * 5]))]
+    table = lines.line_table(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").cache()
+    shared = lines.shared_lines(table).cache()
+    pairs = lines.overlaps(shared)
+    assert {(r["later"]["id"], r["earlier"]["id"]) for r in pairs.collect()} == {(101, 100), (103, 102)}
+    aligned = lines.aligned_lines(table, pairs).cache()
+    assert {r["id"]: sorted(r["gone"]) for r in aligned.collect()} == {101: [1, 2, 3], 103: [4, 5]}
+    asked = {(r["id"], r["start"], r["end"]) for r in lines.held_runs(table, shared, aligned).collect()}
+    assert asked == {(i, 1, 3) for i in range(1, 70)} | {(103, k, k + 1) for k in (1, 2, 3)}
+    monkeypatch.setattr(lines, "held_runs", lambda table, *_: spark.createDataFrame([], "id long, h long, start int, end int"))
+    left = {r["doc_id"]: r["n_deleted"] for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["n_deleted"]}
+    assert left == {101: 3, 103: 2}
+
+
 def test_op9(docs, none, duck):
     mixed = mixing.mix_sources(docs)
     assert mixed.count() == docs.count() and set(docs.columns) <= set(mixed.columns)
