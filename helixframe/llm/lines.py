@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.shingles import mix, powers, release
@@ -30,6 +30,8 @@ from helixframe.llm.storage import documents, materialize
 LEAST_CHARS = 40
 #: A line is rare if no more documents hold it. Lines of more documents make no pairs; their blocks are found as runs.
 RARE = 64
+#: Rows that hold one line or run are dealt over so many tasks.
+SALTS = 32
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,12 +93,23 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("lines"), F.transform(trimmed, lambda x: F.length(x)).alias("chars")).dropDuplicates(["key"])
 
 
+def with_first(rows: DataFrame, on: str) -> DataFrame:
+    """rows with two more columns, for those whose value of the column on, never null, n > 1 rows have: earlier, the least key of these rows, and n.
+
+    Rows of one value are dealt over SALTS tasks, whose least keys meet by value and are dealt back, so that a value which
+    very many rows have burdens no single task.
+    """
+    dealt = rows.where(F.col(on).isNotNull()).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+    value = Window.partitionBy("of")
+    parts = dealt.groupBy(F.col(on).alias("of"), F.col("salt").alias("part")).agg(F.min("key").alias("least"), F.count("*").alias("rows"))
+    first = parts.select("of", "part", F.min("least").over(value).alias("earlier"), F.sum("rows").over(value).alias("n")).where("n > 1")
+    return dealt.join(first, (F.col(on) == F.col("of")) & (F.col("salt") == F.col("part"))).select(*rows.columns, "earlier", "n")
+
+
 def shared_lines(table: DataFrame) -> DataFrame:
     """(key, line, earlier, n): the lines of each row of line_table(), blank ones left out, that n > 1 rows hold, and the first of these rows."""
     zipped = F.filter(F.arrays_zip("lines", "chars"), lambda x: x["chars"] > 0)
-    at = table.select("key", F.explode(F.array_distinct(F.transform(zipped, lambda x: x["lines"]))).alias("line"))
-    first = at.groupBy("line").agg(F.min("key").alias("earlier"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("line", "of")
-    return at.join(first, F.col("line") == F.col("of")).select("key", "line", "earlier", "n")
+    return with_first(table.select("key", F.explode(F.array_distinct(F.transform(zipped, lambda x: x["lines"]))).alias("line")), "line")
 
 
 def overlaps(shared: DataFrame, rare: int = RARE) -> DataFrame:
@@ -149,8 +162,7 @@ def held_runs(table: DataFrame, shared: DataFrame, aligned: DataFrame, least: in
         release()
 
     runs = rows.mapInArrow(run, f"run long, id {kind}, h long, start int, end int, asks boolean").withColumn("key", F.struct("id", "h"))
-    first = runs.groupBy("run").agg(F.min("key").alias("earlier"), F.max(F.when(F.col("asks"), F.col("key"))).alias("last")).where("earlier < last").select(F.col("run").alias("of"), "earlier")
-    return runs.where("asks").join(first, F.col("run") == F.col("of")).where("earlier < key").select("id", "h", "start", "end")
+    return with_first(runs, "run").where(F.col("asks") & (F.col("earlier") < F.col("key"))).select("id", "h", "start", "end")
 
 
 def aligned_lines(table: DataFrame, pairs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
