@@ -2,13 +2,15 @@
 
 Every version of a file is addressed by the SHA-256 of its text (the blob). The ledger holds the (blob, rule version)
 pairs scanned so far; a run scans each blob once, and only for rule versions that the ledger lacks. Findings are stored
-by blob and joined back to all paths and versions that hold it.
+by blob and joined back to all paths and versions that hold it. The ledger is a folder: it outlives the session, and any later
+run that names it goes on from there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.storage import documents, materialize
+from helixframe.llm.storage import documents, shared_dir
 
 
 @dataclass(frozen=True)
@@ -92,14 +94,14 @@ def ledger_rows(scanned: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def findings_by_path(versions: DataFrame, findings: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Findings of all runs, joined to each version that holds the blob: (key, blob, kinds, starts, ends); empty arrays where there are none.
 
-    Where several runs scanned a blob (for other rules), their findings are put together in order. A plain join on the blob:
+    Where several runs scanned a blob, their findings are put together in order, each once. A plain join on the blob:
     Spark splits the rows of a blob with very many versions over tasks.
     """
     held = versions.select(F.col(key), blob_id(F.col(text_col)).alias("blob"))
     at = F.arrays_zip("starts", "ends", "kinds")
     order = [r.kind for r in RULES]
     place = F.transform(at, lambda x: F.struct(x["starts"].alias("starts"), F.array_position(F.array(*map(F.lit, order)), x["kinds"]).alias("place"), x["ends"].alias("ends"), x["kinds"].alias("kinds")))
-    merged = findings.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(place))).alias("x"))
+    merged = findings.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(place)))).alias("x"))
     findings = merged.select("blob", *(F.col(f"x.{c}").alias(c) for c in ("kinds", "starts", "ends")))
     fill = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
     return held.join(findings, "blob", "left").select(key, "blob", fill("kinds", "string"), fill("starts", "long"), fill("ends", "long"))
@@ -115,38 +117,62 @@ def digests(findings: DataFrame) -> DataFrame:
 
 
 class Ledger:
-    """The ledger (blob, kind, version) and the findings (blob, kinds, starts, ends) of all runs, as tables in the shared folder. A run adds a part to each."""
-
-    def __init__(self):
-        self.scanned: list[DataFrame] = []
-        self.findings: list[DataFrame] = []
-
-    @staticmethod
-    def _all(parts: list[DataFrame]) -> DataFrame | None:
-        out = parts[0] if parts else None
-        for more in parts[1:]:
-            out = out.unionByName(more)
-        return out
-
-    def scan(self, versions: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "text") -> None:
-        """One run: scan the blobs of versions for the rule versions that the ledger lacks, and take down both."""
-        todo = unseen_blobs(versions, self._all(self.scanned), rules, text_col=text_col)
-        found = materialize(scan_blobs(todo, rules), "findings")
-        self.findings.append(found.select("blob", "kinds", "starts", "ends"))
-        kinds = found.select("blob", F.explode("todo").alias("kind"))
-        version = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.version)))
-        self.scanned.append(kinds.withColumn("version", version[F.col("kind")]))
-
-    def by_path(self, versions: DataFrame, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The runs so far, in a folder that all executors share; each run is a table of its own in it, one row a blob it scanned.
+
+    A run counts once its job has been committed, so one that broke off leaves nothing, and the next run scans its blobs. Two runs at once
+    may scan a blob twice; its findings are given once. Findings of older rule versions stay on record and are left out where
+    findings are asked for.
+    """
+
+    SCHEMA = "blob string, versions map<string,int>, kinds array<string>, starts array<long>, ends array<long>"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _runs(self) -> DataFrame:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        within = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/run-*/_SUCCESS")
+        done = sorted(x.getPath().getParent().toString() for x in fs.globStatus(within) or [])
+        return self.spark.read.schema(self.SCHEMA).parquet(*done) if done else self.spark.createDataFrame([], self.SCHEMA)
+
+    def scanned(self) -> DataFrame:
+        """The ledger proper: (blob, kind, version), each once or more."""
+        return self._runs().select("blob", F.explode("versions").alias("kind", "version"))
+
+    def findings(self, rules: Sequence[Rule] = RULES) -> DataFrame:
+        """(blob, kinds, starts, ends) of all runs, without what versions other than those of rules found."""
+        current = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.version)))
+        at = F.filter(F.arrays_zip("kinds", "starts", "ends"), lambda x: F.col("versions")[x["kinds"]] == current[x["kinds"]])
+        return self._runs().select("blob", at.alias("x")).select("blob", *(F.col(f"x.{c}").alias(c) for c in ("kinds", "starts", "ends")))
+
+    def scan(self, versions: DataFrame, rules: Sequence[Rule] = RULES, *, text_col: str = "text") -> DataFrame:
+        """One run: scan the blobs of versions for the rule versions that the ledger lacks, and take both down. Returns the rows taken down."""
+        found = scan_blobs(unseen_blobs(versions, self.scanned(), rules, text_col=text_col), rules)
+        current = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.version)))
+        taken = F.map_from_arrays("todo", F.transform("todo", lambda k: current[k])).alias("versions")
+        path = f"{self.path}/run-{uuid.uuid4().hex}"
+        found.select("blob", taken, "kinds", "starts", "ends").write.parquet(path)
+        return self.spark.read.schema(self.SCHEMA).parquet(path)
+
+    def by_path(self, versions: DataFrame, rules: Sequence[Rule] = RULES, *, key: str = "doc_id", text_col: str = "text") -> DataFrame:
         """findings_by_path() of all runs."""
-        return findings_by_path(versions, self._all(self.findings), key=key, text_col=text_col)
+        return findings_by_path(versions, self.findings(rules), key=key, text_col=text_col)
+
+
+#: Setting that names the folder of a lasting ledger.
+LEDGER = "spark.helixframe.secrets.ledger"
 
 
 def op2_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of every document after two runs: the second one scans only blobs that the ledger of the first one lacks. Null texts are empty; repeated rows are rows of their own."""
+    """Findings of every document after two runs: the second one scans only blobs that the ledger of the first one lacks. Null texts are empty; repeated rows are rows of their own.
+
+    The ledger is the folder that the setting LEDGER names; what earlier calls scanned is not scanned again. Without that setting it
+    is a new folder in the shared one, so that a call does all of its work.
+    """
     docs = documents(spark, sf_dir).select("doc_id", "text")
     second = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1, F.lit(False))
-    ledger = Ledger()
+    ledger = Ledger(spark, spark.conf.get(LEDGER, None) or f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}")
     ledger.scan(docs.where(~second))
     ledger.scan(docs.where(second))
     return digests(ledger.by_path(docs)).drop("blob")

@@ -1,10 +1,13 @@
 """Every operator against a plain Python version, on a small table with nulls, empty, long, odd and repeated texts, and on an empty one."""
 
 import bz2
+import glob
 import hashlib
 import math
+import os
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import blocks, components, jaccard, language, licenses, lines, media, mixing, packing, secrets, shingles, substrings, vectors
+from helixframe.llm.storage import shared_dir
 
 from ..conftest import SF, rows_of, same
 
@@ -135,17 +139,45 @@ def test_op2_ledger_runs(spark):
     long = "nothing here " * 200_000 + "token=abcdefghijklmnop"
     rows = [(1, f"a {key} b"), (2, "-----BEGIN PRIVATE KEY----- cut"), (3, "token=abcdefghijkl"), (4, "token=abcdefghijkl"), (None, None), (5, long), (6, "")]
     v = spark.createDataFrame([(i, t, "k", "s") for i, t in rows], "doc_id long, text string, kinds string, blob string")
-    ledger = secrets.Ledger()
-    ledger.scan(v.where("doc_id < 4"))
-    ledger.scan(v.where("doc_id >= 4 OR doc_id IS NULL"))
-    assert ledger.findings[1].where("size(kinds) > 0").count() == 1  # the blob of 4 is known from 3
+    path = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    secrets.Ledger(spark, path).scan(v.where("doc_id < 4"))
+    ledger = secrets.Ledger(spark, path)  # as a later session opens it
+    assert ledger.scan(v.where("doc_id >= 4 OR doc_id IS NULL")).where("size(kinds) > 0").count() == 1  # the blob of 4 is known from 3
+    assert ledger.scan(v).count() == 0  # nothing is new
     newer = [secrets.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.group, r.least, r.any_case) for r in secrets.RULES]
-    ledger.scan(v, newer)
-    got = {x["doc_id"]: x["spans"] for x in secrets.digests(ledger.by_path(v)).collect()}
+    assert {tuple(x["versions"]) for x in ledger.scan(v, newer).collect()} == {("hex",)}
+    got = {x["doc_id"]: x["spans"] for x in secrets.digests(ledger.by_path(v, newer)).collect()}
     n = len(long)
     assert got == {1: f"pem:2:{2 + len(key)}", 2: "pem:0:27", 3: "assign:0:18", 4: "assign:0:18", None: "", 5: f"assign:{n - 22}:{n}", 6: ""}
 
 
+def test_op2_ledger_versions_and_broken_runs(spark):
+    """Findings of a rule's older version give way to those of the current one; runs without a commit, and runs that overlap, change nothing."""
+    v = spark.createDataFrame([(1, "0123456789abcdef01 token=abcdefghijkl"), (2, None)], "doc_id long, text string")
+    spans = lambda ledger, rules: {x["doc_id"]: x["spans"] for x in secrets.digests(ledger.by_path(v, rules)).collect()}
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    assert spans(ledger, secrets.RULES) == {1: "", 2: ""}
+    spark.range(3).selectExpr("id AS other").write.parquet(f"{ledger.path}/run-broken")
+    os.remove(f"{ledger.path.removeprefix('file:')}/run-broken/_SUCCESS")
+    first = ledger.scan(v)
+    first.write.parquet(f"{ledger.path}/run-twice")
+    assert spans(ledger, secrets.RULES) == {1: "hex:0:18,assign:19:37", 2: ""}
+    stricter = [secrets.Rule(r.kind, r.version + 1, r.pattern, r.group, 20) if r.kind == "hex" else r for r in secrets.RULES]
+    assert [dict(x["versions"]) for x in ledger.scan(v, stricter).collect()] == [{"hex": 2}] * 2
+    assert spans(ledger, stricter) == {1: "assign:19:37", 2: ""} and spans(ledger, secrets.RULES)[1].startswith("hex:0:18")
+
+
+def test_op2_query_goes_on_from_a_named_ledger(spark, duck):
+    spark.conf.set(secrets.LEDGER, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    try:
+        for _ in range(2):
+            same(secrets.op2_secret_ledger(spark, SF), duck, secrets.ORACLE)
+        sizes = [x.count() for x in (spark.read.parquet(p) for p in glob.glob(spark.conf.get(secrets.LEDGER).removeprefix("file:") + "/run-*"))]
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+    assert len(sizes) == 4 and sorted(sizes)[:2] == [0, 0] and sorted(sizes)[2] > 0
+
+
 def test_op2_scans_only_what_is_new(spark):
     v1 = spark.createDataFrame([(1, "token=abcdefghijkl"), (2, "clean")], "doc_id long, text string")
     seen = secrets.unseen_blobs(v1)
