@@ -14,11 +14,13 @@ A sentence longer than a window also gets boundaries after every `length` tokens
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from string import punctuation
 
 import numpy as np
@@ -36,8 +38,8 @@ TRUNCATION = 16
 END_ID = 1
 #: A stretch is closed after the first document with which it holds so many tokens; a bound on memory, at the price of one window's padding.
 STRETCH = 1 << 20
-#: Bytes of text tokenized at once (a longer text is still tokenized whole).
-PART = 1 << 20
+#: Bytes of text tokenized at once (a longer text is still tokenized whole); the arrays beside it take some 50 bytes for each.
+PART = 1 << 18
 #: Words whose ids a worker remembers from task to task, in arrays of some 35 MB; beyond it, those not asked for since are forgotten.
 KNOWN_WORDS = 1 << 20
 STOPS, QUOTES = np.frombuffer(b".!?", np.uint8), np.frombuffer(b"\"'", np.uint8)
@@ -204,7 +206,11 @@ class WordTokenizer:
 
 @lru_cache(2)
 def _tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    """A worker's tokenizer. Spark runs a task for each core, so it gets no threads of its own; each would keep memory."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    made = WordTokenizer(path)
+    release()
+    return made
 
 
 def choose_cuts(ends: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -273,26 +279,24 @@ class Stretch:
         self.sentences.append(sentences + self.total)
         self.total += len(ids)
 
-    def pieces(self) -> list[tuple]:
-        """(doc, start, length, ids, doc_tokens, sequence, offset) of all pieces; the stretch is empty afterwards."""
+    def pieces(self) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, start, doc_tokens, sequence, offset) of all pieces, the ids of all, end to end, and where each piece begins in them (one more at the end); the stretch is empty afterwards."""
         if not self.docs:
-            return []
-        ids, sizes = np.concatenate(self.ids), np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+            return [], *(np.zeros(0, np.int64),) * 4, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        docs, sentences, sizes = self.docs, np.concatenate(self.sentences), np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+        ids = np.concatenate(self.ids)
+        self.clear()
         doc_ends = np.cumsum(sizes)
-        ends, costs = boundaries(doc_ends, np.concatenate(self.sentences), self.length, self.truncation)
+        ends, costs = boundaries(doc_ends, sentences, self.length, self.truncation)
         cuts = ends[choose_cuts(ends, costs, self.length)]
-        stops = np.union1d(doc_ends, cuts)
-        starts = np.concatenate(([0], stops[:-1]))
+        bounds = np.concatenate(([0], np.union1d(doc_ends, cuts)))
+        starts = bounds[:-1]
         doc = np.searchsorted(doc_ends, starts, "right")
         window = np.searchsorted(cuts, starts, "right")
         opened = np.concatenate(([0], cuts))[window]
-        out = [
-            (self.docs[d], int(a - doc_ends[d] + sizes[d]), int(b - a), ids[a:b], int(sizes[d]), self.sequence + int(w), int(a - o))
-            for d, a, b, w, o in zip(doc.tolist(), starts.tolist(), stops.tolist(), window.tolist(), opened.tolist(), strict=True)
-        ]
+        first = self.sequence
         self.sequence += len(cuts)
-        self.clear()
-        return out
+        return [docs[d] for d in doc.tolist()], starts - doc_ends[doc] + sizes[doc], sizes[doc], first + window, starts - opened, ids, bounds
 
 
 def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, truncation: float = TRUNCATION, tokenizer: str | None = None, end_id: int = END_ID, stretch: int = STRETCH, with_ids: bool = True) -> DataFrame:
@@ -311,28 +315,27 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         words, waiting = _tokenizer(path), Stretch(length, truncation)
         upper = TaskContext.get().partitionId() << 33
 
-        def rows(pieces: list[tuple]) -> pa.RecordBatch:
-            doc, start, size, ids, total, seq, offset = zip(*pieces, strict=True) if pieces else ((),) * 7
-            crc = [zlib.crc32(x.tobytes()) for x in ids]
-            columns = [pa.array(doc, id_type), *(pa.array(x, pa.int64()) for x in (start, size, crc, total, [upper | s for s in seq], offset))]
+        def rows() -> pa.RecordBatch:
+            doc, start, total, sequence, offset, ids, bounds = waiting.pieces()
+            crc = [zlib.crc32(ids[a:b]) for a, b in pairwise(bounds.tolist())]
+            columns = [pa.array(doc, id_type), *(pa.array(x, pa.int64()) for x in (start, np.diff(bounds), crc, total, upper | sequence, offset))]
             names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             if with_ids:
-                columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32))))
             return pa.record_batch(columns, names + ["ids"] * with_ids)
 
         id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts = pc.fill_null(batch.column(1), "")
-            for a, b in slices(texts, PART):
+            for a, b in slices(batch.column(1), PART):
                 part = batch.slice(a, b - a)
-                ids, first, stops, of = words.encode(texts.slice(a, b - a))
+                ids, first, stops, of = words.encode(pc.fill_null(part.column(1), ""))
                 last = np.searchsorted(of, np.arange(len(part) + 1))
                 for k, doc in enumerate(part.column(0).to_pylist()):
                     waiting.add(doc, np.append(ids[first[k] : first[k + 1]].astype(np.uint32), np.uint32(end_id)), stops[last[k] : last[k + 1]] - first[k])
                     if waiting.total >= stretch:
-                        yield rows(waiting.pieces())
-        yield rows(waiting.pieces())
+                        yield rows()
+        yield rows()
         release()
 
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids

@@ -64,21 +64,24 @@ _powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_R ** i and its inverse for i < n, modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, PART + 1)
-        made = []
-        for base in (_R, pow(_R, -1, 2**64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            made.append(np.multiply.accumulate(x))
+    """_R ** i and its inverse for i < n, modulo 2 ** 64. As many as slices ask for are kept; those for a longer text are not."""
+    held = len(_powers[0]) if _powers else 0
+    if held >= n:
+        return _powers[0][:n], _powers[1][:n]
+    size = n if n > PART + 1 else min(max(n, 2 * held), PART + 1)
+    made = []
+    for base in (_R, pow(_R, -1, 2**64)):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size <= PART + 1:
         _powers[:] = made
-    return _powers[0][:n], _powers[1][:n]
+    return made[0][:n], made[1][:n]
 
 
 def slices(texts: pa.Array, part: int = PART) -> list[tuple[int, int]]:
-    """Ranges of rows with about part bytes of text each, one row at least."""
-    offsets = np.asarray(pc.cumulative_sum(pc.binary_length(texts))) if len(texts) else np.zeros(0, np.int64)
+    """Ranges of rows with about part bytes of text each, one row at least; null has none."""
+    offsets = np.asarray(pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0))) if len(texts) else np.zeros(0, np.int64)
     out, a = [], 0
     while a < len(texts):
         before = offsets[a - 1] if a else 0

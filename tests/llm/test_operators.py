@@ -7,6 +7,8 @@ import math
 import os
 import random
 import re
+import subprocess
+import sys
 import uuid
 import zlib
 from collections import Counter, defaultdict
@@ -14,6 +16,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from helixframe.llm import blocks, components, jaccard, language, licenses, lines, media, mixing, packing, secrets, shingles, substrings, vectors
@@ -323,6 +326,34 @@ def test_op5(docs, none, texts):
     assert packing.pack_documents(none).count() == 0
 
 
+WORKER = """
+import os, pickle, random, sys
+import pyarrow as pa
+from pyspark import TaskContext
+from helixframe.llm import shingles
+TaskContext._getOrCreate()._partitionId = 0
+run, r = pickle.load(sys.stdin.buffer), random.Random(5)
+words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(100_000)]
+texts = [None, *(" ".join(r.choices(words, k=350)) + "." for _ in range(10_000)), " ".join(r.choices(words, k=300_000))]
+batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+del texts
+threads, own = len(os.listdir("/proc/self/task")), pa.total_allocated_bytes()
+most = max(pa.total_allocated_bytes() for _ in run([batch]))
+print(len(os.listdir("/proc/self/task")) - threads, most / own, len(shingles._powers[0]) / shingles.PART)
+"""
+
+
+def test_op5_worker_holds_one_batch_and_no_threads(spark, monkeypatch):
+    """Beside a batch of texts with a null a task holds no copy of it, tokenizing starts no threads of its own, and a long text leaves nothing behind."""
+    docs, caught = spark.createDataFrame([(1, "a")], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: caught.append(f))
+    packing.pack_documents(docs)
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    ran = subprocess.run([sys.executable, "-c", WORKER], input=cloudpickle.dumps(caught[0]), env=env, capture_output=True, timeout=300, check=True)
+    threads, batches, powers = map(float, ran.stdout.split())
+    assert threads == 0 and batches < 1.5 and powers < 1.01
+
+
 @pytest.mark.parametrize("most", [1, 4, 64])
 def test_op5_more_words_than_the_table_holds(most):
     """A table that words do not fit in ends, and ids are the tokenizer's."""
