@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.shingles import release, slices, term_tables, word_spans
+from helixframe.llm.shingles import release, slices, term_tables, word_counts, word_spans
 from helixframe.llm.storage import documents, materialize
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -142,8 +142,19 @@ class _Shard:
 
 def collection_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents with any term, and terms with repeats."""
-    n = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(TERM))
-    return tuple(x or 0 for x in docs.agg(F.count_if(n > 0), F.sum(n)).first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents_ = terms = 0
+        for batch in batches:
+            text = pc.fill_null(batch.column("text"), "")
+            for a, b in slices(text):
+                n = word_counts(text.slice(a, b - a), term_tables())
+                documents_, terms = documents_ + np.count_nonzero(n), terms + int(n.sum())
+        yield pa.record_batch([pa.array([documents_], pa.int64()), pa.array([terms], pa.int64())], ["documents", "terms"])
+        release()
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "documents long, terms long")
+    return tuple(x or 0 for x in counted.agg(F.sum("documents"), F.sum("terms")).first())
 
 
 def build_index(docs: DataFrame, size: tuple[int, int], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -99,18 +99,32 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _starts(data: np.ndarray, offsets: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes are of words, which of them begin one, and where rows begin."""
+    inside = ~space[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edges = offsets[:-1][offsets[:-1] < len(data)]
+    first[edges] = inside[edges]
+    return inside, first, edges
+
+
+def word_counts(texts: pa.Array, tables: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The number of words of each row, as word_spans() finds them."""
+    data, offsets = as_bytes(texts)
+    first = _starts(data, offsets, (tables or _tables())[1])[1]
+    return np.diff(np.searchsorted(np.flatnonzero(first), offsets))
+
+
 def word_spans(texts: pa.Array, tables: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all words (runs of anything but ASCII white space): the hash (A-Z as a-z), the row, the first byte and the end in the bytes of all rows; and those bytes. tables: such as term_tables(), for other words."""
     data, offsets = as_bytes(texts)
     value, space = tables or _tables()
     if not len(data):
         return np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, data
-    inside = ~space[data]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
+    inside, first, edges = _starts(data, offsets, space)
+    last = inside.copy()
     last[:-1] &= ~inside[1:]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    first[edges] = inside[edges]
     edges = edges[edges > 0]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1

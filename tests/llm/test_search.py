@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import search
 
@@ -78,6 +80,32 @@ def test_shards_are_a_table(frames):
     assert index.where("term = 'tie'").groupBy().sum("df").first()[0] == 32
 
 
+def test_collection_size_is_that_of_the_pattern(spark, rows):
+    """Null, empty, texts that begin or end within a term, all ASCII characters, others, and one longer than a slice."""
+    texts = [t for _, t in rows] + ["a", "b", "-c", "d-", None, "", "-", "".join(map(chr, range(128))), "\x00é\u2028ñ\u00a0x 😀-😀", "ab. " * 400_000, "tail"]
+    held = [len(terms(t)) for t in texts]
+    docs = spark.createDataFrame([(t,) for t in texts], "`a text` string")
+    for parts in (1, 5):
+        assert search.collection_size(docs.repartition(parts).withColumnRenamed("a text", "body"), "body") == (sum(n > 0 for n in held), sum(held))
+    assert search.collection_size(docs.limit(0), "a text") == (0, 0)
+
+
+def test_collection_size_takes_a_fraction_of_the_pattern(spark):
+    """Matching each character against the pattern took three quarters of the whole search."""
+    docs = spark.range(400, numPartitions=4).select(F.repeat(F.lit("Some words, 12 of them; don't stop "), 300).alias("text")).localCheckpoint()
+
+    def took(run):
+        best = math.inf
+        for _ in range(3):
+            began = time.perf_counter()
+            assert run() == (400, 960_000)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    n = F.regexp_count("text", F.lit(search.TERM))
+    assert took(lambda: search.collection_size(docs)) < 0.5 * took(lambda: tuple(docs.agg(F.count_if(n > 0), F.sum(n)).first()))
+
+
 def test_empty_tables(spark, frames):
     docs, queries = frames
     assert got(docs.limit(0), queries) == [] and got(docs, queries.limit(0)) == []
