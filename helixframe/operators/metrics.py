@@ -18,17 +18,19 @@ def seventeen_metrics(attention: DataFrame, roster: DataFrame | None = None, key
     """One row of 17 metrics for each key of attention (keys, position, score); null scores don't count.
 
     roster: (keys) of all haplotypes; those without any score get 0 peaks, density and entropy and nulls else. All windows
-    and aggregates share the partitioning by keys, so the scores are shuffled once.
+    and aggregates share the partitioning by keys, so the scores are shuffled once. Sums run along the positions: keys with
+    equal scores get equal metrics to the last digit, so that they tie in tests.
     """
     by_key = Window.partitionBy(*keys)
     along, by_score = by_key.orderBy("position"), by_key.orderBy("score", "position")
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     x, tail = F.col("score"), F.greatest(F.lit(1), F.floor(0.05 * F.count("*").over(by_key)))
     begins = F.lag("score").over(along).isNull() | (F.lag("score").over(along) != x)
     marked = attention.where(x.isNotNull()).select(
         *keys,
         "position",
         "score",
-        F.avg("score").over(by_key).alias("level"),
+        F.avg("score").over(whole).alias("mean"),
         F.row_number().over(by_score).alias("up"),
         F.count("*").over(by_key).alias("n"),
         tail.alias("tail"),
@@ -37,25 +39,28 @@ def seventeen_metrics(attention: DataFrame, roster: DataFrame | None = None, key
     )
     # A run of equal scores ends where the next is another; the score before the run was noted where it began.
     before = F.last("opened", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))["before"]
-    peak = (F.col("after") < x) & (before < x) & (x >= F.col("level"))
+    peak = (F.col("after") < x) & (before < x) & (x >= F.col("mean"))
     marked = marked.withColumn("peak", F.coalesce(peak, F.lit(False)))
     positive = F.when(x > 0, x)
+    sums = {
+        "std": F.stddev_samp("score"),
+        "skewness": F.skewness("score"),
+        "kurtosis": F.kurtosis("score"),
+        "top5_percent_mean": F.avg(F.when(F.col("up") > F.col("n") - F.col("tail"), x)),
+        "low5_percent_mean": F.avg(F.when(F.col("up") <= F.col("tail"), x)),
+        "peak_mean": F.avg(F.when(F.col("peak"), x)),
+        "_s": F.sum(positive),
+        "_sl": F.sum(positive * F.ln(positive)),
+    }
+    marked = marked.select(*keys, "score", "peak", "mean", *(s.over(whole).alias(name) for name, s in sums.items()))
     q = F.percentile("score", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
     out = marked.groupBy(*keys).agg(
-        F.avg("score").alias("mean"),
+        *(F.first(name).alias(name) for name in ("mean", *sums)),
         F.max("score").alias("max"),
-        F.stddev_samp("score").alias("std"),
         q.alias("_q"),
         F.mode("score", True).alias("mode"),
-        F.skewness("score").alias("skewness"),
-        F.kurtosis("score").alias("kurtosis"),
-        F.avg(F.when(F.col("up") > F.col("n") - F.col("tail"), x)).alias("top5_percent_mean"),
-        F.avg(F.when(F.col("up") <= F.col("tail"), x)).alias("low5_percent_mean"),
         F.count_if("peak").alias("peak_count"),
         F.count("*").alias("_n"),
-        F.avg(F.when(F.col("peak"), x)).alias("peak_mean"),
-        F.sum(positive).alias("_s"),
-        F.sum(positive * F.ln(positive)).alias("_sl"),
     )
     c = F.col
     at = lambda i: c("_q")[i]
@@ -115,9 +120,10 @@ def top_genes(tests: DataFrame, n: int = 10, metric: str = "std") -> DataFrame:
 
 
 def significant_genes(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """By metric, genes with a corrected p below alpha: (metric, gene, p_corrected, strength, place), strongest first."""
+    """By metric, genes with a corrected p below alpha: (metric, gene, p_corrected, strength, place), strongest first; a p of 0 is infinitely strong."""
     place = F.row_number().over(Window.partitionBy("metric").orderBy("p_corrected", "gene"))
-    return tests.where(F.col("p_corrected") < alpha).select("metric", "gene", "p_corrected", (-F.log10("p_corrected")).alias("strength"), place.alias("place"))
+    strength = F.when(F.col("p_corrected") == 0, F.lit(float("inf"))).otherwise(-F.log10("p_corrected"))
+    return tests.where(F.col("p_corrected") < alpha).select("metric", "gene", "p_corrected", strength.alias("strength"), place.alias("place"))
 
 
 def group_metric_table(metrics: DataFrame, tests: DataFrame, gene: str, hap: str = "hap1") -> DataFrame:

@@ -44,6 +44,17 @@ def test_bh_keeps_nulls(spark):
     assert [got[i] for i in (0, 1, 2, 4)] == pytest.approx([0.04, 0.16 / 3, 0.16 / 3, 0.5])
 
 
+def test_equal_scores_have_equal_metrics(spark):
+    values = np.random.default_rng(1).random(9).tolist()
+    a = table(spark, [("g", "hap1", i, j, v) for i in range(700) for j, v in enumerate(values)], "gene string, hap string, sample long, position long, score double")
+    assert metrics.seventeen_metrics(a).select(*metrics.METRICS).distinct().count() == 1
+
+
+def test_a_p_of_zero_is_infinitely_strong(spark):
+    tests = table(spark, [("std", "g1", 0.01), ("std", "g0", 0.0), ("std", "g2", None), ("cv", "g0", 1.0)], "metric string, gene string, p_corrected double")
+    assert sorted(map(tuple, metrics.significant_genes(tests).collect())) == [("std", "g0", 0.0, math.inf, 1), ("std", "g1", 0.01, 2.0, 2)]
+
+
 def test_auc_and_effects_have_opposite_signs(spark):
     a = table(spark, [("g", "hap1", i, 5, float(i + 1 if i < 10 else i - 8)) for i in range(20)], "gene string, hap string, sample long, position long, score double")
     samples = table(spark, [(i, 1 if i < 10 else 2) for i in range(20)], "sample long, label int")
