@@ -35,6 +35,19 @@ def test_against_sql_on_small_tables(spark, small_duck, name):
     df.unpersist()
 
 
+def test_first_rows_of_ties_are_the_first_in_the_files(spark, tmp_path):
+    def rows(k, n):
+        return spark.range(n).selectExpr("id % 50 AS l_orderkey", "CAST(id % 100 DIV 50 AS INT) AS l_linenumber", f"{k} - id AS l_partkey").coalesce(1)
+
+    # Spark reads large files first.
+    for k, n in ((1, 100), (2, 100_000)):
+        rows(k, n).write.mode("append").parquet(str(tmp_path / "lineitem.parquet"))
+        made = next(f for f in (tmp_path / "lineitem.parquet").glob("part-*"))
+        made.rename(made.with_name(f"{k}.parquet"))
+    found = own.QUERIES["q_first_rows"](spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(i, 0, 1 - i) for i in range(50)]
+
+
 def test_every_query_has_sql():
     assert set(own.QUERIES) == set(own.ORACLES)
 
