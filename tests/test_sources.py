@@ -59,6 +59,24 @@ def test_labelled_haplotypes_and_tables(spark, tmp_path):
         assert [(r["a"], r["b"]) for r in readers.load_table(spark, str(tmp_path / name)).collect()] == [(1, 2)]
 
 
+def test_labelled_haplotypes_are_written_as_they_come(spark, tmp_path):
+    rows = [(region, sample, label, *cells) for region in ("chr1:0-9:+:1", "a b", "50%") for sample, label, cells in (("s", "2", ("ACG", "1;2;3", "AC", "1;2")), ('t,"', "", ("", "", "", "")), (None, "x\\", ("A", "1", "N", "7")))]
+    p = spark.createDataFrame(rows, "region string, sample string, sample_type string, hap1_seq string, hap1_pos string, hap2_seq string, hap2_pos string").coalesce(1)
+    jobs = spark.sparkContext.statusTracker()
+    read = lambda d: sorted(map(repr, spark.read.csv(str(tmp_path / d), header=True, schema=p.drop("region").schema).select(*p.columns).collect()))
+    writers.write_labeled_haplotypes(p, str(tmp_path / "plain"))
+    spark.sparkContext.setJobGroup("together", "")
+    writers.write_labeled_haplotypes(p, str(tmp_path / "together"), together=True)
+    writers.write_labeled_haplotypes(p, str(tmp_path / "packed"), together=True, packed=True)
+    # One stage a job: no shuffle.
+    assert [len(jobs.getJobInfo(j).stageIds) for j in jobs.getJobIdsForGroup("together")] == [1, 1]
+    spark.sparkContext.setJobGroup("others", "")
+    assert read("plain") == read("together") == read("packed") and len(read("plain")) == 9
+    assert {f.name for f in (tmp_path / "plain").glob("region=*")} == {f.name for f in (tmp_path / "together").iterdir()} == {f.name for f in (tmp_path / "packed").iterdir()}
+    writers.write_labeled_haplotypes(p.repartition(3), str(tmp_path / "mixed"), packed=True)
+    assert read("mixed") == read("plain") and len(glob.glob(f"{tmp_path}/mixed/*/*.gz")) == 3
+
+
 def test_region_files(spark, tmp_path):
     from helixframe.operators.regions import region_records
 
